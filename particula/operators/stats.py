@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.aqi import has_alert
+from ..functions.numeric import mean
 from ..functions.text import city_token, is_weekend, time_band
 from .quality import is_valid, lookback
 
@@ -27,13 +28,13 @@ def sensor_analytics(
         F.count("pm2_5").alias("readings_count"),
         F.min("pm2_5").alias("pm25_min"),
         F.max("pm2_5").alias("pm25_max"),
-        F.round(F.avg("pm2_5"), 2).alias("pm25_average"),
+        F.round(mean("pm2_5"), 2).alias("pm25_average"),
         F.min("pm10").alias("pm10_min"),
         F.max("pm10").alias("pm10_max"),
-        F.round(F.avg("pm10"), 2).alias("pm10_average"),
+        F.round(mean("pm10"), 2).alias("pm10_average"),
         F.coalesce(F.min(aqi_ok), F.lit(0.0)).alias("aqi_min"),
         F.coalesce(F.max(aqi_ok), F.lit(0.0)).alias("aqi_max"),
-        F.coalesce(F.round(F.avg(aqi_ok), 1), F.lit(0.0)).alias("aqi_average"),
+        F.coalesce(F.round(mean(aqi_ok), 1), F.lit(0.0)).alias("aqi_average"),
     ]
     if sensor_id is None:
         out = win.groupBy("sensor_id").agg(*aggs)
@@ -59,7 +60,7 @@ def system_stats(readings: DataFrame, alerts: DataFrame) -> DataFrame:
     return readings.agg(
         F.count_distinct("sensor_id").alias("sensor_count"),
         F.count(F.lit(1)).alias("total_records"),
-        F.round(F.avg(F.col("aqi").cast("double")), 6).alias("average_aqi"),
+        mean("aqi").alias("average_aqi"),
     ).withColumn("active_alerts", active)
 
 
@@ -69,10 +70,10 @@ def sensor_statistics(df: DataFrame, aqi="aqi") -> DataFrame:
     a = F.col(aqi).cast("double")
     return df.groupBy("sensor_id").agg(
         F.count(F.lit(1)).alias("total_readings"),
-        F.round(F.avg(a), 1).alias("avg_aqi"),
+        F.round(mean(aqi), 1).alias("avg_aqi"),
         F.round(F.max(a), 1).alias("max_aqi"),
         F.round(F.min(a), 1).alias("min_aqi"),
-        F.round(F.avg("pm2_5"), 2).alias("avg_pm2_5"),
+        F.round(mean("pm2_5"), 2).alias("avg_pm2_5"),
         F.max_by("battery_level", order).alias("current_battery"),
         F.max_by("signal_strength", order).alias("current_signal"),
     )
@@ -84,10 +85,10 @@ def window_aggregates(df: DataFrame, size: str = "5 minutes", slide: str | None
     return (
         df.groupBy(w.alias("w"), "sensor_id")
         .agg(
-            F.round(F.avg("pm2_5"), 6).alias("avg_pm2_5"),
+            mean("pm2_5").alias("avg_pm2_5"),
             F.max("pm2_5").alias("max_pm2_5"),
             F.min("pm2_5").alias("min_pm2_5"),
-            F.round(F.avg("pm10"), 6).alias("avg_pm10"),
+            mean("pm10").alias("avg_pm10"),
             F.max("pm10").alias("max_pm10"),
             F.min("pm10").alias("min_pm10"),
             F.count(F.lit(1)).alias("total_readings"),
@@ -104,14 +105,14 @@ def smart_stats(df: DataFrame, size: str = "5 minutes", aqi="aqi") -> DataFrame:
         df.groupBy(F.window("timestamp", size).alias("w"), "sensor_id")
         .agg(
             F.count(F.lit(1)).alias("total_readings"),
-            F.round(F.avg(a), 6).alias("avg_aqi"),
+            mean(aqi).alias("avg_aqi"),
             F.max(a).alias("max_aqi"),
             F.min(a).alias("min_aqi"),
-            F.round(F.avg("pm2_5"), 6).alias("avg_pm2_5"),
+            mean("pm2_5").alias("avg_pm2_5"),
             F.max("pm2_5").alias("max_pm2_5"),
             F.min("pm2_5").alias("min_pm2_5"),
-            F.round(F.avg("battery_level"), 6).alias("avg_battery"),
-            F.round(F.avg("signal_strength"), 6).alias("avg_signal"),
+            mean("battery_level").alias("avg_battery"),
+            mean("signal_strength").alias("avg_signal"),
         )
         .select("sensor_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "*")
         .drop("w")
@@ -122,9 +123,9 @@ def fleet_snapshot(latest: DataFrame, aqi="aqi") -> DataFrame:
     """Over the latest reading per sensor: count, rounded mean AQI, online, rounded mean battery."""
     return latest.agg(
         F.count(F.lit(1)).alias("total_sensors"),
-        _js_round(F.avg(F.col(aqi).cast("double"))).alias("avg_aqi"),
+        _js_round(mean(aqi)).alias("avg_aqi"),
         F.count_if(F.col("battery_level") > 0).alias("online_sensors"),
-        _js_round(F.avg("battery_level")).alias("avg_battery"),
+        _js_round(mean("battery_level")).alias("avg_battery"),
     )
 
 
@@ -133,7 +134,7 @@ def map_stats(latest: DataFrame, aqi="aqi") -> DataFrame:
     city = city_token(F.col("city") if "city" in latest.columns else F.lit(None).cast("string"), "sensor_id")
     return latest.agg(
         F.count(F.lit(1)).alias("total_sensors"),
-        _js_round(F.avg(F.col(aqi).cast("double"))).alias("avg_aqi"),
+        _js_round(mean(aqi)).alias("avg_aqi"),
         F.count_distinct(city).alias("cities_covered"),
     )
 
@@ -159,9 +160,9 @@ def band_profile(df: DataFrame) -> DataFrame:
         .groupBy("time_band", "is_weekend")
         .agg(
             F.count(F.lit(1)).alias("readings"),
-            F.round(F.avg("pm2_5"), 6).alias("avg_pm2_5"),
-            F.round(F.avg("pm10"), 6).alias("avg_pm10"),
-            F.round(F.avg(F.col("aqi").cast("double")), 6).alias("avg_aqi"),
+            mean("pm2_5").alias("avg_pm2_5"),
+            mean("pm10").alias("avg_pm10"),
+            mean("aqi").alias("avg_aqi"),
         )
     )
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.numeric import exact_mean, mean_over, milli
 from .joins import join_small
 
 _T, _B, _HOME = "_t", "_bucket", "_home"
@@ -44,7 +45,7 @@ class Agg:
 
 
 _FUNCS = {
-    "avg": F.avg,
+    "favg": F.avg,  # floating-point avg (order-dependent in the last bits)
     "max": F.max,
     "min": F.min,
     "sum": F.sum,
@@ -53,6 +54,12 @@ _FUNCS = {
 }
 
 
+def _over(a: Agg, w) -> Column:
+    if a.func == "avg":
+        return mean_over(a.col, w).alias(a.out)
+    return _FUNCS[a.func](a.col).over(w).alias(a.out)
+
+
 def _bucketed(df: DataFrame, ts: str, bucket_us: int) -> DataFrame:
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     return df.withColumn(_T, t).withColumn(_B, F.expr(f"({_T} - pmod({_T}, {bucket_us}L)) div {bucket_us}L"))
@@ -82,7 +89,7 @@ def trailing(
     b = b.withColumn(_HOME, F.col(_B) == F.col("_home_bucket")).drop("_home_bucket")
 
     base = Window.partitionBy(key, _B).orderBy(_T)
-    cols = [_FUNCS[a.func](a.col).over(base.rangeBetween(-frame_us[a.out], 0)).alias(a.out) for a in aggs]
+    cols = [_over(a, base.rangeBetween(-frame_us[a.out], 0)) for a in aggs]
     out = b.select("*", *cols).filter(F.col(_HOME))
     return out.drop(_T, _B, _HOME)
 
@@ -109,8 +116,8 @@ def running(
     parts = []
     for c in cols:
         parts += [
-            F.count(c).alias(f"_n_{c}"),
-            F.sum(c).alias(f"_s_{c}"),
+            F.count(milli(c)).alias(f"_n_{c}"),
+            F.sum(milli(c)).alias(f"_s_{c}"),
             F.max(c).alias(f"_mx_{c}"),
             F.min(c).alias(f"_mn_{c}"),
         ]
@@ -131,8 +138,8 @@ def running(
     cur = []
     for c in cols:
         cur += [
-            F.count(c).over(w).alias(f"_cn_{c}"),
-            F.sum(c).over(w).alias(f"_cs_{c}"),
+            F.count(milli(c)).over(w).alias(f"_cn_{c}"),
+            F.sum(milli(c)).over(w).alias(f"_cs_{c}"),
             F.max(c).over(w).alias(f"_cmx_{c}"),
             F.min(c).over(w).alias(f"_cmn_{c}"),
         ]
@@ -142,9 +149,11 @@ def running(
     outs = []
     for c in cols:
         n = F.col(f"_cn_{c}") + F.coalesce(F.col(f"_pn_{c}"), F.lit(0))
-        s = F.col(f"_cs_{c}") + F.coalesce(F.col(f"_ps_{c}"), F.lit(0.0))
+        s = F.coalesce(F.col(f"_cs_{c}"), F.lit(0).cast("decimal(38,0)")) + F.coalesce(
+            F.col(f"_ps_{c}"), F.lit(0).cast("decimal(38,0)")
+        )
         if "avg" in funcs:
-            outs.append(F.when(n > 0, s / n).alias(f"{prefix}{c}_avg"))
+            outs.append(exact_mean(s, n).alias(f"{prefix}{c}_avg"))
         if "max" in funcs:
             outs.append(F.greatest(F.col(f"_cmx_{c}"), F.col(f"_pmx_{c}")).alias(f"{prefix}{c}_max"))
         if "min" in funcs:
@@ -193,7 +202,7 @@ def last_rows(
         both = home
 
     w = Window.partitionBy(key, _B).orderBy(_T, tiebreak).rowsBetween(-k, 0)
-    cols = [_FUNCS[a.func](a.col).over(w).alias(a.out) for a in aggs]
+    cols = [_over(a, w) for a in aggs]
     if with_count:
         cols.append(F.count(F.lit(1)).over(w).alias(with_count))
     out = both.select("*", *cols).filter(F.col(_HOME))
