@@ -23,11 +23,18 @@ def num_text(c: Column) -> Column:
     ).otherwise(c.cast("string"))
 
 
-def pollution_alerts(df: DataFrame, tiers: int = 3, pm25="pm2_5", pm10="pm10", aqi="aqi") -> DataFrame:
+def pollution_alerts(
+    df: DataFrame, tiers: int = 3, pm25="pm2_5", pm10="pm10", aqi="aqi", js_numbers: bool | None = None
+) -> DataFrame:
     """D5 (tiers=2, no is_active) / D6 (tiers=3, is_active=true).
 
-    Missing PM counts as 0, missing AQI is reported as 'Unknown'.
+    Missing PM counts as 0, missing AQI is reported as 'Unknown'. The
+    three-tier (web) form prints integral numbers without '.0', the
+    two-tier (consumer) form prints every double with its decimals.
     """
+    if js_numbers is None:
+        js_numbers = tiers >= 3
+    fmt = num_text if js_numbers else (lambda c: c.cast("string"))
     p25 = F.coalesce(F.col(pm25), F.lit(0.0))
     p10 = F.coalesce(F.col(pm10), F.lit(0.0))
     aqi_txt = F.coalesce(F.col(aqi).cast("string"), F.lit(C.UNKNOWN))
@@ -36,7 +43,7 @@ def pollution_alerts(df: DataFrame, tiers: int = 3, pm25="pm2_5", pm10="pm10", a
     for severity, atype, prefix, lim25, lim10 in chosen:
         cond = (p25 > F.lit(lim25)) | (p10 > F.lit(lim10))
         text = F.concat(
-            F.lit(f"{prefix}: PM2.5="), num_text(p25), F.lit(", PM10="), num_text(p10), F.lit(", AQI="), aqi_txt
+            F.lit(f"{prefix}: PM2.5="), fmt(p25), F.lit(", PM10="), fmt(p10), F.lit(", AQI="), aqi_txt
         )
         if sev is None:
             sev, typ, msg = F.when(cond, severity), F.when(cond, atype), F.when(cond, text)
