@@ -28,12 +28,50 @@ def register(name: str, ops: str, sql: str | None = None):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, ops, fn, sql)
+        REGISTRY[name] = Query(name, ops, fn, half_up_rounding(sql) if sql else None)
         return fn
 
     return deco
 
 
+def half_up_rounding(sql: str) -> str:
+    """Rewrite `round(x, n)` so DuckDB rounds like Spark: HALF_UP on the
+    shortest decimal text of the double (DuckDB's own round scales in binary,
+    so 26.849999999999998 would become 26.9 there and 26.8 in Spark)."""
+    out, i, n = [], 0, len(sql)
+    while i < n:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            break
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i : j + 6])
+            i = j + 6
+            continue
+        out.append(sql[i:j])
+        depth, k, comma = 1, j + 6, -1
+        while k < n and depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner_end = k - 1
+        if comma < 0:
+            out.append(sql[j:k])
+        else:
+            arg = half_up_rounding(sql[j + 6 : comma])
+            digits = sql[comma + 1 : inner_end].strip()
+            out.append(
+                f"CAST(round(CAST(CAST(({arg}) AS VARCHAR) AS DECIMAL(38,17)), {digits}) AS DOUBLE)"
+            )
+        i = k
+    return "".join(out)
+
+
 def R(spark: SparkSession, sf: str) -> DataFrame:
     return readings(spark, sf)
 
