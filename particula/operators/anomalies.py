@@ -35,14 +35,14 @@ def anomaly_2sigma(df: DataFrame, **kw) -> DataFrame:
     `is_anomaly` is a three-valued OR; the score is the sum of both ratios when
     anomalous, else 0.0.
     """
+    # whole-sensor spread first (partial aggregate of the input, size-checked
+    # broadcast back), then one shuffle for the trailing frames
+    withsd = partition_stats(df, [("_sd_pm25", F.stddev_samp("pm2_5")), ("_sd_aqi", F.stddev_samp("aqi"))])
     feats = trailing(
-        df,
+        withsd,
         [Agg("pm25_5min_avg", "avg", "pm2_5", 5), Agg("aqi_5min_avg", "avg", "aqi", 5)],
         **kw,
     )
-    feats = partition_stats(
-        feats, [("_sd_pm25", F.stddev_samp("pm2_5")), ("_sd_aqi", F.stddev_samp("aqi"))]
-    )
     k = F.lit(C.SIGMA_FACTOR)
     pm25_anom = F.abs(F.col("pm2_5") - F.col("pm25_5min_avg")) > k * F.col("_sd_pm25")
     aqi_anom = F.abs(F.col("aqi") - F.col("aqi_5min_avg")) > k * F.col("_sd_aqi")

@@ -111,6 +111,24 @@ def first_error(df: DataFrame) -> Column:
     return F.struct((expr == C.FIRST_ERROR_VALID).alias("is_valid"), expr.alias("reason"))
 
 
+def first_error_ok() -> Column:
+    """P7 as a plain predicate (no message text built): the row would be 'Valid'."""
+    ok = None
+    for f in C.FIRST_ERROR_REQUIRED:
+        c = F.col(f).isNotNull()
+        ok = c if ok is None else ok & c
+    p25, p10, a = F.col("pm2_5"), F.col("pm10"), F.col("aqi")
+    return (
+        ok
+        & (p25 >= 0)
+        & (p25 <= C.FIRST_ERROR_PM25_MAX)
+        & (p10 >= 0)
+        & (p10 <= C.FIRST_ERROR_PM10_MAX)
+        & (a >= C.AQI_MIN)
+        & (a <= C.AQI_MAX)
+    )
+
+
 def split_valid(df: DataFrame):
     """(valid frame, quarantine frame with reason). Both read the same plan."""
     checked = df.withColumn("_check", first_error(df))

@@ -73,7 +73,7 @@ P7_VALID = f"({FIRST_ERROR_SQL}) = 'Valid'"
 
 def _p7_valid(spark, sf):
     r = R(spark, sf)
-    return r.filter(Q.first_error(r).getField("is_valid"))
+    return r.filter(Q.first_error_ok())
 
 
 @register(
