@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..session import cut_lineage
 from ..sources.parse import to_envelope
+from .joins import join_small
 
 READINGS_KEY = ("sensor_id", "timestamp")
 
@@ -63,7 +64,7 @@ def upsert_table(spark: SparkSession, batch: DataFrame, path: str, key=READINGS_
     try:
         old = spark.read.parquet(path)
         dates = b.select("date").distinct()
-        old = old.join(F.broadcast(dates), "date", "left_semi") if _small(dates) else old.join(dates, "date", "left_semi")
+        old = join_small(old, dates, ["date"], "left_semi")
         merged = old.withColumn("_ingest", F.lit(0)).unionByName(b.withColumn("_ingest", F.lit(1)), allowMissingColumns=True)
     except Exception:  # table does not exist yet
         merged = b.withColumn("_ingest", F.lit(1))
@@ -75,10 +76,6 @@ def upsert_table(spark: SparkSession, batch: DataFrame, path: str, key=READINGS_
     ).parquet(path)
 
 
-def _small(df: DataFrame, limit: int = 100_000) -> bool:
-    return df.count() <= limit
-
-
 def publish(df: DataFrame, topic: str, path: str | None = None, fmt: str = "kafka", bootstrap: str | None = None):
     """Rows as JSON keyed by sensor to a topic (Kafka) or to JSON files."""
     env = to_envelope(df, topic).drop("event_id") if "event_id" in df.columns else to_envelope(df, topic)

@@ -457,3 +457,37 @@ def union_topics(spark, sf):
         "topic", F.lit("air-quality-alerts")
     )
     return LK.union_topics(data, alerts).select("topic", "event_id", "sensor_id", "timestamp", "pm2_5", "severity")
+
+
+@register(
+    "parse_flat",
+    "S5 S11",
+    with_readings("SELECT event_id, sensor_id, timestamp, pm2_5, pm10, aqi, temperature, humidity FROM r"),
+)
+def parse_flat(spark, sf):
+    r = R(spark, sf)
+    wire = r.select(
+        "event_id",
+        F.to_json(
+            F.struct(
+                "sensor_id",
+                F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
+                "pm2_5",
+                "pm10",
+                "aqi",
+                "temperature",
+                "humidity",
+            )
+        ).alias("value"),
+    )
+    return PS.parse_flat(wire, keep=("event_id",)).select(
+        "event_id", "sensor_id", "timestamp", "pm2_5", "pm10", "aqi", "temperature", "humidity"
+    )
+
+
+@register("dedup_redelivery", "ST9 S8", with_readings(f"SELECT {RC} FROM r"))
+def dedup_redelivery(spark, sf):
+    """Batch twin of stream de-duplication: the table delivered twice, one row per key kept."""
+    r = R(spark, sf).select(*READING_COLS)
+    twice = r.unionByName(r)
+    return twice.dropDuplicates(["sensor_id", "timestamp"]).select(*READING_COLS)
