@@ -49,8 +49,11 @@ def pollution_alerts(
             sev, typ, msg = F.when(cond, severity), F.when(cond, atype), F.when(cond, text)
         else:
             sev, typ, msg = sev.when(cond, severity), typ.when(cond, atype), msg.when(cond, text)
+    from .quality import fence
+
     out = (
-        df.withColumn("severity", sev)
+        fence(df, (pm25, pm10, aqi))
+        .withColumn("severity", sev)
         .filter(F.col("severity").isNotNull())
         .withColumn("alert_type", typ)
         .withColumn("message", msg)

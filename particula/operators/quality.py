@@ -14,6 +14,28 @@ from .. import constants as C
 from ..functions._util import as_col
 
 
+DERIVED = ("pm2_5", "pm10", "aqi", "temperature", "humidity")
+
+
+def fence(df: DataFrame, cols=DERIVED) -> DataFrame:
+    """Evaluate the given (derived) columns once per row before filtering on them.
+
+    To push a filter below a projection Catalyst substitutes the column
+    definitions into the condition, so a rule that names `aqi` three times
+    evaluates the AQI chain (and everything below it) three times per row,
+    with every reference to a concentration expanded again. A one-row
+    `inline` generator is a boundary filters on its outputs are not pushed
+    through. Only the named columns go through it: other columns stay plain
+    projections, so column pruning and scan-level filters are unaffected.
+    """
+    inner = [c for c in cols if c in df.columns]
+    if not inner:
+        return df
+    rest = [c for c in df.columns if c not in inner]
+    out = df.select(*rest, F.inline(F.array(F.struct(*[F.col(c) for c in inner]))))
+    return out.select(*df.columns)
+
+
 def _rules(pm25="pm2_5", pm10="pm10", aqi="aqi", temp="temperature", hum="humidity") -> dict[str, Column]:
     p25, p10, a, t, h = (as_col(x) for x in (pm25, pm10, aqi, temp, hum))
     return {
@@ -72,7 +94,18 @@ def outlier_ok(pm25="pm2_5", pm10="pm10", temp="temperature", hum="humidity") ->
 def quality_filter(df: DataFrame, **cols) -> DataFrame:
     """P5: keep valid rows, then drop extreme outliers."""
     oc = {k: v for k, v in cols.items() if k != "aqi"}
-    return df.filter(is_valid(**cols)).filter(outlier_ok(**oc))
+    names = [v for v in cols.values() if isinstance(v, str)] or list(DERIVED)
+    return fence(df, names).filter(is_valid(**cols)).filter(outlier_ok(**oc))
+
+
+def flat_filter(df: DataFrame) -> DataFrame:
+    """P6 as a frame operation (fenced, see `fence`)."""
+    return fence(df, ("pm2_5", "pm10", "aqi")).filter(flat_valid())
+
+
+def first_error_filter(df: DataFrame) -> DataFrame:
+    """P7 valid rows as a frame operation (fenced, see `fence`)."""
+    return fence(df, ("pm2_5", "pm10", "aqi")).filter(first_error_ok())
 
 
 def flat_valid(pm25="pm2_5", pm10="pm10", aqi="aqi") -> Column:

@@ -262,7 +262,7 @@ def quality_filter(spark, sf):
 
 @register("flat_validation", "P6", with_readings(f"SELECT {RC} FROM r WHERE {FLAT_VALID_SQL}"))
 def flat_validation(spark, sf):
-    return R(spark, sf).filter(Q.flat_valid()).select(*READING_COLS)
+    return Q.flat_filter(R(spark, sf)).select(*READING_COLS)
 
 
 FIRST_ERROR_SQL = (

@@ -73,7 +73,7 @@ P7_VALID = f"({FIRST_ERROR_SQL}) = 'Valid'"
 
 def _p7_valid(spark, sf):
     r = R(spark, sf)
-    return r.filter(Q.first_error_ok())
+    return Q.first_error_filter(r)
 
 
 @register(
@@ -190,7 +190,7 @@ def anomaly_2sigma(spark, sf):
     ),
 )
 def anomaly_ratio5(spark, sf):
-    out = AN.anomaly_ratio5(R(spark, sf).filter(Q.flat_valid()))
+    out = AN.anomaly_ratio5(Q.flat_filter(R(spark, sf)))
     out = out.select(*KEYS, "pm25_5min_avg", "pm25_15min_avg", "anomaly_score", "is_anomaly")
     return _r6(out, ["anomaly_score"])
 
@@ -209,7 +209,7 @@ def anomaly_ratio5(spark, sf):
 def anomaly_running(spark, sf):
     from ..functions.aqi import alert_level
 
-    out = AN.anomaly_running(R(spark, sf).filter(Q.flat_valid()))
+    out = AN.anomaly_running(Q.flat_filter(R(spark, sf)))
     out = out.select(
         *KEYS,
         F.col("pm2_5_avg").alias("pm25_avg"),

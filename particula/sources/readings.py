@@ -36,11 +36,11 @@ def _case(col, mapping, other):
 
 def project_events(events: DataFrame) -> DataFrame:
     """events -> readings (without aqi)."""
-    # json_tuple is a generator: the JSON is parsed once per row and filters on
-    # derived columns cannot be pushed (and inlined) below it, which would
-    # re-parse the text once per reference.
-    events = events.select("*", F.json_tuple("props", "k").alias("_k"))
-    k = F.col("_k").try_cast("int")
+    # k is parsed in its own projection; Catalyst keeps that projection apart
+    # (it does not duplicate a non-cheap expression into a consumer that
+    # refers to it several times), so the JSON text is parsed once per row.
+    events = events.select("*", F.get_json_object("props", "$.k").try_cast("int").alias("_k"))
+    k = F.col("_k")
     et = F.col("event_type")
     sensor = F.concat(
         F.lit("sensor-"), _case(et, SENSOR_KIND, SENSOR_KIND_OTHER), F.lit("-"), (F.col("user_id") % 2).cast("string")
@@ -66,26 +66,9 @@ def with_aqi(df: DataFrame) -> DataFrame:
     return df.withColumn("aqi", aqi_score("pm2_5", "pm10"))
 
 
-def fence(df: DataFrame, keep=("event_id", "timestamp")) -> DataFrame:
-    """Evaluate computed columns once per row.
-
-    Catalyst pushes a filter below a projection by substituting the column
-    definitions into the condition; for derived columns (the AQI chain refers
-    to each concentration a dozen times) that repeats the whole derivation
-    per reference. An `inline` of a one-element array is a generator, which
-    filters on its outputs are not pushed through, so downstream operators
-    see plain attributes. Columns in `keep` (cheap pass-throughs of scan
-    columns) stay outside, so filters on them still move down to the scan.
-    """
-    passthrough = [c for c in df.columns if c in keep]
-    rest = [c for c in df.columns if c not in keep]
-    out = df.select(*passthrough, F.inline(F.array(F.struct(*[F.col(c) for c in rest]))))
-    return out.select(*df.columns)
-
-
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical readings (event_id, sensor_id, timestamp, ..., aqi) of a data folder."""
-    return fence(with_aqi(project_events(table(spark, sf_dir, "events"))))
+    return with_aqi(project_events(table(spark, sf_dir, "events")))
 
 
 # The same projection as DuckDB text, for the oracle side.

@@ -74,7 +74,7 @@ def process_batch(batch: DataFrame) -> dict[str, DataFrame]:
     batch; ST2/ST5 give the event-time-correct forms.
     """
     validated = Q.validate(batch)
-    filtered = validated.filter(F.col("is_valid")).filter(Q.outlier_ok())
+    filtered = Q.quality_filter(batch)
     feats = AN.anomaly_2sigma(AN.trailing_features(filtered).drop("pm25_5min_avg", "aqi_5min_avg"))
     from ..functions.aqi import alert_level, alert_message, has_alert
 

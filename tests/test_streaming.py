@@ -137,11 +137,11 @@ def test_dedup_within_watermark(spark, stream_dir, scratch):
 
 def test_last_n_state_equals_batch_w5(spark, stream_dir, scratch):
     folder, _ = stream_dir
-    s = _src(spark, folder).filter(Q.first_error_ok())
+    s = Q.first_error_filter(_src(spark, folder))
     q = _memory(J.last_n_features(s), "lastn", "append", os.path.join(scratch, "ck"))
     q.awaitTermination()
     got = {r.event_id: (r.pm25_avg, r.pm25_max, r.anomaly_score) for r in spark.table("lastn").collect()}
-    base = readings(spark, SF_SMALL).filter(Q.first_error_ok())
+    base = Q.first_error_filter(readings(spark, SF_SMALL))
     ref = {r.event_id: (r.pm25_avg, r.pm25_max, r.anomaly_score) for r in AN.last10_features(base).collect()}
     assert set(got) == set(ref)
     for k, v in ref.items():
