@@ -60,9 +60,44 @@ def _over(a: Agg, w) -> Column:
     return _FUNCS[a.func](a.col).over(w).alias(a.out)
 
 
-def _bucketed(df: DataFrame, ts: str, bucket_us: int) -> DataFrame:
+TARGET_ROWS = 2_000_000  # rows one (key, bucket) window task should hold at most
+MAX_BUCKET_FACTOR = 64
+
+
+def bucket_length(
+    df: DataFrame, key: str, ts: str, unit_us: int, target_rows: int | None = None, max_factor: int | None = None
+) -> Column:
+    """Bucket length (microseconds) as a multiple of `unit_us`, from the data.
+
+    The densest (key, unit-length slot) is measured with one partial/final
+    aggregate over two columns, evaluated as a scalar subquery (no driver
+    round trip). The bucket is the largest multiple m <= max_factor of the unit
+    with m * densest <= target_rows, and at least one unit, so a sensor that
+    holds a third of all rows is still cut into tasks of bounded size.
+    """
+    target_rows = target_rows or TARGET_ROWS
+    max_factor = max_factor or MAX_BUCKET_FACTOR
+    slot = F.expr(f"unix_micros(CAST(`{ts}` AS TIMESTAMP)) div {unit_us}L")
+    densest = df.select(key, slot.alias("_slot")).groupBy(key, "_slot").count().agg(F.max("count")).scalar()
+    m = F.greatest(F.lit(1), F.least(F.lit(max_factor), F.floor(F.lit(target_rows) / F.coalesce(densest, F.lit(1)))))
+    return (m * F.lit(unit_us)).cast("bigint")
+
+
+def _bucketed(df: DataFrame, ts: str, bucket_us) -> DataFrame:
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.withColumn(_T, t).withColumn(_B, F.expr(f"({_T} - pmod({_T}, {bucket_us}L)) div {bucket_us}L"))
+    b = F.lit(bucket_us).cast("bigint") if isinstance(bucket_us, int) else bucket_us
+    # floor division in integers (pmod keeps pre-1970 times in the right bucket)
+    return (
+        df.withColumn("_blen", b)
+        .withColumn(_T, t)
+        .withColumn(_B, F.expr(f"({_T} - pmod({_T}, _blen)) div _blen"))
+    )
+
+
+def _resolve_bucket(df, key, ts, bucket_minutes, unit_us):
+    if bucket_minutes in (None, "auto"):
+        return bucket_length(df, key, ts, unit_us)
+    return max(int(round(bucket_minutes * C.MICROS_PER_MINUTE)), unit_us)
 
 
 def trailing(
@@ -75,14 +110,14 @@ def trailing(
     """`func(col)` over the trailing `minutes` (inclusive RANGE frame, ties share)."""
     frame_us = {a.out: int(round(a.minutes * C.MICROS_PER_MINUTE)) for a in aggs}
     reach = max(frame_us.values())
-    bucket_us = int(round((bucket_minutes or 0) * C.MICROS_PER_MINUTE)) or 8 * reach
-    bucket_us = max(bucket_us, reach)
+    bucket_us = _resolve_bucket(df, key, ts, bucket_minutes, reach)
 
     b = _bucketed(df, ts, bucket_us)
     # home copy in its own bucket, plus a context copy in the next bucket for
-    # rows that the next bucket's frames can still reach
+    # rows that the next bucket's frames can still reach (bucket >= frame, so
+    # one predecessor suffices)
     nxt = F.col(_B) + 1
-    reaches_next = F.col(_T) >= nxt * F.lit(bucket_us) - F.lit(reach)
+    reaches_next = F.col(_T) >= nxt * F.col("_blen") - F.lit(reach)
     b = b.withColumn("_home_bucket", F.col(_B)).withColumn(
         _B, F.explode(F.when(reaches_next, F.array(F.col(_B), nxt)).otherwise(F.array(F.col(_B))))
     )
@@ -91,7 +126,7 @@ def trailing(
     base = Window.partitionBy(key, _B).orderBy(_T)
     cols = [_over(a, base.rangeBetween(-frame_us[a.out], 0)) for a in aggs]
     out = b.select("*", *cols).filter(F.col(_HOME))
-    return out.drop(_T, _B, _HOME)
+    return out.drop(_T, _B, _HOME, "_blen")
 
 
 def running(
@@ -99,7 +134,7 @@ def running(
     cols: list[str],
     key: str = "sensor_id",
     ts: str = "timestamp",
-    bucket_minutes: float = 24 * 60,
+    bucket_minutes: float | str | None = "auto",
     prefix: str = "",
     funcs: tuple[str, ...] = ("avg", "max", "min"),
     broadcast_rows: int = 2_000_000,
@@ -109,7 +144,7 @@ def running(
     Frame is RANGE UNBOUNDED PRECEDING .. CURRENT ROW, so equal timestamps
     share a value. Output columns are `{prefix}{col}_{func}`.
     """
-    bucket_us = int(round(bucket_minutes * C.MICROS_PER_MINUTE))
+    bucket_us = _resolve_bucket(df, key, ts, bucket_minutes, 60 * C.MICROS_PER_MINUTE)
     b = _bucketed(df, ts, bucket_us)
 
     # per-bucket partials -> exclusive prefix over earlier buckets
@@ -171,12 +206,12 @@ def last_rows(
     key: str = "sensor_id",
     ts: str = "timestamp",
     tiebreak: str = "event_id",
-    bucket_minutes: float = 60.0,
+    bucket_minutes: float | str | None = "auto",
     with_count: str | None = "_rows_in_frame",
 ) -> DataFrame:
     """`func(col)` over the current and the previous n-1 rows of the key,
     ordered by (ts, tiebreak). `Agg.minutes` is ignored."""
-    bucket_us = int(round(bucket_minutes * C.MICROS_PER_MINUTE))
+    bucket_us = _resolve_bucket(df, key, ts, bucket_minutes, 60 * C.MICROS_PER_MINUTE)
     b = _bucketed(df, ts, bucket_us)
     k = n - 1
 
@@ -206,7 +241,7 @@ def last_rows(
     if with_count:
         cols.append(F.count(F.lit(1)).over(w).alias(with_count))
     out = both.select("*", *cols).filter(F.col(_HOME))
-    return out.drop(_T, _B, _HOME)
+    return out.drop(_T, _B, _HOME, "_blen")
 
 
 def partition_stats(

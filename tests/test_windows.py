@@ -141,3 +141,22 @@ def test_keep_last_uses_group_limit(spark, frame):
     assert "WindowGroupLimit" in plan
     counts = {r["sensor_id"]: r["count"] for r in out.groupBy("sensor_id").count().collect()}
     assert max(counts.values()) == 3
+
+
+def test_auto_bucket_shrinks_for_hot_keys_and_stays_exact(spark, frame, monkeypatch):
+    big = WN.bucket_length(frame, "sensor_id", "timestamp", 300_000_000)
+    monkeypatch.setattr(WN, "TARGET_ROWS", 5)
+    small = WN.bucket_length(frame, "sensor_id", "timestamp", 300_000_000)
+    row = frame.select(big.alias("big"), small.alias("small")).first()
+    assert row.small == 300_000_000 < row.big  # the densest 5-minute slot holds more than 5 rows
+    aggs = [WN.Agg("a5", "avg", "x", 5), WN.Agg("n60", "count", "x", 60)]
+    got = _collect(WN.trailing(frame, aggs), ["a5", "n60"])
+    t = F.unix_micros("timestamp")
+    w = lambda m: Window.partitionBy("sensor_id").orderBy(t).rangeBetween(-m * 60_000_000, 0)
+    ref = _collect(frame.select("event_id", F.avg("x").over(w(5)).alias("a5"), F.count("x").over(w(60)).alias("n60")),
+                   ["a5", "n60"])
+    assert all(all(_close(a, b) for a, b in zip(got[k], ref[k])) for k in ref)
+    got10 = _collect(WN.last_rows(frame, [WN.Agg("s", "sum", "x")], n=10), ["s"])
+    w10 = Window.partitionBy("sensor_id").orderBy("timestamp", "event_id").rowsBetween(-9, 0)
+    ref10 = _collect(frame.select("event_id", F.sum("x").over(w10).alias("s")), ["s"])
+    assert all(_close(got10[k][0], ref10[k][0]) for k in ref10)
