@@ -73,6 +73,8 @@ def half_up_rounding(sql: str) -> str:
 
 
 def R(spark: SparkSession, sf: str) -> DataFrame:
+    # event time is UTC throughout (the driver tables store naive UTC times)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return readings(spark, sf)
 
 

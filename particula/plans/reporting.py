@@ -259,7 +259,7 @@ def text_to_number(spark, sf):
     "json_text",
     "F19",
     with_readings(
-        "SELECT event_id, to_json({'x': temperature, 'y': humidity}) AS coordinates, "
+        "SELECT event_id, CAST(to_json({'x': temperature, 'y': humidity}) AS VARCHAR) AS coordinates, "
         "temperature AS x, humidity AS y FROM r"
     ),
 )
