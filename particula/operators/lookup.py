@@ -28,7 +28,10 @@ def membership_flag(df: DataFrame, hits: DataFrame, keys=("sensor_id", "timestam
     """1 when the reading's key is in `hits`, else 0 (left join on the key,
     replacing the quadratic membership test)."""
     h = hits.select(*keys).distinct().withColumn("_hit", F.lit(1))
-    return df.join(h, list(keys), "left").withColumn("is_hit", F.coalesce(F.col("_hit"), F.lit(0))).drop("_hit")
+    # the hit set is usually a small share: broadcast when its row count is
+    # bounded, otherwise a shuffle join on the (high-cardinality) key
+    j = join_small(df, h, list(keys), "left")
+    return j.withColumn("is_hit", F.coalesce(F.col("_hit"), F.lit(0))).drop("_hit")
 
 
 def state_merge(df: DataFrame, cols: list[str], key: str = "sensor_id") -> DataFrame:

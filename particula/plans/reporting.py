@@ -345,10 +345,9 @@ def _topic_col():
 
 
 def _envelopes(spark, sf):
-    from ..sources.readings import project_events, table, with_aqi
+    from ..sources.readings import readings
 
-    ev = table(spark, sf, "events")
-    r = with_aqi(project_events(ev)).join(ev.select("event_id", _topic_col().alias("topic")), "event_id")
+    r = readings(spark, sf, extra=("event_type",)).withColumn("topic", _topic_col()).drop("event_type")
     return PS.to_envelope(r, F.col("topic"))
 
 
@@ -430,10 +429,9 @@ SHORT_TYPES = ("click", "view")  # rows delivered in the 15-column form; the res
     ),
 )
 def align_columns(spark, sf):
-    from ..sources.readings import project_events, table, with_aqi
+    from ..sources.readings import readings
 
-    ev = table(spark, sf, "events")
-    r = with_aqi(project_events(ev)).join(ev.select("event_id", "event_type"), "event_id")
+    r = readings(spark, sf, extra=("event_type",))
     short = r.filter(F.col("event_type").isin(*SHORT_TYPES)).select(*READING_COLS)
     minimal = r.filter(~F.col("event_type").isin(*SHORT_TYPES)).select(
         "event_id", "sensor_id", "timestamp", "area_type", "pm2_5", "pm10", "aqi", "temperature", "humidity"

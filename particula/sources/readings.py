@@ -34,8 +34,8 @@ def _case(col, mapping, other):
     return expr.otherwise(other)
 
 
-def project_events(events: DataFrame) -> DataFrame:
-    """events -> readings (without aqi)."""
+def project_events(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """events -> readings (without aqi); `extra` raw columns are carried along."""
     # k is parsed in its own projection; Catalyst keeps that projection apart
     # (it does not duplicate a non-cheap expression into a consumer that
     # refers to it several times), so the JSON text is parsed once per row.
@@ -47,6 +47,7 @@ def project_events(events: DataFrame) -> DataFrame:
     )
     return events.select(
         "event_id",
+        *extra,
         sensor.alias("sensor_id"),
         F.col("ts").cast("timestamp").alias("timestamp"),
         _case(et, AREA_TYPE, AREA_TYPE_OTHER).alias("area_type"),
@@ -66,9 +67,9 @@ def with_aqi(df: DataFrame) -> DataFrame:
     return df.withColumn("aqi", aqi_score("pm2_5", "pm10"))
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Canonical readings (event_id, sensor_id, timestamp, ..., aqi) of a data folder."""
-    return with_aqi(project_events(table(spark, sf_dir, "events")))
+    return with_aqi(project_events(table(spark, sf_dir, "events"), extra))
 
 
 # The same projection as DuckDB text, for the oracle side.
