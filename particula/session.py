@@ -33,23 +33,18 @@ def build_session(master: str | None = None, app: str = "particula", **conf) ->
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (`spark.checkpoint.dir`).
 
-    Only when the setting is absent (local tests) a fresh scratch folder is
-    taken and registered; on a cluster the configured shared folder is used.
+    The setting is read from the session. Only when it is absent (local
+    tests) a fresh scratch folder is taken and recorded in the session; on a
+    cluster the configured shared folder is always used.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if configured:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(configured)
-        return configured
-    current = sc._jsc.sc().getCheckpointDir()
-    if not current.isEmpty():
-        return current.get()
-    path = tempfile.mkdtemp(prefix="particula-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
+        path = tempfile.mkdtemp(prefix="particula-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
-    spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
