@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+from pyspark.sql import functions as F
 import pytest
 
 import __spark_entry__ as E
@@ -65,3 +66,39 @@ def test_oracle_agreement(spark, duck, name):
     drows = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     assert len(srows) == len(drows)
     assert srows == drows
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_join_small_broadcasts_only_within_bound(spark):
+    from particula.operators.joins import join_small
+
+    big = spark.range(0, 2000).withColumnRenamed("id", "k")
+    small = spark.range(0, 50).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fast = join_small(big, small, ["k"], "left")
+        slow = join_small(big, small, ["k"], "left", max_rows=10)
+        assert "BroadcastHashJoin" in _plan(fast)
+        assert "BroadcastHashJoin" not in _plan(slow)
+        assert sorted(fast.collect()) == sorted(slow.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_map_only_and_partial_aggregate_plans(spark):
+    q = E.queries()
+    alerts = _plan(q["alerts3"](spark, SF_SMALL))
+    assert "Exchange" not in alerts
+    latest = _plan(q["latest_reading"](spark, SF_SMALL))
+    assert "partial_max_by" in latest
+    recent = _plan(q["recent_n"](spark, SF_SMALL))
+    assert "TakeOrderedAndProject" in recent
+
+
+def test_column_pruning_reaches_scan(spark):
+    df = E.queries()["sensor_ids"](spark, SF_SMALL)
+    scan = [line for line in _plan(df).splitlines() if "FileScan parquet" in line][0]
+    assert "props" not in scan and "value" not in scan
