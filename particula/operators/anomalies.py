@@ -29,7 +29,7 @@ def trailing_features(df: DataFrame, **kw) -> DataFrame:
     return trailing(df, W1_AGGS, **kw)
 
 
-def anomaly_2sigma(df: DataFrame, **kw) -> DataFrame:
+def anomaly_2sigma(df: DataFrame, extra: list[Agg] | None = None, **kw) -> DataFrame:
     """|x - avg5| > 2 * whole-sensor sample stddev, for pm2_5 or aqi.
 
     `is_anomaly` is a three-valued OR; the score is the sum of both ratios when
@@ -38,11 +38,9 @@ def anomaly_2sigma(df: DataFrame, **kw) -> DataFrame:
     # whole-sensor spread first (partial aggregate of the input, size-checked
     # broadcast back), then one shuffle for the trailing frames
     withsd = partition_stats(df, [("_sd_pm25", F.stddev_samp("pm2_5")), ("_sd_aqi", F.stddev_samp("aqi"))])
-    feats = trailing(
-        withsd,
-        [Agg("pm25_5min_avg", "avg", "pm2_5", 5), Agg("aqi_5min_avg", "avg", "aqi", 5)],
-        **kw,
-    )
+    needed = [Agg("pm25_5min_avg", "avg", "pm2_5", 5), Agg("aqi_5min_avg", "avg", "aqi", 5)]
+    more = [a for a in (extra or []) if a.out not in {n.out for n in needed}]
+    feats = trailing(withsd, needed + more, **kw)
     k = F.lit(C.SIGMA_FACTOR)
     pm25_anom = F.abs(F.col("pm2_5") - F.col("pm25_5min_avg")) > k * F.col("_sd_pm25")
     aqi_anom = F.abs(F.col("aqi") - F.col("aqi_5min_avg")) > k * F.col("_sd_aqi")

@@ -88,7 +88,6 @@ SMART_COLS = [
 def window_aggregates(df: DataFrame, size: str = "5 minutes", slide: str | None = None) -> DataFrame:
     """A5: tumbling (or sliding) per-sensor window aggregates of pm2_5/pm10."""
     w = F.window("timestamp", size, slide) if slide else F.window("timestamp", size)
-    _rest = WINDOW_AGG_COLS
     return (
         df.groupBy(w.alias("w"), "sensor_id")
         .agg(
@@ -100,7 +99,7 @@ def window_aggregates(df: DataFrame, size: str = "5 minutes", slide: str | None
             F.min("pm10").alias("min_pm10"),
             F.count(F.lit(1)).alias("total_readings"),
         )
-        .select("sensor_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *_rest)
+        .select("sensor_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *WINDOW_AGG_COLS)
 
     )
 
@@ -108,7 +107,6 @@ def window_aggregates(df: DataFrame, size: str = "5 minutes", slide: str | None
 def smart_stats(df: DataFrame, size: str = "5 minutes", aqi="aqi") -> DataFrame:
     """A4: device-sensor window stats (count, AQI and PM2.5 avg/max/min, avg battery/signal)."""
     a = F.col(aqi).cast("double")
-    _rest = SMART_COLS
     return (
         df.groupBy(F.window("timestamp", size).alias("w"), "sensor_id")
         .agg(
@@ -122,7 +120,7 @@ def smart_stats(df: DataFrame, size: str = "5 minutes", aqi="aqi") -> DataFrame:
             mean("battery_level").alias("avg_battery"),
             mean("signal_strength").alias("avg_signal"),
         )
-        .select("sensor_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *_rest)
+        .select("sensor_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *SMART_COLS)
 
     )
 

@@ -36,7 +36,11 @@ _T, _B, _HOME = "_t", "_bucket", "_home"
 
 @dataclass(frozen=True)
 class Agg:
-    """One window output: `func` in {avg, max, min, sum, count, stddev} of `col`."""
+    """One window output: `func` of `col` over `minutes` (trailing frames).
+
+    `func` is one of avg (exact mean, see functions.numeric), favg (plain
+    floating-point avg), max, min, sum, count, stddev.
+    """
 
     out: str
     func: str

@@ -75,7 +75,8 @@ def process_batch(batch: DataFrame) -> dict[str, DataFrame]:
     """
     validated = Q.validate(batch)
     filtered = Q.quality_filter(batch)
-    feats = AN.anomaly_2sigma(AN.trailing_features(filtered).drop("pm25_5min_avg", "aqi_5min_avg"))
+    # trailing features and 2-sigma scores in one window pass over the batch
+    feats = AN.anomaly_2sigma(filtered, extra=AN.W1_AGGS)
     from ..functions.aqi import alert_level, alert_message, has_alert
 
     scored = (
