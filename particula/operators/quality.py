@@ -175,18 +175,27 @@ def split_valid(df: DataFrame):
 def lookback(df: DataFrame, hours: float, sensor_id: str | None = None, as_of=None, ts: str = "timestamp") -> DataFrame:
     """`sensor_id = s AND ts >= as_of - hours`.
 
-    `as_of` defaults to the newest timestamp of the input, evaluated once as a
-    scalar subquery (no driver round-trip), so results are deterministic.
+    `as_of` is "now" of the request; it defaults to the newest timestamp of the
+    input so results are deterministic. That single value is fetched first
+    and used as a literal, so the cutoff reaches the Parquet scan (row-group
+    skipping) and, on a date-partitioned table, prunes partitions.
     """
+    import datetime as _dt
+
     if as_of is None:
-        as_of_col = df.select(F.max(ts)).scalar()
-    else:
-        as_of_col = F.lit(as_of).cast("timestamp")
-    cutoff = as_of_col - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(hours) * 3600.0))
+        as_of = df.select(F.max(ts)).first()[0]
+    if as_of is None:  # empty input
+        return df.filter(F.lit(False))
+    if isinstance(as_of, str):
+        as_of = _dt.datetime.fromisoformat(as_of.replace("Z", "+00:00")).replace(tzinfo=None)
+    cutoff = as_of - _dt.timedelta(hours=float(hours))
     out = df
     if sensor_id is not None:
         out = out.filter(F.col("sensor_id") == sensor_id)
-    return out.filter(F.col(ts) >= cutoff)
+    out = out.filter(F.col(ts) >= F.lit(cutoff).cast("timestamp"))
+    if "date" in df.columns:
+        out = out.filter(F.col("date") >= F.lit(cutoff.date()))
+    return out
 
 
 def active(df: DataFrame) -> DataFrame:
