@@ -188,8 +188,8 @@ def running(
     outs = []
     for c in cols:
         n = F.col(f"_cn_{c}") + F.coalesce(F.col(f"_pn_{c}"), F.lit(0))
-        s = F.coalesce(F.col(f"_cs_{c}"), F.lit(0).cast("decimal(38,0)")) + F.coalesce(
-            F.col(f"_ps_{c}"), F.lit(0).cast("decimal(38,0)")
+        s = F.coalesce(F.col(f"_cs_{c}"), F.lit(0).cast("bigint")) + F.coalesce(
+            F.col(f"_ps_{c}"), F.lit(0).cast("bigint")
         )
         if "avg" in funcs:
             outs.append(exact_mean(s, n).alias(f"{prefix}{c}_avg"))
