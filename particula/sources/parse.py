@@ -165,3 +165,22 @@ def to_envelope(df: DataFrame, topic, nested: bool = False) -> DataFrame:
         t.alias("topic"),
         F.col("timestamp").alias("timestamp"),
     )
+
+
+def parse_device(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Device ("smart") reading JSON -> DEVICE columns. `coordinates` may come
+    as an object or as JSON text; both become the same JSON text (F19)."""
+    schema = StructType(
+        [StructField(f.name, StringType(), True) if f.name in ("timestamp", "coordinates") else f for f in S.DEVICE.fields]
+    )
+    p = df.select(*keep, F.from_json(F.col(value), schema).alias("d"), F.get_json_object(F.col(value), "$.coordinates").alias("_xy"))
+    cols = []
+    for f in S.DEVICE.fields:
+        if f.name == "timestamp":
+            cols.append(parse_timestamp(F.col("d.timestamp")).alias("timestamp"))
+        elif f.name == "coordinates":
+            xy = F.from_json(F.col("_xy"), "x double, y double")
+            cols.append(F.when(xy.isNotNull(), F.to_json(xy)).alias("coordinates"))
+        else:
+            cols.append(F.col(f"d.{f.name}").alias(f.name))
+    return p.select(*keep, *cols)
