@@ -172,3 +172,41 @@ def summary(df: DataFrame, top: int = C.DIGEST_TOP_HIGH) -> DataFrame:
         F.count_if(F.col("severity") == "MEDIUM").alias("medium_alerts"),
         F.count_if(F.col("severity") == "LOW").alias("low_alerts"),
     ).withColumn("more_high", F.greatest(F.col("high_alerts") - F.lit(top), F.lit(0)).cast("bigint"))
+
+
+def digest_windows(df: DataFrame, minutes: int = C.DIGEST_COOLDOWN_MINUTES, top: int = C.DIGEST_TOP_HIGH):
+    """ST7 batch approximation: one digest per tumbling cooldown window.
+
+    The exact cooldown chain (a digest when an alert comes >= 30 min after the
+    previous digest) is sequential and lives in the stream operator; in batch
+    the windows are fixed 30-minute buckets (documented approximation).
+    Returns (digests, top_high): per-window counts, and the first `top` HIGH
+    alerts of each window via a per-window group limit.
+    """
+    from pyspark.sql import Window
+
+    w = F.window("timestamp", f"{minutes} minutes")
+    digests = (
+        df.groupBy(w.alias("w"))
+        .agg(
+            F.count(F.lit(1)).alias("total_alerts"),
+            F.count_if(F.col("severity") == "HIGH").alias("high_alerts"),
+            F.count_if(F.col("severity") == "MEDIUM").alias("medium_alerts"),
+            F.count_if(F.col("severity") == "LOW").alias("low_alerts"),
+        )
+        .select(
+            F.col("w.start").alias("window_start"),
+            "total_alerts",
+            "high_alerts",
+            "medium_alerts",
+            "low_alerts",
+            F.greatest(F.col("high_alerts") - F.lit(top), F.lit(0)).cast("bigint").alias("more_high"),
+            (F.col("high_alerts") > 0).alias("deliver"),
+        )
+    )
+    high = df.filter(F.col("severity") == "HIGH").withColumn("window_start", w.start)
+    rank = F.row_number().over(Window.partitionBy("window_start").orderBy("timestamp", "alert_id"))
+    top_high = high.withColumn("rank", rank).filter(F.col("rank") <= top).select(
+        "window_start", "rank", "alert_id", "sensor_id", "alert_type"
+    )
+    return digests, top_high

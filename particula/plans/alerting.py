@@ -294,3 +294,38 @@ def membership_flag(spark, sf):
     base = Q.quality_filter(R(spark, sf)).select("event_id", "sensor_id", "timestamp")
     hits = anomaly_frame(spark, sf).filter(F.col("is_anomaly") == F.lit(True))
     return LK.membership_flag(base, hits).select("event_id", "sensor_id", "timestamp", "is_hit")
+
+
+_DIGEST_START = f"make_timestamp(epoch_us(timestamp) - (epoch_us(timestamp) % {30 * 60_000_000}))"
+
+
+@register(
+    "digest_windows",
+    "ST7 A8",
+    with_readings(
+        f"SELECT {_DIGEST_START} AS window_start, count(*) AS total_alerts, "
+        "count(*) FILTER (WHERE severity = 'HIGH') AS high_alerts, "
+        "count(*) FILTER (WHERE severity = 'MEDIUM') AS medium_alerts, "
+        "count(*) FILTER (WHERE severity = 'LOW') AS low_alerts, "
+        f"CAST(greatest(count(*) FILTER (WHERE severity = 'HIGH') - {C.DIGEST_TOP_HIGH}, 0) AS BIGINT) AS more_high, "
+        "count(*) FILTER (WHERE severity = 'HIGH') > 0 AS deliver FROM a3 GROUP BY 1",
+        A3_CTE,
+    ),
+)
+def digest_windows(spark, sf):
+    return AL.digest_windows(alerts3(spark, sf))[0]
+
+
+@register(
+    "digest_top_high",
+    "ST7 T4",
+    with_readings(
+        "SELECT window_start, rank, alert_id, sensor_id, alert_type FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY window_start ORDER BY timestamp, alert_id) AS rank FROM "
+        f"(SELECT *, {_DIGEST_START} AS window_start FROM a3 WHERE severity = 'HIGH')) "
+        f"WHERE rank <= {C.DIGEST_TOP_HIGH}",
+        A3_CTE,
+    ),
+)
+def digest_top_high(spark, sf):
+    return AL.digest_windows(alerts3(spark, sf))[1]
