@@ -329,3 +329,37 @@ def digest_windows(spark, sf):
 )
 def digest_top_high(spark, sf):
     return AL.digest_windows(alerts3(spark, sf))[1]
+
+
+_C_US = 30 * 60_000_000
+DIGEST_CHAIN_SQL = with_readings(
+    "SELECT make_timestamp(c.t) AS sent_at, count(*) AS total_alerts, "
+    "count(*) FILTER (WHERE m.severity = 'HIGH') AS high_alerts, "
+    "count(*) FILTER (WHERE m.severity = 'MEDIUM') AS medium_alerts, "
+    "count(*) FILTER (WHERE m.severity = 'LOW') AS low_alerts, "
+    f"CAST(greatest(count(*) FILTER (WHERE m.severity = 'HIGH') - {C.DIGEST_TOP_HIGH}, 0) AS BIGINT) AS more_high, "
+    "count(*) FILTER (WHERE m.severity = 'HIGH') > 0 AS deliver, "
+    "coalesce(array_to_string(list(m.label ORDER BY m.t, m.id) FILTER (WHERE m.severity = 'HIGH')"
+    f"[1:{C.DIGEST_TOP_HIGH}], '; '), '') AS top_high_text "
+    "FROM (SELECT *, first_value(CASE WHEN kind = 2 THEN t END IGNORE NULLS) OVER (ORDER BY t, id, kind "
+    "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS dt FROM ("
+    "SELECT t, id, severity, label, 1 AS kind FROM al UNION ALL SELECT t, id, NULL, NULL, 2 FROM chain)) m "
+    "JOIN chain c ON c.t = m.dt WHERE m.kind = 1 GROUP BY c.t",
+    f"{A3_CTE},\n"
+    "al AS (SELECT epoch_us(timestamp) AS t, alert_id AS id, severity, sensor_id || ': ' || alert_type AS label FROM a3),\n"
+    "chain AS (WITH RECURSIVE ch(t, id) AS ("
+    "(SELECT t, id FROM al ORDER BY t, id LIMIT 1) UNION ALL "
+    f"SELECT n.t, n.id FROM ch, LATERAL (SELECT t, id FROM al WHERE al.t >= ch.t + {_C_US} ORDER BY t, id LIMIT 1) n"
+    ") SELECT * FROM ch)",
+)
+
+
+@register("digest_chain", "ST7 A8 T4", DIGEST_CHAIN_SQL)
+def digest_chain(spark, sf):
+    from ..operators.digest import digest_chain as chain
+
+    out = chain(alerts3(spark, sf))
+    return out.select(
+        "sent_at", "total_alerts", "high_alerts", "medium_alerts", "low_alerts", "more_high", "deliver",
+        F.array_join("top_high", "; ").alias("top_high_text"),
+    )

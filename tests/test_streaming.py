@@ -254,3 +254,16 @@ def test_run_available_now_poll(spark, stream_dir, scratch):
     assert spark.read.parquet(out).count() == n
     J.run_available_now(writer, ck)  # second poll: nothing new, nothing duplicated
     assert spark.read.parquet(out).count() == n
+
+
+def test_batch_digest_chain_matches_sequential_reference(spark):
+    from particula.operators.digest import digest_chain
+
+    alerts = AL.pollution_alerts(readings(spark, SF_SMALL), tiers=3)
+    got = sorted(
+        (int(r.sent_at.timestamp() * 1_000_000), r.total_alerts, r.high_alerts, r.more_high)
+        for r in digest_chain(alerts).collect()
+    )
+    batch = alerts.select(F.unix_micros("timestamp").alias("t"), "alert_id", "severity").orderBy("t", "alert_id").collect()
+    ref = _digest_reference([r.asDict() for r in batch], 30 * 60_000_000)
+    assert got == ref
