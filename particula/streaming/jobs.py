@@ -234,8 +234,15 @@ LAST_N_OUT = (
 LAST_N_STATE = "ts array<long>, ids array<long>, pm25 array<double>, pm10 array<double>, aqi array<double>"
 
 
-def _last_n_fn(n: int, keep: int):
+_LAST_N_COLS = ["sensor_id", "event_id", "timestamp", "pm2_5", "pm25_avg", "pm10_avg", "aqi_avg", "pm25_max",
+                "pm25_min", "anomaly_score", "is_anomaly"]
+
+
+def _last_n_fn(n: int, keep: int, ttl_ms: int | None = None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # idle longer than the TTL: drop the sensor's history
+            state.remove()
+            return
         if state.exists:
             ts, ids, p25, p10, aq = (list(x) for x in state.get)
         else:
@@ -261,25 +268,29 @@ def _last_n_fn(n: int, keep: int):
                  max(w25), min(w25), score, score > C.RATIO_ANOMALY_THRESHOLD)
             )
         state.update((ts, ids, p25, p10, aq))
-        yield pd.DataFrame(
-            rows,
-            columns=["sensor_id", "event_id", "timestamp", "pm2_5", "pm25_avg", "pm10_avg", "aqi_avg", "pm25_max",
-                     "pm25_min", "anomaly_score", "is_anomaly"],
-        )
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(rows, columns=_LAST_N_COLS)
 
     return fn
 
 
-def last_n_features(stream: DataFrame, n: int = C.LAST_N_ROWS, keep: int = C.KEEP_LAST_PER_SENSOR) -> DataFrame:
+def last_n_features(
+    stream: DataFrame, n: int = C.LAST_N_ROWS, keep: int = C.KEEP_LAST_PER_SENSOR, ttl_minutes: float | None = None
+) -> DataFrame:
     """ST5 (+W5/D4 on a stream): per-sensor state of the newest `keep` readings.
 
     Each micro-batch hands a sensor's new rows (bounded by the trigger size)
     to one call; rows are ordered by (timestamp, event_id) within the batch.
-    Input is expected to be validated (P7) upstream.
+    Input is expected to be validated (P7) upstream. With `ttl_minutes` the
+    history of a sensor silent for that long (processing time) is dropped;
+    timeouts need a processing-time trigger (idle no-data batches run them).
     """
     cols = stream.select("sensor_id", "event_id", "timestamp", "pm2_5", "pm10", F.col("aqi").cast("double").alias("aqi"))
+    ttl_ms = int(ttl_minutes * 60_000) if ttl_minutes else None
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     return cols.groupBy("sensor_id").applyInPandasWithState(
-        _last_n_fn(n, keep), LAST_N_OUT, LAST_N_STATE, "append", GroupStateTimeout.NoTimeout
+        _last_n_fn(n, keep, ttl_ms), LAST_N_OUT, LAST_N_STATE, "append", timeout
     )
 
 

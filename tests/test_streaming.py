@@ -267,3 +267,37 @@ def test_batch_digest_chain_matches_sequential_reference(spark):
     batch = alerts.select(F.unix_micros("timestamp").alias("t"), "alert_id", "severity").orderBy("t", "alert_id").collect()
     ref = _digest_reference([r.asDict() for r in batch], 30 * 60_000_000)
     assert got == ref
+
+
+def test_last_n_state_expires_idle_sensors(spark, scratch):
+    folder = os.path.join(scratch, "ttl")
+    rows = [
+        {"key": "s", "value": json.dumps({"sensor_id": f"s{i % 2}", "event_id": i, "timestamp": f"2024-01-01T00:{i:02d}:00Z",
+                                          "pm2_5": 10.0 + i, "pm10": 20.0, "aqi": 30}),
+         "topic": "air-quality-data", "ts_text": "2024-01-01T00:00:00Z"}
+        for i in range(20)
+    ]
+    _write_files(folder, pd.DataFrame(rows), 2, time.time() - 100)
+    s = Q.first_error_filter(_src(spark, folder))
+    # processing-time timeouts run in idle no-data batches, so this query uses
+    # a processing-time trigger and is stopped once the output is complete
+    q = (
+        J.last_n_features(s, ttl_minutes=0.02).writeStream.format("memory").queryName("ttl_out").outputMode("append")
+        .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(processingTime="1 second").start()
+    )
+    try:
+        deadline = time.time() + 90
+        while time.time() < deadline and spark.table("ttl_out").count() < 20:
+            time.sleep(1)
+        assert spark.table("ttl_out").count() == 20
+        deadline = time.time() + 30
+        state_rows = None
+        while time.time() < deadline:
+            time.sleep(2)
+            prog = q.lastProgress
+            state_rows = prog["stateOperators"][0]["numRowsTotal"] if prog and prog["stateOperators"] else None
+            if state_rows == 0:
+                break
+        assert state_rows == 0  # both sensors went idle and their history was dropped
+    finally:
+        q.stop()
