@@ -277,14 +277,36 @@ def earliest(df: DataFrame, key: str = "sensor_id", ts: str = "timestamp", tiebr
 
 
 def keep_last(
-    df: DataFrame, n: int, key: str | None = "sensor_id", ts: str = "timestamp", tiebreak: str = "event_id"
+    df: DataFrame,
+    n: int,
+    key: str | None = "sensor_id",
+    ts: str = "timestamp",
+    tiebreak: str = "event_id",
+    slot_minutes: float = 60.0,
 ) -> DataFrame:
     """Newest n rows per key (or overall when key is None).
 
-    `row_number() <= n` is planned with a partial group limit before the
-    shuffle, so at most n rows per key leave each map task.
+    A hot key would hand its final ranking task n rows from every map task.
+    So first, from a small table of row counts per (key, hour), each key's
+    cutoff hour is found: the newest hour at which the count from the newest
+    hour backwards reaches n. Only rows from that hour on are ranked, so the
+    ranking task for a key holds at most n rows plus one hour of that key.
+    `row_number() <= n` is then planned with a partial group limit before
+    its shuffle.
     """
     if key is None:
         return df.orderBy(F.desc(ts), F.desc(tiebreak)).limit(n)
+    slot_us = int(slot_minutes * C.MICROS_PER_MINUTE)
+    with_slot = df.withColumn("_slot", F.expr(f"unix_micros(CAST(`{ts}` AS TIMESTAMP)) div {slot_us}L"))
+    counts = with_slot.groupBy(key, "_slot").count()
+    newer_first = Window.partitionBy(key).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.withColumn("_cum", F.sum("count").over(newer_first))
+    # the cutoff is the newest slot where the running count reaches n; keys
+    # with fewer than n rows keep everything (cutoff = their oldest slot)
+    cutoff = cum.groupBy(key).agg(
+        F.coalesce(F.max(F.when(F.col("_cum") >= n, F.col("_slot"))), F.min("_slot")).alias("_cut")
+    )
+    recent = join_small(with_slot, cutoff, [key], "inner").filter(F.col("_slot") >= F.col("_cut"))
     w = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tiebreak))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    out = recent.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    return out.drop("_rn", "_slot", "_cut")

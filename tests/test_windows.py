@@ -160,3 +160,11 @@ def test_auto_bucket_shrinks_for_hot_keys_and_stays_exact(spark, frame, monkeypa
     w10 = Window.partitionBy("sensor_id").orderBy("timestamp", "event_id").rowsBetween(-9, 0)
     ref10 = _collect(frame.select("event_id", F.sum("x").over(w10).alias("s")), ["s"])
     assert all(_close(got10[k][0], ref10[k][0]) for k in ref10)
+
+
+@pytest.mark.parametrize("slot", [0.5, 60.0])
+def test_keep_last_cutoff_matches_rank(spark, frame, slot):
+    got = {r.event_id for r in WN.keep_last(frame, 5, slot_minutes=slot).collect()}
+    w = Window.partitionBy("sensor_id").orderBy(F.desc("timestamp"), F.desc("event_id"))
+    ref = {r.event_id for r in frame.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").collect()}
+    assert got == ref
