@@ -147,12 +147,13 @@ def response(scored: DataFrame, key: str = "sensor_id") -> DataFrame:
     )
 
 
-def per_group(df: DataFrame, fn, schema: str, keys=("sensor_id", "day")) -> DataFrame:
-    """M5: run a user detector (pandas in, pandas out) per group.
+def per_group(df: DataFrame, fn, schema: str, key: str = "sensor_id", bucket_minutes: float = 60.0) -> DataFrame:
+    """M5: run a user detector (pandas in, pandas out) per (key, time bucket).
 
-    The default key is (sensor, day) so one call never holds more than one
-    sensor-day; choose a finer key for denser sensors.
+    Groups are one sensor over `bucket_minutes` of event time, so a single
+    call never receives more than one bucket of one sensor however much data
+    the sensor sends; pick a shorter bucket for denser sensors.
     """
-    d = df.withColumn("day", F.to_date("timestamp")) if "day" in keys and "day" not in df.columns else df
-    return d.groupBy(*keys).applyInPandas(fn, schema)
-
+    us = int(bucket_minutes * C.MICROS_PER_MINUTE)
+    d = df.withColumn("_bucket", F.expr(f"unix_micros(CAST(timestamp AS TIMESTAMP)) div {us}L"))
+    return d.groupBy(key, "_bucket").applyInPandas(fn, schema)
