@@ -70,5 +70,5 @@ def test_per_group_hook(spark, planted):
         z = (pdf.pm2_5 - pdf.pm2_5.mean()) / pdf.pm2_5.std()
         return pd.DataFrame({"event_id": pdf.event_id, "flag": z.abs() > 3})
 
-    out = ML.per_group(planted, fn, "event_id long, flag boolean")
+    out = ML.per_group(planted, fn, "event_id long, flag boolean", bucket_minutes=24 * 60)
     assert {r.event_id for r in out.filter("flag").collect()} >= set(range(400, 406))
