@@ -253,6 +253,8 @@ def _last_n_fn(n: int, keep: int, ttl_ms: int | None = None):
             batch = batch.assign(t_us=t_us).sort_values(["t_us", "event_id"], kind="stable")
         rows = []
         for r in batch.itertuples(index=False):
+            if ts and int(r.t_us) < ts[-1]:
+                continue  # older than a reading already folded in: late, dropped
             ts.append(int(r.t_us))
             ids.append(int(r.event_id))
             p25.append(float(r.pm2_5))
@@ -281,7 +283,9 @@ def last_n_features(
     """ST5 (+W5/D4 on a stream): per-sensor state of the newest `keep` readings.
 
     Each micro-batch hands a sensor's new rows (bounded by the trigger size)
-    to one call; rows are ordered by (timestamp, event_id) within the batch.
+    to one call; rows are ordered by (timestamp, event_id) within the batch,
+    and a row older than the newest reading already in the state arrived
+    too late and is dropped (so the state stays in event-time order).
     Input is expected to be validated (P7) upstream. With `ttl_minutes` the
     history of a sensor silent for that long (processing time) is dropped;
     timeouts need a processing-time trigger (idle no-data batches run them).

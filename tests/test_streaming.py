@@ -301,3 +301,19 @@ def test_last_n_state_expires_idle_sensors(spark, scratch):
         assert state_rows == 0  # both sensors went idle and their history was dropped
     finally:
         q.stop()
+
+
+def test_last_n_drops_rows_older_than_state(spark, scratch):
+    folder = os.path.join(scratch, "ooo")
+    times = ["2024-01-01T10:00:00Z", "2024-01-01T10:05:00Z", "2024-01-01T09:00:00Z", "2024-01-01T10:10:00Z"]
+    rows = [
+        {"key": "s", "value": json.dumps({"sensor_id": "s", "event_id": i, "timestamp": t, "pm2_5": 10.0 + i,
+                                          "pm10": 20.0, "aqi": 30}),
+         "topic": "air-quality-data", "ts_text": t}
+        for i, t in enumerate(times)
+    ]
+    _write_files(folder, pd.DataFrame(rows), 4, time.time() - 100)
+    q = _memory(J.last_n_features(Q.first_error_filter(_src(spark, folder))), "ooo", "append", os.path.join(scratch, "ck"))
+    q.awaitTermination()
+    got = sorted(r.event_id for r in spark.table("ooo").collect())
+    assert got == [0, 1, 3]  # the 09:00 reading came after 10:05 was folded in
