@@ -1,6 +1,6 @@
 """Structured Streaming forms (ST1-ST9, S1/S3/S4 on streams, S8/S11/S15 sinks).
 
-* ST1  `start_pipeline`: foreachBatch micro-batch pipeline (validate -> filter
+* ST1  `start_stream_job`: foreachBatch micro-batch pipeline (validate -> filter
        -> features -> anomalies -> alerts -> keyed upsert), batch persisted
        once, counters by `Observation`, idempotent on replay.
 * ST2  `windowed_aggregates`: event-time windows with a watermark.
@@ -103,7 +103,7 @@ class BatchCounters:
                 self.totals[k] += int(metrics.get(k, 0) or 0)
 
 
-def start_pipeline(
+def start_stream_job(
     stream: DataFrame,
     table_path: str,
     alerts_path: str,

@@ -199,7 +199,7 @@ def test_pipeline_idempotent_and_counted(spark, stream_dir, scratch):
     spark.streams.addListener(listener)
     try:
         src = J.observe_ingest(_src(spark, folder, per_trigger=2), "ingest")
-        q = J.start_pipeline(src, table, alerts_out, ck, trigger={"availableNow": True})
+        q = J.start_stream_job(src, table, alerts_out, ck, trigger={"availableNow": True})
         q.awaitTermination()
         counters = q.counters.totals
         assert counters["total"] == n and counters["valid"] + counters["invalid"] == n
@@ -207,7 +207,7 @@ def test_pipeline_idempotent_and_counted(spark, stream_dir, scratch):
         assert out.count() == out.select("sensor_id", "timestamp").distinct().count()
         first = out.count()
         # replaying the same input from a fresh checkpoint rewrites the same keys
-        q2 = J.start_pipeline(_src(spark, folder, per_trigger=3), table, alerts_out, ck + "2", trigger={"availableNow": True})
+        q2 = J.start_stream_job(_src(spark, folder, per_trigger=3), table, alerts_out, ck + "2", trigger={"availableNow": True})
         q2.awaitTermination()
         assert spark.read.parquet(table).count() == first
         time.sleep(1)
