@@ -103,8 +103,9 @@ def parse_nested(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
     return df.select(*keep, F.from_json(F.col(value), S.NESTED_WIRE).alias("data")).select(*keep, "data.*")
 
 
-def flatten_nested(df: DataFrame) -> DataFrame:
-    """Nested reading -> flat canonical columns + processing metadata."""
+def flatten_nested(df: DataFrame, processed_at: bool = False) -> DataFrame:
+    """Nested reading -> flat canonical columns + processing metadata
+    (`processing_version`, and `processed_at` = now when asked for)."""
     cols = [F.col("sensor_id"), parse_timestamp(F.col("timestamp"), default_now=False).alias("timestamp")]
     for n, path in NESTED_PATHS.items():
         c = F.col(path)
@@ -112,7 +113,8 @@ def flatten_nested(df: DataFrame) -> DataFrame:
             c = lenient_int(c)
         cols.append(c.alias(n))
     keep = [c for c in df.columns if c not in ("sensor_id", "timestamp") and c not in {p.split(".")[0] for p in NESTED_PATHS.values()}]
-    return df.select(*keep, *cols).withColumn("processing_version", F.lit(C.PROCESSING_VERSION))
+    out = df.select(*keep, *cols).withColumn("processing_version", F.lit(C.PROCESSING_VERSION))
+    return out.withColumn("processed_at", F.current_timestamp()) if processed_at else out
 
 
 def parse_flat(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
