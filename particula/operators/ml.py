@@ -37,6 +37,8 @@ def random_forest_residual(df: DataFrame, num_trees: int = 20, max_depth: int =
     """M1: in-sample random-forest regression of pm2_5 on the other three
     features; anomalous where |pm2_5 - prediction| > 2 * sample sd(pm2_5)."""
     f = _filled(df)
+    if f.select(F.count(F.lit(1))).first()[0] < 2:  # nothing to fit: no anomalies
+        return df.withColumn("prediction", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
     vec = VectorAssembler(inputCols=[f"_f_{c}" for c in FEATURES[1:]], outputCol="_x").transform(f)
     model = RandomForestRegressor(
         featuresCol="_x", labelCol="_f_pm2_5", predictionCol="prediction", numTrees=num_trees, maxDepth=max_depth,
@@ -54,14 +56,16 @@ def kmeans_minority(df: DataFrame, k: int = 2) -> DataFrame:
     """M3: 2-means on the four features; the smaller cluster is anomalous
     (ties go to the lower cluster id). Fewer than 2 rows -> nothing flagged."""
     f = _filled(df)
+    n = f.select(F.count(F.lit(1))).first()[0]
+    if n < 2:  # fewer than 2 rows: nothing flagged
+        return df.withColumn("cluster", F.lit(None).cast("int")).withColumn("is_anomaly", F.lit(False))
     vec = VectorAssembler(inputCols=[f"_f_{c}" for c in FEATURES], outputCol="_x").transform(f)
     model = KMeans(k=k, seed=SEED, featuresCol="_x", predictionCol="cluster").fit(vec)
     pred = model.transform(vec)
     sizes = pred.groupBy("cluster").count()
     smallest = sizes.orderBy("count", "cluster").limit(1).select("cluster")
-    n = f.select(F.count(F.lit(1))).scalar()
     flag = F.col("cluster") == smallest.select(F.first("cluster")).scalar()
-    out = pred.withColumn("is_anomaly", F.coalesce(flag & (n >= 2), F.lit(False)))
+    out = pred.withColumn("is_anomaly", F.coalesce(flag, F.lit(False)))
     return out.drop("_x", *[f"_f_{c}" for c in FEATURES])
 
 
@@ -77,6 +81,8 @@ def one_class_density(df: DataFrame, nu: float = 0.05, components: int = 64) ->
     """
     f = _filled(df)
     xs = [F.col(f"_f_{c}") for c in FEATURES]
+    if f.select(F.count(F.lit(1))).first()[0] < 5:  # too few rows: nothing flagged
+        return df.withColumn("density_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
     stats = f.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],

@@ -72,3 +72,10 @@ def test_per_group_hook(spark, planted):
 
     out = ML.per_group(planted, fn, "event_id long, flag boolean", bucket_minutes=24 * 60)
     assert {r.event_id for r in out.filter("flag").collect()} >= set(range(400, 406))
+
+
+def test_small_inputs_flag_nothing(spark, planted):
+    one = planted.limit(1)
+    for m in ("random-forest", "svm", "kmeans"):
+        out = ML.detect(one, m, hours=None)
+        assert out.filter("is_anomaly").count() == 0
