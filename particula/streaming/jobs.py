@@ -12,10 +12,13 @@
 * ST7  `alert_digest`: 30-minute cooldown digest, bounded state per key.
 * ST8  `CounterListener` + observed metrics.
 * ST9  `dedup`: drop re-deliveries within the watermark.
+* W1-W3 on a stream: `trailing_features_stream`, keyed state of the last
+       frame length of readings, equal to the batch features.
 """
 
 from __future__ import annotations
 
+import math
 import threading
 from collections.abc import Iterator
 
@@ -298,6 +301,95 @@ def last_n_features(
     )
 
 
+# ----------------------------------------------------------------- W1-W3 on a stream
+
+TRAIL_SPECS = [  # (output, input, minutes, func) -- same outputs as the batch W1-W3
+    ("pm25_5min_avg", "pm2_5", 5, "avg"),
+    ("pm25_15min_avg", "pm2_5", 15, "avg"),
+    ("pm25_1hour_avg", "pm2_5", 60, "avg"),
+    ("pm10_5min_avg", "pm10", 5, "avg"),
+    ("aqi_5min_avg", "aqi", 5, "avg"),
+    ("temp_5min_avg", "temperature", 5, "avg"),
+    ("humidity_5min_avg", "humidity", 5, "avg"),
+    ("pm25_5min_max", "pm2_5", 5, "max"),
+    ("pm25_5min_min", "pm2_5", 5, "min"),
+    ("aqi_5min_max", "aqi", 5, "max"),
+    ("aqi_5min_min", "aqi", 5, "min"),
+]
+_TRAIL_IN = ["pm2_5", "pm10", "aqi", "temperature", "humidity"]
+TRAIL_OUT = "sensor_id string, event_id long, timestamp timestamp, " + ", ".join(
+    f"{o} double" for o, _, _, _ in TRAIL_SPECS
+)
+TRAIL_STATE = "ts array<long>, vals array<array<double>>"
+
+
+def _milli(v: float) -> int:
+    # HALF_UP like Spark's round(), so stream and batch means agree exactly
+    return int(math.copysign(math.floor(abs(v) * 1000.0 + 0.5), v))
+
+
+def _trailing_fn(reach_us: int):
+    import numpy as np
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ts, vals = ([], []) if not state.exists else (list(state.get[0]), [list(v) for v in state.get[1]])
+        batch = pd.concat(list(pdfs), ignore_index=True)
+        rows = []
+        if len(batch):
+            t_us = batch["timestamp"].astype("datetime64[us]").astype("int64")
+            batch = batch.assign(t_us=t_us).sort_values(["t_us", "event_id"], kind="stable")
+            recs = list(batch.itertuples(index=False))
+            i = 0
+            while i < len(recs):
+                # readings with the same timestamp share their frames (RANGE semantics)
+                j = i
+                while j < len(recs) and recs[j].t_us == recs[i].t_us:
+                    j += 1
+                peers = [r for r in recs[i:j] if not ts or r.t_us >= ts[-1]]  # older ones are late: dropped
+                for r in peers:
+                    ts.append(int(r.t_us))
+                    vals.append([float("nan") if pd.isna(getattr(r, c)) else float(getattr(r, c)) for c in _TRAIL_IN])
+                if peers:
+                    now = peers[0].t_us
+                    while ts and ts[0] < now - reach_us:  # state keeps one frame length
+                        ts.pop(0)
+                        vals.pop(0)
+                    tarr, varr = np.asarray(ts), np.asarray(vals)
+                    feats = []
+                    for _, col, minutes, fn_name in TRAIL_SPECS:
+                        v = varr[tarr >= now - int(minutes * C.MICROS_PER_MINUTE), _TRAIL_IN.index(col)]
+                        v = v[~np.isnan(v)]
+                        if not len(v):
+                            feats.append(None)
+                        elif fn_name == "avg":
+                            feats.append(float(sum(_milli(x) for x in v)) / (len(v) * 1000.0))
+                        else:
+                            feats.append(float(v.max() if fn_name == "max" else v.min()))
+                    for r in peers:
+                        rows.append((key[0], int(r.event_id), r.timestamp, *feats))
+                i = j
+        state.update((ts, vals))
+        yield pd.DataFrame(rows, columns=["sensor_id", "event_id", "timestamp"] + [o for o, _, _, _ in TRAIL_SPECS])
+
+    return fn
+
+
+def trailing_features_stream(stream: DataFrame, reach_minutes: float = 60.0) -> DataFrame:
+    """W1-W3 on a stream with event-time frames (the batch `trailing_features`).
+
+    Per-sensor state holds the readings of the last `reach_minutes`, so it is
+    bounded by one frame of data; readings older than the newest one already
+    folded in are late and dropped.
+    """
+    cols = stream.select(
+        "sensor_id", "event_id", "timestamp", *[F.col(c).cast("double").alias(c) for c in _TRAIL_IN]
+    )
+    return cols.groupBy("sensor_id").applyInPandasWithState(
+        _trailing_fn(int(reach_minutes * C.MICROS_PER_MINUTE)), TRAIL_OUT, TRAIL_STATE, "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
 # ----------------------------------------------------------------- ST6
 
 
