@@ -31,8 +31,35 @@ def _sub_index(v: Column, bands) -> Column:
     return expr.cast("int")
 
 
+def _d(x: float) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def _sub_index_sql(v: str, bands) -> str:
+    whens, other = [], None
+    for upper, lo, hi, alo, ahi in bands:
+        val = f"((({v} - {_d(lo)}) / ({_d(hi)} - {_d(lo)})) * ({_d(ahi)} - {_d(alo)}) + {_d(alo)})"
+        if upper is None:
+            other = val
+        else:
+            whens.append(f"WHEN {v} <= {_d(upper)} THEN {val}")
+    return f"CAST(CASE {' '.join(whens)} ELSE {other} END AS INT)"
+
+
+def aqi_score_sql(pm25: str = "pm2_5", pm10: str = "pm10") -> str:
+    """F1 as Spark SQL text (same operation order as the Column form)."""
+    a, b = f"`{pm25}`", f"`{pm10}`"
+    return (
+        f"CAST(CASE WHEN {a} IS NULL OR {b} IS NULL OR isnan({a}) OR isnan({b}) THEN NULL "
+        f"ELSE greatest({_sub_index_sql(a, C.PM25_BANDS)}, {_sub_index_sql(b, C.PM10_BANDS)}) END AS INT)"
+    )
+
+
 def aqi_score(pm25, pm10) -> Column:
     """F1: greatest of the PM2.5 and PM10 sub-indices; NULL/NaN input -> NULL."""
+    if isinstance(pm25, str) and isinstance(pm10, str):
+        # one parsed expression instead of ~170 client-side Column calls
+        return F.expr(aqi_score_sql(pm25, pm10))
     pm25, pm10 = as_col(pm25), as_col(pm10)
     bad = pm25.isNull() | pm10.isNull() | F.isnan(pm25) | F.isnan(pm10)
     return F.when(~bad, F.greatest(_sub_index(pm25, C.PM25_BANDS), _sub_index(pm10, C.PM10_BANDS))).cast(
