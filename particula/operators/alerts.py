@@ -23,6 +23,13 @@ def num_text(c: Column) -> Column:
     ).otherwise(c.cast("string"))
 
 
+def _num_text_sql(v: str) -> str:
+    return (
+        f"CASE WHEN {v} IS NULL THEN 'null' WHEN {v} = floor({v}) AND abs({v}) < 1e15 "
+        f"THEN CAST(CAST(floor({v}) AS BIGINT) AS STRING) ELSE CAST({v} AS STRING) END"
+    )
+
+
 def pollution_alerts(
     df: DataFrame, tiers: int = 3, pm25="pm2_5", pm10="pm10", aqi="aqi", js_numbers: bool | None = None
 ) -> DataFrame:
@@ -32,37 +39,36 @@ def pollution_alerts(
     three-tier (web) form prints integral numbers without '.0', the
     two-tier (consumer) form prints every double with its decimals.
     """
+    from .quality import fence
+
     if js_numbers is None:
         js_numbers = tiers >= 3
-    fmt = num_text if js_numbers else (lambda c: c.cast("string"))
-    p25 = F.coalesce(F.col(pm25), F.lit(0.0))
-    p10 = F.coalesce(F.col(pm10), F.lit(0.0))
-    aqi_txt = F.coalesce(F.col(aqi).cast("string"), F.lit(C.UNKNOWN))
-    chosen = C.POLLUTION_TIERS[:tiers]
-    sev = typ = msg = None
-    for severity, atype, prefix, lim25, lim10 in chosen:
-        cond = (p25 > F.lit(lim25)) | (p10 > F.lit(lim10))
-        text = F.concat(
-            F.lit(f"{prefix}: PM2.5="), fmt(p25), F.lit(", PM10="), fmt(p10), F.lit(", AQI="), aqi_txt
+    fmt = _num_text_sql if js_numbers else (lambda v: f"CAST({v} AS STRING)")
+    p25 = f"coalesce(`{pm25}`, CAST(0.0 AS DOUBLE))"
+    p10 = f"coalesce(`{pm10}`, CAST(0.0 AS DOUBLE))"
+    aqi_txt = f"coalesce(CAST(`{aqi}` AS STRING), '{C.UNKNOWN}')"
+    sev, typ, msg = [], [], []
+    for severity, atype, prefix, lim25, lim10 in C.POLLUTION_TIERS[:tiers]:
+        cond = f"{p25} > CAST({lim25!r} AS DOUBLE) OR {p10} > CAST({lim10!r} AS DOUBLE)"
+        sev.append(f"WHEN {cond} THEN '{severity}'")
+        typ.append(f"WHEN {cond} THEN '{atype}'")
+        msg.append(
+            f"WHEN {cond} THEN concat('{prefix}: PM2.5=', {fmt(p25)}, ', PM10=', {fmt(p10)}, ', AQI=', {aqi_txt})"
         )
-        if sev is None:
-            sev, typ, msg = F.when(cond, severity), F.when(cond, atype), F.when(cond, text)
-        else:
-            sev, typ, msg = sev.when(cond, severity), typ.when(cond, atype), msg.when(cond, text)
-    from .quality import fence
-
-    out = (
-        fence(df, (pm25, pm10, aqi))
-        .withColumn("severity", sev)
-        .filter(F.col("severity").isNotNull())
-        .withColumn("alert_type", typ)
-        .withColumn("message", msg)
-        .withColumn("aqi_level", aqi_txt)
-        .withColumn("alert_id", hashed_id(F.col("sensor_id"), F.unix_micros("timestamp"), F.col("alert_type")))
+    keep = [c for c in ("event_id",) if c in df.columns]
+    out = fence(df, (pm25, pm10, aqi)).select(
+        *keep,
+        "sensor_id",
+        "timestamp",
+        F.expr(f"CASE {' '.join(sev)} END").alias("severity"),
+        F.expr(f"CASE {' '.join(typ)} END").alias("alert_type"),
+        F.expr(f"CASE {' '.join(msg)} END").alias("message"),
+        F.expr(aqi_txt).alias("aqi_level"),
+    )
+    out = out.filter(F.col("severity").isNotNull()).withColumn(
+        "alert_id", hashed_id(F.col("sensor_id"), F.unix_micros("timestamp"), F.col("alert_type"))
     )
-    cols = ["alert_id", "sensor_id", "timestamp", "alert_type", "severity", "message", "aqi_level"]
-    if "event_id" in df.columns:
-        cols = ["event_id"] + cols
+    cols = keep + ["alert_id", "sensor_id", "timestamp", "alert_type", "severity", "message", "aqi_level"]
     out = out.select(*cols)
     if tiers >= 3:
         out = out.withColumn("is_active", F.lit(True))

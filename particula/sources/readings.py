@@ -37,11 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
-def _case(col, mapping, other):
-    expr = None
-    for k, v in mapping.items():
-        expr = F.when(col == k, v) if expr is None else expr.when(col == k, v)
-    return expr.otherwise(other)
+def _case_sql(col: str, mapping: dict, other: str) -> str:
+    whens = " ".join(f"WHEN {col} = '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"CASE {whens} ELSE '{other}' END"
 
 
 def project_events(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -50,26 +48,20 @@ def project_events(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     # (it does not duplicate a non-cheap expression into a consumer that
     # refers to it several times), so the JSON text is parsed once per row.
     events = events.select("*", F.get_json_object("props", "$.k").try_cast("int").alias("_k"))
-    k = F.col("_k")
-    et = F.col("event_type")
-    sensor = F.concat(
-        F.lit("sensor-"), _case(et, SENSOR_KIND, SENSOR_KIND_OTHER), F.lit("-"), (F.col("user_id") % 2).cast("string")
-    )
-    return events.select(
+    return events.selectExpr(
         "event_id",
         *extra,
-        sensor.alias("sensor_id"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        _case(et, AREA_TYPE, AREA_TYPE_OTHER).alias("area_type"),
-        F.when(k == 13, F.lit(None).cast("double")).otherwise(F.col("value")).alias("pm2_5"),
-        F.when(k == 17, F.lit(None).cast("double"))
-        .when(k == 19, F.lit(-1.0))
-        .otherwise(F.col("value") * F.lit(1.5))
-        .alias("pm10"),
-        (k * F.lit(1.3) - F.lit(55.0)).alias("temperature"),
-        (k * F.lit(1.1) - F.lit(2.0)).alias("humidity"),
-        k.cast("double").alias("battery_level"),
-        (F.lit(99.0) - k).alias("signal_strength"),
+        f"concat('sensor-', {_case_sql('event_type', SENSOR_KIND, SENSOR_KIND_OTHER)}, '-', "
+        "CAST(user_id % 2 AS STRING)) AS sensor_id",
+        "CAST(ts AS TIMESTAMP) AS timestamp",
+        f"{_case_sql('event_type', AREA_TYPE, AREA_TYPE_OTHER)} AS area_type",
+        "CASE WHEN _k = 13 THEN CAST(NULL AS DOUBLE) ELSE value END AS pm2_5",
+        "CASE WHEN _k = 17 THEN CAST(NULL AS DOUBLE) WHEN _k = 19 THEN CAST(-1.0 AS DOUBLE) "
+        "ELSE value * CAST(1.5 AS DOUBLE) END AS pm10",
+        "_k * CAST(1.3 AS DOUBLE) - CAST(55.0 AS DOUBLE) AS temperature",
+        "_k * CAST(1.1 AS DOUBLE) - CAST(2.0 AS DOUBLE) AS humidity",
+        "CAST(_k AS DOUBLE) AS battery_level",
+        "CAST(99.0 AS DOUBLE) - _k AS signal_strength",
     )
 
 
