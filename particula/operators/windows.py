@@ -88,13 +88,11 @@ def bucket_length(
 
 
 def _bucketed(df: DataFrame, ts: str, bucket_us) -> DataFrame:
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
     b = F.lit(bucket_us).cast("bigint") if isinstance(bucket_us, int) else bucket_us
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
     # floor division in integers (pmod keeps pre-1970 times in the right bucket)
-    return (
-        df.withColumn("_blen", b)
-        .withColumn(_T, t)
-        .withColumn(_B, F.expr(f"({_T} - pmod({_T}, _blen)) div _blen"))
+    return df.select("*", b.alias("_blen"), t.alias(_T)).withColumn(
+        _B, F.expr(f"({_T} - pmod({_T}, _blen)) div _blen")
     )
 
 
@@ -122,15 +120,13 @@ def trailing(
     # one predecessor suffices)
     nxt = F.col(_B) + 1
     reaches_next = F.col(_T) >= nxt * F.col("_blen") - F.lit(reach)
-    b = b.withColumn("_home_bucket", F.col(_B)).withColumn(
-        _B, F.explode(F.when(reaches_next, F.array(F.col(_B), nxt)).otherwise(F.array(F.col(_B))))
-    )
-    b = b.withColumn(_HOME, F.col(_B) == F.col("_home_bucket")).drop("_home_bucket")
+    copies = F.explode(F.when(reaches_next, F.array(F.col(_B), nxt)).otherwise(F.array(F.col(_B))))
+    b = b.select(*[c for c in b.columns if c != _B], F.col(_B).alias("_home_bucket"), copies.alias(_B))
 
     base = Window.partitionBy(key, _B).orderBy(_T)
     cols = [_over(a, base.rangeBetween(-frame_us[a.out], 0)) for a in aggs]
-    out = b.select("*", *cols).filter(F.col(_HOME))
-    return out.drop(_T, _B, _HOME, "_blen")
+    out = b.select(*df.columns, (F.col(_B) == F.col("_home_bucket")).alias(_HOME), *cols)
+    return out.filter(F.col(_HOME)).drop(_HOME)
 
 
 def running(
