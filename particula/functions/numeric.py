@@ -52,3 +52,17 @@ def mean_sql(x: str, over: str = "") -> str:
         f"CASE WHEN count({m}) {over} > 0 THEN CAST(sum({m}) {over} AS DOUBLE) / "
         f"(count({m}) {over} * {float(MEAN_SCALE)!r}e0) END"
     )
+
+
+def milli_sql(x: str) -> str:
+    """Spark SQL text of `milli` for a column name."""
+    return f"TRY_CAST(round(`{x}` * CAST({float(MEAN_SCALE)!r} AS DOUBLE)) AS BIGINT)"
+
+
+def mean_over_sql(x: str, window: str) -> str:
+    """Spark SQL text of the exact mean of column `x` over `window` (an OVER body)."""
+    m = milli_sql(x)
+    return (
+        f"CASE WHEN count({m}) OVER ({window}) > 0 THEN CAST(sum({m}) OVER ({window}) AS DOUBLE) / "
+        f"(count({m}) OVER ({window}) * CAST({float(MEAN_SCALE)!r} AS DOUBLE)) END"
+    )

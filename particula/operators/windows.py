@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.numeric import exact_mean, mean_over, milli
+from ..functions.numeric import exact_mean, mean_over_sql, milli
 from .joins import join_small
 
 _T, _B, _HOME = "_t", "_bucket", "_home"
@@ -58,10 +58,14 @@ _FUNCS = {
 }
 
 
-def _over(a: Agg, w) -> Column:
+_SQL_FUNCS = {"favg": "avg", "max": "max", "min": "min", "sum": "sum", "count": "count", "stddev": "stddev_samp"}
+
+
+def _over(a: Agg, window: str) -> Column:
+    """One window output as a single SQL expression (`window` is the OVER body)."""
     if a.func == "avg":
-        return mean_over(a.col, w).alias(a.out)
-    return _FUNCS[a.func](a.col).over(w).alias(a.out)
+        return F.expr(mean_over_sql(a.col, window)).alias(a.out)
+    return F.expr(f"{_SQL_FUNCS[a.func]}(`{a.col}`) OVER ({window})").alias(a.out)
 
 
 TARGET_ROWS = 2_000_000  # rows one (key, bucket) window task should hold at most
@@ -123,8 +127,8 @@ def trailing(
     copies = F.explode(F.when(reaches_next, F.array(F.col(_B), nxt)).otherwise(F.array(F.col(_B))))
     b = b.select(*[c for c in b.columns if c != _B], F.col(_B).alias("_home_bucket"), copies.alias(_B))
 
-    base = Window.partitionBy(key, _B).orderBy(_T)
-    cols = [_over(a, base.rangeBetween(-frame_us[a.out], 0)) for a in aggs]
+    base = f"PARTITION BY `{key}`, {_B} ORDER BY {_T}"
+    cols = [_over(a, f"{base} RANGE BETWEEN {frame_us[a.out]} PRECEDING AND CURRENT ROW") for a in aggs]
     out = b.select(*df.columns, (F.col(_B) == F.col("_home_bucket")).alias(_HOME), *cols)
     return out.filter(F.col(_HOME)).drop(_HOME)
 
@@ -237,7 +241,8 @@ def last_rows(
         both = home
 
     w = Window.partitionBy(key, _B).orderBy(_T, tiebreak).rowsBetween(-k, 0)
-    cols = [_over(a, w) for a in aggs]
+    wsql = f"PARTITION BY `{key}`, {_B} ORDER BY {_T}, `{tiebreak}` ROWS BETWEEN {k} PRECEDING AND CURRENT ROW"
+    cols = [_over(a, wsql) for a in aggs]
     if with_count:
         cols.append(F.count(F.lit(1)).over(w).alias(with_count))
     out = both.select("*", *cols).filter(F.col(_HOME))
