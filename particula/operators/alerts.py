@@ -77,48 +77,44 @@ def pollution_alerts(
 
 def device_alerts(df: DataFrame, aqi="aqi", battery="battery_level", signal="signal_strength") -> DataFrame:
     """0-3 alerts per reading (high AQI, low battery, weak signal), one row each."""
-    a, b, s = F.col(aqi), F.col(battery), F.col(signal)
+    a, b, s = f"`{aqi}`", f"`{battery}`", f"`{signal}`"
 
     def cand(cond, atype, severity, message, bat_low, sig_weak):
-        return F.when(
-            cond,
-            F.struct(
-                F.lit(atype).alias("alert_type"),
-                severity.alias("severity"),
-                message.alias("message"),
-                F.lit(bat_low).alias("battery_low"),
-                F.lit(sig_weak).alias("signal_weak"),
-            ),
+        return (
+            f"CASE WHEN {cond} THEN named_struct('alert_type', '{atype}', 'severity', {severity}, "
+            f"'message', {message}, 'battery_low', {bat_low}, 'signal_weak', {sig_weak}) END"
         )
 
-    cands = F.array(
-        cand(
-            a > C.DEVICE_AQI_ALERT,
-            "air_quality_alert",
-            F.when(a > C.DEVICE_AQI_CRITICAL, "critical").otherwise("high"),
-            F.concat(F.lit("AQI is high: "), num_text(a.cast("double"))),
-            False,
-            False,
-        ),
-        cand(
-            b < C.DEVICE_BATTERY_LOW,
-            "battery_low",
-            F.lit("medium"),
-            F.concat(F.lit("Battery is low: "), num_text(b), F.lit("%")),
-            True,
-            False,
-        ),
-        cand(
-            s < C.DEVICE_SIGNAL_WEAK,
-            "signal_weak",
-            F.lit("medium"),
-            F.concat(F.lit("Signal is weak: "), num_text(s), F.lit("%")),
-            False,
-            True,
-        ),
+    cands = ", ".join(
+        [
+            cand(
+                f"{a} > {C.DEVICE_AQI_ALERT}",
+                "air_quality_alert",
+                f"CASE WHEN {a} > {C.DEVICE_AQI_CRITICAL} THEN 'critical' ELSE 'high' END",
+                f"concat('AQI is high: ', {_num_text_sql(f'CAST({a} AS DOUBLE)')})",
+                "false",
+                "false",
+            ),
+            cand(
+                f"{b} < {C.DEVICE_BATTERY_LOW}",
+                "battery_low",
+                "'medium'",
+                f"concat('Battery is low: ', {_num_text_sql(b)}, '%')",
+                "true",
+                "false",
+            ),
+            cand(
+                f"{s} < {C.DEVICE_SIGNAL_WEAK}",
+                "signal_weak",
+                "'medium'",
+                f"concat('Signal is weak: ', {_num_text_sql(s)}, '%')",
+                "false",
+                "true",
+            ),
+        ]
     )
     keep = [c for c in ("event_id", "sensor_id", "timestamp") if c in df.columns]
-    out = df.select(*keep, F.explode(F.array_compact(cands)).alias("_a")).select(*keep, "_a.*")
+    out = df.select(*keep, F.expr(f"explode(array_compact(array({cands})))").alias("_a")).select(*keep, "_a.*")
     return out.withColumn(
         "alert_id", hashed_id(F.col("sensor_id"), F.unix_micros("timestamp"), F.col("alert_type"))
     )
