@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
+from . import licenses, simhash
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
 def queries() -> dict[str, Build]:
-    found = (op6_license_scan,)
+    found = (op6_license_scan, op9_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
