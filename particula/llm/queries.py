@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, licenses, simhash, toxicity
+from . import bfd_pack, decontam, ffd_pack, licenses, simhash, suffix_dedup, toxicity
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bfd_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfd_pack.pack(_table(spark, sf_dir, "documents"), _word_tokenizer())
+
+
+def op5_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ffd_pack.pack(_table(spark, sf_dir, "documents"), _word_tokenizer())
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return done.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -32,7 +52,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Build]:
-    found = (op2_toxicity_ftrl, op4_spaced_seed_decontam, op6_license_scan, op9_simhash_near_dedup)
+    found = (op1_bfd_token_matrix, op2_toxicity_ftrl, op4_spaced_seed_decontam, op5_ffd_packing, op6_license_scan, op9_simhash_near_dedup, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
