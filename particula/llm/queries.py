@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bfd_pack, decontam, ffd_pack, licenses, simhash, suffix_dedup, toxicity
+from . import bfd_pack, decontam, ffd_pack, licenses, maglev, prefix_forest, simhash, suffix_dedup, toxicity, url_filter
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,21 @@ def op5_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ffd_pack.pack(_table(spark, sf_dir, "documents"), _word_tokenizer())
 
 
+def op3_prefix_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
+
+
+def op7_maglev_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maglev.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.fit(url_filter.labelled_table(spark)))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
     return done.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
@@ -52,9 +67,20 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Build]:
-    found = (op1_bfd_token_matrix, op2_toxicity_ftrl, op4_spaced_seed_decontam, op5_ffd_packing, op6_license_scan, op9_simhash_near_dedup, op10_suffix_dedup)
+    found = (
+        op1_bfd_token_matrix,
+        op2_toxicity_ftrl,
+        op3_prefix_forest_search,
+        op4_spaced_seed_decontam,
+        op5_ffd_packing,
+        op6_license_scan,
+        op7_maglev_shards,
+        op8_url_filter,
+        op9_simhash_near_dedup,
+        op10_suffix_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_maglev_shards": maglev.oracle_sql(SHARDS, maglev.SIZE, "documents", "doc_id")}
