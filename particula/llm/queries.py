@@ -16,18 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _word_tokenizer() -> str:
+def word_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_bfd_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bfd_pack.pack(_table(spark, sf_dir, "documents"), _word_tokenizer())
+    return bfd_pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
 def op5_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ffd_pack.pack(_table(spark, sf_dir, "documents"), _word_tokenizer())
+    return ffd_pack.pack(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
 def op3_prefix_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ as all pairs of a group.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero
 and is linked like any other; fewer words than a shingle are one shingle;
-repeated ids are kept row by row and share their component; a row without an
+rows that share an id are one node, and each keeps its row; a row without an
 id gets the component of its own fingerprint class, if another row has an id
 there, and adds no link; an empty table
 gives no rows; other columns are ignored.
@@ -30,6 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from particula.session import cut_lineage
 
@@ -93,8 +95,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,11 +230,35 @@ def near_links(classes: DataFrame, radius: int = 2, hot_rows: int = HOT_ROWS) ->
     return rows.mapInArrow(_compare(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(id, fingerprint, component_id) for every row; component_id is the smallest id reachable over links."""
-    marks = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
+def _marked(rows: DataFrame, shingle: int, radius: int, hot_rows: int) -> DataFrame:
+    """(id, fp, component_id, and the other columns kept) for rows (id, text, ...) whose fingerprints are ``fp``."""
+    marks = cut_lineage(rows)
     classes = cut_lineage(marks.groupBy("fp").agg(F.min("id").cast("long").alias("node")))
     merged = components(near_links(classes.where("node IS NOT NULL"), radius, hot_rows))
     moved = classes.join(merged, "node").where("node != component").select("fp", "component")
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marks.join(named, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a table of its own, so that a frequent fingerprint's rows can be split where they meet it
+    named = cut_lineage(classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    return marks.join(named, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, fingerprint, component_id) for every row; component_id is the smallest id reachable over links."""
+    found = _marked(fingerprints(docs, id_col, text_col, shingle), shingle, radius, hot_rows)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row of each component, with all its columns: the one with the component's id.
+
+    Rows without an id stay one for each fingerprint, where no row with an id
+    has it. Of rows that share id and text one stays; of rows that share the id
+    alone, the one whose hash is smallest.
+    """
+    key = F.xxhash64("doc_id", "text")
+    prints = fingerprints(docs.withColumn("own key", F.struct(F.col("doc_id"), key.alias("key"))), "own key", "text", shingle)
+    found = _marked(prints.select(F.col("id.doc_id").alias("id"), "fp", F.col("id.key").alias("key")), shingle, radius, hot_rows)
+    stay = found.where(F.col("id").eqNullSafe(F.col("component_id")))
+    group = F.when(F.col("id").isNull(), F.col("fp"))
+    stay = stay.groupBy("id", group.alias("alone")).agg(F.min("key").alias("own key")).select("own key")
+    rows = docs.withColumn("own key", key).join(stay, "own key", "left_semi")
+    return rows.withColumn("own rank", F.row_number().over(Window.partitionBy("own key").orderBy("own key"))).where("`own rank` = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from particula.session import cut_lineage
 
@@ -210,15 +211,15 @@ def _stretches(span: int, gram: int, hot):
         busy_hashes = np.frombuffer(hot.value, np.uint64)
         for batch in batches:
             out = []
-            keys, ids, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            for a, _, data, off in K.pieces(batch.column(2), PIECE_BYTES):
+            keys, ids, wanted = batch.column("key").to_numpy(), batch.column("id").fill_null(0).to_numpy(), batch.column("hashes")
+            for a, _, data, off in K.pieces(batch.column("text"), PIECE_BYTES):
                 doc, place, h = anchors(data, off, span, gram)
                 first = np.searchsorted(doc, np.arange(len(off)))
                 raw = data.tobytes()
                 found: dict[tuple, list] = {}
                 for d in range(len(off) - 1):
                     want = _join(wanted[a + d].as_py() or ())
-                    if not len(want):
+                    if not len(want):  # no shared anchor, or no id
                         continue
                     begin, end = int(off[d]), int(off[d + 1])
                     mine = slice(first[d], first[d + 1])
@@ -354,37 +355,41 @@ def _sort(span: int):
     return run, "key long, id long, starts binary, ends binary"
 
 
-def _cut():
-    """Rows (key, id, text, spans) to the id, what was removed and what stays."""
+def _whole_characters(data: np.ndarray, goes: np.ndarray) -> np.ndarray:
+    """Marks that take a character's other bytes with a marked one."""
+    char = np.cumsum((data & 0xC0) != 0x80)
+    lost = np.zeros(int(char[-1]) + 1, bool)
+    lost[char[goes]] = True
+    return lost[char]
+
+
+def _cut(characters: bool, names: list[str]):
+    """Rows (id, text, spans) to n_bytes, n_removed, n_spans and kept, beside the other columns ``names``."""
 
     def run(batches):
         for batch in batches:
-            ids, spans = batch.column(1).to_pylist(), batch.column(3)
             n_bytes, removed, n_spans, kept = [], [], [], []
-            for i, text, found in zip(ids, batch.column(2), spans, strict=True):
+            for i, text, found in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                starts, ends = [], []
-                for s in found.as_py() or ():
-                    if s["id"] == i:
-                        starts.append(s["starts"])
-                        ends.append(s["ends"])
-                start = np.frombuffer(b"".join(starts), np.int32)
-                left = np.zeros(0, np.int64)
+                mine = [s for s in found.as_py() or () if s["id"] == i]
+                start = np.frombuffer(b"".join(s["starts"] for s in mine), np.int32)
+                runs = 0
                 if len(start):
                     cover = np.zeros(len(raw) + 1, np.int32)
                     np.add.at(cover, start, 1)
-                    np.add.at(cover, np.frombuffer(b"".join(ends), np.int32), -1)
-                    goes = np.cumsum(cover[:-1]) > 0
-                    left = np.flatnonzero(np.diff(np.concatenate([[False], goes])) & goes)
-                    data = np.frombuffer(raw, np.uint8)
+                    np.add.at(cover, np.frombuffer(b"".join(s["ends"] for s in mine), np.int32), -1)
+                    data, goes = np.frombuffer(raw, np.uint8), np.cumsum(cover[:-1]) > 0
+                    if characters:
+                        goes = _whole_characters(data, goes)
+                    runs = int(goes[0]) + int(np.count_nonzero(goes[1:] & ~goes[:-1]))
                     kept.append(data[~goes].tobytes())
                 else:
                     kept.append(raw)
                 n_bytes.append(len(raw))
                 removed.append(len(raw) - len(kept[-1]))
-                n_spans.append(len(left))
-            cols = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (n_bytes, removed, n_spans)), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "n_bytes", "n_removed", "n_spans", "kept"])
+                n_spans.append(runs)
+            cols = [*(batch.column(c) for c in names), *(pa.array(c, pa.int64()) for c in (n_bytes, removed, n_spans)), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -404,7 +409,11 @@ def _hot_hashes(answered: DataFrame, most: int = HOT_BYTES) -> bytes:
 
 
 def spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(key, spans): for rows (key, id, text) the stretches that go, as arrays of (id, starts, ends), overlapping."""
+    """(key, spans): for rows (key, id, text, ...) the stretches that go, as arrays of (id, starts, ends), overlapping.
+
+    All columns of ``rows`` are read where texts meet their hashes, so that a
+    later join of the same rows on ``key`` can use the same shuffle.
+    """
     known = rows.where("id IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-total // RANGE_BYTES))
@@ -415,7 +424,8 @@ def spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -
     stretch, stretch_schema = _stretches(span, gram, rows.sparkSession.sparkContext.broadcast(_hot_hashes(answered)))
     sort, sort_schema = _sort(span)
     wanted = answered.where("key IS NOT NULL").groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
-    sent = rows.join(wanted, "key", "left").where("hashes IS NOT NULL AND id IS NOT NULL").select("key", "id", "text", "hashes").mapInArrow(stretch, stretch_schema)
+    # a left join, as below, and the row that met nothing sends nothing: so both joins deal the same rows alike
+    sent = rows.join(wanted, "key", "left").mapInArrow(stretch, stretch_schema)
     found = sent.repartition(F.col("group")).sortWithinPartitions("group", "id").mapInArrow(sort, sort_schema)
     return found.groupBy("key").agg(F.collect_list(F.struct("id", "starts", "ends")).alias("spans"))
 
@@ -423,6 +433,31 @@ def spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay)."""
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = rows.join(spans(rows, span, gram, hot), "key", "left").select("key", "id", "text", "spans")
-    done = met.mapInArrow(_cut(), "key long, id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+    met = rows.join(spans(rows, span, gram, hot), "key", "left")
+    done = met.mapInArrow(_cut(False, ["id"]), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return done.withColumnRenamed("id", id_col)
+
+
+def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """The documents, all of them and with all columns, without the repeated bytes.
+
+    A character that loses a byte goes whole, so that texts stay valid. Where a
+    text was cut, ``n_chars`` (if there is such a column) is its new length.
+    """
+    fields = docs.columns
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in fields if c != "text"]).alias("rest"))
+    met = rows.join(spans(rows, span), "key", "left")
+    counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    schema = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), T.StructField("was", T.StringType()), *counts, T.StructField("kept", T.BinaryType())])
+    done = met.withColumn("was", F.when(F.col("text").isNotNull(), F.lit("")))
+    done = done.mapInArrow(_cut(True, ["rest", "was"]), schema)
+    text = F.when(F.col("was").isNotNull(), F.col("kept").cast("string"))
+    cut = F.col("n_removed") > 0
+
+    def column(c):
+        if c == "text":
+            return text.alias("text")
+        own = F.col(f"rest.`{c}`")
+        return (F.when(cut, F.length(text)).otherwise(own).cast(docs.schema[c].dataType) if c == "n_chars" else own).alias(c)
+
+    return done.select(*[column(c) for c in fields])

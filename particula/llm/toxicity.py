@@ -11,9 +11,9 @@ thousand weights at most of interest; they go to the driver (at most
 reads every whole text once without a shuffle.
 
 Defined cases: a null or empty text scores the bias alone; repeated rows are
-scored one by one; a label that is null takes no part in learning; without
-labelled rows all weights are zero and every score is 0.5; an empty table gives
-no rows; columns beyond id and text are ignored by the score.
+scored one by one; a label that is null takes no part in learning; unless
+both labels occur nothing is learned and every score is about 0; an empty table
+gives no rows; columns beyond id and text are ignored by the score.
 """
 
 from __future__ import annotations
@@ -99,8 +99,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     largest. A task holds about max_rows / shards documents.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
-    # a share of the hash range in whole numbers, so that the choice is the same everywhere
-    share = int(1_000_000 * min(1.0, max_rows / max(known.count(), 1)))
+    # a share of the hash range, in whole numbers, so that the choice is the same everywhere
+    n, low, high = known.agg(F.count("*"), F.min("y"), F.max("y")).first()
+    if low == high:
+        return {"place": np.array([1 << BITS]), "weight": np.array([-35.0])}
+    share = int(1_000_000 * min(1.0, max_rows / n))
     ids = known.withColumn("o", F.xxhash64(F.col("id").cast("string"), F.lit("toxicity sample"))).where(F.pmod("o", F.lit(1_000_000)) < share)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
     chosen = chosen.select("o", "text", "y", F.pmod(F.shiftright("o", 24), F.lit(shards)).cast("int").alias("shard"))
