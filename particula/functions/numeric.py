@@ -1,68 +1,38 @@
-"""Order-independent means.
+"""Means and how registered queries print them.
 
-A floating-point `avg` depends on the order rows are summed in, which
-changes with partitioning, so the same query can differ in the last bits
-from run to run and from another engine. Readings carry at most three
-decimals, so means are taken over fixed-point thousandths: an exact integer
-sum and one final division. The result is the correctly rounded
-mean, identical for any partitioning and any engine.
+A mean is the plain `avg` of the values, in batch and on streams. Its last
+bits depend on the order of summation, so a registered query prints means
+with `round6`, and its oracle with `round6_sql`: six decimals, where a mean
+that lies on a rounding border (to within the noise of the summation) is
+lifted off it on both sides alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import as_col
 
-MEAN_SCALE = 1000  # resolution of a reading: 0.001
+#: Far above the noise of a sum of doubles, far below the last printed digit.
+BORDER = 1e-9
 
 
-def milli(x) -> Column:
-    """Value in thousandths as an exact 64-bit integer (NaN/NULL -> NULL).
+def round_mean(x, digits: int) -> Column:
+    """HALF_UP rounding of a computed mean, independent of the order of summation."""
+    return F.round(as_col(x) + F.lit(BORDER), digits)
 
-    64 bits hold the sum of 10^12 readings below 10^4 (3 decimals) with room
-    to spare; long sums stay on the fast path in frames and hash aggregates
-    (DECIMAL(38) sums are ~4x slower), and ANSI mode raises on overflow
-    instead of wrapping.
-    """
-    return F.round(as_col(x) * F.lit(float(MEAN_SCALE))).try_cast("bigint")
 
+def round_mean_sql(x: str, digits: int) -> str:
+    return f"round({x} + {BORDER!r}, {digits})"
 
-def exact_mean(total_milli: Column, n: Column) -> Column:
-    return F.when(n > 0, total_milli.cast("double") / (n * F.lit(float(MEAN_SCALE))))
 
+def round6(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The named columns as a registered query prints them."""
+    return df.withColumns({c: round_mean(c, 6) for c in cols})
 
-def mean(x) -> Column:
-    """Aggregate: exact mean of x (NULLs skipped)."""
-    m = milli(x)
-    return exact_mean(F.sum(m), F.count(m))
 
-
-def mean_over(x, w) -> Column:
-    """Window: exact mean of x over window spec w."""
-    m = milli(x)
-    return exact_mean(F.sum(m).over(w), F.count(m).over(w))
-
-
-def mean_sql(x: str, over: str = "") -> str:
-    """DuckDB text of the same exact mean; `over` is '' or 'OVER (...)'."""
-    m = f"CAST(round({x} * {float(MEAN_SCALE)!r}e0) AS HUGEINT)"
-    return (
-        f"CASE WHEN count({m}) {over} > 0 THEN CAST(sum({m}) {over} AS DOUBLE) / "
-        f"(count({m}) {over} * {float(MEAN_SCALE)!r}e0) END"
-    )
-
-
-def milli_sql(x: str) -> str:
-    """Spark SQL text of `milli` for a column name."""
-    return f"TRY_CAST(round(`{x}` * CAST({float(MEAN_SCALE)!r} AS DOUBLE)) AS BIGINT)"
-
-
-def mean_over_sql(x: str, window: str) -> str:
-    """Spark SQL text of the exact mean of column `x` over `window` (an OVER body)."""
-    m = milli_sql(x)
-    return (
-        f"CASE WHEN count({m}) OVER ({window}) > 0 THEN CAST(sum({m}) OVER ({window}) AS DOUBLE) / "
-        f"(count({m}) OVER ({window}) * CAST({float(MEAN_SCALE)!r} AS DOUBLE)) END"
-    )
+def round6_sql(sql: str, cols: list[str]) -> str:
+    """The same for the DuckDB text of a query."""
+    inner = ", ".join(f"{round_mean_sql(c, 6)} AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({inner}) FROM ({sql})"

@@ -14,15 +14,6 @@ from .. import constants as C
 from ..functions.text import hashed_id, iso_utc
 
 
-def num_text(c: Column) -> Column:
-    """Number as a script runtime prints it: integral values without '.0'."""
-    return F.when(
-        c.isNull(), F.lit("null")
-    ).when(
-        (c == F.floor(c)) & (F.abs(c) < F.lit(1e15)), F.floor(c).cast("bigint").cast("string")
-    ).otherwise(c.cast("string"))
-
-
 def _num_text_sql(v: str) -> str:
     return (
         f"CASE WHEN {v} IS NULL THEN 'null' WHEN {v} = floor({v}) AND abs({v}) < 1e15 "
@@ -56,7 +47,9 @@ def pollution_alerts(
             f"WHEN {cond} THEN concat('{prefix}: PM2.5=', {fmt(p25)}, ', PM10=', {fmt(p10)}, ', AQI=', {aqi_txt})"
         )
     keep = [c for c in ("event_id",) if c in df.columns]
-    out = fence(df, (pm25, pm10, aqi)).select(
+    # a row has an alert where it passes the lowest tier: a plain filter on measured columns, for the scan
+    low25, low10 = (min(t[i] for t in C.POLLUTION_TIERS[:tiers]) for i in (3, 4))
+    out = fence(df.filter((F.col(pm25) > low25) | (F.col(pm10) > low10)), (aqi,)).select(
         *keep,
         "sensor_id",
         "timestamp",

@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .joins import join_small
 
 OUT_COLS = [
     "digest_key", "sent_at", "total_alerts", "high_alerts", "medium_alerts", "low_alerts", "top_high", "more_high",
@@ -92,7 +91,7 @@ def successors(a: DataFrame, cooldown_us: int) -> DataFrame:
     # the next non-empty bucket, resolved once per distinct bucket
     first = a.groupBy("k", "b").agg(F.min(F.struct("t", "id")).alias("f"))
     resolved = _first_after(first, miss.select("k", "b").distinct(), "f")
-    miss = join_small(miss, resolved, ["k", "b"], "left").select(
+    miss = miss.join(resolved, ["k", "b"], "left").select(
         "k", "id", F.col("n.id").alias("nid"), F.col("n.t").alias("nt")
     )
     return hit.unionByName(miss)
@@ -109,7 +108,7 @@ def boundaries(a: DataFrame, succ: DataFrame) -> DataFrame:
     jump = cut_lineage(succ.select("k", "id", "nid", "nt"))
     for level in range(levels):
         # chain holds positions 0 .. 2^level - 1; one jump of 2^level steps doubles it
-        step = join_small(jump, chain.select("k", "id"), ["k", "id"], "left_semi")
+        step = jump.join(chain.select("k", "id"), ["k", "id"], "left_semi")
         chain = (
             chain.unionByName(step.select("k", F.col("nid").alias("id"), F.col("nt").alias("t")))
             .filter(F.col("id").isNotNull())
@@ -139,7 +138,7 @@ def digest_chain(
     buckets = a.select("k", "b").distinct()
     after = _first_after(own, buckets, "own").withColumnRenamed("n", "next")
     owner = after.join(own, ["k", "b"], "left")
-    tagged = join_small(a, owner, ["k", "b"], "left")
+    tagged = a.join(owner, ["k", "b"], "left")
     # an alert belongs to the first digest at or after it
     me = F.struct("t", "id")
     target = F.when(F.col("own").isNotNull() & (me <= F.col("own")), F.col("own")).otherwise(F.col("next"))

@@ -1,56 +1,20 @@
-"""Joins whose broadcast side is size-checked at run time."""
+"""Join helpers. The physical strategy is left to the optimizer and AQE, which
+broadcast a side only from its measured size and split skewed partitions."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
-
-
-def _width(dtype) -> int:
-    name = dtype.simpleString()
-    if name in _WIDTH:
-        return _WIDTH[name]
-    if name in ("bigint", "double", "timestamp", "timestamp_ntz"):
-        return 8
-    if name.startswith("decimal"):
-        return 16
-    if name.startswith("struct"):
-        return sum(_width(f.dataType) for f in dtype.fields)
-    return 32  # strings, arrays, maps: a nominal size
-
-
-def estimated_bytes(df: DataFrame, rows: int) -> int:
-    """Rows times a nominal per-row width from the schema."""
-    return rows * (8 + sum(_width(f.dataType) for f in df.schema.fields))
-
-
-def join_small(
-    big: DataFrame,
-    small: DataFrame,
-    on,
-    how: str = "left",
-    max_rows: int = DEFAULT_BROADCAST_ROWS,
-    max_bytes: int = DEFAULT_BROADCAST_BYTES,
-) -> DataFrame:
-    """Join `big` with a derived table whose size is not known up front.
 
-    The small side is materialised once (it is needed by the join anyway) and
-    counted: within `max_rows` rows and `max_bytes` estimated bytes it is
-    broadcast, beyond that the join falls back to a shuffle join (where AQE
-    can still split skewed partitions).
-    """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    fits = n <= max_rows and estimated_bytes(small, n) <= max_bytes
-    side = F.broadcast(small) if fits else small
-    return big.join(side, on, how)
+def null_safe_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi-join on `on` where NULL keys match NULL keys; the key columns of `big` stay."""
+    other = small.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    joined = big.join(other, match, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{c}" for c in on])
 
 
 def lookup_map(mapping: dict):

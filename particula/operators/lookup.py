@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import canonical_location, image_path, sensor_type
-from .joins import join_small, lookup_map
+from .joins import lookup_map, null_safe_join
+from .newest import newest_values
 
 
 def recent(df: DataFrame, sensor_id: str, limit: int = C.RECENT_DEFAULT_LIMIT) -> DataFrame:
@@ -28,23 +29,13 @@ def membership_flag(df: DataFrame, hits: DataFrame, keys=("sensor_id", "timestam
     """1 when the reading's key is in `hits`, else 0 (left join on the key,
     replacing the quadratic membership test)."""
     h = hits.select(*keys).distinct().withColumn("_hit", F.lit(1))
-    # the hit set is usually a small share: broadcast when its row count is
-    # bounded, otherwise a shuffle join on the (high-cardinality) key
-    j = join_small(df, h, list(keys), "left")
+    j = df.join(h, list(keys), "left")
     return j.withColumn("is_hit", F.coalesce(F.col("_hit"), F.lit(0))).drop("_hit")
 
 
 def state_merge(df: DataFrame, cols: list[str], key: str = "sensor_id") -> DataFrame:
-    """J3 / ST6: per key, the newest non-missing value of every field.
-
-    One hash aggregate of `max_by(col, (ts, id)) FILTER (WHERE col IS NOT NULL)`
-    per field, partial aggregation before the shuffle.
-    """
-    aggs = [
-        F.expr(f"max_by(`{c}`, struct(`timestamp`, `event_id`)) FILTER (WHERE `{c}` IS NOT NULL)").alias(c)
-        for c in cols
-    ]
-    return df.groupBy(key).agg(F.max("timestamp").alias("last_seen"), *aggs)
+    """J3 / ST6: per key, the newest non-missing value of every field."""
+    return newest_values(df, [key], cols, "timestamp", "event_id").withColumnRenamed("timestamp", "last_seen")
 
 
 def sensor_catalog(latest: DataFrame) -> DataFrame:
@@ -61,12 +52,9 @@ def sensor_catalog(latest: DataFrame) -> DataFrame:
 
 
 def dim_update(dim: DataFrame, snap: DataFrame, key: str = "sensor_id", cols=(), digits: int = 1) -> DataFrame:
-    """Update dimension rows from a snapshot by id; snapshot values rounded.
-
-    The snapshot side is size-checked before it is broadcast.
-    """
+    """Update dimension rows from a snapshot by id; snapshot values rounded."""
     s = snap.select(key, *[F.round(F.col(c), digits).alias(f"_new_{c}") for c in cols])
-    j = join_small(dim, s, [key], "left")
+    j = null_safe_join(dim, s, [key], "left")
     for c in cols:
         j = j.withColumn(c, F.coalesce(F.col(f"_new_{c}"), F.col(c) if c in dim.columns else F.lit(None)))
     return j.drop(*[f"_new_{c}" for c in cols])

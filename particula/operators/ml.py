@@ -24,6 +24,7 @@ from .quality import lookback
 FEATURES = ["pm2_5", "pm10", "temperature", "humidity"]
 METHODS = ("random-forest", "svm", "kmeans")
 SEED = 42
+KMEANS_STARTS = 10
 
 
 def _filled(df: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def _filled(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"_f_{c}") for c in FEATURES])
 
 
-def random_forest_residual(df: DataFrame, num_trees: int = 20, max_depth: int = 5) -> DataFrame:
+def random_forest_residual(df: DataFrame, num_trees: int = 100, max_depth: int = 30) -> DataFrame:
     """M1: in-sample random-forest regression of pm2_5 on the other three
     features; anomalous where |pm2_5 - prediction| > 2 * sample sd(pm2_5)."""
     f = _filled(df)
@@ -60,7 +61,13 @@ def kmeans_minority(df: DataFrame, k: int = 2) -> DataFrame:
     if n < 2:  # fewer than 2 rows: nothing flagged
         return df.withColumn("cluster", F.lit(None).cast("int")).withColumn("is_anomaly", F.lit(False))
     vec = VectorAssembler(inputCols=[f"_f_{c}" for c in FEATURES], outputCol="_x").transform(f)
-    model = KMeans(k=k, seed=SEED, featuresCol="_x", predictionCol="cluster").fit(vec)
+    # the best of several starts, as the reproduced service takes it
+    vec = vec.persist()
+    try:
+        starts = [KMeans(k=k, seed=SEED + i, featuresCol="_x", predictionCol="cluster").fit(vec) for i in range(KMEANS_STARTS)]
+    finally:
+        vec.unpersist()
+    model = min(starts, key=lambda m: m.summary.trainingCost)
     pred = model.transform(vec)
     sizes = pred.groupBy("cluster").count()
     smallest = sizes.orderBy("count", "cluster").limit(1).select("cluster")

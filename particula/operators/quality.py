@@ -7,6 +7,8 @@ where it touches raw columns.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,19 +16,14 @@ from .. import constants as C
 from ..functions._util import as_col
 
 
-DERIVED = ("pm2_5", "pm10", "aqi", "temperature", "humidity")
-
-
-def fence(df: DataFrame, cols=DERIVED) -> DataFrame:
-    """Evaluate the given (derived) columns once per row before filtering on them.
+def fence(df: DataFrame, cols=("aqi",)) -> DataFrame:
+    """Evaluate the given derived columns once per row before a filter on them.
 
     To push a filter below a projection Catalyst substitutes the column
     definitions into the condition, so a rule that names `aqi` three times
-    evaluates the AQI chain (and everything below it) three times per row,
-    with every reference to a concentration expanded again. A one-row
-    `inline` generator is a boundary filters on its outputs are not pushed
-    through. Only the named columns go through it: other columns stay plain
-    projections, so column pruning and scan-level filters are unaffected.
+    evaluates the AQI chain three times per row. A one-row `inline` generator is
+    a boundary filters on its outputs are not pushed through. Rules on other
+    columns come before it (see `_staged`), so they reach the scan.
     """
     inner = [c for c in cols if c in df.columns]
     if not inner:
@@ -36,6 +33,11 @@ def fence(df: DataFrame, cols=DERIVED) -> DataFrame:
     return out.select(*df.columns)
 
 
+def _staged(df: DataFrame, before: Column, after: Column) -> DataFrame:
+    """Filter by the rules on measured columns, then by those on the derived AQI, evaluated once."""
+    return fence(df.filter(before)).filter(after)
+
+
 def _rules(pm25="pm2_5", pm10="pm10", aqi="aqi", temp="temperature", hum="humidity") -> dict[str, Column]:
     p25, p10, a, t, h = (as_col(x) for x in (pm25, pm10, aqi, temp, hum))
     return {
@@ -55,16 +57,19 @@ def _rules(pm25="pm2_5", pm10="pm10", aqi="aqi", temp="temperature", hum="humidi
     }
 
 
-def is_valid(**cols) -> Column:
-    """All fields present and in range. Never NULL: NULL input gives FALSE."""
-    r = _rules(**cols)
+def _none_broken(rules: dict[str, Column]) -> Column:
     ok = None
-    for c in r.values():
+    for c in rules.values():
         c = F.coalesce(~c, F.lit(False))
         ok = c if ok is None else ok & c
     return ok
 
 
+def is_valid(**cols) -> Column:
+    """All fields present and in range. Never NULL: NULL input gives FALSE."""
+    return _none_broken(_rules(**cols))
+
+
 def validation_errors(**cols) -> Column:
     """Broken rules in fixed order joined by ', '; '' when valid."""
     r = _rules(**cols)
@@ -94,18 +99,26 @@ def outlier_ok(pm25="pm2_5", pm10="pm10", temp="temperature", hum="humidity") ->
 def quality_filter(df: DataFrame, **cols) -> DataFrame:
     """P5: keep valid rows, then drop extreme outliers."""
     oc = {k: v for k, v in cols.items() if k != "aqi"}
-    names = [v for v in cols.values() if isinstance(v, str)] or list(DERIVED)
-    return fence(df, names).filter(is_valid(**cols)).filter(outlier_ok(**oc))
+    derived = {k: r for k, r in _rules(**cols).items() if k.startswith("aqi")}
+    measured = {k: r for k, r in _rules(**cols).items() if k not in derived}
+    return _staged(df, _none_broken(measured) & outlier_ok(**oc), _none_broken(derived))
 
 
 def flat_filter(df: DataFrame) -> DataFrame:
-    """P6 as a frame operation (fenced, see `fence`)."""
-    return fence(df, ("pm2_5", "pm10", "aqi")).filter(flat_valid())
+    """P6 as a frame operation."""
+    p25, p10, a = F.col("pm2_5"), F.col("pm10"), F.col("aqi")
+    before = p25.isNotNull() & p10.isNotNull() & (p25 >= C.PM_MIN) & (p10 >= C.PM_MIN)
+    return _staged(df, before, a.isNotNull() & (a >= C.AQI_MIN) & (a <= C.AQI_MAX))
 
 
 def first_error_filter(df: DataFrame) -> DataFrame:
-    """P7 valid rows as a frame operation (fenced, see `fence`)."""
-    return fence(df, ("pm2_5", "pm10", "aqi")).filter(first_error_ok())
+    """P7 valid rows as a frame operation."""
+    p25, p10, a = F.col("pm2_5"), F.col("pm10"), F.col("aqi")
+    before = (p25 >= 0) & (p25 <= C.FIRST_ERROR_PM25_MAX) & (p10 >= 0) & (p10 <= C.FIRST_ERROR_PM10_MAX)
+    for f in C.FIRST_ERROR_REQUIRED:
+        if f != "aqi":
+            before = F.col(f).isNotNull() & before
+    return _staged(df, before, (a >= C.AQI_MIN) & (a <= C.AQI_MAX))
 
 
 def flat_valid(pm25="pm2_5", pm10="pm10", aqi="aqi") -> Column:
@@ -180,24 +193,32 @@ def lookback(df: DataFrame, hours: float, sensor_id: str | None = None, as_of=No
     and used as a literal, so the cutoff reaches the Parquet scan (row-group
     skipping) and, on a date-partitioned table, prunes partitions.
     """
-    import datetime as _dt
-
+    micros = F.unix_micros(F.col(ts))
     if as_of is None:
-        as_of = df.select(F.max(ts)).first()[0]
-    if as_of is None:  # empty input
+        newest = df.select(F.max(micros)).first()[0]
+    else:
+        newest = _epoch_micros(as_of)
+    if newest is None:  # empty input
         return df.filter(F.lit(False))
-    if isinstance(as_of, str):
-        as_of = _dt.datetime.fromisoformat(as_of.replace("Z", "+00:00")).replace(tzinfo=None)
-    cutoff = as_of - _dt.timedelta(hours=float(hours))
+    cutoff = newest - round(float(hours) * 3600 * 1_000_000)
     out = df
     if sensor_id is not None:
         out = out.filter(F.col("sensor_id") == sensor_id)
-    out = out.filter(F.col(ts) >= F.lit(cutoff).cast("timestamp"))
+    out = out.filter(F.col(ts) >= F.timestamp_micros(F.lit(cutoff)).cast(df.schema[ts].dataType))
     if "date" in df.columns:
-        out = out.filter(F.col("date") >= F.lit(cutoff.date()))
+        out = out.filter(F.col("date") >= F.to_date(F.timestamp_micros(F.lit(cutoff))))
     return out
 
 
+def _epoch_micros(at: str | _dt.datetime) -> int:
+    """A moment as microseconds of UTC; one without an offset is UTC, whatever the driver's zone."""
+    if isinstance(at, str):
+        at = _dt.datetime.fromisoformat(at.replace("Z", "+00:00"))
+    if at.tzinfo is None:
+        at = at.replace(tzinfo=_dt.timezone.utc)
+    return (at - _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)) // _dt.timedelta(microseconds=1)
+
+
 def active(df: DataFrame) -> DataFrame:
     """is_active = true; NULL is not active."""
     return df.filter(F.col("is_active") == F.lit(True))

@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..session import cut_lineage
 from ..sources.parse import to_envelope
-from .joins import join_small
+from .newest import newest_values
 
 READINGS_KEY = ("sensor_id", "timestamp")
 
 
 def keep_last(df: DataFrame, key=READINGS_KEY, order: str = "_ingest") -> DataFrame:
-    """What an overwrite-on-same-key store keeps: the last delivered row per key.
+    """What a store that overwrites the written fields of a key keeps.
 
-    A hash aggregate of max_by(row, ingest order) — keys have few versions,
-    so this is one shuffle with map-side partials and no sort.
+    Per key and column the last delivered non-NULL value, by `order`, an ingest
+    sequence that is unique within a key: a partial row leaves older values alone.
     """
     others = [c for c in df.columns if c not in key and c != order]
-    rec = F.struct(*[F.col(c) for c in others])
-    return df.groupBy(*key).agg(F.max_by(rec, F.col(order)).alias("_r")).select(*key, "_r.*")
+    merged = newest_values(df.withColumn("_tie", F.lit(0)), list(key), others, order, "_tie")
+    return merged.select(*key, *others)
 
 
 def align(df: DataFrame, schema=S.READINGS, default_now: bool = True) -> DataFrame:
@@ -41,39 +41,61 @@ def align(df: DataFrame, schema=S.READINGS, default_now: bool = True) -> DataFra
     return df.select(*extra, *cols)
 
 
+SLOT = ("date", "hour")  # partition columns of the tables at rest
+
+
+def _with_slot(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("date", F.to_date(by)).withColumn("hour", F.hour(by))
+
+
+def _clustered(df: DataFrame, key) -> DataFrame:
+    """Rows dealt by ranges of slot and key: an hour's rows may fill many files, each with few sensors."""
+    cols = [c for c in (*SLOT, *key) if c in df.columns]
+    return df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet", by_date: bool = True) -> None:
-    """The keyed table at rest: Parquet partitioned by event date,
+    """The keyed table at rest: Parquet partitioned by event date and hour,
     files clustered by sensor so key/time filters prune files and row groups."""
-    out = df
     if by_date and "timestamp" in df.columns:
-        out = out.withColumn("date", F.to_date("timestamp"))
-        out = out.repartition("date").sortWithinPartitions("sensor_id", "timestamp")
-        out.write.mode(mode).format(fmt).partitionBy("date").save(path)
+        out = _clustered(_with_slot(df, "timestamp"), READINGS_KEY)
+        out.write.mode(mode).format(fmt).partitionBy(*SLOT).save(path)
     else:
-        out.write.mode(mode).format(fmt).save(path)
+        df.write.mode(mode).format(fmt).save(path)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds data, asked of the file system that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.exists(folder) and any(f.getPath().getName()[0] not in "._" for f in fs.listStatus(folder))
 
 
-def upsert_table(spark: SparkSession, batch: DataFrame, path: str, key=READINGS_KEY) -> None:
+def upsert_table(spark: SparkSession, batch: DataFrame, path: str, key=READINGS_KEY, by: str = "timestamp", sequence: str | None = None) -> None:
     """S8 for streams (`foreachBatch`): merge a micro-batch into the table by key.
 
-    Only the dates touched by the batch are rewritten (dynamic partition
-    overwrite), so replays of the same batch are idempotent.
+    Only the hours that the batch touches are rewritten (dynamic partition
+    overwrite). Within a batch the row with the larger `sequence` (default: the
+    order of arrival) comes later. Values merge per column: a NULL leaves the
+    stored value. Replaying a batch leaves the table as it is. Whatever fails
+    (unreadable files, columns whose types differ) fails the batch and leaves
+    the table untouched; only a folder without data counts as an empty table.
+    Rows whose key or time is NULL are refused, as a keyed store refuses them.
     """
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    b = batch.withColumn("date", F.to_date("timestamp"))
-    try:
+    new = batch.dropna(subset=[*key, by])
+    new = new.withColumn("_ingest", F.col(sequence) if sequence else F.monotonically_increasing_id())
+    new = _with_slot(new, by)
+    if table_exists(spark, path):
         old = spark.read.parquet(path)
-        dates = b.select("date").distinct()
-        old = join_small(old, dates, ["date"], "left_semi")
-        merged = old.withColumn("_ingest", F.lit(0)).unionByName(b.withColumn("_ingest", F.lit(1)), allowMissingColumns=True)
-    except Exception:  # table does not exist yet
-        merged = b.withColumn("_ingest", F.lit(1))
-    last = keep_last(merged, key=tuple(key) + ("date",))
-    # materialise before overwriting the partitions it was read from
-    last = cut_lineage(last)
-    last.repartition("date").sortWithinPartitions("sensor_id", "timestamp").write.mode("overwrite").partitionBy(
-        "date"
-    ).parquet(path)
+        clash = [c for c in new.columns if c in old.columns and c not in SLOT and old.schema[c].dataType != new.schema[c].dataType]
+        if clash:
+            raise ValueError(f"types differ from the stored table: {', '.join(clash)}")
+        old = old.join(new.select(*SLOT).distinct(), list(SLOT), "left_semi").withColumn("_ingest", F.lit(-1).cast("long"))
+        new = old.unionByName(new, allowMissingColumns=True)
+    # materialised before the partitions it was read from are overwritten
+    last = cut_lineage(keep_last(new, key=(*key, *(c for c in SLOT if c not in key))))
+    out = _clustered(last, key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(*SLOT).parquet(path)
 
 
 def publish(df: DataFrame, topic: str, path: str | None = None, fmt: str = "kafka", bootstrap: str | None = None):

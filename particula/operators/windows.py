@@ -10,14 +10,17 @@ bucket needs from its predecessors:
   end are copied into the next bucket (bucket length >= frame length, so one
   predecessor suffices);
 * running frames (W4): per-bucket partial aggregates (a table of
-  sensors x buckets rows) are prefix-summed and joined back, the join side
-  broadcast only when its measured size is small;
+  sensors x buckets rows) are prefix-summed and joined back on the same
+  partitioning;
 * last-N-rows frames (W5): the last N-1 rows of each bucket (a partial
   top-k before the shuffle) are routed to the next buckets that still need
   them, found from the next N-1 tail rows.
 
 So the big input is shuffled once, on a key whose cardinality grows with
 the time span, and helper tables stay proportional to sensors x buckets.
+W4 and W5 buckets go down to one minute; a W1-W3 task holds at least the
+longest frame of one sensor (an hour), since every row's frame needs it.
+Rows without a time share a bucket of their own; none is lost.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.numeric import exact_mean, mean_over_sql, milli
-from .joins import join_small
+from .joins import null_safe_join
+from .newest import extreme_row
 
 _T, _B, _HOME = "_t", "_bucket", "_home"
 
@@ -38,8 +41,7 @@ _T, _B, _HOME = "_t", "_bucket", "_home"
 class Agg:
     """One window output: `func` of `col` over `minutes` (trailing frames).
 
-    `func` is one of avg (exact mean, see functions.numeric), favg (plain
-    floating-point avg), max, min, sum, count, stddev.
+    `func` is one of avg, max, min, sum, count, stddev.
     """
 
     out: str
@@ -48,28 +50,18 @@ class Agg:
     minutes: float = 5.0
 
 
-_FUNCS = {
-    "favg": F.avg,  # floating-point avg (order-dependent in the last bits)
-    "max": F.max,
-    "min": F.min,
-    "sum": F.sum,
-    "count": F.count,
-    "stddev": F.stddev_samp,
-}
-
-
-_SQL_FUNCS = {"favg": "avg", "max": "max", "min": "min", "sum": "sum", "count": "count", "stddev": "stddev_samp"}
+_SQL_FUNCS = {"avg": "avg", "max": "max", "min": "min", "sum": "sum", "count": "count", "stddev": "stddev_samp"}
 
 
 def _over(a: Agg, window: str) -> Column:
     """One window output as a single SQL expression (`window` is the OVER body)."""
-    if a.func == "avg":
-        return F.expr(mean_over_sql(a.col, window)).alias(a.out)
     return F.expr(f"{_SQL_FUNCS[a.func]}(`{a.col}`) OVER ({window})").alias(a.out)
 
 
+SHORT_UNIT_US = C.MICROS_PER_MINUTE  # running and last-N frames need no context time: buckets may be this short
 TARGET_ROWS = 2_000_000  # rows one (key, bucket) window task should hold at most
 MAX_BUCKET_FACTOR = 64
+NO_TIME = -(1 << 53)  # bucket of rows without a time, before every real one
 
 
 def bucket_length(
@@ -84,7 +76,7 @@ def bucket_length(
     holds a third of all rows is still cut into tasks of bounded size.
     """
     target_rows = target_rows or TARGET_ROWS
-    max_factor = max_factor or MAX_BUCKET_FACTOR
+    max_factor = max_factor or MAX_BUCKET_FACTOR * max(1, 60 * C.MICROS_PER_MINUTE // unit_us)
     slot = F.expr(f"unix_micros(CAST(`{ts}` AS TIMESTAMP)) div {unit_us}L")
     densest = df.select(key, slot.alias("_slot")).groupBy(key, "_slot").count().agg(F.max("count")).scalar()
     m = F.greatest(F.lit(1), F.least(F.lit(max_factor), F.floor(F.lit(target_rows) / F.coalesce(densest, F.lit(1)))))
@@ -94,9 +86,10 @@ def bucket_length(
 def _bucketed(df: DataFrame, ts: str, bucket_us) -> DataFrame:
     b = F.lit(bucket_us).cast("bigint") if isinstance(bucket_us, int) else bucket_us
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    # floor division in integers (pmod keeps pre-1970 times in the right bucket)
+    # floor division in integers (pmod keeps pre-1970 times in the right bucket);
+    # rows without a time share the first bucket, as they stand first in a plain window
     return df.select("*", b.alias("_blen"), t.alias(_T)).withColumn(
-        _B, F.expr(f"({_T} - pmod({_T}, _blen)) div _blen")
+        _B, F.expr(f"coalesce(({_T} - pmod({_T}, _blen)) div _blen, {NO_TIME})")
     )
 
 
@@ -141,22 +134,21 @@ def running(
     bucket_minutes: float | str | None = "auto",
     prefix: str = "",
     funcs: tuple[str, ...] = ("avg", "max", "min"),
-    broadcast_rows: int = 2_000_000,
 ) -> DataFrame:
     """Running avg/max/min from the first reading to the current one.
 
     Frame is RANGE UNBOUNDED PRECEDING .. CURRENT ROW, so equal timestamps
     share a value. Output columns are `{prefix}{col}_{func}`.
     """
-    bucket_us = _resolve_bucket(df, key, ts, bucket_minutes, 60 * C.MICROS_PER_MINUTE)
+    bucket_us = _resolve_bucket(df, key, ts, bucket_minutes, SHORT_UNIT_US)
     b = _bucketed(df, ts, bucket_us)
 
     # per-bucket partials -> exclusive prefix over earlier buckets
     parts = []
     for c in cols:
         parts += [
-            F.count(milli(c)).alias(f"_n_{c}"),
-            F.sum(milli(c)).alias(f"_s_{c}"),
+            F.count(c).alias(f"_n_{c}"),
+            F.sum(F.col(c).cast("double")).alias(f"_s_{c}"),
             F.max(c).alias(f"_mx_{c}"),
             F.min(c).alias(f"_mn_{c}"),
         ]
@@ -177,22 +169,20 @@ def running(
     cur = []
     for c in cols:
         cur += [
-            F.count(milli(c)).over(w).alias(f"_cn_{c}"),
-            F.sum(milli(c)).over(w).alias(f"_cs_{c}"),
+            F.count(c).over(w).alias(f"_cn_{c}"),
+            F.sum(F.col(c).cast("double")).over(w).alias(f"_cs_{c}"),
             F.max(c).over(w).alias(f"_cmx_{c}"),
             F.min(c).over(w).alias(f"_cmn_{c}"),
         ]
     inb = b.select("*", *cur)
-    joined = join_small(inb, prefix_tbl, [key, _B], "left", max_rows=broadcast_rows)
+    joined = null_safe_join(inb, prefix_tbl, [key, _B], "left")
 
     outs = []
     for c in cols:
         n = F.col(f"_cn_{c}") + F.coalesce(F.col(f"_pn_{c}"), F.lit(0))
-        s = F.coalesce(F.col(f"_cs_{c}"), F.lit(0).cast("bigint")) + F.coalesce(
-            F.col(f"_ps_{c}"), F.lit(0).cast("bigint")
-        )
+        s = F.coalesce(F.col(f"_cs_{c}"), F.lit(0.0)) + F.coalesce(F.col(f"_ps_{c}"), F.lit(0.0))
         if "avg" in funcs:
-            outs.append(exact_mean(s, n).alias(f"{prefix}{c}_avg"))
+            outs.append(F.when(n > 0, s / n).alias(f"{prefix}{c}_avg"))
         if "max" in funcs:
             outs.append(F.greatest(F.col(f"_cmx_{c}"), F.col(f"_pmx_{c}")).alias(f"{prefix}{c}_max"))
         if "min" in funcs:
@@ -215,7 +205,7 @@ def last_rows(
 ) -> DataFrame:
     """`func(col)` over the current and the previous n-1 rows of the key,
     ordered by (ts, tiebreak). `Agg.minutes` is ignored."""
-    bucket_us = _resolve_bucket(df, key, ts, bucket_minutes, 60 * C.MICROS_PER_MINUTE)
+    bucket_us = _resolve_bucket(df, key, ts, bucket_minutes, SHORT_UNIT_US)
     b = _bucketed(df, ts, bucket_us)
     k = n - 1
 
@@ -249,32 +239,24 @@ def last_rows(
     return out.drop(_T, _B, _HOME, "_blen")
 
 
-def partition_stats(
-    df: DataFrame, aggs: list[tuple[str, Column]], key: str = "sensor_id", broadcast_rows: int = 2_000_000
-) -> DataFrame:
+def partition_stats(df: DataFrame, aggs: list[tuple[str, Column]], key: str = "sensor_id") -> DataFrame:
     """Whole-partition statistics per key, attached to every row.
 
     Computed as a partial/final hash aggregate (skew-safe) and joined back
     instead of an unordered window that would put a whole sensor in one task.
     """
     stats = df.groupBy(key).agg(*[c.alias(name) for name, c in aggs])
-    return join_small(df, stats, [key], "left", max_rows=broadcast_rows)
+    return null_safe_join(df, stats, [key], "left")
 
 
 def latest(df: DataFrame, key: str = "sensor_id", ts: str = "timestamp", tiebreak: str = "event_id") -> DataFrame:
-    """Newest row per key via max_by (partial aggregation, no full sort)."""
-    others = [c for c in df.columns if c != key]
-    rec = F.struct(*[F.col(c) for c in others])
-    order = F.struct(F.col(ts), F.col(tiebreak))
-    return df.groupBy(key).agg(F.max_by(rec, order).alias("_r")).select(key, "_r.*")
+    """Newest row per key."""
+    return extreme_row(df, [key], ts, tiebreak)
 
 
 def earliest(df: DataFrame, key: str = "sensor_id", ts: str = "timestamp", tiebreak: str = "event_id") -> DataFrame:
     """T5: first row per key in arrival order."""
-    others = [c for c in df.columns if c != key]
-    rec = F.struct(*[F.col(c) for c in others])
-    order = F.struct(F.col(ts), F.col(tiebreak))
-    return df.groupBy(key).agg(F.min_by(rec, order).alias("_r")).select(key, "_r.*")
+    return extreme_row(df, [key], ts, tiebreak, newest=False)
 
 
 def keep_last(
@@ -298,7 +280,8 @@ def keep_last(
     if key is None:
         return df.orderBy(F.desc(ts), F.desc(tiebreak)).limit(n)
     slot_us = int(slot_minutes * C.MICROS_PER_MINUTE)
-    with_slot = df.withColumn("_slot", F.expr(f"unix_micros(CAST(`{ts}` AS TIMESTAMP)) div {slot_us}L"))
+    # rows without a time come last, so theirs is the oldest slot
+    with_slot = df.withColumn("_slot", F.expr(f"coalesce(unix_micros(CAST(`{ts}` AS TIMESTAMP)) div {slot_us}L, {NO_TIME})"))
     counts = with_slot.groupBy(key, "_slot").count()
     newer_first = Window.partitionBy(key).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.withColumn("_cum", F.sum("count").over(newer_first))
@@ -307,7 +290,7 @@ def keep_last(
     cutoff = cum.groupBy(key).agg(
         F.coalesce(F.max(F.when(F.col("_cum") >= n, F.col("_slot"))), F.min("_slot")).alias("_cut")
     )
-    recent = join_small(with_slot, cutoff, [key], "inner").filter(F.col("_slot") >= F.col("_cut"))
+    recent = null_safe_join(with_slot, cutoff, [key], "inner").filter(F.col("_slot") >= F.col("_cut"))
     w = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tiebreak))
     out = recent.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
     return out.drop("_rn", "_slot", "_cut")

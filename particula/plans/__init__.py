@@ -1,15 +1,8 @@
 """Registered queries (Spark plan + DuckDB oracle text)."""
 
-from . import core  # noqa: F401  (registration side effects)
+from . import alerting, core, features, learning, reporting  # noqa: F401  (registration side effects)
 from .base import REGISTRY, Query  # noqa: F401
 
-for _mod in ("features", "alerting", "reporting", "learning"):
-    try:
-        __import__(f"{__name__}.{_mod}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if e.name != f"{__name__}.{_mod}":
-            raise
-
 
 def queries():
     return {n: q.build for n, q in REGISTRY.items()}

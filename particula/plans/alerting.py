@@ -10,7 +10,6 @@ from ..operators import alerts as AL
 from ..operators import lookup as LK
 from ..operators import quality as Q
 from ..operators import windows as WN
-from ..functions.numeric import mean, mean_sql
 from .base import R, num_text_sql, register, with_readings
 from .core import OUTLIER_SQL, READING_COLS, VALID_SQL
 from .features import D1_SQL, anomaly_frame
@@ -250,9 +249,10 @@ NUM_SQL = (
     "P10 F18",
     with_readings(
         f"SELECT sensor_id, count(*) AS alerts, count(v) AS numeric_values, min(v) AS aqi_min, max(v) AS aqi_max, "
-        f"{mean_sql('v')} AS aqi_avg FROM (SELECT sensor_id, {NUM_SQL} AS v FROM a3) GROUP BY sensor_id",
+        f"avg(v) AS aqi_avg FROM (SELECT sensor_id, {NUM_SQL} AS v FROM a3) GROUP BY sensor_id",
         A3_CTE,
     ),
+    means=["aqi_avg"],
 )
 def numeric_only(spark, sf):
     a = alerts3(spark, sf).select("sensor_id", Q.numeric_aqi("aqi_level").alias("v"))
@@ -261,7 +261,7 @@ def numeric_only(spark, sf):
         F.count("v").alias("numeric_values"),
         F.min("v").alias("aqi_min"),
         F.max("v").alias("aqi_max"),
-        mean("v").alias("aqi_avg"),
+        F.avg("v").alias("aqi_avg"),
     )
 
 

@@ -6,10 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as C
+from ..functions.numeric import round6, round6_sql
 from ..sources.readings import READINGS_SQL, readings, table
 
 
@@ -24,11 +26,20 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, ops: str, sql: str | None = None):
+def register(name: str, ops: str, sql: str | None = None, means: list[str] | None = None):
+    """`means`: computed means among the columns, printed with six decimals on both sides."""
+    if sql and means:
+        sql = round6_sql(sql, means)
+
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, ops, fn, half_up_rounding(sql) if sql else None)
+
+        @wraps(fn)
+        def build(spark, sf):
+            return round6(fn(spark, sf), means)
+
+        REGISTRY[name] = Query(name, ops, build if means else fn, half_up_rounding(sql) if sql else None)
         return fn
 
     return deco
@@ -78,10 +89,6 @@ def R(spark: SparkSession, sf: str) -> DataFrame:
     return readings(spark, sf)
 
 
-def T(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return table(spark, sf, name)
-
-
 # ---------------------------------------------------------------- SQL helpers
 
 

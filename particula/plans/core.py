@@ -9,7 +9,7 @@ from ..functions import aqi as FA
 from ..operators import quality as Q
 from ..operators import stats as ST
 from ..sources import parse as PS
-from ..functions.numeric import mean_sql
+from ..functions.numeric import round_mean_sql
 from .base import (
     R,
     lower_case_sql,
@@ -293,11 +293,11 @@ def first_error(spark, sf):
 def _analytics_sql(where: str) -> str:
     return (
         "SELECT sensor_id, count(pm2_5) AS readings_count, min(pm2_5) AS pm25_min, max(pm2_5) AS pm25_max, "
-        f"round({mean_sql('pm2_5')}, 2) AS pm25_average, min(pm10) AS pm10_min, max(pm10) AS pm10_max, "
-        f"round({mean_sql('pm10')}, 2) AS pm10_average, "
+        f"{round_mean_sql('avg(pm2_5)', 2)} AS pm25_average, min(pm10) AS pm10_min, max(pm10) AS pm10_max, "
+        f"{round_mean_sql('avg(pm10)', 2)} AS pm10_average, "
         "coalesce(min(CASE WHEN aqi <> 0 THEN CAST(aqi AS DOUBLE) END), 0e0) AS aqi_min, "
         "coalesce(max(CASE WHEN aqi <> 0 THEN CAST(aqi AS DOUBLE) END), 0e0) AS aqi_max, "
-        f"coalesce(round({mean_sql('CASE WHEN aqi <> 0 THEN CAST(aqi AS DOUBLE) END')}, 1), 0e0) AS aqi_average, "
+        f"coalesce({round_mean_sql('avg(CASE WHEN aqi <> 0 THEN CAST(aqi AS DOUBLE) END)', 1)}, 0e0) AS aqi_average, "
         "24 AS time_period_hours, 'stable' AS trend "
         f"FROM r WHERE {where} GROUP BY sensor_id"
     )
@@ -319,11 +319,11 @@ def sensor_analytics(spark, sf):
         "SELECT CASE WHEN count(*) = 0 THEN 'No data available for this sensor in the requested period' "
         "WHEN count(pm2_5) = 0 OR count(pm10) = 0 THEN 'Insufficient data for analysis' END AS error, "
         "'sensor-urban-0' AS sensor_id, count(pm2_5) AS readings_count, min(pm2_5) AS pm25_min, "
-        f"max(pm2_5) AS pm25_max, round({mean_sql('pm2_5')}, 2) AS pm25_average, min(pm10) AS pm10_min, "
-        f"max(pm10) AS pm10_max, round({mean_sql('pm10')}, 2) AS pm10_average, "
+        f"max(pm2_5) AS pm25_max, {round_mean_sql('avg(pm2_5)', 2)} AS pm25_average, min(pm10) AS pm10_min, "
+        f"max(pm10) AS pm10_max, {round_mean_sql('avg(pm10)', 2)} AS pm10_average, "
         "coalesce(min(CASE WHEN aqi <> 0 THEN CAST(aqi AS DOUBLE) END), 0e0) AS aqi_min, "
         "coalesce(max(CASE WHEN aqi <> 0 THEN CAST(aqi AS DOUBLE) END), 0e0) AS aqi_max, "
-        f"coalesce(round({mean_sql('CASE WHEN aqi <> 0 THEN CAST(aqi AS DOUBLE) END')}, 1), 0e0) AS aqi_average, "
+        f"coalesce({round_mean_sql('avg(CASE WHEN aqi <> 0 THEN CAST(aqi AS DOUBLE) END)', 1)}, 0e0) AS aqi_average, "
         "24 AS time_period_hours, CASE WHEN count(*) > 0 AND count(pm2_5) > 0 AND count(pm10) > 0 "
         "THEN 'stable' END AS trend "
         "FROM r WHERE sensor_id = 'sensor-urban-0' "

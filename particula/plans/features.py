@@ -9,7 +9,7 @@ from ..functions.text import ratio_score as ratio
 from ..operators import anomalies as AN
 from ..operators import quality as Q
 from ..operators import windows as WN
-from ..functions.numeric import mean_sql
+from ..functions.numeric import round_mean
 from .base import R, W_SENSOR, frame, register, with_readings
 from .core import FIRST_ERROR_SQL, FLAT_VALID_SQL, OUTLIER_SQL, READING_COLS, VALID_SQL
 
@@ -18,13 +18,11 @@ KEYS = ["event_id", "sensor_id", "timestamp"]
 
 def _r6(df, cols):
     for c in cols:
-        df = df.withColumn(c, F.round(F.col(c), 6))
+        df = df.withColumn(c, round_mean(c, 6))
     return df
 
 
 def agg_sql(func: str, col: str, over: str) -> str:
-    if func == "avg":
-        return mean_sql(col, f"OVER ({over})")
     return f"{func}({col}) OVER ({over})"
 
 
@@ -33,7 +31,7 @@ W1_SQL = ", ".join(
 )
 
 
-@register("trailing_features", "W1 W2 W3", with_readings(f"SELECT event_id, sensor_id, timestamp, {W1_SQL} FROM r"))
+@register("trailing_features", "W1 W2 W3", with_readings(f"SELECT event_id, sensor_id, timestamp, {W1_SQL} FROM r"), means=[a.out for a in AN.W1_AGGS if a.func == "avg"])
 def trailing_features(spark, sf):
     out = AN.trailing_features(R(spark, sf))
     return out.select(*KEYS, *[a.out for a in AN.W1_AGGS])
@@ -43,14 +41,14 @@ def trailing_features(spark, sf):
     "ratio_score",
     "F16",
     with_readings(
-        "SELECT event_id, round(abs(pm2_5 - a5) / nullif(a5, 0) + abs(aqi - q5) / nullif(q5, 0), 6) AS ratio_score "
+        "SELECT event_id, round(1e-9 + abs(pm2_5 - a5) / nullif(a5, 0) + abs(aqi - q5) / nullif(q5, 0), 6) AS ratio_score "
         f"FROM (SELECT *, {agg_sql('avg', 'pm2_5', f'{W_SENSOR} {frame(5)}')} AS a5, "
         f"{agg_sql('avg', 'aqi', f'{W_SENSOR} {frame(5)}')} AS q5 FROM r)"
     ),
 )
 def ratio_score(spark, sf):
     f = WN.trailing(R(spark, sf), [WN.Agg("a5", "avg", "pm2_5", 5), WN.Agg("q5", "avg", "aqi", 5)])
-    return f.select("event_id", F.round(ratio("pm2_5", "a5") + ratio("aqi", "q5"), 6).alias("ratio_score"))
+    return f.select("event_id", round_mean(ratio("pm2_5", "a5") + ratio("aqi", "q5"), 6).alias("ratio_score"))
 
 
 _RUN = f"PARTITION BY sensor_id ORDER BY epoch_us(timestamp) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -60,7 +58,7 @@ RUN_SQL = ", ".join(
 RUN_COLS = [f"{c}_{fn}" for c in ("pm2_5", "pm10", "aqi") for fn in ("avg", "max", "min")]
 
 
-@register("running_features", "W4", with_readings(f"SELECT event_id, sensor_id, timestamp, {RUN_SQL} FROM r"))
+@register("running_features", "W4", with_readings(f"SELECT event_id, sensor_id, timestamp, {RUN_SQL} FROM r"), means=[c for c in RUN_COLS if c.endswith("_avg")])
 def running_features(spark, sf):
     out = WN.running(R(spark, sf), ["pm2_5", "pm10", "aqi"])
     return out.select(*KEYS, *RUN_COLS)
@@ -80,6 +78,7 @@ def _p7_valid(spark, sf):
     "last10_features",
     "W5",
     with_readings(f"SELECT event_id, sensor_id, timestamp, {L10_SQL} FROM r WHERE {P7_VALID}"),
+    means=[a.out for a in AN.LAST10_AGGS if a.func == "avg"],
 )
 def last10_features(spark, sf):
     cols = [a.out for a in AN.LAST10_AGGS]
@@ -91,11 +90,12 @@ def last10_features(spark, sf):
     "anomaly_last10",
     "D4 W5 F16",
     with_readings(
-        "SELECT event_id, sensor_id, timestamp, pm25_avg, round(score, 6) AS anomaly_score, "
+        "SELECT event_id, sensor_id, timestamp, pm25_avg, round(1e-9 + score, 6) AS anomaly_score, "
         "score > 0.5 AS is_anomaly FROM (SELECT *, CASE WHEN n >= 2 AND pm25_avg > 0 "
         "THEN abs(pm2_5 - pm25_avg) / pm25_avg ELSE 0e0 END AS score FROM (SELECT *, "
         f"{agg_sql('avg', 'pm2_5', _L10)} AS pm25_avg, count(*) OVER ({_L10}) AS n FROM r WHERE {P7_VALID}))"
     ),
+    means=["pm25_avg"],
 )
 def anomaly_last10(spark, sf):
     out = AN.last10_features(_p7_valid(spark, sf))
@@ -106,8 +106,8 @@ def anomaly_last10(spark, sf):
     "sensor_stddev",
     "W7",
     with_readings(
-        "SELECT event_id, sensor_id, round(stddev_samp(pm2_5) OVER (PARTITION BY sensor_id), 6) AS sd_pm25, "
-        "round(stddev_samp(aqi) OVER (PARTITION BY sensor_id), 6) AS sd_aqi FROM r"
+        "SELECT event_id, sensor_id, round(1e-9 + stddev_samp(pm2_5) OVER (PARTITION BY sensor_id), 6) AS sd_pm25, "
+        "round(1e-9 + stddev_samp(aqi) OVER (PARTITION BY sensor_id), 6) AS sd_aqi FROM r"
     ),
 )
 def sensor_stddev(spark, sf):
@@ -157,7 +157,7 @@ def keep_last_overall(spark, sf):
 
 D1_SQL = (
     "SELECT event_id, sensor_id, timestamp, a5 AS pm25_5min_avg, q5 AS aqi_5min_avg, "
-    "pm25_anomaly, aqi_anomaly, is_anomaly, round(CASE WHEN is_anomaly THEN abs(pm2_5 - a5) / nullif(a5, 0) "
+    "pm25_anomaly, aqi_anomaly, is_anomaly, round(1e-9 + CASE WHEN is_anomaly THEN abs(pm2_5 - a5) / nullif(a5, 0) "
     "+ abs(aqi - q5) / nullif(q5, 0) ELSE 0e0 END, 6) AS anomaly_score FROM ("
     "SELECT *, pm25_anomaly OR aqi_anomaly AS is_anomaly FROM ("
     "SELECT *, abs(pm2_5 - a5) > 2e0 * sd25 AS pm25_anomaly, abs(aqi - q5) > 2e0 * sdq AS aqi_anomaly FROM ("
@@ -173,7 +173,7 @@ def anomaly_frame(spark, sf):
     return AN.anomaly_2sigma(Q.quality_filter(R(spark, sf)))
 
 
-@register("anomaly_2sigma", "D1 W1 W7 F16 P5", with_readings(D1_SQL))
+@register("anomaly_2sigma", "D1 W1 W7 F16 P5", with_readings(D1_SQL), means=["pm25_5min_avg", "aqi_5min_avg"])
 def anomaly_2sigma(spark, sf):
     out = anomaly_frame(spark, sf).select(*KEYS, *D1_COLS)
     return _r6(out, ["anomaly_score"])
@@ -184,10 +184,11 @@ def anomaly_2sigma(spark, sf):
     "D2 W1 W2 P6",
     with_readings(
         "SELECT event_id, sensor_id, timestamp, a5 AS pm25_5min_avg, a15 AS pm25_15min_avg, "
-        "round(abs(pm2_5 - a5) / nullif(a5, 0), 6) AS anomaly_score, abs(pm2_5 - a5) / nullif(a5, 0) > 0.5 "
+        "round(1e-9 + abs(pm2_5 - a5) / nullif(a5, 0), 6) AS anomaly_score, abs(pm2_5 - a5) / nullif(a5, 0) > 0.5 "
         f"AS is_anomaly FROM (SELECT *, {agg_sql('avg', 'pm2_5', f'{W_SENSOR} {frame(5)}')} AS a5, "
         f"{agg_sql('avg', 'pm2_5', f'{W_SENSOR} {frame(15)}')} AS a15 FROM r WHERE {FLAT_VALID_SQL})"
     ),
+    means=["pm25_5min_avg", "pm25_15min_avg"],
 )
 def anomaly_ratio5(spark, sf):
     out = AN.anomaly_ratio5(Q.flat_filter(R(spark, sf)))
@@ -200,11 +201,12 @@ def anomaly_ratio5(spark, sf):
     "D3 W4 F5 P6",
     with_readings(
         "SELECT event_id, sensor_id, timestamp, a AS pm25_avg, "
-        "round(abs(pm2_5 - a) / nullif(a, 0), 6) AS anomaly_score, abs(pm2_5 - a) / nullif(a, 0) > 0.5 AS is_anomaly, "
+        "round(1e-9 + abs(pm2_5 - a) / nullif(a, 0), 6) AS anomaly_score, abs(pm2_5 - a) / nullif(a, 0) > 0.5 AS is_anomaly, "
         f"CASE WHEN aqi >= 200 THEN 'Very Unhealthy' WHEN aqi >= 150 THEN 'Unhealthy' WHEN aqi >= 100 "
         "THEN 'Unhealthy for Sensitive Groups' WHEN aqi >= 50 THEN 'Moderate' ELSE 'Good' END AS alert_level "
         f"FROM (SELECT *, {agg_sql('avg', 'pm2_5', _RUN)} AS a FROM r WHERE {FLAT_VALID_SQL})"
     ),
+    means=["pm25_avg"],
 )
 def anomaly_running(spark, sf):
     from ..functions.aqi import alert_level

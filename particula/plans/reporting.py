@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as FT
-from ..functions.numeric import mean_sql
+from ..functions.numeric import round_mean_sql
 from ..operators import alerts as AL
 from ..operators import lookup as LK
 from ..operators import quality as Q
 from ..operators import sinks as SK
 from ..operators import stats as ST
 from ..operators import windows as WN
+from ..operators.newest import extreme_row
 from ..sources import parse as PS
 from ..sources.readings import AREA_TYPE
 from .alerting import A3_CTE, alerts3
@@ -34,9 +35,10 @@ def _bucket_sql(minutes: int) -> str:
     "A2 A11 P9",
     with_readings(
         "SELECT count(DISTINCT sensor_id) AS sensor_count, count(*) AS total_records, "
-        f"{mean_sql('aqi')} AS average_aqi, (SELECT count(*) FROM a3 WHERE is_active) AS active_alerts FROM r",
+        f"avg(aqi) AS average_aqi, (SELECT count(*) FROM a3 WHERE is_active) AS active_alerts FROM r",
         A3_CTE,
     ),
+    means=["average_aqi"],
 )
 def system_stats(spark, sf):
     return ST.system_stats(R(spark, sf), alerts3(spark, sf))
@@ -46,9 +48,9 @@ def system_stats(spark, sf):
     "sensor_statistics",
     "A3",
     with_readings(
-        f"SELECT sensor_id, count(*) AS total_readings, round({mean_sql('aqi')}, 1) AS avg_aqi, "
+        f"SELECT sensor_id, count(*) AS total_readings, {round_mean_sql('avg(aqi)', 1)} AS avg_aqi, "
         "round(CAST(max(aqi) AS DOUBLE), 1) AS max_aqi, round(CAST(min(aqi) AS DOUBLE), 1) AS min_aqi, "
-        f"round({mean_sql('pm2_5')}, 2) AS avg_pm2_5, "
+        f"{round_mean_sql('avg(pm2_5)', 2)} AS avg_pm2_5, "
         "arg_max(battery_level, (epoch_us(timestamp), event_id)) AS current_battery, "
         "arg_max(signal_strength, (epoch_us(timestamp), event_id)) AS current_signal FROM r GROUP BY sensor_id"
     ),
@@ -62,11 +64,12 @@ def sensor_statistics(spark, sf):
     "A4",
     with_readings(
         f"SELECT sensor_id, {_bucket_sql(5)} AS window_start, {_bucket_sql(5)} + INTERVAL 5 MINUTE AS window_end, "
-        f"count(*) AS total_readings, {mean_sql('aqi')} AS avg_aqi, max(CAST(aqi AS DOUBLE)) AS max_aqi, "
-        f"min(CAST(aqi AS DOUBLE)) AS min_aqi, {mean_sql('pm2_5')} AS avg_pm2_5, max(pm2_5) AS max_pm2_5, "
-        f"min(pm2_5) AS min_pm2_5, {mean_sql('battery_level')} AS avg_battery, "
-        f"{mean_sql('signal_strength')} AS avg_signal FROM r GROUP BY ALL"
+        f"count(*) AS total_readings, avg(aqi) AS avg_aqi, max(CAST(aqi AS DOUBLE)) AS max_aqi, "
+        f"min(CAST(aqi AS DOUBLE)) AS min_aqi, avg(pm2_5) AS avg_pm2_5, max(pm2_5) AS max_pm2_5, "
+        f"min(pm2_5) AS min_pm2_5, avg(battery_level) AS avg_battery, "
+        f"avg(signal_strength) AS avg_signal FROM r GROUP BY ALL"
     ),
+    means=["avg_aqi", "avg_pm2_5", "avg_battery", "avg_signal"],
 )
 def smart_stats_5m(spark, sf):
     return ST.smart_stats(R(spark, sf), "5 minutes")
@@ -75,14 +78,14 @@ def smart_stats_5m(spark, sf):
 def _window_sql(minutes: int) -> str:
     return (
         f"SELECT sensor_id, {_bucket_sql(minutes)} AS window_start, {_bucket_sql(minutes)} + INTERVAL {minutes} MINUTE "
-        f"AS window_end, {mean_sql('pm2_5')} AS avg_pm2_5, max(pm2_5) AS max_pm2_5, min(pm2_5) AS min_pm2_5, "
-        f"{mean_sql('pm10')} AS avg_pm10, max(pm10) AS max_pm10, min(pm10) AS min_pm10, count(*) AS total_readings "
+        f"AS window_end, avg(pm2_5) AS avg_pm2_5, max(pm2_5) AS max_pm2_5, min(pm2_5) AS min_pm2_5, "
+        f"avg(pm10) AS avg_pm10, max(pm10) AS max_pm10, min(pm10) AS min_pm10, count(*) AS total_readings "
         "FROM r GROUP BY ALL"
     )
 
 
 def _make_window_query(minutes: int):
-    @register(f"window_aggregates_{minutes}m", "A5 ST2", with_readings(_window_sql(minutes)))
+    @register(f"window_aggregates_{minutes}m", "A5 ST2", with_readings(_window_sql(minutes)), means=["avg_pm2_5", "avg_pm10"])
     def q(spark, sf):
         return ST.window_aggregates(R(spark, sf), f"{minutes} minutes")
 
@@ -98,11 +101,12 @@ for _m in (5, 15, 60):
     "A5 ST2",
     with_readings(
         f"SELECT sensor_id, make_timestamp(s) AS window_start, make_timestamp(s + {15 * US_MIN}) AS window_end, "
-        f"{mean_sql('pm2_5')} AS avg_pm2_5, max(pm2_5) AS max_pm2_5, min(pm2_5) AS min_pm2_5, "
-        f"{mean_sql('pm10')} AS avg_pm10, max(pm10) AS max_pm10, min(pm10) AS min_pm10, count(*) AS total_readings "
+        f"avg(pm2_5) AS avg_pm2_5, max(pm2_5) AS max_pm2_5, min(pm2_5) AS min_pm2_5, "
+        f"avg(pm10) AS avg_pm10, max(pm10) AS max_pm10, min(pm10) AS min_pm10, count(*) AS total_readings "
         f"FROM (SELECT *, epoch_us(timestamp) - (epoch_us(timestamp) % {5 * US_MIN}) - k * {5 * US_MIN} AS s "
         "FROM r, range(0, 3) t(k)) GROUP BY ALL"
     ),
+    means=["avg_pm2_5", "avg_pm10"],
 )
 def sliding_aggregates(spark, sf):
     return ST.window_aggregates(R(spark, sf), "15 minutes", "5 minutes")
@@ -116,9 +120,9 @@ def _latest(spark, sf):
     "fleet_snapshot",
     "A6 W6",
     with_readings(
-        f"SELECT count(*) AS total_sensors, CAST(floor({mean_sql('aqi')} + 0.5) AS BIGINT) AS avg_aqi, "
+        f"SELECT count(*) AS total_sensors, CAST(floor(avg(aqi) + 0.5) AS BIGINT) AS avg_aqi, "
         "count(*) FILTER (WHERE battery_level > 0) AS online_sensors, "
-        f"CAST(floor({mean_sql('battery_level')} + 0.5) AS BIGINT) AS avg_battery FROM lt",
+        f"CAST(floor(avg(battery_level) + 0.5) AS BIGINT) AS avg_battery FROM lt",
         f"lt AS ({LATEST_SQL})",
     ),
 )
@@ -133,7 +137,7 @@ CITY_SQL = "coalesce(nullif(split_part(sensor_id, '-', 2), ''), 'Unknown')"
     "map_stats",
     "A7 F15 W6",
     with_readings(
-        f"SELECT count(*) AS total_sensors, CAST(floor({mean_sql('aqi')} + 0.5) AS BIGINT) AS avg_aqi, "
+        f"SELECT count(*) AS total_sensors, CAST(floor(avg(aqi) + 0.5) AS BIGINT) AS avg_aqi, "
         f"count(DISTINCT {CITY_SQL}) AS cities_covered FROM lt",
         f"lt AS ({LATEST_SQL})",
     ),
@@ -168,9 +172,10 @@ BAND_SQL = (
     "A10 F21",
     with_readings(
         f"SELECT {BAND_SQL} AS time_band, isodow(timestamp) >= 6 AS is_weekend, count(*) AS readings, "
-        f"{mean_sql('pm2_5')} AS avg_pm2_5, {mean_sql('pm10')} AS avg_pm10, {mean_sql('aqi')} AS avg_aqi "
+        f"avg(pm2_5) AS avg_pm2_5, avg(pm10) AS avg_pm10, avg(aqi) AS avg_aqi "
         "FROM r GROUP BY ALL"
     ),
+    means=["avg_pm2_5", "avg_pm10", "avg_aqi"],
 )
 def band_profile(spark, sf):
     return ST.band_profile(R(spark, sf))
@@ -399,20 +404,37 @@ def lenient_cast(spark, sf):
     return PS.lenient_cast(strings)
 
 
+# Deliveries derived from events: every reading; again, later, those with an even event_id, without
+# battery and with another pm2_5; and a third time those divisible by three, battery alone.
+UPSERT_SQL = f"""
+deliveries AS (
+  SELECT *, event_id * 3 AS seq FROM r
+  UNION ALL BY NAME SELECT * REPLACE (pm2_5 + 1e0 AS pm2_5, NULL AS battery_level), event_id * 3 + 1 AS seq FROM r WHERE event_id % 2 = 0
+  UNION ALL BY NAME SELECT event_id, sensor_id, timestamp, 7e0 AS battery_level, event_id * 3 + 2 AS seq FROM r WHERE event_id % 3 = 0
+)"""
+
+
+def _last_sql(c: str) -> str:
+    return f"arg_max({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+
+
 @register(
     "upsert_keep_last",
-    "S8 S9",
+    "S8 S9 S10",
     with_readings(
-        f"SELECT {RC}, CASE WHEN {VALID_SQL} AND {OUTLIER_SQL} THEN 'validated' ELSE 'raw' END AS processing_version FROM r"
+        f"SELECT sensor_id, timestamp, {', '.join(_last_sql(c) for c in READING_COLS if c not in ('sensor_id', 'timestamp'))} "
+        "FROM deliveries GROUP BY sensor_id, timestamp",
+        UPSERT_SQL,
     ),
 )
 def upsert_keep_last(spark, sf):
     r = R(spark, sf).select(*READING_COLS)
-    raw = r.withColumn("processing_version", F.lit("raw")).withColumn("_ingest", F.lit(1))
-    validated = Q.quality_filter(r).withColumn("processing_version", F.lit("validated")).withColumn("_ingest", F.lit(2))
-    return SK.keep_last(raw.unionByName(validated), key=("sensor_id", "timestamp"), order="_ingest").select(
-        *READING_COLS, "processing_version"
-    )
+    id3 = F.col("event_id") * 3
+    second = r.where("event_id % 2 = 0").withColumn("pm2_5", F.col("pm2_5") + 1.0).withColumn("battery_level", F.lit(None).cast("double"))
+    third = r.where("event_id % 3 = 0").select("event_id", "sensor_id", "timestamp", F.lit(7.0).alias("battery_level"))
+    deliveries = r.withColumn("_ingest", id3).unionByName(second.withColumn("_ingest", id3 + 1))
+    deliveries = deliveries.unionByName(third.withColumn("_ingest", id3 + 2), allowMissingColumns=True)
+    return SK.keep_last(deliveries, key=("sensor_id", "timestamp"), order="_ingest").select(*READING_COLS)
 
 
 SHORT_TYPES = ("click", "view")  # rows delivered in the 15-column form; the rest in the 8-column form
@@ -483,9 +505,17 @@ def parse_flat(spark, sf):
     )
 
 
-@register("dedup_redelivery", "ST9 S8", with_readings(f"SELECT {RC} FROM r"))
+@register(
+    "dedup_redelivery",
+    "ST9 S8",
+    with_readings(
+        f"SELECT {RC} FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id, timestamp ORDER BY delivery) AS n FROM "
+        "(SELECT *, 1 AS delivery FROM r UNION ALL SELECT * REPLACE (pm2_5 + 5e0 AS pm2_5), 2 AS delivery FROM r WHERE event_id % 4 = 0)) WHERE n = 1"
+    ),
+)
 def dedup_redelivery(spark, sf):
-    """Batch twin of stream de-duplication: the table delivered twice, one row per key kept."""
+    """Batch twin of stream de-duplication: a quarter of the readings comes again with other values, the first delivery stays."""
     r = R(spark, sf).select(*READING_COLS)
-    twice = r.unionByName(r)
-    return twice.dropDuplicates(["sensor_id", "timestamp"]).select(*READING_COLS)
+    again = r.where("event_id % 4 = 0").withColumn("pm2_5", F.col("pm2_5") + 5.0)
+    both = r.withColumn("delivery", F.lit(1)).unionByName(again.withColumn("delivery", F.lit(2)))
+    return extreme_row(both, ["sensor_id", "timestamp"], "delivery", None, newest=False).select(*READING_COLS)

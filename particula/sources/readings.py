@@ -23,18 +23,9 @@ AREA_TYPE = {"click": "Urban", "view": "Industrial", "purchase": "Residential"}
 AREA_TYPE_OTHER = "Mobile"
 
 
-_TABLES: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the reader (file listing, footer schema) is reused per session."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark._jsparkSession), path)
-    if key not in _TABLES:
-        if len(_TABLES) > 64:
-            _TABLES.clear()
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    """A driver table, listed anew at every call."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _case_sql(col: str, mapping: dict, other: str) -> str:

@@ -76,8 +76,8 @@ def process_batch(batch: DataFrame) -> dict[str, DataFrame]:
     As in the reproduced job, trailing features see only the rows of the
     batch; ST2/ST5 give the event-time-correct forms.
     """
-    validated = Q.validate(batch)
-    filtered = Q.quality_filter(batch)
+    validated = Q.validate(batch).withColumn("processed_at", F.current_timestamp())
+    filtered = Q.quality_filter(validated)
     # trailing features and 2-sigma scores in one window pass over the batch
     feats = AN.anomaly_2sigma(filtered, extra=AN.W1_AGGS)
     from ..functions.aqi import alert_level, alert_message, has_alert
@@ -137,7 +137,7 @@ def start_stream_job(
             counters.add(obs.get)
             scored = parts["scored"]
             SK.upsert_table(spark, scored.drop("topic"), table_path)
-            parts["alerts"].write.mode("append").parquet(alerts_path)
+            SK.upsert_table(spark, parts["alerts"], alerts_path, key=("alert_id",))
         finally:
             b.unpersist()
 
@@ -303,19 +303,8 @@ def last_n_features(
 
 # ----------------------------------------------------------------- W1-W3 on a stream
 
-TRAIL_SPECS = [  # (output, input, minutes, func) -- same outputs as the batch W1-W3
-    ("pm25_5min_avg", "pm2_5", 5, "avg"),
-    ("pm25_15min_avg", "pm2_5", 15, "avg"),
-    ("pm25_1hour_avg", "pm2_5", 60, "avg"),
-    ("pm10_5min_avg", "pm10", 5, "avg"),
-    ("aqi_5min_avg", "aqi", 5, "avg"),
-    ("temp_5min_avg", "temperature", 5, "avg"),
-    ("humidity_5min_avg", "humidity", 5, "avg"),
-    ("pm25_5min_max", "pm2_5", 5, "max"),
-    ("pm25_5min_min", "pm2_5", 5, "min"),
-    ("aqi_5min_max", "aqi", 5, "max"),
-    ("aqi_5min_min", "aqi", 5, "min"),
-]
+# (output, input, minutes, func) of the batch W1-W3
+TRAIL_SPECS = [(a.out, a.col, a.minutes, a.func) for a in AN.W1_AGGS]
 _TRAIL_IN = ["pm2_5", "pm10", "aqi", "temperature", "humidity"]
 TRAIL_OUT = "sensor_id string, event_id long, timestamp timestamp, " + ", ".join(
     f"{o} double" for o, _, _, _ in TRAIL_SPECS
@@ -323,11 +312,6 @@ TRAIL_OUT = "sensor_id string, event_id long, timestamp timestamp, " + ", ".join
 TRAIL_STATE = "ts array<long>, vals array<array<double>>"
 
 
-def _milli(v: float) -> int:
-    # HALF_UP like Spark's round(), so stream and batch means agree exactly
-    return int(math.copysign(math.floor(abs(v) * 1000.0 + 0.5), v))
-
-
 def _trailing_fn(reach_us: int):
     import numpy as np
 
@@ -362,7 +346,7 @@ def _trailing_fn(reach_us: int):
                         if not len(v):
                             feats.append(None)
                         elif fn_name == "avg":
-                            feats.append(float(sum(_milli(x) for x in v)) / (len(v) * 1000.0))
+                            feats.append(float(v.mean()))
                         else:
                             feats.append(float(v.max() if fn_name == "max" else v.min()))
                     for r in peers:

@@ -1,6 +1,6 @@
-"""Device (smart) readings: the 8-sensor snapshot of FIXTURES section 3 as
-exact inputs for fleet and map statistics (A6, A7), device alerts (D7) and
-the battery/AQI classes (F13, F14)."""
+"""Device (smart) readings: a few invented sensors as exact inputs for fleet
+and map statistics (A6, A7), device alerts (D7) and the battery/AQI classes
+(F13, F14)."""
 
 import json
 
@@ -11,15 +11,14 @@ from particula.operators import alerts as AL
 from particula.operators import stats as ST
 from particula.sources.parse import parse_device
 
+# invented devices
 SNAPSHOT = [
-    ("smart-prishtina-001", "Prishtina", 50, 40, 45, 18.5, 87.5, 85.2),
-    ("smart-peja-002", "Peja", 20, 25, 65, 28.7, 92.1, 90.5),
-    ("smart-prizren-003", "Prizren", 30, 80, 35, 15.2, 95.3, 88.7),
-    ("smart-gjakova-004", "Gjakova", 15, 60, 55, 22.3, 78.9, 75.8),
-    ("smart-mitrovica-005", "Mitrovica", 40, 15, 40, 15.2, 65.3, 95.7),
-    ("smart-ferizaj-006", "Ferizaj", 60, 50, 75, 35.8, 95.2, 60.3),
-    ("smart-gjilan-007", "Gjilan", 70, 30, 50, 20.1, 82.6, 70.9),
-    ("smart-vushtrri-008", "Vushtrri", 35, 25, 42, 17.8, 89.3, 78.4),
+    ("smart-oakdale-101", "Oakdale", 10, 11, 30, 9.5, 71.0, 80.5),
+    ("smart-elmfield-102", "Elmfield", 21, 22, 62, 24.0, 88.5, 77.0),
+    ("smart-ashford-103", "Ashford", 33, 32, 48, 17.5, 59.5, 91.5),
+    ("smart-pinehill-104", "Pinehill", 44, 43, 51, 19.0, 93.0, 66.0),
+    ("smart-beechton-105", "Beechton", 55, 54, 39, 12.5, 80.0, 84.0),
+    ("smart-willowby-106", "Willowby", 66, 65, 70, 31.5, 97.5, 58.5),
 ]
 
 
@@ -37,10 +36,10 @@ def _frame(spark, extra=()):
 def test_fleet_and_map_stats_from_snapshot(spark):
     dev = _frame(spark)
     fleet = ST.fleet_snapshot(dev, aqi="air_quality_index").first()
-    # mean AQI 50.875 -> 51, mean battery 85.775 -> 86 (half rounds up)
-    assert (fleet.total_sensors, fleet.avg_aqi, fleet.online_sensors, fleet.avg_battery) == (8, 51, 8, 86)
+    # mean AQI 50, mean battery 81.58 -> 82
+    assert (fleet.total_sensors, fleet.avg_aqi, fleet.online_sensors, fleet.avg_battery) == (6, 50, 6, 82)
     m = ST.map_stats(dev, aqi="air_quality_index").first()
-    assert (m.total_sensors, m.avg_aqi, m.cities_covered) == (8, 51, 8)
+    assert (m.total_sensors, m.avg_aqi, m.cities_covered) == (6, 50, 6)
 
 
 def test_device_alerts_and_classes_from_snapshot(spark):
@@ -54,8 +53,8 @@ def test_device_alerts_and_classes_from_snapshot(spark):
     assert {a.message for a in alerts} == {"AQI is high: 160", "Battery is low: 25%", "Signal is weak: 35%"}
     cls = {r.sensor_id: (r.c, r.b) for r in dev.select("sensor_id", aqi_class("air_quality_index", 4).alias("c"),
                                                          battery_band("battery_level").alias("b")).collect()}
-    assert cls["smart-ferizaj-006"] == ("aqi-moderate", "battery-high")
-    assert cls["smart-mitrovica-005"] == ("aqi-good", "battery-medium")
+    assert cls["smart-willowby-106"] == ("aqi-moderate", "battery-high")
+    assert cls["smart-ashford-103"] == ("aqi-good", "battery-medium")
     assert cls["smart-test-009"] == ("aqi-hazardous", "battery-low")
 
 

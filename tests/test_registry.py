@@ -78,20 +78,44 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_join_small_broadcasts_only_within_bound(spark):
-    from particula.operators.joins import join_small
-
-    big = spark.range(0, 2000).withColumnRenamed("id", "k")
-    small = spark.range(0, 50).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 2)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        fast = join_small(big, small, ["k"], "left")
-        slow = join_small(big, small, ["k"], "left", max_rows=10)
-        assert "BroadcastHashJoin" in _plan(fast)
-        assert "BroadcastHashJoin" not in _plan(slow)
-        assert sorted(fast.collect()) == sorted(slow.collect())
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_null_safe_join_keeps_null_keys(spark):
+    from particula.operators.joins import null_safe_join
+
+    big = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, x string")
+    small = spark.createDataFrame([(1, 10), (None, 20)], "k int, y int")
+    assert sorted(map(tuple, null_safe_join(big, small, ["k"]).collect()), key=str) == [(1, "a", 10), (2, "c", None), (None, "b", 20)]
+    assert {r.x for r in null_safe_join(big, small, ["k"], "left_semi").collect()} == {"a", "b"}
+
+
+@pytest.mark.parametrize("name", ["latest_reading", "state_merge", "sensor_statistics", "upsert_keep_last", "first_per_sensor", "fleet_snapshot", "dim_update"])
+def test_newest_rows_need_no_sorted_aggregate(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    df.collect()
+    plan = _plan(df)
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_measured_columns_reach_the_scan_and_a_fresh_file_is_seen(spark, scratch):
+    from particula.operators import quality as Q
+    from particula.sources.readings import table
+
+    path = f"{scratch}/readings.parquet"
+    rows = [(1, "s", 5.0, 6.0, 20.0, 50.0, 30), (2, "s", -5.0, 6.0, 20.0, 50.0, 30)]
+    df = spark.createDataFrame(rows, "event_id long, sensor_id string, pm2_5 double, pm10 double, temperature double, humidity double, aqi int")
+    df.write.parquet(path)
+    for f in (Q.flat_filter, Q.quality_filter):
+        out = f(table(spark, scratch, "readings"))
+        scan = [line for line in out._jdf.queryExecution().toString().splitlines() if "PushedFilters" in line][-1]
+        assert "pm2_5" in scan.split("PushedFilters")[1] and [r.event_id for r in out.collect()] == [1]
+    df.write.mode("append").parquet(path)
+    assert table(spark, scratch, "readings").count() == 4
+
+
+def test_queries_leave_no_persisted_frame(spark):
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for name in ("running_features", "keep_last_n", "membership_flag", "dim_update", "digest_chain"):
+        E.queries()[name](spark, SF_SMALL).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= held
 
 
 def test_map_only_and_partial_aggregate_plans(spark):
@@ -99,7 +123,7 @@ def test_map_only_and_partial_aggregate_plans(spark):
     alerts = _plan(q["alerts3"](spark, SF_SMALL))
     assert "Exchange" not in alerts
     latest = _plan(q["latest_reading"](spark, SF_SMALL))
-    assert "partial_max_by" in latest
+    assert "partial_max" in latest
     recent = _plan(q["recent_n"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in recent
 

@@ -1,9 +1,11 @@
 """Sinks: partitioned table, keyed upsert, CSV export, DDL, JSON publish, preview."""
 
 import csv
+import datetime as dt
 import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from particula import schemas as S
@@ -22,7 +24,7 @@ def test_write_table_partitioned_and_upsert_idempotent(spark, scratch):
     assert back.count() == r.count()
     # upsert of a changed slice rewrites those keys only, twice gives the same table
     first_day = back.agg(F.min("date")).first()[0]
-    changed = back.filter(F.col("date") == first_day).drop("date").withColumn("pm2_5", F.lit(-1.0))
+    changed = back.filter(F.col("date") == first_day).drop("date", "hour").withColumn("pm2_5", F.lit(-1.0))
     changed = spark.createDataFrame(changed.collect(), changed.schema)  # the batch must not read the target
     SK.upsert_table(spark, changed, path)
     SK.upsert_table(spark, changed, path)
@@ -63,3 +65,43 @@ def test_preview_prints(spark, capsys):
     SK.preview(readings(spark, SF_SMALL), ["sensor_id", "aqi"], n=3)
     out = capsys.readouterr().out
     assert "sensor_id" in out and "only showing top 3 rows" in out
+
+
+KEYED = "sensor_id string, timestamp timestamp, pm2_5 double, pm10 double"
+
+
+def _rows(spark, rows, schema=KEYED):
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def test_upsert_fails_without_touching_the_table(spark, scratch):
+    path = os.path.join(scratch, "safe")
+    t = dt.datetime(2024, 1, 1, 5)
+    SK.upsert_table(spark, _rows(spark, [(f"s{i}", t, 1.0, 2.0) for i in range(100)]), path)
+    wrong = _rows(spark, [("s1", t, "x", 2.0)], KEYED.replace("pm2_5 double", "pm2_5 string"))
+    with pytest.raises(ValueError):
+        SK.upsert_table(spark, wrong, path)
+    assert spark.read.parquet(path).count() == 100
+    broken = os.path.join(scratch, "broken")
+    os.makedirs(broken)
+    with open(os.path.join(broken, "part-0.parquet"), "w") as fh:
+        fh.write("not parquet")
+    with pytest.raises(Exception):
+        SK.upsert_table(spark, _rows(spark, [("s1", t, 1.0, 2.0)]), broken)
+    assert os.listdir(broken) == ["part-0.parquet"]
+
+
+def test_upsert_last_write_wins_and_null_keeps_old_values(spark, scratch):
+    path = os.path.join(scratch, "merge")
+    t = dt.datetime(2024, 1, 1, 5)
+    batch = _rows(spark, [("a", t, 1.0, 10.0), ("a", t, 2.0, None), ("a", t, 3.0, None), ("b", t, 4.0, None), (None, t, 9.0, 9.0)])
+    SK.upsert_table(spark, batch, path)
+    got = lambda: {r.sensor_id: (r.pm2_5, r.pm10) for r in spark.read.parquet(path).collect()}
+    assert got() == {"a": (3.0, 10.0), "b": (4.0, None)}
+    SK.upsert_table(spark, _rows(spark, [("b", t, None, 5.0)]), path)
+    SK.upsert_table(spark, _rows(spark, [("b", t, None, 5.0)]), path)
+    assert got() == {"a": (3.0, 10.0), "b": (4.0, 5.0)}
+    # the order of an explicit sequence, whatever the order of arrival
+    seq = _rows(spark, [("a", t, 7.0, None, 2), ("a", t, 6.0, None, 1)], KEYED + ", seq long")
+    SK.upsert_table(spark, seq, os.path.join(scratch, "seq"), sequence="seq")
+    assert [r.pm2_5 for r in spark.read.parquet(os.path.join(scratch, "seq")).collect()] == [7.0]

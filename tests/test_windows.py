@@ -168,3 +168,93 @@ def test_keep_last_cutoff_matches_rank(spark, frame, slot):
     w = Window.partitionBy("sensor_id").orderBy(F.desc("timestamp"), F.desc("event_id"))
     ref = {r.event_id for r in frame.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").collect()}
     assert got == ref
+
+
+ODD = "event_id long, sensor_id string, timestamp timestamp, pm2_5 double, pm10 double, aqi int"
+
+
+def _odd(spark, n=160):
+    import datetime as dt
+    import random
+
+    r = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(n):
+        t = None if i % 11 == 0 else t0 + dt.timedelta(seconds=r.choice([0, 7, 300, 301, 3599, 3600, 9000]) + r.randint(0, 900))
+        rows.append((i, None if i % 7 == 0 else r.choice(["a", "b"]), t, None if i % 13 == 0 else r.uniform(0, 99), r.uniform(0, 99), r.randint(0, 300)))
+    return spark.createDataFrame(rows, ODD)
+
+
+def _close(a, b):
+    return a == b or (a is not None and b is not None and abs(a - b) < 1e-9)
+
+
+def test_no_row_without_time_or_sensor_is_lost(spark):
+    """Every operator against the plain window on frames with NULL sensors and NULL times."""
+    from pyspark.sql import Window
+
+    from particula.operators import windows as WN
+
+    df = _odd(spark)
+    plain = Window.partitionBy("sensor_id")
+    micros = F.unix_micros("timestamp")
+    cases = []
+    for minutes in (5, 60):
+        w = plain.orderBy(micros).rangeBetween(-minutes * 60_000_000, 0)
+        cases.append((WN.trailing(df, [WN.Agg("x", "avg", "pm2_5", minutes)]), F.avg("pm2_5").over(w)))
+    w = plain.orderBy(micros).rangeBetween(Window.unboundedPreceding, 0)
+    for minutes in ("auto", 1):
+        cases.append((WN.running(df, ["pm2_5"], bucket_minutes=minutes).withColumnRenamed("pm2_5_avg", "x"), F.avg("pm2_5").over(w)))
+    w = plain.orderBy(micros, "event_id").rowsBetween(-9, 0)
+    for minutes in ("auto", 1):
+        cases.append((WN.last_rows(df, [WN.Agg("x", "avg", "pm2_5")], n=10, bucket_minutes=minutes), F.avg("pm2_5").over(w)))
+    cases.append((WN.partition_stats(df, [("x", F.stddev_samp("pm2_5"))]), F.stddev_samp("pm2_5").over(plain)))
+    for got, want in cases:
+        have = {r.event_id: r.x for r in got.collect()}
+        expect = {r.event_id: r.x for r in df.select("event_id", want.alias("x")).collect()}
+        assert have.keys() == expect.keys()
+        assert all(_close(have[i], expect[i]) for i in have)
+    for n in (3, 1000):
+        rank = F.row_number().over(plain.orderBy(F.desc("timestamp"), F.desc("event_id")))
+        want = {r.event_id for r in df.withColumn("n", rank).where(F.col("n") <= n).collect()}
+        assert {r.event_id for r in WN.keep_last(df, n).collect()} == want
+
+
+def test_one_minute_bounds_a_dense_hour(spark):
+    """A sensor with all rows in one hour: running and last-N tasks hold a minute, not the hour."""
+    from particula.operators import windows as WN
+
+    df = spark.range(36_000).selectExpr("id AS event_id", "'hot' AS sensor_id", "timestamp_millis(id * 100) AS timestamp", "CAST(id % 97 AS DOUBLE) AS pm2_5")
+    length = WN.bucket_length(df, "sensor_id", "timestamp", WN.SHORT_UNIT_US, target_rows=1000)
+    assert df.limit(1).select(length.alias("n")).first().n == 60_000_000
+    got = WN.running(df, ["pm2_5"], bucket_minutes=1).where("event_id % 3599 = 0")
+    assert all(abs(r.pm2_5_avg - sum(i % 97 for i in range(r.event_id + 1)) / (r.event_id + 1)) < 1e-9 for r in got.collect())
+
+
+def test_means_are_true_means(spark):
+    from particula.operators import stats as ST
+
+    rows = [("a", 0.0004, 1.0), ("a", 0.0004, float("nan")), ("b", 0.00001, 2.0)]
+    df = spark.createDataFrame(rows, "sensor_id string, pm2_5 double, pm10 double").withColumn("timestamp", F.timestamp_seconds(F.lit(0)))
+    got = {r.sensor_id: r for r in ST.window_aggregates(df).collect()}
+    assert got["a"].avg_pm2_5 == 0.0004 and got["b"].avg_pm2_5 == 0.00001
+    assert got["a"].avg_pm10 != got["a"].avg_pm10  # NaN, as avg gives it
+
+
+def test_lookback_offset_is_kept_under_any_driver_zone(spark, monkeypatch):
+    import time
+
+    from particula.operators import quality as Q
+
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        df = spark.range(24).selectExpr("id", "timestamp_seconds(1704067200 + id * 3600) AS timestamp")
+        got = Q.lookback(df, 2, as_of="2024-01-01T12:00:00+05:00").agg(F.min("id")).first()[0]
+        assert got == 5
+        assert Q.lookback(df, 2, as_of="2024-01-01T12:00:00").agg(F.min("id")).first()[0] == 10
+        assert Q.lookback(df, 2).count() == 3
+    finally:
+        monkeypatch.undo()
+        time.tzset()
