@@ -7,7 +7,7 @@
 * ST3  `run_available_now`: process what is there, then stop (poll loop).
 * ST4  `max_per_trigger` on the source.
 * ST5  `last_n_features`: keyed state of the last `keep` readings per sensor
-       (bounded), emits last-n features per reading.
+       (bounded), emits last-n features per reading, late readings marked.
 * ST6  `latest_state`: keyed newest non-missing value per field (update mode).
 * ST7  `alert_digest`: 30-minute cooldown digest, bounded state per key.
 * ST8  `CounterListener` + observed metrics.
@@ -18,10 +18,10 @@
 
 from __future__ import annotations
 
-import math
 import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -230,148 +230,158 @@ def run_available_now(writer_factory, checkpoint: str):
 
 # ----------------------------------------------------------------- ST5
 
-LAST_N_OUT = (
-    "sensor_id string, event_id long, timestamp timestamp, pm2_5 double, pm25_avg double, pm10_avg double, "
-    "aqi_avg double, pm25_max double, pm25_min double, anomaly_score double, is_anomaly boolean"
-)
-LAST_N_STATE = "ts array<long>, ids array<long>, pm25 array<double>, pm10 array<double>, aqi array<double>"
+# Keyed event-time state, shared by ST5 and the streamed W1-W3. A key's readings are kept as arrays in the
+# order (time, id): first those already answered, then those that wait for the lateness to pass.
+KEYED_STATE = "ts array<long>, ids array<long>, vals array<array<double>>, frontier long"
+LATE_OUT = ", is_late boolean"
+
+
+def _over(op, values: np.ndarray, low: np.ndarray, high: np.ndarray, empty: float) -> np.ndarray:
+    """op over values[low:high] for every pair (low < high), NaN counting as `empty`."""
+    padded = np.append(np.where(np.isnan(values), empty, values), empty)
+    return op.reduceat(padded, np.column_stack([low, high]).ravel())[::2]
+
+
+def _frame_stats(values: np.ndarray, low: np.ndarray, high: np.ndarray, func: str) -> np.ndarray:
+    """avg, max or min of the non-NaN values of every frame; NaN where there is none."""
+    n = _over(np.add, np.where(np.isnan(values), 0.0, 1.0), low, high, 0.0)
+    if func == "avg":
+        total = _over(np.add, values, low, high, 0.0)
+        return np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
+    found = _over(np.maximum if func == "max" else np.minimum, values, low, high, -np.inf if func == "max" else np.inf)
+    return np.where(n > 0, found, np.nan)
 
 
-_LAST_N_COLS = ["sensor_id", "event_id", "timestamp", "pm2_5", "pm25_avg", "pm10_avg", "aqi_avg", "pm25_max",
-                "pm25_min", "anomaly_score", "is_anomaly"]
+def _keyed_fn(inputs: list[str], answer, retain, lateness_us: int, columns: list[str], ttl_ms: int | None = None):
+    """A keyed function with out-of-order tolerance.
 
+    A reading is answered once the key has seen a time `lateness_us` later
+    (at once when that is 0). One that is older than a reading already answered
+    is late: it comes out with `is_late` true and without features, and changes
+    nothing. `answer(ts, vals, rows)` gives the feature columns of the rows
+    (positions in the arrays); `retain(ts, n, frontier)` the first position kept.
+    """
 
-def _last_n_fn(n: int, keep: int, ttl_ms: int | None = None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # idle longer than the TTL: drop the sensor's history
+        if state.hasTimedOut:  # idle longer than the TTL: drop the key's history
             state.remove()
             return
         if state.exists:
-            ts, ids, p25, p10, aq = (list(x) for x in state.get)
+            ts, ids, vals, frontier = state.get
+            ts, ids = np.array(ts, np.int64), np.array(ids, np.int64)
+            vals = np.array(vals, float).reshape(len(ts), len(inputs))
         else:
-            ts, ids, p25, p10, aq = [], [], [], [], []
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if len(batch):
-            t_us = batch["timestamp"].astype("datetime64[us]").astype("int64")
-            batch = batch.assign(t_us=t_us).sort_values(["t_us", "event_id"], kind="stable")
-        rows = []
-        for r in batch.itertuples(index=False):
-            if ts and int(r.t_us) < ts[-1]:
-                continue  # older than a reading already folded in: late, dropped
-            ts.append(int(r.t_us))
-            ids.append(int(r.event_id))
-            p25.append(float(r.pm2_5))
-            p10.append(float(r.pm10))
-            aq.append(float(r.aqi))
-            if len(ts) > keep:  # bounded state: keep the newest `keep` readings
-                del ts[0], ids[0], p25[0], p10[0], aq[0]
-            w25, w10, wq = p25[-n:], p10[-n:], aq[-n:]
-            a25 = sum(w25) / len(w25)
-            score = abs(r.pm2_5 - a25) / a25 if len(w25) >= 2 and a25 > 0 else 0.0
-            rows.append(
-                (key[0], int(r.event_id), r.timestamp, float(r.pm2_5), a25, sum(w10) / len(w10), sum(wq) / len(wq),
-                 max(w25), min(w25), score, score > C.RATIO_ANOMALY_THRESHOLD)
-            )
-        state.update((ts, ids, p25, p10, aq))
+            ts, ids, vals, frontier = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(inputs))), None
+        waiting = np.zeros(len(ts), bool) if frontier is None else ts > frontier
+        parts = []
+        for batch in pdfs:  # one Arrow batch at a time
+            t = batch["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+            late = np.zeros(len(t), bool) if frontier is None else t < frontier
+            if late.any():
+                out = batch.loc[late, ["event_id", "timestamp"]].assign(sensor_id=key[0], is_late=True)
+                parts.append(out.reindex(columns=columns))
+            ts, ids = np.append(ts, t[~late]), np.append(ids, batch["event_id"].to_numpy(np.int64)[~late])
+            vals = np.concatenate([vals, batch[inputs].to_numpy(float)[~late]])
+            waiting = np.append(waiting, np.ones(int((~late).sum()), bool))
+        order = np.lexsort((ids, ts))
+        ts, ids, vals, waiting = ts[order], ids[order], vals[order], waiting[order]
+        if len(ts):
+            ripe = waiting & (ts <= ts[-1] - lateness_us)
+            rows = np.flatnonzero(ripe)
+            if len(rows):
+                out = pd.DataFrame(answer(ts, vals, rows))
+                out["sensor_id"], out["event_id"], out["is_late"] = key[0], ids[rows], False
+                out["timestamp"] = pd.to_datetime(ts[rows], unit="us")
+                parts.append(out.reindex(columns=columns))
+                frontier = int(ts[rows[-1]])
+        first = retain(ts, int((~waiting).sum()) + (len(rows) if len(ts) else 0), frontier) if frontier is not None else 0
+        state.update((ts[first:].tolist(), ids[first:].tolist(), vals[first:].tolist(), frontier))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(rows, columns=_LAST_N_COLS)
+        yield from parts
 
     return fn
 
 
+def _minutes(text: str) -> int:
+    """Microseconds of an interval like '10 minutes'."""
+    return int(pd.Timedelta(text) // pd.Timedelta(microseconds=1))
+
+
+LAST_N_OUT = (
+    "sensor_id string, event_id long, timestamp timestamp, pm2_5 double, pm25_avg double, pm10_avg double, "
+    "aqi_avg double, pm25_max double, pm25_min double, anomaly_score double, is_anomaly boolean"
+) + LATE_OUT
+_LAST_N_COLS = [c.split()[0] for c in LAST_N_OUT.split(", ")]
+
+
+def _last_n_answer(n: int):
+    def answer(ts, vals, rows):
+        low, high = np.maximum(rows - n + 1, 0), rows + 1
+        p25, p10, aqi = vals.T
+        avg = _frame_stats(p25, low, high, "avg")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.abs(p25[rows] - avg) / avg
+        score = np.where((high - low >= 2) & (avg > 0), ratio, 0.0)
+        return {
+            "pm2_5": p25[rows],
+            "pm25_avg": avg,
+            "pm10_avg": _frame_stats(p10, low, high, "avg"),
+            "aqi_avg": _frame_stats(aqi, low, high, "avg"),
+            "pm25_max": _frame_stats(p25, low, high, "max"),
+            "pm25_min": _frame_stats(p25, low, high, "min"),
+            "anomaly_score": score,
+            "is_anomaly": score > C.RATIO_ANOMALY_THRESHOLD,
+        }
+
+    return answer
+
+
 def last_n_features(
-    stream: DataFrame, n: int = C.LAST_N_ROWS, keep: int = C.KEEP_LAST_PER_SENSOR, ttl_minutes: float | None = None
+    stream: DataFrame, n: int = C.LAST_N_ROWS, keep: int = C.KEEP_LAST_PER_SENSOR, ttl_minutes: float | None = None, lateness: str = "0 minutes"
 ) -> DataFrame:
     """ST5 (+W5/D4 on a stream): per-sensor state of the newest `keep` readings.
 
-    Each micro-batch hands a sensor's new rows (bounded by the trigger size)
-    to one call; rows are ordered by (timestamp, event_id) within the batch,
-    and a row older than the newest reading already in the state arrived
-    too late and is dropped (so the state stays in event-time order).
-    Input is expected to be validated (P7) upstream. With `ttl_minutes` the
-    history of a sensor silent for that long (processing time) is dropped;
-    timeouts need a processing-time trigger (idle no-data batches run them).
+    Rows are answered in the order (timestamp, event_id); out-of-order rows
+    within `lateness` are put in their place first, later ones come out with
+    `is_late` (see `_keyed_fn`). The state holds `keep` answered readings and
+    those of the last `lateness`. Input is expected to be validated (P7)
+    upstream. With `ttl_minutes` the history of a sensor silent for that long
+    (processing time) is dropped; timeouts need a processing-time trigger.
     """
     cols = stream.select("sensor_id", "event_id", "timestamp", "pm2_5", "pm10", F.col("aqi").cast("double").alias("aqi"))
     ttl_ms = int(ttl_minutes * 60_000) if ttl_minutes else None
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return cols.groupBy("sensor_id").applyInPandasWithState(
-        _last_n_fn(n, keep, ttl_ms), LAST_N_OUT, LAST_N_STATE, "append", timeout
-    )
+    fn = _keyed_fn(["pm2_5", "pm10", "aqi"], _last_n_answer(n), lambda ts, done, _: max(0, done - keep), _minutes(lateness), _LAST_N_COLS, ttl_ms)
+    return cols.groupBy("sensor_id").applyInPandasWithState(fn, LAST_N_OUT, KEYED_STATE, "append", timeout)
 
 
 # ----------------------------------------------------------------- W1-W3 on a stream
 
-# (output, input, minutes, func) of the batch W1-W3
-TRAIL_SPECS = [(a.out, a.col, a.minutes, a.func) for a in AN.W1_AGGS]
 _TRAIL_IN = ["pm2_5", "pm10", "aqi", "temperature", "humidity"]
-TRAIL_OUT = "sensor_id string, event_id long, timestamp timestamp, " + ", ".join(
-    f"{o} double" for o, _, _, _ in TRAIL_SPECS
-)
-TRAIL_STATE = "ts array<long>, vals array<array<double>>"
-
-
-def _trailing_fn(reach_us: int):
-    import numpy as np
+TRAIL_OUT = "sensor_id string, event_id long, timestamp timestamp, " + ", ".join(f"{a.out} double" for a in AN.W1_AGGS) + LATE_OUT
+_TRAIL_COLS = [c.split()[0] for c in TRAIL_OUT.split(", ")]
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, vals = ([], []) if not state.exists else (list(state.get[0]), [list(v) for v in state.get[1]])
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        rows = []
-        if len(batch):
-            t_us = batch["timestamp"].astype("datetime64[us]").astype("int64")
-            batch = batch.assign(t_us=t_us).sort_values(["t_us", "event_id"], kind="stable")
-            recs = list(batch.itertuples(index=False))
-            i = 0
-            while i < len(recs):
-                # readings with the same timestamp share their frames (RANGE semantics)
-                j = i
-                while j < len(recs) and recs[j].t_us == recs[i].t_us:
-                    j += 1
-                peers = [r for r in recs[i:j] if not ts or r.t_us >= ts[-1]]  # older ones are late: dropped
-                for r in peers:
-                    ts.append(int(r.t_us))
-                    vals.append([float("nan") if pd.isna(getattr(r, c)) else float(getattr(r, c)) for c in _TRAIL_IN])
-                if peers:
-                    now = peers[0].t_us
-                    while ts and ts[0] < now - reach_us:  # state keeps one frame length
-                        ts.pop(0)
-                        vals.pop(0)
-                    tarr, varr = np.asarray(ts), np.asarray(vals)
-                    feats = []
-                    for _, col, minutes, fn_name in TRAIL_SPECS:
-                        v = varr[tarr >= now - int(minutes * C.MICROS_PER_MINUTE), _TRAIL_IN.index(col)]
-                        v = v[~np.isnan(v)]
-                        if not len(v):
-                            feats.append(None)
-                        elif fn_name == "avg":
-                            feats.append(float(v.mean()))
-                        else:
-                            feats.append(float(v.max() if fn_name == "max" else v.min()))
-                    for r in peers:
-                        rows.append((key[0], int(r.event_id), r.timestamp, *feats))
-                i = j
-        state.update((ts, vals))
-        yield pd.DataFrame(rows, columns=["sensor_id", "event_id", "timestamp"] + [o for o, _, _, _ in TRAIL_SPECS])
 
-    return fn
+def _trailing_answer(ts, vals, rows):
+    high = np.searchsorted(ts, ts[rows], "right")  # readings of the same time share their frames
+    out = {}
+    for a in AN.W1_AGGS:
+        low = np.searchsorted(ts, ts[rows] - int(a.minutes * C.MICROS_PER_MINUTE))
+        out[a.out] = _frame_stats(vals[:, _TRAIL_IN.index(a.col)], low, high, a.func)
+    return out
 
 
-def trailing_features_stream(stream: DataFrame, reach_minutes: float = 60.0) -> DataFrame:
+def trailing_features_stream(stream: DataFrame, reach_minutes: float = 60.0, lateness: str = "0 minutes") -> DataFrame:
     """W1-W3 on a stream with event-time frames (the batch `trailing_features`).
 
-    Per-sensor state holds the readings of the last `reach_minutes`, so it is
-    bounded by one frame of data; readings older than the newest one already
-    folded in are late and dropped.
+    Per-sensor state holds the readings of the last `reach_minutes` and of
+    `lateness`; late readings come out with `is_late` (see `_keyed_fn`).
     """
-    cols = stream.select(
-        "sensor_id", "event_id", "timestamp", *[F.col(c).cast("double").alias(c) for c in _TRAIL_IN]
-    )
-    return cols.groupBy("sensor_id").applyInPandasWithState(
-        _trailing_fn(int(reach_minutes * C.MICROS_PER_MINUTE)), TRAIL_OUT, TRAIL_STATE, "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    reach = int(reach_minutes * C.MICROS_PER_MINUTE)
+    cols = stream.select("sensor_id", "event_id", "timestamp", *[F.col(c).cast("double").alias(c) for c in _TRAIL_IN])
+    fn = _keyed_fn(_TRAIL_IN, _trailing_answer, lambda ts, done, frontier: int(np.searchsorted(ts, frontier - reach)), _minutes(lateness), _TRAIL_COLS)
+    return cols.groupBy("sensor_id").applyInPandasWithState(fn, TRAIL_OUT, KEYED_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # ----------------------------------------------------------------- ST6
