@@ -27,6 +27,19 @@ def extreme_row(df: DataFrame, key: list[str], by: str, tie: str | None, newest:
     return rows.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def _edges(df: DataFrame, key: list[str], cols: list[str], by: str) -> DataFrame:
+    """Per key the newest `by`, and the newest at which each column is not NULL."""
+    return df.groupBy(*key).agg(F.max(by).alias(by), *[F.max(F.when(F.col(c).isNotNull(), F.col(by))).alias(f"_at_{c}") for c in cols])
+
+
+def carrying_rows(df: DataFrame, key: list[str], cols: list[str], by: str, edges: DataFrame | None = None) -> DataFrame:
+    """The rows at which some column has its key's newest non-NULL value."""
+    edges = _edges(df, key, cols, by) if edges is None else edges
+    wanted = edges.select(*key, F.explode(F.array_distinct(F.array(*[F.col(f"_at_{c}") for c in cols]))).alias("_by"))
+    wanted = wanted.filter(F.col("_by").isNotNull()).withColumnRenamed("_by", by)
+    return null_safe_join(df, wanted, [*key, by], "left_semi")
+
+
 def newest_values(df: DataFrame, key: list[str], cols: list[str], by: str, tie: str) -> DataFrame:
     """Per key and column the newest non-NULL value (order `by`, then `tie`), and the newest `by` itself.
 
@@ -34,10 +47,8 @@ def newest_values(df: DataFrame, key: list[str], cols: list[str], by: str, tie:
     what is gathered there does not grow with the key's history. Rows without
     `by` never win.
     """
-    edges = df.groupBy(*key).agg(F.max(by).alias(by), *[F.max(F.when(F.col(c).isNotNull(), F.col(by))).alias(f"_at_{c}") for c in cols])
-    wanted = edges.select(*key, F.explode(F.array_distinct(F.array(*[F.col(f"_at_{c}") for c in cols]))).alias("_by"))
-    wanted = wanted.filter(F.col("_by").isNotNull()).withColumnRenamed("_by", by)
-    rows = null_safe_join(df, wanted, [*key, by], "left_semi")
+    edges = _edges(df, key, cols, by)
+    rows = carrying_rows(df, key, cols, by, edges)
 
     def newest(c):
         held = F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(by).alias("b"), F.col(tie).alias("t"), F.col(c).alias("v"))))

@@ -363,3 +363,47 @@ def digest_chain(spark, sf):
         "sent_at", "total_alerts", "high_alerts", "medium_alerts", "low_alerts", "more_high", "deliver",
         F.array_join("top_high", "; ").alias("top_high_text"),
     )
+
+
+# Device envelopes derived from events: a label instead of the AQI, a bad number, and real re-deliveries.
+ENVELOPE_CTE = f"""
+wire AS (
+  SELECT event_id, sensor_id, timestamp,
+         CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(aqi AS DOUBLE) END AS air_quality_index,
+         CASE WHEN event_id % 7 = 0 THEN NULL ELSE battery_level END AS battery_level, signal_strength FROM r
+),
+delivered AS (SELECT DISTINCT sensor_id, timestamp, air_quality_index, battery_level, signal_strength FROM wire WHERE timestamp IS NOT NULL),
+found AS (
+  SELECT sensor_id, timestamp, 'air_quality_alert' AS alert_type, CASE WHEN air_quality_index > {C.DEVICE_AQI_CRITICAL} THEN 'critical' ELSE 'high' END AS severity
+  FROM delivered WHERE air_quality_index > {C.DEVICE_AQI_ALERT}
+  UNION ALL SELECT sensor_id, timestamp, 'battery_low', 'medium' FROM delivered WHERE battery_level < {C.DEVICE_BATTERY_LOW}
+  UNION ALL SELECT sensor_id, timestamp, 'signal_weak', 'medium' FROM delivered WHERE signal_strength < {C.DEVICE_SIGNAL_WEAK}
+)"""
+
+
+def device_envelopes(r):
+    """Readings as device messages: every fifth AQI is a label, every seventh battery no number, every third message comes twice."""
+    aqi = F.when(F.col("event_id") % 5 == 0, F.to_json(F.struct(F.lit("Moderate").alias("v")))).otherwise(F.to_json(F.struct(F.col("aqi").alias("v"))))
+    battery = F.when(F.col("event_id") % 7 == 0, F.to_json(F.struct(F.lit("n/a").alias("v")))).otherwise(F.to_json(F.struct(F.col("battery_level").alias("v"))))
+    inner = lambda c: F.coalesce(F.regexp_extract(c, '^\\{"v":(.*)\\}$', 1), F.lit(""))
+    text = lambda c: F.when(inner(c) == "", "null").otherwise(inner(c))
+    value = F.concat(
+        F.lit('{"sensor_id":"'), "sensor_id", F.lit('","timestamp":"'), F.date_format("timestamp", "yyyy-MM-dd\'T\'HH:mm:ss.SSSSSS\'Z\'"),
+        F.lit('","air_quality_index":'), text(aqi), F.lit(',"battery_level":'), text(battery),
+        F.lit(',"signal_strength":'), F.coalesce(F.col("signal_strength").cast("string"), F.lit("null")), F.lit("}"),
+    )
+    copies = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return r.filter(F.col("timestamp").isNotNull()).select(value.alias("value"), F.explode(copies).alias("delivery"))
+
+
+@register(
+    "device_envelope_alerts",
+    "S6 ST9 D7 T6",
+    with_readings("SELECT sensor_id, timestamp, alert_type, severity FROM found", ENVELOPE_CTE),
+)
+def device_envelope_alerts(spark, sf):
+    from ..sources.parse import parse_device
+
+    devices = parse_device(device_envelopes(R(spark, sf)))
+    once = devices.dropDuplicates(["sensor_id", "timestamp", "air_quality_index", "battery_level", "signal_strength"])
+    return AL.device_alerts(once, aqi="air_quality_index").select("sensor_id", "timestamp", "alert_type", "severity")

@@ -19,22 +19,27 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as C
+from .. import schemas as S
 from ..functions.aqi import aqi_score
 from ..operators import alerts as AL
 from ..operators import anomalies as AN
+from ..operators import newest as NW
 from ..operators import quality as Q
 from ..operators import sinks as SK
+from ..operators import stats as ST
 from ..sources import parse as PS
+from ..session import cut_lineage
 from ..sources.connectors import read_stream
 
 # ----------------------------------------------------------------- sources
@@ -153,6 +158,35 @@ def start_stream_job(
 # ----------------------------------------------------------------- S3 on streams
 
 
+def _typed(fields) -> Callable[[DataFrame], DataFrame]:
+    """Parser of a JSON value with the given columns; a missing time becomes now."""
+    wire = T.StructType([T.StructField(f.name, T.StringType() if f.name == "timestamp" else f.dataType) for f in fields])
+
+    def parse(rows: DataFrame) -> DataFrame:
+        d = rows.select(F.from_json("value", wire).alias("d")).select("d.*")
+        return d.withColumn("timestamp", PS.parse_timestamp(F.col("timestamp")))
+
+    return parse
+
+
+# table of a topic: its parser and its key
+TYPED_TABLES = {
+    "air_quality_data": (lambda rows: SK.align(PS.parse_readings(rows)), SK.READINGS_KEY),
+    "smart_virtual_sensors": (PS.parse_device, SK.READINGS_KEY),
+    "smart_sensor_alerts": (_typed(S.DEVICE_ALERTS.fields), ("alert_id",)),
+    "air_quality_alerts": (_typed(S.ALERTS.fields), ("alert_id",)),
+    "smart_sensor_stats": (
+        _typed([*(T.StructField(c, T.StringType()) for c in ("sensor_id",)), T.StructField("timestamp", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in ST.SMART_COLS)]),
+        SK.READINGS_KEY,
+    ),
+}
+
+
+def route_typed(batch: DataFrame, mapping: dict = C.TOPIC_TABLES) -> dict[str, DataFrame]:
+    """Each mapped topic's records parsed into its table's columns."""
+    return {table: TYPED_TABLES[table][0](batch.filter(F.col("topic") == topic)) for topic, table in mapping.items()}
+
+
 def start_router(
     envelopes: DataFrame,
     base_path: str,
@@ -160,25 +194,20 @@ def start_router(
     mapping: dict = C.TOPIC_TABLES,
     trigger: dict | None = None,
 ):
-    """One subscription over several topics, each record routed to the
-    table of its topic. The map is a literal (bounded), rows of unmapped
-    topics are dropped and counted; one partitioned write per micro-batch
-    replaces a write per sink."""
-    from ..operators.joins import lookup_map
-
+    """One subscription over several topics, each record parsed and
+    upserted into the typed table of its topic (`base_path/<table>`), so a
+    replayed batch changes nothing. Rows of unmapped topics are counted."""
     dropped = {"rows": 0}
 
     def handle(batch: DataFrame, epoch_id: int):
-        tagged = batch.withColumn("table_name", F.try_element_at(lookup_map(mapping), F.col("topic")))
-        obs = Observation(f"route_{epoch_id}")
-        tagged = tagged.observe(obs, F.count_if(F.col("table_name").isNull()).alias("unmapped"))
-        (
-            tagged.filter(F.col("table_name").isNotNull())
-            .write.mode("append")
-            .partitionBy("table_name")
-            .parquet(base_path)
-        )
-        dropped["rows"] += int(obs.get.get("unmapped", 0) or 0)
+        batch = batch.persist()
+        try:
+            topics = {r.topic: r["count"] for r in batch.groupBy("topic").count().collect()}
+            for table, rows in route_typed(batch, {t: v for t, v in mapping.items() if t in topics}).items():
+                SK.upsert_table(batch.sparkSession, rows, f"{base_path}/{table}", key=TYPED_TABLES[table][1])
+            dropped["rows"] += sum(n for t, n in topics.items() if t not in mapping)
+        finally:
+            batch.unpersist()
 
     w = envelopes.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     q = w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
@@ -186,6 +215,55 @@ def start_router(
     return q
 
 
+DEVICE_STATE_COLS = ["air_quality_index", "pm2_5", "pm10", "battery_level", "signal_strength", "city", "coordinates"]
+
+
+def device_batch(spark: SparkSession, devices: DataFrame, base_path: str) -> None:
+    """One micro-batch of parsed device readings, landed in four tables.
+
+    `readings` and `alerts` by key; `stats`, the 5-minute windows that the batch
+    touches, computed again from the stored readings of their hours; `state`,
+    the rows that carry each sensor's newest values, at most one a field.
+    """
+    devices = devices.dropna(subset=["sensor_id", "timestamp"])
+    SK.upsert_table(spark, devices, f"{base_path}/readings")
+    alerts = AL.device_alerts(devices, aqi="air_quality_index")
+    if not alerts.isEmpty():
+        SK.upsert_table(spark, alerts, f"{base_path}/alerts", key=("alert_id",))
+    hours = devices.select(F.to_date("timestamp").alias("date"), F.hour("timestamp").alias("hour")).distinct()
+    stored = spark.read.parquet(f"{base_path}/readings").join(hours, ["date", "hour"], "left_semi")
+    touched = devices.select("sensor_id", F.window("timestamp", "5 minutes")["start"].alias("window_start")).distinct()
+    stats = ST.smart_stats(stored, "5 minutes", aqi="air_quality_index").join(touched, ["sensor_id", "window_start"], "left_semi")
+    SK.upsert_table(spark, stats, f"{base_path}/stats", key=("sensor_id", "window_start"), by="window_start")
+    rows = devices.select("sensor_id", "timestamp", *DEVICE_STATE_COLS)
+    path = f"{base_path}/state"
+    if SK.table_exists(spark, path):
+        rows = spark.read.parquet(path).unionByName(rows)
+    carrying = NW.carrying_rows(rows, ["sensor_id"], DEVICE_STATE_COLS, "timestamp").distinct()
+    # materialised before the folder it was read from is overwritten
+    cut_lineage(carrying).write.mode("overwrite").parquet(path)
+
+
+def device_state(spark: SparkSession, base_path: str) -> DataFrame:
+    """The newest non-missing value of every field per device (J3) from the state table."""
+    rows = spark.read.parquet(f"{base_path}/state").withColumn("_tie", F.lit(0))
+    return NW.newest_values(rows, ["sensor_id"], DEVICE_STATE_COLS, "timestamp", "_tie")
+
+
+def start_device_job(envelopes: DataFrame, base_path: str, checkpoint: str, trigger: dict | None = None):
+    """Device readings off the bus: parse, land, alert, 5-minute stats and latest state; replays change nothing."""
+
+    def handle(batch: DataFrame, epoch_id: int):
+        devices = PS.parse_device(batch).persist()
+        try:
+            device_batch(batch.sparkSession, devices, base_path)
+        finally:
+            devices.unpersist()
+
+    w = envelopes.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
 # ----------------------------------------------------------------- ST2 / ST9
 
 

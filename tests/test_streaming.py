@@ -223,7 +223,7 @@ def test_router_multi_topic_and_trigger_sizes(spark, scratch):
     folder = os.path.join(scratch, "topics")
     topics = ["air-quality-data", "smart-sensor-data", "air-quality-alerts", "legacy-topic"]
     rows = [
-        {"key": f"s{i % 3}", "value": json.dumps({"sensor_id": f"s{i % 3}", "pm2_5": float(i)}),
+        {"key": f"s{i % 3}", "value": json.dumps({"sensor_id": f"s{i % 3}", "pm2_5": float(i), "alert_id": f"x{i}", "timestamp": f"2024-01-01T00:{i:02d}:00Z"}),
          "topic": topics[i % 4], "ts_text": f"2024-01-01T00:{i:02d}:00Z"}
         for i in range(40)
     ]
@@ -233,8 +233,7 @@ def test_router_multi_topic_and_trigger_sizes(spark, scratch):
     q.awaitTermination()
     # ST4: one file per trigger -> four data batches
     assert sum(1 for p in q.recentProgress if p["numInputRows"] > 0) == 4
-    routed = spark.read.parquet(os.path.join(scratch, "routed"))
-    counts = {r.table_name: r["count"] for r in routed.groupBy("table_name").count().collect()}
+    counts = {t: spark.read.parquet(os.path.join(scratch, "routed", t)).count() for t in os.listdir(os.path.join(scratch, "routed"))}
     assert counts == {"air_quality_data": 10, "smart_virtual_sensors": 10, "air_quality_alerts": 10}
     assert q.dropped["rows"] == 10
     # Bounded read of one topic from the same files
@@ -357,3 +356,28 @@ def test_out_of_order_within_the_lateness_equals_batch(spark, scratch, job, fram
     for x in got:
         for c in ("pm25_5min_avg", "pm25_5min_max", "aqi_5min_min") if job.startswith("trail") else ("pm25_avg", "pm25_max", "anomaly_score"):
             assert math.isclose(x[c], ref[x.event_id][c], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_device_job_is_idempotent_and_merges_state(spark, scratch):
+    t = lambda m: f"2024-01-01T10:{m:02d}:00Z"
+    rows = [
+        {"sensor_id": "a", "timestamp": t(1), "air_quality_index": 160, "battery_level": 90, "signal_strength": 80, "pm2_5": 10.0},
+        {"sensor_id": "a", "timestamp": t(3), "air_quality_index": "Good", "battery_level": 10, "signal_strength": 80, "pm2_5": 20.0},
+        {"sensor_id": "a", "timestamp": t(3), "air_quality_index": "Good", "battery_level": 10, "signal_strength": 80, "pm2_5": 20.0},
+        {"sensor_id": "b", "timestamp": t(2), "air_quality_index": 20, "battery_level": "bad", "signal_strength": 5},
+        {"sensor_id": "a", "timestamp": t(2), "air_quality_index": 30, "signal_strength": 80, "pm2_5": 30.0},
+    ]
+    base = os.path.join(scratch, "dev")
+    frame = lambda part: J.PS.parse_device(spark.createDataFrame([(json.dumps(r),) for r in part], "value string"))
+    tables = ("readings", "alerts", "stats", "state")
+    for part in (rows[:3], rows[3:], rows[3:], rows[:3]):
+        J.device_batch(spark, frame(part), base)
+    got = {n: spark.read.parquet(f"{base}/{n}") for n in tables}
+    assert got["readings"].count() == 4
+    assert sorted((r.sensor_id, r.alert_type) for r in got["alerts"].collect()) == [("a", "air_quality_alert"), ("a", "battery_low"), ("b", "signal_weak")]
+    stats = {r.sensor_id: r for r in got["stats"].collect()}
+    assert (stats["a"].total_readings, stats["a"].avg_pm2_5, stats["a"].avg_aqi) == (3, 20.0, 95.0) and stats["b"].total_readings == 1
+    state = {r.sensor_id: r for r in J.device_state(spark, base).collect()}
+    # the label and the late row leave the newest number in place
+    assert (state["a"].air_quality_index, state["a"].battery_level, state["a"].pm2_5) == (30.0, 10.0, 20.0)
+    assert (state["b"].battery_level, state["b"].signal_strength) == (None, 5.0)
