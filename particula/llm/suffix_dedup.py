@@ -5,26 +5,30 @@ with a smaller id. Strings are those of the input, and never cross documents.
 
 Method. Any two equal strings of ``span`` bytes hold the same smallest
 ``GRAM``-byte hash at the same place (an anchor), so only stretches around
-anchors that two documents share can match:
+anchors that two documents share can match. A stretch is an anchor with all the
+bytes that strings over it can reach.
 
 1. ``_ask``: every piece of documents sends its anchors' hashes, dealt by hash.
    What several documents of a piece share is known there and then.
 2. ``_answer``: a range of hashes learns which of them two pieces share, and
    answers the documents that asked.
-3. ``_stretches``: documents meet their shared hashes, and send the stretch
-   around each shared anchor that holds every string over it. Equal stretches
-   of a piece are sent once, for the smallest id; the other rows' bytes are
-   decided there. Anchors that more than ``hot`` rows hold are sent as single
-   strings under their own hash, so that no group grows with them.
-4. ``_sort``: stretches with the same anchor meet. Their distinct texts, for
-   many anchors together, get one suffix array by linear grouping (see
-   ``suffix_sort``); neighbours in it that agree for ``span`` bytes form runs,
-   and each run's smallest id decides. All comparisons are on bytes.
+3. ``_offer``: documents meet their shared hashes, and send each shared anchor
+   with a digest of its stretch. Of equal stretches of a piece only the smallest
+   id is sent, the others are decided. Anchors that more than ``hot`` rows hold
+   are sent as single strings under their own hash, so no group grows with them.
+   ``_gather``: an anchor's rows meet. Equal stretches are one; all its rows but
+   that of the smallest id lose it. Where an anchor has several stretches their
+   texts are asked for, one text for each.
+4. ``_send``, ``_sort``: the different stretches of an anchor meet. What they
+   all have around the anchor becomes one symbol of their own; those of many
+   anchors together get one suffix array by linear grouping (``suffix_sort``).
+   Neighbours in it that agree as far as a string reaches form runs, and each
+   run's smallest id decides for that string.
 5. ``_cut``: a document's stretches are joined and cut out.
 
-A task of steps 1, 3 and 5 holds one Arrow batch of documents, one of step 2
-a hash range of about ``RANGE_BYTES`` of text, one of step 4 a batch of
-stretches. The texts are shuffled once and met twice.
+A task of steps 1, 3, 4 (sending) and 5 holds an Arrow batch of documents, one
+of the others a hash range of about ``RANGE_BYTES`` of text, or one batch of
+stretches. The texts are shuffled once and met three times.
 
 Defined cases: null and empty texts have nothing to remove; a row without an id
 is kept whole and removes nothing; rows with the same id do not remove each
@@ -34,15 +38,17 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from particula.session import cut_lineage
+from particula.session import scratch_path
 
 from . import textkernel as K
 from .suffix_sort import suffix_array
@@ -50,17 +56,36 @@ from .suffix_sort import suffix_array
 SPAN = 50
 #: Bytes of an anchor.
 GRAM = 20
-#: Text whose anchors one range of hashes takes in step 2.
+#: Text whose anchors one range of hashes takes, and how many ranges there are at least.
 RANGE_BYTES = 32 << 20
+LEAST_RANGES = 16
 #: Text whose repeated anchors and stretches are found together in steps 1 and 3.
-PIECE_BYTES = 2 << 20
-#: Rows that hold an anchor before its stretches are sent string by string.
+PIECE_BYTES = 1 << 20
+#: Rows that hold an anchor before it is sent string by string.
 HOT = 20_000
-#: Bytes of such anchors' hashes that are broadcast at most; beyond, the least frequent are grouped like others.
+#: Bytes of such anchors' names that are broadcast at most; beyond, the least frequent are grouped like others.
 HOT_BYTES = 32 << 20
 #: Bytes that get one suffix array together, at least; a group of stretches is never cut.
-SORT_BYTES = 1 << 17
+SORT_BYTES = 1 << 16
 _SALT = 1 << 20
+#: A name is a hash range and 40 bits of the hash; the bits are sent as 5 bytes. With ranges of a fixed size, names that
+#: meet by chance are as rare at any size of the input, and they cost a comparison only.
+_LOW = K.U64((1 << 40) - 1)
+_ROW = K.U64(0xD1342543DE82EF95)
+
+
+def _names(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return ((hashes >> K.U64(40)) % K.U64(ranges) << K.U64(40)) | (hashes & _LOW)
+
+
+def _pack(names: np.ndarray) -> bytes:
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -73,14 +98,13 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place in the piece, hash) of the smallest grams of all strings of ``span`` bytes."""
+    """(document, place in the piece, hash) of the smallest grams of all strings of ``span`` bytes, by place."""
     n = len(data)
-    empty = np.zeros(0, np.int64)
     if n < span:
-        return empty, empty, np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     prefix = K.prefix_hash(data)
     _, down = K.powers(n + 1)
-    # + 1: zero marks strings that cross documents below
+    # never zero, which marks strings that cross documents below
     hashes = K.mix((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1]) | K.U64(1)
     width = span - gram + 1
     least = _slide(hashes, width, np.minimum)
@@ -89,270 +113,392 @@ def anchors(data: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np
     mark = np.zeros(len(least) + 1, np.int64)
     np.add.at(mark, np.clip(ends - span + 1, 0, len(least)), 1)
     np.add.at(mark, np.clip(ends, 0, len(least)), -1)
-    inside = np.cumsum(mark[:-1]) == 0
-    least[~inside] = 0
+    least[np.cumsum(mark[:-1]) > 0] = 0
     pad = np.zeros(width - 1, np.uint64)
     most = _slide(np.concatenate([pad, least, pad]), width, np.maximum)
     place = np.flatnonzero(most == hashes)
     return np.searchsorted(off, place, "right") - 1, place, hashes[place]
 
 
-def _csr(doc: np.ndarray, hashes: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Row keys, how many hashes each has, and the hashes, for rows sorted by document."""
-    docs, n = np.unique(doc, return_counts=True)
-    return keys[docs].tobytes(), n.astype(np.uint32).tobytes(), hashes.tobytes()
+def _batch(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=True)], names=[n for n, _ in schema])
 
 
-def _by_part(doc: np.ndarray | None, hashes: np.ndarray, ranges: int):
-    """(part, its entries in the order of documents)."""
-    part = (hashes >> K.U64(32)) % K.U64(ranges)
-    order = np.argsort(part, kind="stable") if doc is None else np.lexsort((doc, part))
-    cut = np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint64))
-    for q in np.flatnonzero(np.diff(cut)):
-        yield int(q), order[cut[q] : cut[q + 1]]
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin, and the end."""
+    if not len(sorted_values):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
+
+
+def _by_range(row: np.ndarray | None, names: np.ndarray):
+    """(range, its entries in the order of rows)."""
+    part = (names >> K.U64(40)).astype(np.int64)
+    order = np.argsort(part, kind="stable") if row is None else np.lexsort((row, part))
+    cut = _runs(part[order])
+    for i, j in zip(cut, cut[1:], strict=False):
+        yield int(part[order[i]]), order[i:j]
+
+
+_ASKED = [("route", pa.int64()), ("kind", pa.int8()), ("part", pa.int64()), ("rows", pa.binary()), ("n", pa.binary()), ("names", pa.binary())]
 
 
 def _ask(span: int, gram: int, ranges: int):
-    """kind 0: hashes of one row of the piece, to be answered; 1: hashes that the piece knows to be shared, and by how many rows; 2: such hashes with their rows, to pass on."""
+    """kind 0: names of one row of the piece, to be answered; 1: names that the piece knows to be shared, and by how many rows; 2: such names with their rows, to pass on."""
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            out = []
-            for a, b, data, off in K.pieces(batch.column(1), PIECE_BYTES):
-                doc, _, h = anchors(data, off, span, gram)
+            keys, out = batch.column("key").to_numpy(), []
+
+            def tell(kind, route, row, names, own, out=out):
+                for q, pick in _by_range(row, names):
+                    r, n = np.unique(row[pick], return_counts=True)
+                    out.append((q if route is None else route, kind, q, own[r].tobytes(), n.astype(np.uint32).tobytes(), _pack(names[pick])))
+
+            for a, b, data, off in K.pieces(batch.column("text"), PIECE_BYTES):
+                row, _, h = anchors(data, off, span, gram)
                 if not len(h):
                     continue
-                own = keys[a:b]
-                order = np.lexsort((doc, h))
-                doc, h = doc[order], h[order]
-                first = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-                doc, h = doc[first], h[first]
-                _, at, n = np.unique(h, return_index=True, return_counts=True)
+                names, own = _names(h, ranges), keys[a:b]
+                order = np.argsort(names, kind="stable")  # rows are in order already
+                row, names = row[order], names[order]
+                first = np.concatenate([[True], (names[1:] != names[:-1]) | (row[1:] != row[:-1])])
+                row, names = row[first], names[first]
+                cut = _runs(names)
+                n = np.diff(cut)
                 shared = np.repeat(n > 1, n)
-                told, times = h[at[n > 1]], n[n > 1].astype(np.uint32)
-                for q, pick in _by_part(doc[~shared], h[~shared], ranges):
-                    out.append((q, 0, *_csr(doc[~shared][pick], h[~shared][pick], own)))
-                for q, pick in _by_part(None, told, ranges):
-                    out.append((q, 1, b"", times[pick].tobytes(), told[pick].tobytes()))
-                if shared.any():
-                    order = np.argsort(doc[shared], kind="stable")
-                    salt = int(h[0] >> K.U64(32)) % _SALT
-                    out.append((ranges + salt, 2, *_csr(doc[shared][order], h[shared][order], own)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = [pa.int64(), pa.int8(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["part", "kind", "rows", "n", "hashes"])
-
-    return run, "part long, kind byte, rows binary, n binary, hashes binary"
+                tell(0, None, row[~shared], names[~shared], own)
+                told, times = names[cut[:-1][n > 1]], n[n > 1].astype(np.uint32)
+                for q, pick in _by_range(None, told):
+                    out.append((q, 1, q, b"", times[pick].tobytes(), _pack(told[pick])))
+                tell(2, ranges + int(h[0] & K.U64(_SALT - 1)), row[shared], names[shared], own)
+            yield _batch(_ASKED, out)
+
+    return run, "route long, kind byte, part long, rows binary, n binary, names binary"
+
+
+def _by_route(batches, work):
+    """Calls ``work`` with the rows of one route after another."""
+    route, held = None, []
+    for batch in batches:
+        cols = [c.to_pylist() for c in batch.columns]
+        for r, *row in zip(*cols, strict=True):
+            if r != route and held:
+                yield work(held)
+                held = []
+            route = r
+            held.append(row)
+    if held:
+        yield work(held)
 
 
 def _answer(hot: int):
-    """Rows of a part, one after another, to (row key, level, its shared hashes).
-
-    A row without a key lists hashes that from ``hot * 2**level`` to twice as many rows hold.
-    """
-
-    def answer(rows: list[tuple]) -> pa.RecordBatch:
-        keys, hashes, told, times = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-        passed_keys, passed = [], []
-        for kind, r, n, h in rows:
-            n, h = np.frombuffer(n, np.uint32), np.frombuffer(h, np.uint64)
-            if kind == 1:
-                told.append(h)
+    """To (key, part, level, its shared names). A row without a key lists names that from ``hot * 2**level`` to twice as many rows hold."""
+    schema = [("key", pa.int64()), ("part", pa.int64()), ("level", pa.int32()), ("names", pa.binary())]
+
+    def answer(rows: list[list]) -> pa.RecordBatch:
+        out, keys, names, told, times = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        for kind, part, r, n, v in rows:
+            r, n = np.frombuffer(r, np.int64), np.frombuffer(n, np.uint32)
+            if kind == 0:
+                keys.append(np.repeat(r, n))
+                names.append(_unpack(v))
+            elif kind == 1:
+                told.append(_unpack(v))
                 times.append(n)
-                continue
-            (keys if kind == 0 else passed_keys).append(np.repeat(np.frombuffer(r, np.int64), n))
-            (hashes if kind == 0 else passed).append(h)
-        keys, hashes, told, times = map(np.concatenate, (keys, hashes, told, times))
-        names, place = np.unique(np.concatenate([hashes, told]), return_inverse=True)
-        n = np.bincount(place, np.concatenate([np.ones(len(hashes)), times]), len(names)).astype(np.int64)
-        shared = (n > 1)[place[: len(hashes)]]
-        keys, hashes = np.concatenate([keys[shared], *passed_keys]), np.concatenate([hashes[shared], *passed])
+            else:
+                at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) * 5
+                out += [(k, part, None, v[i:j]) for k, i, j in zip(r.tolist(), at, at[1:], strict=False)]
+        part = rows[0][1]
+        keys, names, told, times = map(np.concatenate, (keys, names, told, times))
+        found, place = np.unique(np.concatenate([names, told]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([np.ones(len(names)), times]), len(found)).astype(np.int64)
+        shared = (n > 1)[place[: len(names)]]
+        keys, names = keys[shared], names[shared]
         order = np.argsort(keys, kind="stable")
-        keys, hashes = keys[order], hashes[order]
-        name, start = np.unique(keys, return_index=True)
-        blobs = [x.tobytes() for x in np.split(hashes, start[1:])] if len(name) else []
-        names, n = names[n > hot], n[n > hot]
+        keys, packed = keys[order], _pack(names[order])
+        cut = _runs(keys)
+        out += [(int(keys[i]), part, None, packed[5 * i : 5 * j]) for i, j in zip(cut, cut[1:], strict=False)]
+        found, n = found[n > hot], n[n > hot]
         level = np.log2(n / hot).astype(np.int64)
-        levels = np.unique(level).tolist()
-        none = [None] * len(levels)
-        cols = [
-            pa.array([*name.tolist(), *none], pa.int64()),
-            pa.array([*([None] * len(name)), *levels], pa.int32()),
-            pa.array([*blobs, *(names[level == x].tobytes() for x in levels)], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(cols, names=["key", "level", "hashes"])
+        out += [(None, part, x, _pack(found[level == x])) for x in np.unique(level).tolist()]
+        return _batch(schema, out)
 
-    def run(batches):
-        part, held = None, []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(5)]
-            for p, *row in zip(*cols, strict=True):
-                if p != part and held:
-                    yield answer(held)
-                    held = []
-                part = p
-                held.append(row)
-        if held:
-            yield answer(held)
+    return lambda batches: _by_route(batches, answer), "key long, part long, level int, names binary"
+
+
+def _full(parts) -> np.ndarray:
+    """Names of a list of (part, names)."""
+    return np.concatenate([np.zeros(0, np.uint64), *(_unpack(p["names"]) | K.U64(p["part"] << 40) for p in parts)])
 
-    return run, "key long, level int, hashes binary"
 
+class Lists:
+    """A column of lists of structs: row r has the structs cut[r]:cut[r + 1] of all of them; binary fields as one buffer each."""
 
-def _join(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(b for b in blobs if b), np.uint64)
+    def __init__(self, col: pa.Array, numbers: tuple[str, ...], blobs: tuple[str, ...]):
+        size = pc.list_value_length(col).fill_null(0).to_numpy()
+        self.cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        flat = col.flatten()
+        self.number = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in numbers}
+        self.blob = {c: K.text_buffer(flat.field(c)) for c in blobs}
 
+    def joined(self, field: str, first: int, end: int, kind) -> np.ndarray:
+        """A binary field of some structs in a row, as numbers."""
+        data, off = self.blob[field]
+        return np.frombuffer(data[off[first] : off[end]].tobytes(), kind)
 
-def _stretches(span: int, gram: int, hot):
-    """Rows (key, id, text, hashes) to stretches: (group, kind, id, key, left, text, places); kind 0 is to be sorted, 1 is decided."""
+
+_OFFERED = [("route", pa.int64()), ("kind", pa.int8()), ("part", pa.int64()), *((c, pa.binary()) for c in ("rows", "ids", "n", "names", "digests", "starts", "sizes"))]
+
+
+def _offer(span: int, gram: int, ranges: int, hot):
+    """Rows (key, id, text, wanted) to entries, for each range: kind 0 to be gathered, 1 decided already."""
     side = span - gram
 
     def run(batches):
-        busy_hashes = np.frombuffer(hot.value, np.uint64)
+        busy_names = _full(hot.value)
         for batch in batches:
             out = []
-            keys, ids, wanted = batch.column("key").to_numpy(), batch.column("id").fill_null(0).to_numpy(), batch.column("hashes")
-            for a, _, data, off in K.pieces(batch.column("text"), PIECE_BYTES):
-                doc, place, h = anchors(data, off, span, gram)
-                first = np.searchsorted(doc, np.arange(len(off)))
-                raw = data.tobytes()
-                found: dict[tuple, list] = {}
-                for d in range(len(off) - 1):
-                    want = _join(wanted[a + d].as_py() or ())
-                    if not len(want):  # no shared anchor, or no id
-                        continue
-                    begin, end = int(off[d]), int(off[d + 1])
-                    mine = slice(first[d], first[d + 1])
-                    pick = np.isin(h[mine], want)
-                    at, hashes = place[mine][pick].tolist(), h[mine][pick]
-                    busy = np.isin(hashes, busy_hashes).tolist()
-                    for p, x, many in zip(at, hashes.view(np.int64).tolist(), busy, strict=True):
-                        low, high = max(begin, p - side), min(end, p + span)
-                        if not many:
-                            found.setdefault((x, p - low, raw[low:high]), []).append((a + d, low - begin))
-                            continue
-                        for s in range(low, high - span + 1):
-                            text = raw[s : s + span]
-                            name = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                            found.setdefault((name, 0, text), []).append((a + d, s - begin))
-                for (group, left, text), rows in found.items():
-                    least = min(int(ids[r]) for r, _ in rows)
-                    by_row: dict[int, list[int]] = {}
-                    for r, p in rows:
-                        by_row.setdefault(r, []).append(p)
-                    for r, places in by_row.items():
-                        decided = int(ids[r]) > least
-                        out.append((int(keys[r]) if decided else group, int(decided), int(ids[r]), int(keys[r]), left, b"" if decided else text, len(text), np.array(places, np.int32).tobytes()))
-            for i in range(0, max(len(out), 1), 20_000):
-                some = out[i : i + 20_000]
-                cols = list(zip(*some, strict=True)) if some else [[]] * 8
-                types = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["group", "kind", "id", "key", "left", "text", "size", "places"])
-
-    return run, "group long, kind byte, id long, key long, left int, text binary, size int, places binary"
-
-
-def repeats(texts: list[bytes], ids: list[int], span: int) -> list[list[tuple[int, int]]]:
-    """For each text the (start, end) of its bytes under ``span``-byte strings that a text with a smaller id holds too."""
-    sizes = np.array([len(t) for t in texts])
-    # symbols: 0 the end, 1 between texts, bytes from 2
-    joined = np.ones(int(sizes.sum()) + len(texts) + 1, np.int64)
-    start = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    at = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(texts)), sizes)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    joined[at] = flat.astype(np.int64) + 2
-    joined[-1] = 0
+            keys, ids = batch.column("key").to_numpy(), batch.column("id").fill_null(0).to_numpy()
+            wanted = Lists(batch.column("wanted"), ("part",), ("names",))
+            data, off = wanted.blob["names"]
+            each = np.diff(off) // 5
+            want = _unpack(data.tobytes()) | np.repeat(wanted.number["part"].astype(np.uint64) << K.U64(40), each)
+            # a name and its row as one number; what is taken for wanted by chance has no partner later
+            of_row = np.repeat(np.arange(batch.num_rows), np.diff(wanted.cut))
+            want = K.mix(want ^ (np.repeat(of_row, each).astype(np.uint64) * _ROW))
+            for a, b, data, off in K.pieces(batch.column("text"), PIECE_BYTES):
+                row, place, h = anchors(data, off, span, gram)
+                names = _names(h, ranges)
+                pick = np.isin(K.mix(names ^ ((row + a).astype(np.uint64) * _ROW)), want)
+                if not pick.any():
+                    continue
+                row, place, names = row[pick], place[pick], names[pick]
+                low, high = np.maximum(off[row], place - side), np.minimum(off[row + 1], place + span)
+                left = place - low
+                prefix = K.prefix_hash(data)
+                busy = np.isin(names, busy_names)
+                if busy.any():
+                    n = (high - low)[busy] - span + 1
+                    s = np.repeat(low[busy] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    more = np.repeat(row[busy], n)
+                    row, low, high = np.concatenate([row[~busy], more]), np.concatenate([low[~busy], s]), np.concatenate([high[~busy], s + span])
+                    left = np.concatenate([left[~busy], np.zeros(len(s), np.int64)])
+                    names = np.concatenate([names[~busy], _names(K.stretch_hash(prefix, s, s + span), ranges)])
+                digest = K.stretch_hash(prefix, low, high)
+                own_ids, own_keys = ids[a:b], keys[a:b]
+                entry_ids = own_ids[row]
+                order = np.lexsort((low, entry_ids, digest, names))
+                row, low, high, left, names, digest, entry_ids = (x[order] for x in (row, low, high, left, names, digest, entry_ids))
+                new = np.concatenate([[True], (names[1:] != names[:-1]) | (digest[1:] != digest[:-1])])
+                decided = entry_ids > entry_ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+                starts, sizes = (low - off[row]).astype(np.int32), (high - low).astype(np.uint16)
+                shapes = sizes | (left << 8).astype(np.uint16)  # with the anchor's place in the stretch
+                salt = ranges + int(names[0] & K.U64(_SALT - 1))
+                for kind, some in ((0, ~decided), (1, decided)):
+                    at = np.flatnonzero(some)
+                    for q, sel in _by_range(row[at], names[at]) if kind == 0 else [(0, np.argsort(row[at], kind="stable"))] * bool(len(at)):
+                        e = at[sel]
+                        r, n = np.unique(row[e], return_counts=True)
+                        shown = (_pack(names[e]), digest[e].tobytes()) if kind == 0 else (b"", b"")
+                        out.append((salt if kind else q, kind, q, own_keys[r].tobytes(), own_ids[r].tobytes(), n.astype(np.uint32).tobytes(), *shown, starts[e].tobytes(), (sizes if kind else shapes)[e].tobytes()))
+            yield _batch(_OFFERED, out)
+
+    return run, "route long, kind byte, part long, rows binary, ids binary, n binary, names binary, digests binary, starts binary, sizes binary"
+
+
+def _gather():
+    """Entries of a range to (key, id, starts, sizes of what goes; groups, places, lengths of the texts that are asked for)."""
+    schema = [("key", pa.int64()), ("id", pa.int64()), *((c, pa.binary()) for c in ("starts", "sizes", "groups", "places", "lengths"))]
+
+    def gather(rows: list[list]) -> pa.RecordBatch:
+        read = {"key": np.int64, "id": np.int64, "names": np.uint64, "digest": np.uint64, "start": np.int32, "size": np.uint16}
+        held = {c: [np.zeros(0, t)] for c, t in read.items()}
+        out = []
+        for kind, part, r, i, n, v, d, s, z in rows:
+            r, i, n = np.frombuffer(r, np.int64), np.frombuffer(i, np.int64), np.frombuffer(n, np.uint32)
+            if kind:
+                at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+                out += [(k, x, s[4 * a : 4 * b], z[2 * a : 2 * b], b"", b"", b"") for k, x, a, b in zip(r.tolist(), i.tolist(), at, at[1:], strict=False)]
+                continue
+            for c, x in zip(held, (np.repeat(r, n), np.repeat(i, n), _unpack(v) | K.U64(part << 40), np.frombuffer(d, np.uint64), np.frombuffer(s, np.int32), np.frombuffer(z, np.uint16)), strict=True):
+                held[c].append(x)
+        e = {c: np.concatenate(x) for c, x in held.items()}
+        if not len(e["key"]):
+            return _batch(schema, out)
+        order = np.lexsort((e["id"], e["digest"], e["names"]))
+        e = {c: x[order] for c, x in e.items()}
+        new_name = np.concatenate([[True], e["names"][1:] != e["names"][:-1]])
+        new = new_name | np.concatenate([[True], e["digest"][1:] != e["digest"][:-1]])
+        least = e["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
+        goes = e["id"] > least
+        group = np.cumsum(new_name) - 1
+        several = np.bincount(group[new])[group] > 1
+        order = np.argsort(e["key"], kind="stable")
+        e = {c: x[order] for c, x in e.items()}
+        goes, asks = goes[order], (several & ~goes)[order]
+        # each key's share of what goes and of what is asked for, as cuts into two joined buffers
+        cut = _runs(e["key"])
+        buffers = [(e["start"][goes], 4), (e["size"][goes] & 255, 2), (e["names"][asks], 8), (e["start"][asks], 4), (e["size"][asks], 2)]
+        at_goes, at_asks = (np.concatenate([[0], np.cumsum(x)])[cut] for x in (goes, asks))
+        raw = [x.tobytes() for x, _ in buffers]
+        keys, ids = e["key"][cut[:-1]].tolist(), e["id"][cut[:-1]].tolist()
+        for k, x, g0, g1, a0, a1 in zip(keys, ids, at_goes, at_goes[1:], at_asks, at_asks[1:], strict=False):
+            if g1 > g0 or a1 > a0:
+                out.append((k, x, raw[0][4 * g0 : 4 * g1], raw[1][2 * g0 : 2 * g1], raw[2][8 * a0 : 8 * a1], raw[3][4 * a0 : 4 * a1], raw[4][2 * a0 : 2 * a1]))
+        return _batch(schema, out)
+
+    return lambda batches: _by_route(batches, gather), "key long, id long, starts binary, sizes binary, groups binary, places binary, lengths binary"
+
+
+def _send():
+    """Rows (key, id, text, told) to the texts that were asked for: (group, id, key, start, left, text)."""
+    schema = [("group", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("left", pa.int32()), ("text", pa.binary())]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            told = Lists(batch.column("told"), ("id",), ("groups", "places", "lengths"))
+            asks = np.flatnonzero(np.diff(told.blob["groups"][1]))
+            of_row = np.searchsorted(told.cut, asks, "right") - 1
+            keys, ids, texts = batch.column("key"), batch.column("id").to_pylist(), batch.column("text")
+            last, raw = None, b""
+            for r, x in zip(of_row.tolist(), asks.tolist(), strict=True):
+                i = ids[r]
+                if told.number["id"][x] != i:
+                    continue
+                if r != last:
+                    last, key, raw = r, keys[r].as_py(), texts[r].as_buffer().to_pybytes()
+                for g, s, n in zip(told.joined("groups", x, x + 1, np.int64).tolist(), told.joined("places", x, x + 1, np.int32).tolist(), told.joined("lengths", x, x + 1, np.uint16).tolist(), strict=True):
+                    out.append((g, i, key, s, n >> 8, raw[s : s + (n & 255)]))
+                if len(out) >= 20_000:
+                    yield _batch(schema, out)
+                    out = []
+            yield _batch(schema, out)
+
+    return run, "group long, id long, key long, start int, left int, text binary"
+
+
+def repeats(groups: list[list[tuple[bytes, int, int]]], span: int, gram: int) -> list[list[int]]:
+    """Which strings of stretches a stretch of the same group with a smaller id holds too.
+
+    A group's stretches (text, place of the anchor, id) have the same ``gram``
+    bytes at their anchors. Returned for each stretch, group after group: the
+    starts of the strings that go.
+    """
+    side = span - gram
+    parts, lefts, rights, core_left, core_right, ids, of = [], [], [], [], [], [], []
+    for g, members in enumerate(groups):
+        # what all have on either side of the anchor
+        same_left = len(commonprefix([t[:a][::-1] for t, a, _ in members]))
+        same_right = len(commonprefix([t[a + gram :] for t, a, _ in members]))
+        # of two stretches the bytes next to that differ already, so one on each side tells all
+        far = 1 if len(members) == 2 else side
+        for t, a, i in members:
+            parts += (t[max(0, a - same_left - far) : a - same_left], t[a + gram + same_right : a + gram + same_right + far])
+            lefts.append(a)
+            rights.append(len(t) - a - gram)
+            core_left.append(same_left)
+            core_right.append(same_right)
+            ids.append(i)
+            of.append(g)
+    lefts, rights, core_left, core_right, ids, of = (np.array(x, np.int64) for x in (lefts, rights, core_left, core_right, ids, of))
+    # symbols: 0 the end, 1 between texts, bytes from 2, the groups' own from 258
+    joined = np.frombuffer(b"\0".join(parts) + b"\0\0", np.uint8).astype(np.int64) + 2
+    ends = np.cumsum(np.array([len(x) for x in parts]) + 1) - 1
+    core = ends[::2]
+    start = np.concatenate([[0], ends[1::2][:-1] + 1])
+    joined[core], joined[ends[1::2]], joined[-1] = 258 + of, 1, 0
     order = suffix_array(joined)
-    owner = np.repeat(np.arange(len(texts) + 1), np.append(sizes + 1, 1))[order]
-    owner_c = np.minimum(owner, len(texts) - 1)
-    room = (start + sizes)[owner_c] - order
-    whole = (owner < len(texts)) & (room >= span)
-    order, owner = order[whole], owner[whole]
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    if not len(order):
-        return out
-    small = joined.astype(np.uint16)
-    windows = np.lib.stride_tricks.sliding_window_view(small, span)
-    same = np.zeros(len(order), bool)
-    for i in range(0, len(order) - 1, 1 << 16):
-        j = min(i + (1 << 16), len(order) - 1)
-        same[i + 1 : j + 1] = (windows[order[i:j]] == windows[order[i + 1 : j + 1]]).all(axis=1)
-    run = np.flatnonzero(~same)
-    idv = np.array(ids, np.int64)[owner]
-    least = np.repeat(np.minimum.reduceat(idv, run), np.diff(np.append(run, len(order))))
-    goes = least < idv
-    for t, s in zip(owner[goes].tolist(), (order[goes] - start[owner[goes]]).tolist(), strict=True):
-        out[t].append((s, s + span))
+    # only suffixes that begin before or at a group's symbol begin a string
+    owner = np.searchsorted(start, order, "right") - 1
+    order, owner = order[order <= core[owner]], owner[order <= core[owner]]
+    rank = np.empty(len(joined), np.int64)
+    rank[order] = np.arange(len(order))
+    reach = 2 * side + 2
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([joined, np.zeros(reach, np.int64)]).astype(np.int32), reach)
+    agree = np.zeros(len(order), np.int64)  # symbols that a suffix has in common with the one before it
+    for i in range(0, len(order) - 1, 1 << 15):
+        j = min(i + (1 << 15), len(order) - 1)
+        differs = windows[order[i:j]] != windows[order[i + 1 : j + 1]]
+        agree[i + 1 : j + 1] = np.where(differs.any(axis=1), differs.argmax(axis=1), reach)
+    # every string: how many bytes stand left of the anchor, its suffix, and how many symbols it is
+    shown = core_left + core - start  # bytes left of the anchor that are in the sorted text
+    stretch, left = np.nonzero((np.arange(side + 1) <= shown[:, None]) & (side - np.arange(side + 1) <= rights[:, None]))
+    inner = left <= core_left[stretch]
+    suffix = core[stretch] - np.where(inner, 0, left - core_left[stretch])
+    symbols = 1 + np.where(inner, 0, left - core_left[stretch]) + np.maximum(0, side - left - core_right[stretch])
+    out: list[list[int]] = [[] for _ in ids]
+    by_rank = ids[owner]
+    for n in np.unique(symbols):
+        asked = symbols == n
+        run = np.flatnonzero(agree < n)
+        least = np.minimum.reduceat(by_rank, run)
+        at = np.searchsorted(run, rank[suffix[asked]], "right") - 1
+        own, places = stretch[asked], lefts[stretch[asked]] - left[asked]
+        goes = least[at] < ids[own]
+        for k, s in zip(own[goes].tolist(), places[goes].tolist(), strict=True):
+            out[k].append(s)
     return out
 
 
-def _sort(span: int):
-    """Stretches sorted by (group, id) to (key, id, starts, ends) of bytes that go."""
+def _sort(span: int, gram: int):
+    """Texts sorted by (group, id) to (key, id, starts, sizes) of what goes."""
+    schema = [("key", pa.int64()), ("id", pa.int64()), ("starts", pa.binary()), ("sizes", pa.binary())]
 
     def run(batches):
-        out: list[tuple[int, int, bytes, bytes]] = []
-        group, classes = None, {}  # (left, text) to its rows; the first has the smallest id
-        pending: list[tuple] = []  # classes of groups with several texts: (text, id, rows)
-        weight = 0
-
-        def tell(row, spans):
-            """Every place of a row's stretch gives its spans."""
-            places = np.frombuffer(row[3], np.int32)
-            s = np.array(spans, np.int64).reshape(-1, 2)
-            start = (places[:, None] + s[None, :, 0]).ravel()
-            end = (places[:, None] + s[None, :, 1]).ravel()
-            out.append((row[0], row[1], start.astype(np.int32).tobytes(), end.astype(np.int32).tobytes()))
+        group, classes = None, {}  # (text, left) to its rows, the smallest id first
+        pending: list[list[tuple]] = []  # groups of (text, left, id, rows)
+        weight, out = 0, []
+
+        def tell(row, starts, size):
+            at = np.array(starts, np.int32) + row[2]
+            out.append((row[0], row[1], at.astype(np.int32).tobytes(), np.full(len(at), size, np.uint16).tobytes()))
 
         def close():
+            """The classes of a group that really share an anchor, ready to be sorted."""
             nonlocal weight
-            if len(classes) > 1:
-                for (_, text), rows in classes.items():
-                    pending.append((text, rows[0][1], rows))
-                    weight += len(text)
-            classes.clear()
+            by_anchor: dict[bytes, list] = {}
+            for (text, left), rows in classes.items():
+                by_anchor.setdefault(text[left : left + gram], []).append((text, left, rows[0][1], rows))
+            for members in by_anchor.values():
+                if len(members) > 1:
+                    pending.append(members)
+                    weight += sum(len(m[0]) for m in members)
 
         def settle():
             nonlocal weight
-            if pending:
-                found = repeats([p[0] for p in pending], [p[1] for p in pending], span)
-                for (_, _, rows), spans in zip(pending, found, strict=True):
-                    if spans:
-                        for row in rows:
-                            tell(row, spans)
+            found = iter(repeats([[m[:3] for m in members] for members in pending], span, gram))
+            for members in pending:
+                for m in members:
+                    if starts := next(found):
+                        for row in m[3]:
+                            tell(row, starts, span)
             pending.clear()
             weight = 0
 
-        def give():
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "id", "starts", "ends"])
-            out.clear()
-            return batch
-
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(8)]
-            for g, kind, i, key, left, text, size, places in zip(*cols, strict=True):
-                if kind:
-                    tell((key, i, None, places), [(0, size)])
-                    continue
+            for g, i, key, start, left, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != group:
                     close()
+                    classes, group = {}, g
                     if weight >= SORT_BYTES:
                         settle()
-                    group = g
-                rows = classes.setdefault((left, text), [])
-                row = (key, i, None, places)
+                rows = classes.setdefault((text, left), [])
                 if rows and i > rows[0][1]:
-                    tell(row, [(0, size)])
+                    tell((key, i, start), [0], len(text))
                 else:
-                    rows.append(row)
-            if len(out) >= 10_000:
-                yield give()
+                    rows.append((key, i, start))
+            if len(out) >= 20_000:
+                yield _batch(schema, out)
+                out = []
         close()
-        settle()
-        yield give()
+        if pending:
+            settle()
+        yield _batch(schema, out)
 
-    return run, "key long, id long, starts binary, ends binary"
+    return run, "key long, id long, starts binary, sizes binary"
 
 
 def _whole_characters(data: np.ndarray, goes: np.ndarray) -> np.ndarray:
@@ -363,21 +509,32 @@ def _whole_characters(data: np.ndarray, goes: np.ndarray) -> np.ndarray:
     return lost[char]
 
 
+def _mine(lists: list[Lists], r: int, i: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes told to row r with the id i; another id there shares the row's key by chance."""
+    starts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)]
+    for x in lists:
+        a, b = int(x.cut[r]), int(x.cut[r + 1])
+        whole = a < b and i is not None and bool((x.number["id"][a:b] == i).all())
+        for first, end in [(a, b)] if whole else [(k, k + 1) for k in range(a, b) if x.number["id"][k] == i]:
+            starts.append(x.joined("starts", first, end, np.int32))
+            sizes.append(x.joined("sizes", first, end, np.uint16))
+    return np.concatenate(starts), np.concatenate(sizes)
+
+
 def _cut(characters: bool, names: list[str]):
-    """Rows (id, text, spans) to n_bytes, n_removed, n_spans and kept, beside the other columns ``names``."""
+    """Rows (id, text, told, found) to n_bytes, n_removed, n_spans and kept, beside the columns ``names``."""
 
     def run(batches):
         for batch in batches:
             n_bytes, removed, n_spans, kept = [], [], [], []
-            for i, text, found in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
+            lists = [Lists(batch.column(c), ("id",), ("starts", "sizes")) for c in ("told", "found")]
+            for r, (i, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text"), strict=True)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                mine = [s for s in found.as_py() or () if s["id"] == i]
-                start = np.frombuffer(b"".join(s["starts"] for s in mine), np.int32)
+                start, size = _mine(lists, r, i)
                 runs = 0
                 if len(start):
-                    cover = np.zeros(len(raw) + 1, np.int32)
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, np.frombuffer(b"".join(s["ends"] for s in mine), np.int32), -1)
+                    cover = np.bincount(start, minlength=len(raw) + 1)
+                    cover -= np.bincount(start + size, minlength=len(raw) + 1)
                     data, goes = np.frombuffer(raw, np.uint8), np.cumsum(cover[:-1]) > 0
                     if characters:
                         goes = _whole_characters(data, goes)
@@ -394,9 +551,9 @@ def _cut(characters: bool, names: list[str]):
     return run
 
 
-def _hot_hashes(answered: DataFrame, most: int = HOT_BYTES) -> bytes:
-    """The hashes of the lowest level from which all fit into ``most`` bytes; the levels left out have fewer rows in each group."""
-    sizes = answered.where("level IS NOT NULL").groupBy("level").agg(F.sum(F.octet_length("hashes")).alias("n")).orderBy(F.desc("level")).collect()
+def _hot_names(answered: DataFrame, most: int = HOT_BYTES) -> list[dict]:
+    """The names of the lowest level from which all fit into ``most`` bytes; those left out have fewer rows in each group."""
+    sizes = answered.where("level IS NOT NULL").groupBy("level").agg(F.sum(F.octet_length("names")).alias("n")).orderBy(F.desc("level")).collect()
     least, total = None, 0
     for row in sizes:
         total += row["n"]
@@ -404,37 +561,47 @@ def _hot_hashes(answered: DataFrame, most: int = HOT_BYTES) -> bytes:
             break
         least = row["level"]
     if least is None:
-        return b""
-    return b"".join(sorted(bytes(r["hashes"]) for r in answered.where(F.col("level") >= least).select("hashes").collect()))
+        return []
+    return [{"part": r["part"], "names": bytes(r["names"])} for r in answered.where(F.col("level") >= least).select("part", "names").collect()]
 
 
-def spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(key, spans): for rows (key, id, text, ...) the stretches that go, as arrays of (id, starts, ends), overlapping.
+def met(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """``rows`` (key, id, text, ...) with the stretches that go: told and found, arrays of (id, starts, sizes, ...), overlapping.
 
-    All columns of ``rows`` are read where texts meet their hashes, so that a
-    later join of the same rows on ``key`` can use the same shuffle.
+    The three joins deal the same rows by the same key, so that their shuffle is written once.
     """
+    spark = rows.sparkSession
+    if not gram < span <= 128:
+        raise ValueError("a string holds an anchor, and a stretch has a length of one byte")
     known = rows.where("id IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_BYTES))
+    ranges = max(LEAST_RANGES, -(-total // RANGE_BYTES))
     ask, ask_schema = _ask(span, gram, ranges)
     answer, answer_schema = _answer(hot)
     asked = known.select("key", "text").mapInArrow(ask, ask_schema)
-    answered = cut_lineage(asked.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(answer, answer_schema))
-    stretch, stretch_schema = _stretches(span, gram, rows.sparkSession.sparkContext.broadcast(_hot_hashes(answered)))
-    sort, sort_schema = _sort(span)
-    wanted = answered.where("key IS NOT NULL").groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
-    # a left join, as below, and the row that met nothing sends nothing: so both joins deal the same rows alike
-    sent = rows.join(wanted, "key", "left").mapInArrow(stretch, stretch_schema)
+    # a table of its own: the frequent names must be known before documents meet their answers
+    path = scratch_path(spark, f"answers-{uuid.uuid4().hex}")
+    asked.repartition(F.col("route")).sortWithinPartitions("route").mapInArrow(answer, answer_schema).write.parquet(path)
+    answered = spark.read.parquet(path)
+    offer, offer_schema = _offer(span, gram, ranges, spark.sparkContext.broadcast(_hot_names(answered)))
+    gather, gather_schema = _gather()
+    send, send_schema = _send()
+    sort, sort_schema = _sort(span, gram)
+    wanted = answered.where("key IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("part", "names")).alias("wanted"))
+    offered = rows.join(wanted, "key", "left").mapInArrow(offer, offer_schema)
+    gathered = offered.repartition(F.col("route")).sortWithinPartitions("route").mapInArrow(gather, gather_schema)
+    told = gathered.groupBy("key").agg(F.collect_list(F.struct("id", "starts", "sizes", "groups", "places", "lengths")).alias("told"))
+    with_told = rows.join(told, "key", "left")
+    sent = with_told.mapInArrow(send, send_schema)
     found = sent.repartition(F.col("group")).sortWithinPartitions("group", "id").mapInArrow(sort, sort_schema)
-    return found.groupBy("key").agg(F.collect_list(F.struct("id", "starts", "ends")).alias("spans"))
+    found = found.groupBy("key").agg(F.collect_list(F.struct("id", "starts", "sizes")).alias("found"))
+    return with_told.join(found, "key", "left")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay)."""
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = rows.join(spans(rows, span, gram, hot), "key", "left")
-    done = met.mapInArrow(_cut(False, ["id"]), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = met(rows, span, gram, hot).mapInArrow(_cut(False, ["id"]), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.withColumnRenamed("id", id_col)
 
 
@@ -445,19 +612,17 @@ def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     text was cut, ``n_chars`` (if there is such a column) is its new length.
     """
     fields = docs.columns
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in fields if c != "text"]).alias("rest"))
-    met = rows.join(spans(rows, span), "key", "left")
+    rest = F.struct(F.col("text").isNotNull().alias("own text"), *[F.col(f"`{c}`") for c in fields if c != "text"])
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("id"), "text", rest.alias("rest"))
     counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-    schema = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), T.StructField("was", T.StringType()), *counts, T.StructField("kept", T.BinaryType())])
-    done = met.withColumn("was", F.when(F.col("text").isNotNull(), F.lit("")))
-    done = done.mapInArrow(_cut(True, ["rest", "was"]), schema)
-    text = F.when(F.col("was").isNotNull(), F.col("kept").cast("string"))
-    cut = F.col("n_removed") > 0
+    schema = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), *counts, T.StructField("kept", T.BinaryType())])
+    done = met(rows, span).mapInArrow(_cut(True, ["rest"]), schema)
+    text = F.when(F.col("rest.own text"), F.col("kept").cast("string"))
 
     def column(c):
         if c == "text":
             return text.alias("text")
         own = F.col(f"rest.`{c}`")
-        return (F.when(cut, F.length(text)).otherwise(own).cast(docs.schema[c].dataType) if c == "n_chars" else own).alias(c)
+        return (F.when(F.col("n_removed") > 0, F.length(text)).otherwise(own).cast(docs.schema[c].dataType) if c == "n_chars" else own).alias(c)
 
     return done.select(*[column(c) for c in fields])

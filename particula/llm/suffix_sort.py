@@ -42,35 +42,57 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     before = [-1] * n
     end = n - 1
     while end >= 0:
-        start = group[order[end]]
+        s = order[end]
+        start = group[s]
         if start == end:
-            members = (order[end],)
-        else:
-            members = sorted(order[start : end + 1])
+            p = s - 1
+            while p >= 0 and group[p] >= start:
+                p = before[p]
+            before[s] = p
+            end -= 1
+            if p < 0:
+                continue
+            g = group[p]
+            held = size[g]
+            if held > 1:  # else it is alone already, and stays where it is
+                size[g] = held = held - 1
+                last = g + held
+                other, at = order[last], place[p]
+                order[at], place[other] = other, at
+                order[last], place[p] = p, last
+                group[p] = last
+                size[last] = 1
+            continue
         pointers: dict[int, int] = {}
-        for s in members:
+        pointed = 0
+        for s in sorted(order[start : end + 1]):
             p = s - 1
             while p >= 0 and group[p] >= start:
                 p = before[p]
             before[s] = p
             if p >= 0:
-                pointers[p] = pointers.get(p, 0) + 1
-        if len(pointers) == 1:
-            levels = [list(pointers)]
+                pointed += 1
+                if p in pointers:
+                    pointers[p] += 1
+                else:
+                    pointers[p] = 1
+        if len(pointers) == pointed:  # one pointer each
+            levels = [pointers]
         else:
             most_first = sorted(pointers, key=pointers.__getitem__, reverse=True)
             levels = [list(x) for _, x in groupby(most_first, key=pointers.__getitem__)]
         for level in levels:
-            for p in level:
+            moving = [p for p in level if size[group[p]] > 1]
+            for p in moving:
                 g = group[p]
                 size[g] -= 1
                 last = g + size[g]
                 other, at = order[last], place[p]
                 order[at], place[other] = other, at
                 order[last], place[p] = p, last
-            for p in level:
+            for p in moving:
                 group[p] += size[group[p]]
-            for p in level:
+            for p in moving:
                 size[group[p]] += 1
         end = start - 1
     # the order inside the groups; a group's start moves on as it fills
