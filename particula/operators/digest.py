@@ -128,9 +128,10 @@ def digest_chain(
 ) -> DataFrame:
     """ST7 batch: the digests the cooldown rule sends, with their summaries."""
     cooldown_us = int(cooldown_minutes * C.MICROS_PER_MINUTE)
-    from pyspark import StorageLevel
+    from ..session import cut_lineage
 
-    a = _prepared(alerts, key, cooldown_us).persist(StorageLevel.MEMORY_AND_DISK)
+    # read several times below; a checkpoint, unlike a cache, needs no release
+    a = cut_lineage(_prepared(alerts, key, cooldown_us))
     succ = successors(a, cooldown_us)
     bnd = boundaries(a, succ).withColumn("b", F.expr(f"(t - pmod(t, {cooldown_us}L)) div {cooldown_us}L"))
     # per alert bucket: its own boundary (if any) and the first boundary of a later bucket

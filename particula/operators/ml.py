@@ -88,14 +88,14 @@ def one_class_density(df: DataFrame, nu: float = 0.05, components: int = 64) ->
     """
     f = _filled(df)
     xs = [F.col(f"_f_{c}") for c in FEATURES]
-    if f.select(F.count(F.lit(1))).first()[0] < 5:  # too few rows: nothing flagged
-        return df.withColumn("density_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
     stats = f.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
         *[F.avg(x * x).alias(f"q{i}") for i, x in enumerate(xs)],
     ).first()
     n = stats["n"]
+    if n < 5:  # too few rows: nothing flagged
+        return df.withColumn("density_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
     d = len(FEATURES)
     # variance of all feature values pooled (numpy's X.var())
     mean_all = sum(stats[f"m{i}"] or 0.0 for i in range(d)) / d
@@ -120,7 +120,7 @@ def one_class_density(df: DataFrame, nu: float = 0.05, components: int = 64) ->
     scored = z.withColumn("density_score", score)
     cut = scored.select(F.percentile_approx("density_score", nu, 10000)).scalar()
     out = scored.withColumn(
-        "is_anomaly", F.coalesce((F.col("density_score") <= cut) & F.lit(n >= 5), F.lit(False))
+        "is_anomaly", F.coalesce(F.col("density_score") <= cut, F.lit(False))
     )
     return out.drop(*[f"_z{j}" for j in range(components)], *[f"_f_{c}" for c in FEATURES])
 

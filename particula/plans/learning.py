@@ -36,3 +36,10 @@ def ml_response(spark, sf):
 def ml_anomalies_only(spark, sf):
     scored = ML.detect(R(spark, sf), "random-forest", hours=None)
     return scored.filter(F.col("is_anomaly")).select(*OUT)
+
+
+@register("ml_lookback", "M4 M2 P8")
+def ml_lookback(spark, sf):
+    """The service's own call: one sensor, its last month before the newest reading."""
+    scored = ML.detect(R(spark, sf), "svm", sensor_id="sensor-urban-0", hours=24.0 * 30)
+    return scored.select(*OUT, "density_score")

@@ -69,13 +69,16 @@ def _typed(name: str, text: Column) -> Column:
     return text
 
 
-def parse_readings(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+def parse_readings(df: DataFrame, value: str = "value", keep: tuple[str, ...] = (), arrival: str | None = None) -> DataFrame:
     """Any wire form (flat, short, minimal, nested) -> canonical READINGS columns.
 
-    Missing columns become NULL; `aqi` that is a label goes to `aqi_category`;
+    Missing columns become NULL; a missing time becomes that of `arrival`, a
+    column of `df`, else now, when `arrival` is given (P2): the arrival time
+    keeps a replayed message on its key. `aqi` that is a label goes to `aqi_category`;
     `temperature_celsius`/`humidity_percent` are accepted as aliases.
     """
-    p = df.select(*keep, F.from_json(F.col(value), WIRE_ANY).alias("_w"), F.col(value).alias("_raw"))
+    came = F.coalesce(F.col(arrival).cast("timestamp"), F.current_timestamp()) if arrival else F.lit(None).cast("timestamp")
+    p = df.select(*keep, F.from_json(F.col(value), WIRE_ANY).alias("_w"), F.col(value).alias("_raw"), came.alias("_came"))
     cols = []
     for f in S.READINGS.fields:
         n = f.name
@@ -90,7 +93,8 @@ def parse_readings(df: DataFrame, value: str = "value", keep: tuple[str, ...] =
         if n == "humidity":
             cands.append(F.col("_w.humidity_percent"))
         text = F.coalesce(*cands) if len(cands) > 1 else cands[0]
-        cols.append(_typed(n, text).alias(n))
+        typed = _typed(n, text)
+        cols.append((F.coalesce(typed, F.col("_came")) if n == "timestamp" else typed).alias(n))
     aqi_text = F.coalesce(F.col(f"_w.{NESTED_PATHS['aqi']}"), F.col("_w.aqi"))
     label = F.when(lenient_double(aqi_text).isNull(), aqi_text)
     corrupt = F.col("_w").isNull() | F.col("_raw").isNull() | ~F.trim(F.col("_raw")).startswith("{")

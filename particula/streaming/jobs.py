@@ -68,7 +68,7 @@ def readings_stream(
         "event_id",
         F.coalesce(F.get_json_object("value", "$.event_id").try_cast("bigint"), F.xxhash64("key", "value")),
     )
-    out = PS.parse_readings(env, keep=("event_id", "topic"))
+    out = PS.parse_readings(env, keep=("event_id", "topic"), arrival="timestamp")
     return out.withColumn("aqi", F.coalesce(F.col("aqi"), aqi_score("pm2_5", "pm10")))
 
 
@@ -171,7 +171,7 @@ def _typed(fields) -> Callable[[DataFrame], DataFrame]:
 
 # table of a topic: its parser and its key
 TYPED_TABLES = {
-    "air_quality_data": (lambda rows: SK.align(PS.parse_readings(rows)), SK.READINGS_KEY),
+    "air_quality_data": (lambda rows: SK.align(PS.parse_readings(rows, arrival="timestamp")), SK.READINGS_KEY),
     "smart_virtual_sensors": (PS.parse_device, SK.READINGS_KEY),
     "smart_sensor_alerts": (_typed(S.DEVICE_ALERTS.fields), ("alert_id",)),
     "air_quality_alerts": (_typed(S.ALERTS.fields), ("alert_id",)),

@@ -123,3 +123,15 @@ def test_align_missing_columns_null_and_now(spark):
     df = spark.createDataFrame([("s", None, 1.0)], "sensor_id string, timestamp timestamp, pm2_5 double")
     out = SK.align(df).first()
     assert out.pm10 is None and out.timestamp is not None and out.aqi is None
+
+
+def test_missing_wire_time_becomes_the_arrival_time(spark):
+    import datetime as dt
+
+    from particula.sources.parse import parse_readings
+
+    rows = [('{"sensor_id":"a","pm2_5":1}', "2024-01-01 05:00:00"), ('{"sensor_id":"b","timestamp":"2024-02-02T01:02:03Z"}', "2024-01-01 05:00:00"), ('{"sensor_id":"c"}', None)]
+    env = spark.createDataFrame(rows, "value string, t string").selectExpr("value", "CAST(t AS TIMESTAMP) AS timestamp")
+    got = {r.sensor_id: r.timestamp for r in parse_readings(env, arrival="timestamp").collect()}
+    assert got["a"] == dt.datetime(2024, 1, 1, 5) and got["b"] == dt.datetime(2024, 2, 2, 1, 2, 3) and got["c"] is not None
+    assert {r.timestamp for r in parse_readings(env.limit(1)).collect()} == {None}
