@@ -155,7 +155,7 @@ def overlaps(
         T.StructField("similarity", T.DoubleType()),
     ]
     schema = T.StructType(fields)
-    source = docs.select(id_col, text_col)
+    source = K.short_batches(docs).select(id_col, text_col)
 
     def search(sent):
         def run(batches):
@@ -186,7 +186,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame
 
     Rows are marked in the pass over the texts, one block after another, so that repeated and null ids need no join.
     """
-    spark = docs.sparkSession
+    spark = K.short_batches(docs).sparkSession
     min_words, similarity = how.get("min_words", MIN_WORDS), how.get("similarity", SIMILARITY)
 
     def keep(sent):

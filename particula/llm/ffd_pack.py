@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
+from .textkernel import short_batches
 from .tokens import Encoder
 
 LENGTH = 2048
@@ -136,7 +137,7 @@ def pack_group(sizes: list[int], length: int = LENGTH) -> list[list[Piece]]:
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, partitions: int | None) -> DataFrame:
     """(id, text) dealt at random by a hash of both and sorted by it, so that groups do not depend on the order of arrival."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("o", F.xxhash64("id", "text"))
+    rows = short_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("o", F.xxhash64("id", "text"))
     rows = rows.repartition(partitions, "o") if partitions else rows.repartition("o")
     return rows.sortWithinPartitions("o", "id").select("id", "text")
 

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textkernel import short_batches
+
 # Base phrases (words in a row) and their labels.
 BASE_PHRASES = {
     "under the mit license": "mit",
@@ -217,4 +219,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[id_col, *names])
 
     schema = f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permissive boolean"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return short_batches(docs).select(id_col, text_col).mapInArrow(run, schema)

@@ -570,7 +570,7 @@ def met(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) ->
 
     The three joins deal the same rows by the same key, so that their shuffle is written once.
     """
-    spark = rows.sparkSession
+    spark = K.short_batches(rows).sparkSession
     if not gram < span <= 128:
         raise ValueError("a string holds an anchor, and a stretch has a length of one byte")
     known = rows.where("id IS NOT NULL")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 PIECE_BYTES = 1 << 20
 
@@ -27,6 +28,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Rows of an Arrow batch where texts go to Python; Spark's own default suits short rows.
+BATCH_ROWS = 1000
+
+
+def short_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after its session was told to send texts in short Arrow batches, unless it has a setting of its own."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """True for the bytes in the (first, last) ranges."""
     out = np.zeros(256, bool)
