@@ -6,9 +6,10 @@ only the marked ones enter the window's hash, so a substituted word at an
 ignored position does not hide the window. The benchmark's window hashes are a
 sorted array in a broadcast; every window of every document is looked up in it.
 A hit fixes document, item and offset; there the whole item is laid beside the
-document and the stretch with most matches, each substitution costing as much
-as four matches bring, is verified: it must reach ``min_words`` words (or the
-item's length, if that is less) and a share of equal words of ``similarity``.
+document, and it is an overlap if any stretch reaches ``min_words`` words (or
+the item's length, if that is less) and a share of equal words of
+``similarity``. Reported is the stretch with most matches, each substitution
+costing as much as four matches bring, or the longest, if that one is too short.
 
 The benchmark is cut into blocks of at most ``block_bytes`` of text, so that a
 broadcast has a bound whatever the benchmark's size; the documents are read
@@ -23,6 +24,7 @@ are ignored; texts of any length are read whole.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -57,6 +59,12 @@ def _windows(hashes: np.ndarray, mask: str) -> np.ndarray:
     return K.mix(out)
 
 
+def _weights(similarity: float) -> tuple[int, int]:
+    """Whole numbers (gain, loss) of an equal and of another word: a stretch has the share if its sum is not negative."""
+    share = Fraction(str(similarity)).limit_denominator(10**6)
+    return share.denominator - share.numerator, share.numerator
+
+
 class Index:
     """A block of the benchmark: items' words and the sorted hashes of their windows."""
 
@@ -108,21 +116,29 @@ class Index:
         return np.unique(np.concatenate(found), axis=0)
 
     def verify(self, words: np.ndarray, item: int, offset: int, min_words: int, similarity: float):
-        """(start in the document, start in the item, words, equal words) of the best stretch, or None."""
+        """(start in the document, start in the item, words, equal words) of a stretch that qualifies, or None.
+
+        It is the one that scores best, if that qualifies, or else the longest that does.
+        """
         mine = self.hashes[self.first[item] : self.first[item + 1]]
         a, b = max(0, -offset), min(len(mine), len(words) - offset)
         same = mine[a:b] == words[a + offset : b + offset]
-        # whole thousandths, so that a stretch with exactly the asked share is worth nothing less than zero
-        gain = round(1000 * (1 - similarity))
-        total = np.concatenate([[0], np.cumsum(np.where(same, gain, gain - 1000))])
+        gain, loss = _weights(similarity)
+        total = np.concatenate([[0], np.cumsum(np.where(same, gain, -loss))])
+        need = max(1, min(min_words, len(mine)))
         low = np.minimum.accumulate(total)
         best = (total - low)[::-1]
         end = len(total) - 1 - int(np.argmax(best))
         start = int(np.flatnonzero(total[: end + 1] == low[end])[0])
-        n, equal = end - start, int(same[start:end].sum())
-        if n < min(min_words, len(mine)) or equal < similarity * n:
-            return None
-        return a + offset + start, a + start, n, equal
+        if end - start < need:
+            # the furthest end that is no lower than each start: the stretch has the share if its sum is not negative
+            high = np.maximum.accumulate(total[::-1])[::-1]
+            reach = np.searchsorted(-high, -total, "right") - 1
+            start = int(np.argmax(reach - np.arange(len(total))))
+            end = int(reach[start])
+            if end - start < need:
+                return None
+        return a + offset + start, a + start, end - start, int(same[start:end].sum())
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):

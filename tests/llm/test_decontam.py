@@ -1,4 +1,7 @@
 import random
+from fractions import Fraction
+
+import numpy as np
 
 from particula.llm import decontam
 
@@ -63,3 +66,33 @@ def test_odd_inputs(spark):
     assert decontam.overlaps(docs, bench.limit(0)).collect() == []
     left = decontam.drop_contaminated(docs, bench)
     assert left.schema == docs.schema and sorted(x.text or "" for x in left.collect()) == ["", ""]
+
+
+def brute(doc, item, offset, min_words=12, similarity=0.8):
+    """Length of the longest stretch on the diagonal that qualifies, or 0."""
+    a, b = max(0, -offset), min(len(item), len(doc) - offset)
+    same = [item[k] == doc[k + offset] for k in range(a, b)]
+    need, share = min(min_words, len(item)), Fraction(str(similarity))
+    sizes = [j - i for i in range(len(same)) for j in range(i + need, len(same) + 1) if sum(same[i:j]) >= share * (j - i)]
+    return max(sizes, default=0)
+
+
+def test_verify_against_every_stretch():
+    r = random.Random(8)
+    for case in range(1500):
+        item = _words(r.choice([5, 8, 12, 13, 15, 20, 24, 40]), r)
+        copy = [w if r.random() > 0.2 else "other" for w in item]
+        if case == 0:
+            item = _words(15, r)
+            copy = [*item[:11], "other", *item[12:]]
+        doc = _words(r.choice([0, 3]), r) + copy + _words(r.choice([0, 3]), r)
+        index = decontam.Index([1], [" ".join(item)])
+        words = decontam.Index([1], [" ".join(doc)]).hashes
+        for offset in (0, 3):
+            want = brute(doc, item, offset)
+            got = index.verify(words, 0, offset, 12, 0.8)
+            assert (got is not None) == (want > 0), (item, doc, offset)
+            if got:
+                start, place, n, equal = got
+                assert start - place == offset and min(12, len(item)) <= n <= want and 5 * equal >= 4 * n
+                assert equal == int(np.sum(index.hashes[place : place + n] == words[start : start + n]))
