@@ -5,6 +5,8 @@ are hashed; a spaced seed is a fixed mask over ``SPAN`` words in a row of which
 only the marked ones enter the window's hash, so a substituted word at an
 ignored position does not hide the window. The benchmark's window hashes are a
 sorted array in a broadcast; every window of every document is looked up in it.
+The masks are so short that one of them fits in every stretch that qualifies, so
+no overlap is missed (tests go through all patterns of substitutions).
 A hit fixes document, item and offset; there the whole item is laid beside the
 document, and it is an overlap if any stretch reaches ``min_words`` words (or
 the item's length, if that is less) and a share of equal words of
@@ -35,14 +37,17 @@ from pyspark.sql import types as T
 
 from . import textkernel as K
 
-# The seeds; 1 marks a word that counts.
-SEEDS = ("111010110111", "110111010111", "101101111011")
+# The seeds; 1 marks a word that counts. Every stretch of 12 words
+# or more with 0.8 of them equal has a place where one of the two fits.
+SEEDS = ("111011", "11111")
 SPAN = 12
 MIN_ITEM = 5
 MIN_WORDS = 12
 SIMILARITY = 0.8
 #: A block of the benchmark: its texts, hashes and places take about 30 times this in a task.
 BLOCK_BYTES = 2 << 20
+#: Hits, or words laid beside each other, that a task holds at once.
+AT_ONCE = 1 << 20
 _PLACE_KEYS = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.int64).astype(np.uint64) * K.U64(2) + K.U64(1)
 
 
@@ -65,11 +70,36 @@ def _weights(similarity: float) -> tuple[int, int]:
     return share.denominator - share.numerator, share.numerator
 
 
+def masks(size: int, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> tuple[str, ...]:
+    """Masks of which one fits somewhere in every overlap with an item of ``size`` words.
+
+    A stretch of twice ``min_words`` or more has a half that qualifies, so only
+    shorter ones count. Of n words with s others one run of equal words has
+    (n - s) / (s + 1) or more.
+    """
+    need = min(size, min_words)
+    if need >= SPAN and similarity >= SIMILARITY:
+        return SEEDS
+    if size < min(min_words, SPAN):
+        return ("1" * size,)
+    gain, loss = _weights(similarity)
+    lengths = np.arange(need, min(2 * need - 1, size) + 1)
+    others = lengths * gain // (gain + loss)
+    run = int((-(-(lengths - others) // (others + 1))).min())
+    return ("1" * min(max(run, 1), SPAN),)
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The different rows, sorted by their columns from the first on."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))] if len(rows) else rows
+
+
 class Index:
     """A block of the benchmark: items' words and the sorted hashes of their windows."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        self.ids = ids
+    def __init__(self, ids: list, texts: list[str], min_words: int = MIN_WORDS, similarity: float = SIMILARITY):
+        self.ids, self.min_words, self.similarity = ids, min_words, similarity
         hashes, first = [], [0]
         for _, _, data, off in K.pieces(pa.array(texts, pa.string())):
             h, f = K.word_hashes(data, off)
@@ -77,43 +107,82 @@ class Index:
             first.extend((f[1:] + first[-1]).tolist())
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.first = np.array(first)
-        size = np.diff(self.first)
-        masks = dict.fromkeys(SEEDS)
-        masks |= dict.fromkeys("1" * n for n in sorted(set(size[(size >= MIN_ITEM) & (size < SPAN)].tolist())))
+        self.size = np.diff(self.first)
+        users: dict[str, list[int]] = {}
+        of_size = {n: masks(n, min_words, similarity) if n >= MIN_ITEM else () for n in set(self.size.tolist())}
+        for item, n in enumerate(self.size.tolist()):
+            for mask in of_size[n]:
+                users.setdefault(mask, []).append(item)
         self.tables = []
-        for mask in masks:
-            span = len(mask)
-            fits = size >= span if span == SPAN else size == span
-            at = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b - span + 1) for a, b, ok in zip(self.first, self.first[1:], fits, strict=False) if ok)])
-            w = _windows(self.hashes, mask)
-            h = w[at] if len(at) else np.zeros(0, np.uint64)
+        for mask, items in users.items():
+            at = np.concatenate([np.arange(self.first[i], self.first[i + 1] - len(mask) + 1) for i in items])
+            h = _windows(self.hashes, mask)[at]
             order = np.argsort(h, kind="stable")
             h, at = h[order], at[order]
             item = np.searchsorted(self.first, at, "right") - 1
-            # a bit for every 22-bit prefix that occurs: most windows end here
-            seen = np.zeros(1 << 22, bool)
-            seen[(h >> K.U64(42)).astype(np.int64)] = True
-            self.tables.append((mask, h, item, at - self.first[item], seen))
+            # a bit for every prefix that occurs, 64 or more to a window: most windows end here
+            shift = K.U64(64 - min(22, len(h).bit_length() + 6))
+            seen = np.zeros(1 << (64 - int(shift)), bool)
+            seen[(h >> shift).astype(np.int64)] = True
+            self.tables.append((mask, h, item, at - self.first[item], shift, seen))
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, offset of the item's first word in the document) of the piece, one a row."""
+        """Distinct (document, item, offset of the item's first word in the document) that hold an overlap, one a row."""
         doc_of = K.owner(first)
         found = [np.zeros((0, 3), np.int64)]
-        for mask, h, item, place, seen in self.tables:
+        for mask, h, item, place, shift, seen in self.tables:
             w = _windows(hashes, mask)
             if not len(w) or not len(h):
                 continue
-            at = np.flatnonzero(seen[(w >> K.U64(42)).astype(np.int64)])
+            at = np.flatnonzero(seen[(w >> shift).astype(np.int64)])
             at = at[doc_of[at] == doc_of[at + len(mask) - 1]]
             low = np.searchsorted(h, w[at], "left")
             n = np.searchsorted(h, w[at], "right") - low
             at, low, n = at[n > 0], low[n > 0], n[n > 0]
-            # every place of the benchmark with this hash
-            entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            at = np.repeat(at, n)
-            doc = doc_of[at]
-            found.append(np.unique(np.stack([doc, item[entry], at - first[doc] - place[entry]], axis=1), axis=0))
-        return np.unique(np.concatenate(found), axis=0)
+            # every place of the benchmark with this hash, a bounded number at once
+            upto = np.cumsum(n)
+            i = 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] - n[i] + AT_ONCE, "right")))
+                m = n[i:j]
+                entry = np.repeat(low[i:j] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+                word = np.repeat(at[i:j], m)
+                doc = doc_of[word]
+                rows = _distinct(np.stack([doc, item[entry], word - first[doc] - place[entry]], axis=1))
+                found.append(rows[self.qualify(hashes, first, rows)])
+                i = j
+        return _distinct(np.concatenate(found))
+
+    def qualify(self, hashes: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For every (document, item, offset), whether any stretch there is an overlap."""
+        gain, loss = _weights(self.similarity)
+        doc, item, offset = rows.T
+        size = self.size[item]
+        a = np.maximum(0, -offset)
+        n = np.minimum(size, first[doc + 1] - first[doc] - offset) - a
+        need = np.maximum(1, np.minimum(self.min_words, size))
+        mine, other = self.first[item] + a, first[doc] + offset + a
+        out = np.zeros(len(rows), bool)
+        live = np.flatnonzero(n >= need)
+        live = live[np.lexsort((n[live], need[live]))]
+        i = 0
+        while i < len(live):
+            j = min(len(live), i + max(1, AT_ONCE // int(n[live[i]])))
+            j = i + int(np.searchsorted(need[live[i:j]], need[live[i]], "right"))
+            while j - i > 1 and (j - i) * n[live[j - 1]] > AT_ONCE:
+                j = i + (j - i) // 2
+            part, k = live[i:j], int(need[live[i]])
+            i = j
+            col = np.arange(n[part[-1]])
+            same = self.hashes[np.minimum(mine[part, None] + col, len(self.hashes) - 1)] == hashes[np.minimum(other[part, None] + col, len(hashes) - 1)]
+            same &= col < n[part, None]
+            enough = same.sum(axis=1) * (gain + loss) >= k * loss
+            part, same = part[enough], same[enough]
+            total = np.zeros((len(part), len(col) + 1), np.int64)
+            np.cumsum(np.where(same, gain, -loss), axis=1, out=total[:, 1:])
+            low = np.minimum.accumulate(total, axis=1)[:, : len(col) + 1 - k]
+            out[part] = ((total[:, k:] >= low) & (np.arange(k, len(col) + 1) <= n[part, None])).any(axis=1)
+        return out
 
     def verify(self, words: np.ndarray, item: int, offset: int, min_words: int, similarity: float):
         """(start in the document, start in the item, words, equal words) of a stretch that qualifies, or None.
@@ -175,7 +244,7 @@ def overlaps(
 
     def search(sent):
         def run(batches):
-            index = Index(*sent.value)
+            index = Index(*sent.value, min_words, similarity)
             for batch in batches:
                 rows, items, out = [], [], []
                 for a, _, data, off in K.pieces(batch.column(1)):
@@ -207,14 +276,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame
 
     def keep(sent):
         def run(batches):
-            index = Index(*sent.value)
+            index = Index(*sent.value, min_words, similarity)
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
                 for a, _, data, off in K.pieces(batch.column("text")):
                     hashes, first = K.word_hashes(data, off)
-                    for d, item, offset in index.hits(hashes, first).tolist():
-                        if good[a + d] and index.verify(hashes[first[d] : first[d + 1]], item, offset, min_words, similarity):
-                            good[a + d] = False
+                    good[a + index.hits(hashes, first)[:, 0]] = False
                 yield batch.filter(pa.array(good))
 
         return run

@@ -1,5 +1,6 @@
 import random
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 
@@ -96,3 +97,44 @@ def test_verify_against_every_stretch():
                 start, place, n, equal = got
                 assert start - place == offset and min(12, len(item)) <= n <= want and 5 * equal >= 4 * n
                 assert equal == int(np.sum(index.hashes[place : place + n] == words[start : start + n]))
+
+
+def test_seeds_fit_every_pattern_of_substitutions():
+    """Stretches of 24 words or more have a half that qualifies."""
+    for n in range(12, 24):
+        full = (1 << n) - 1
+        left = np.array([full - sum(1 << k for k in out) for out in combinations(range(n), n // 5)])
+        for mask in decontam.masks(n, 12, 0.8):
+            m = int(mask[::-1], 2)
+            for at in range(n - len(mask) + 1):
+                left = left[left >> at & m != m]
+        assert not len(left), n
+
+
+def test_hits_are_all_overlaps():
+    """Every diagonal that holds an overlap, against brute force over all stretches; also at other lengths and shares."""
+    r = random.Random(3)
+    for min_words, similarity in [(12, 0.8), (15, 0.9), (6, 0.8), (12, 0.7), (7, 0.6), (20, 0.75)]:
+        items = [_words(r.choice([20, 21, 24, 30, 45]), r) for _ in range(12)]
+        items += [[*"ababababababababababab"], ["z"] * 25]
+        docs = []
+        for _ in range(60):
+            item = r.choice(items)
+            a = r.randint(0, 8)
+            copy = [w if r.random() > r.choice([0.1, 0.2]) else "other" for w in item[a : a + r.randint(10, 45)]]
+            docs.append(_words(r.choice([0, 4]), r) + copy + _words(r.choice([0, 4]), r))
+        docs += [["z"] * 40, [], [*"abababababababab"]]
+        index = decontam.Index(list(range(len(items))), [" ".join(x) for x in items], min_words, similarity)
+        other = decontam.Index([None] * len(docs), [" ".join(x) for x in docs])
+        want = [(d, i, at) for d, doc in enumerate(docs) for i, item in enumerate(items) for at in range(-len(item), len(doc)) if set(item) & set(doc) and brute(doc, item, at, min_words, similarity)]
+        assert [tuple(x) for x in index.hits(other.hashes, other.first).tolist()] == want
+
+
+def test_a_copy_with_two_words_changed_is_found(spark):
+    r = random.Random(4)
+    item = _words(20, r)
+    doc = [*item[:9], "one", "two", *item[11:]]
+    d = spark.createDataFrame([(1, " ".join(doc)), (2, "clean text")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [tuple(x) for x in decontam.overlaps(d, b).collect()] == [(1, 7, 0, 0, 20, 18, 0.9)]
+    assert [x.doc_id for x in decontam.drop_contaminated(d, b).collect()] == [2]
