@@ -15,9 +15,11 @@ costing as much as four matches bring, or the longest, if that one is too short.
 
 The benchmark is cut into blocks of at most ``block_bytes`` of text, so that a
 broadcast has a bound whatever the benchmark's size; the documents are read
-once for each block. Items shorter than ``SPAN`` use a full window of their own
-length. Items of fewer than ``MIN_ITEM`` words are never searched: they carry
-too little to be told from chance.
+once for each block. Items shorter than ``min_words`` are searched whole: their
+masks keep two of s + 2 parts, where s words may differ, and below 5 words at a
+share of 0.8 none may. Items of fewer than ``min_item`` words are left out; the
+queries and the pipeline leave out none. A character of a script without spaces
+(Chinese, Japanese, Thai) is a word.
 
 Defined cases: null or empty texts and items match nothing; repeated documents
 and repeated items are reported each; empty tables give no rows; other columns
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,7 @@ from . import textkernel as K
 # or more with 0.8 of them equal has a place where one of the two fits.
 SEEDS = ("111011", "11111")
 SPAN = 12
+#: Smallest item in words that is searched, if the caller names no other.
 MIN_ITEM = 5
 MIN_WORDS = 12
 SIMILARITY = 0.8
@@ -51,6 +55,40 @@ AT_ONCE = 1 << 20
 _PLACE_KEYS = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.int64).astype(np.uint64) * K.U64(2) + K.U64(1)
 
 
+#: First and last character of the scripts that put no spaces between words.
+UNSPACED = (
+    *((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF)),  # Thai, Lao, Tibetan, Myanmar, Khmer, Tai
+    *((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF)),  # Han, Japanese, Bopomofo
+    *((0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)),
+)
+
+
+def _unspaced_edges(data: np.ndarray) -> np.ndarray:
+    """Where characters of unspaced scripts begin and end."""
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return at
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
+    size = np.where(data[at] >= 0xF0, 4, 3)
+    tail = [padded[at + k] & 63 for k in (1, 2, 3)]
+    three = (padded[at] & 15) << 12 | tail[0] << 6 | tail[1]
+    code = np.where(size == 3, three, (padded[at] & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2])
+    bounds = np.array(sorted(UNSPACED))
+    k = np.searchsorted(bounds[:, 0], code, "right") - 1
+    own = (k >= 0) & (code <= bounds[k, 1])
+    return np.union1d(at[own], np.minimum(at[own] + size[own], len(data)))
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As in ``textkernel``, but a character of an unspaced script is a word."""
+    edges = _unspaced_edges(data)
+    if not len(edges):
+        return K.word_hashes(data, off)
+    low = K.LOWER[data]
+    starts, ends, _ = K.words(low, np.union1d(off, edges))
+    return K.stretch_hash(K.prefix_hash(low), starts, ends), np.searchsorted(starts, off)
+
+
 def _windows(hashes: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the window at every word that has room for the mask in the whole array."""
     span = len(mask)
@@ -75,14 +113,18 @@ def masks(size: int, min_words: int = MIN_WORDS, similarity: float = SIMILARITY)
 
     A stretch of twice ``min_words`` or more has a half that qualifies, so only
     shorter ones count. Of n words with s others one run of equal words has
-    (n - s) / (s + 1) or more.
+    (n - s) / (s + 1) or more. A shorter item has masks of its own length.
     """
     need = min(size, min_words)
     if need >= SPAN and similarity >= SIMILARITY:
         return SEEDS
-    if size < min(min_words, SPAN):
-        return ("1" * size,)
     gain, loss = _weights(similarity)
+    if size < min_words and size < SPAN:
+        # the whole item is the only stretch: of s + 2 parts two have no other word
+        others = size * gain // (gain + loss)
+        parts = np.array_split(np.arange(size), min(others + 2, size))
+        picks = combinations(parts, len(parts) - others)
+        return tuple("".join("01"[k in kept] for k in range(size)) for kept in (set(np.concatenate(p).tolist()) for p in picks))
     lengths = np.arange(need, min(2 * need - 1, size) + 1)
     others = lengths * gain // (gain + loss)
     run = int((-(-(lengths - others) // (others + 1))).min())
@@ -98,18 +140,18 @@ def _distinct(rows: np.ndarray) -> np.ndarray:
 class Index:
     """A block of the benchmark: items' words and the sorted hashes of their windows."""
 
-    def __init__(self, ids: list, texts: list[str], min_words: int = MIN_WORDS, similarity: float = SIMILARITY):
+    def __init__(self, ids: list, texts: list[str], min_words: int = MIN_WORDS, similarity: float = SIMILARITY, min_item: int = MIN_ITEM):
         self.ids, self.min_words, self.similarity = ids, min_words, similarity
         hashes, first = [], [0]
         for _, _, data, off in K.pieces(pa.array(texts, pa.string())):
-            h, f = K.word_hashes(data, off)
+            h, f = word_hashes(data, off)
             hashes.append(h)
             first.extend((f[1:] + first[-1]).tolist())
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.first = np.array(first)
         self.size = np.diff(self.first)
         users: dict[str, list[int]] = {}
-        of_size = {n: masks(n, min_words, similarity) if n >= MIN_ITEM else () for n in set(self.size.tolist())}
+        of_size = {n: masks(n, min_words, similarity) if n >= max(1, min_item) else () for n in set(self.size.tolist())}
         for item, n in enumerate(self.size.tolist()):
             for mask in of_size[n]:
                 users.setdefault(mask, []).append(item)
@@ -230,6 +272,7 @@ def overlaps(
     min_words: int = MIN_WORDS,
     similarity: float = SIMILARITY,
     block_bytes: int = BLOCK_BYTES,
+    min_item: int = MIN_ITEM,
 ) -> DataFrame:
     """One row per verified overlap: id, item id, doc_word, item_word, n_words, n_equal, similarity. ``docs``' id may be a struct."""
     spark = docs.sparkSession
@@ -244,11 +287,11 @@ def overlaps(
 
     def search(sent):
         def run(batches):
-            index = Index(*sent.value, min_words, similarity)
+            index = Index(*sent.value, min_words, similarity, min_item)
             for batch in batches:
                 rows, items, out = [], [], []
                 for a, _, data, off in K.pieces(batch.column(1)):
-                    hashes, first = K.word_hashes(data, off)
+                    hashes, first = word_hashes(data, off)
                     for d, item, offset in index.hits(hashes, first).tolist():
                         if got := index.verify(hashes[first[d] : first[d + 1]], item, offset, min_words, similarity):
                             rows.append(a + d)
@@ -273,14 +316,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame
     """
     spark = K.short_batches(docs).sparkSession
     min_words, similarity = how.get("min_words", MIN_WORDS), how.get("similarity", SIMILARITY)
+    min_item = how.get("min_item", MIN_ITEM)
 
     def keep(sent):
         def run(batches):
-            index = Index(*sent.value, min_words, similarity)
+            index = Index(*sent.value, min_words, similarity, min_item)
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
                 for a, _, data, off in K.pieces(batch.column("text")):
-                    hashes, first = K.word_hashes(data, off)
+                    hashes, first = word_hashes(data, off)
                     good[a + index.hits(hashes, first)[:, 0]] = False
                 yield batch.filter(pa.array(good))
 

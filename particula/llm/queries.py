@@ -55,7 +55,7 @@ def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_spaced_seed_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), min_item=1)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

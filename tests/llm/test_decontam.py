@@ -4,7 +4,8 @@ from itertools import combinations
 
 import numpy as np
 
-from particula.llm import decontam
+import corpus_pipeline
+from particula.llm import decontam, queries
 
 
 def _words(n, r):
@@ -130,6 +131,39 @@ def test_hits_are_all_overlaps():
         assert [tuple(x) for x in index.hits(other.hashes, other.first).tolist()] == want
 
 
+def test_short_items_tolerate_substitutions_too():
+    """Every choice of words to substitute, for items below the minimum length."""
+    r = random.Random(6)
+    for n in range(1, 12):
+        for similarity in (0.8, 0.6):
+            item = _words(n, r)
+            index = decontam.Index([1], [" ".join(item)], 12, similarity, min_item=1)
+            allowed = n - -(-n * int(similarity * 10) // 10)
+            for k in range(allowed + 2):
+                for out in combinations(range(n), min(k, n)):
+                    doc = ["before", *("other" if j in out else w for j, w in enumerate(item)), "after"]
+                    words = decontam.Index([1], [" ".join(doc)])
+                    assert len(index.hits(words.hashes, words.first)) == (k <= allowed), (n, similarity, out)
+
+
+def test_queries_search_items_of_few_words_and_unspaced_scripts(spark, tmp_path):
+    chinese = "山上的小村庄在清晨被薄雾笼罩着老人们坐在树下喝茶"
+    items = [(1, "Qu'est-ce"), (2, "one two three four"), (3, chinese), (4, "ร้านกาแฟเล็กๆริมแม่น้ำ"), (5, "five words are in here"), (6, "犬"), (7, "...")]
+    texts = ["that is qu est CE, no", "One, two\nthree four!", "x one two three five", "据说" + chinese.replace("清", "今").replace("茶", "酒") + "。后来", "ที่ร้านกาแฟเล็กๆริมแม่น้ำมี", "five words were in here", "b犬c", "..."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(x.doc_id, x.item_id) for x in queries.op4_spaced_seed_decontam(spark, str(tmp_path)).collect()}
+    assert got == {(0, 1), (1, 2), (3, 3), (4, 4), (5, 5), (6, 6)}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id for x in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()} == {2, 7}
+
+
+def test_characters_of_unspaced_scripts_are_words():
+    found = lambda text: len(decontam.Index([1], [text]).hashes)
+    for text, n in [("año élan", 2), ("a中b文", 4), ("中文", 2), ("カタカナ ひらがな", 8), ("ไทย", 3), ("𠀀𠀁x", 3), ("привет мир", 2), ("한국어 말", 2), ("中", 1), ("", 0)]:
+        assert found(text) == n, text
+
+
 def test_a_copy_with_two_words_changed_is_found(spark):
     r = random.Random(4)
     item = _words(20, r)
