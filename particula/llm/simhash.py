@@ -248,17 +248,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row of each component, with all its columns: the one with the component's id.
+    """One row of each component, with all its columns: the one with the smallest id, and of several with that the one whose hash is smallest.
 
-    Rows without an id stay one for each fingerprint, where no row with an id
-    has it. Of rows that share id and text one stays; of rows that share the id
-    alone, the one whose hash is smallest.
+    Here the fingerprint classes are the nodes, so that rows that share an id
+    alone are not linked by it. A class without any id adds no link and keeps
+    one row.
     """
     key = F.xxhash64("doc_id", "text")
     prints = fingerprints(docs.withColumn("own key", F.struct(F.col("doc_id"), key.alias("key"))), "own key", "text", shingle)
-    found = _marked(prints.select(F.col("id.doc_id").alias("id"), "fp", F.col("id.key").alias("key")), shingle, radius, hot_rows)
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id")))
-    group = F.when(F.col("id").isNull(), F.col("fp"))
-    stay = stay.groupBy("id", group.alias("alone")).agg(F.min("key").alias("own key")).select("own key")
+    marks = cut_lineage(prints.select(F.col("id.doc_id").alias("id"), "fp", F.col("id.key").alias("key")))
+    classes = cut_lineage(marks.groupBy("fp").agg(F.count("id").alias("ids")))
+    merged = components(near_links(classes.where("ids > 0").select("fp", F.col("fp").alias("node")), radius, hot_rows))
+    merged = merged.select(F.col("node").alias("fp"), "component")
+    # a table of its own, so that a frequent fingerprint's rows can be split where they meet it
+    named = cut_lineage(classes.join(merged, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")))
+    # numbers only, so that both are hash aggregates
+    least = marks.join(named, "fp").groupBy("component", "id").agg(F.min("key").alias("key"))
+    stay = least.groupBy("component").agg(F.coalesce(F.min_by("key", "id"), F.min("key")).alias("own key")).select("own key")
     rows = docs.withColumn("own key", key).join(stay, "own key", "left_semi")
     return rows.withColumn("own rank", F.row_number().over(Window.partitionBy("own key").orderBy("own key"))).where("`own rank` = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -95,3 +95,19 @@ def test_empty_and_odd_tables(spark):
     same = spark.createDataFrame([(7, "a b c d", 1, "x"), (7, "a b c d", 2, "y"), (3, "A  B c D", None, None), (None, "q r s t u", 1, "z")], "doc_id long, text string, node long, fp string")
     got = sorted((map(tuple, simhash.near_duplicates(same).collect())), key=str)
     assert [(x[0], x[2]) for x in got] == [(3, 3), (7, 3), (7, 3), (None, None)]
+
+
+def test_rows_that_share_an_id_alone_both_stay(spark):
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(4)]
+    rows = [(1, texts[0], 1), (1, texts[1], 2), (1, texts[1].upper(), 3), (2, texts[1], 4), (2, texts[2], 5), (2, texts[2], 5), (None, texts[2], 6), (None, texts[3], 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = [x.n for x in simhash.drop_near_duplicates(df).collect()]
+    assert len(got) == 4 and {1, 5, 7} < set(got) and set(got) & {2, 3}
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = _rows(2)
+    got = sorted(map(tuple, simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()))
+    stays = {i for i, _, c in brute(rows) if i == c}
+    assert got == [x for x in rows if x[0] in stays]
