@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bfd_pack, decontam, ffd_pack, licenses, maglev, prefix_forest, simhash, suffix_dedup, toxicity, url_filter
+from . import bfd_pack, bpe_codec, centroids, collocations, decontam, ffd_pack, licenses, maglev, prefix_forest, simhash, suffix_dedup, toxicity, url_filter
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,28 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), support=10, longest=3, top=2000)
+
+
+CLUSTERS = {"k": 8, "rounds": 10, "dims": 64, "scale": 1024, "seed": 3}
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(_table(spark, sf_dir, "embeddings"), **CLUSTERS)
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)).drop("centroid")
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_codec.round_trip(_table(spark, sf_dir, "documents"), word_tokenizer())
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Build]:
     found = (
         op1_bfd_token_matrix,
@@ -78,9 +100,16 @@ def queries() -> dict[str, Build]:
         op8_url_filter,
         op9_simhash_near_dedup,
         op10_suffix_dedup,
+        op11_phrase_collocations,
+        op12_centroid_clustering,
+        op13_bpe_codec,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_maglev_shards": maglev.oracle_sql(SHARDS, maglev.SIZE, "documents", "doc_id")}
+    return {
+        "op7_maglev_shards": maglev.oracle_sql(SHARDS, maglev.SIZE, "documents", "doc_id"),
+        "op11_phrase_collocations": collocations.oracle_sql("documents", support=10, top=2000),
+        "op12_centroid_clustering": centroids.oracle_sql("embeddings", **CLUSTERS),
+    }
