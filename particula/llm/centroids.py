@@ -105,16 +105,16 @@ def oracle_sql(table: str, k: int, rounds: int, dims: int, scale: int, seed: int
     """DuckDB text of ``cluster`` with the SHA-256 of the centroid: a round is an assignment and a mean per component."""
     steps = [
         f"""vecs AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, {id_col} AS id, list_transform({vector_col}, x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+  SELECT row_number() OVER () AS rid, {id_col} AS id, list_transform({vector_col}, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
   FROM {table}
-  WHERE len({vector_col}) = {dims} AND len(list_filter({vector_col}, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+  WHERE len({vector_col}) = {dims} AND len(list_filter({vector_col}, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
         f"""c0 AS MATERIALIZED (
   SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS j, v AS c
   FROM (SELECT v, sha256('{seed}:' || CAST(id AS VARCHAR)) AS h FROM vecs ORDER BY h, v LIMIT {k}))""",
     ]
     near = """a{r} AS MATERIALIZED (
   SELECT rid, min(row(d, j)) AS near FROM (
-    SELECT rid, j, list_sum(list_transform(list_zip(v, c), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM vecs, c{r}) GROUP BY rid)"""
+    SELECT rid, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM vecs, c{r}) GROUP BY rid)"""
     for r in range(rounds):
         steps.append(near.format(r=r))
         steps.append(f"""m{r} AS MATERIALIZED (

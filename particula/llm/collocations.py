@@ -355,16 +355,15 @@ def oracle_sql(table: str, support: int, top: int) -> str:
     return f"""WITH pieces AS (
   SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, '{upper}', '{lower}'), '[.,;:!?\\n\\x0B\\x0C\\r]')) AS piece FROM {table} WHERE text IS NOT NULL)),
-grams AS (
-  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
-    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)),
-f AS MATERIALIZED (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL),
+starts AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f FROM starts GROUP BY ALL),
 cand AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {support}),
-cuts AS (SELECT lang, phrase, k, a, w, unnest(range(1, k)) AS cut FROM cand),
+cuts AS MATERIALIZED (
+  SELECT lang, phrase, k, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand)),
 scored AS (
   SELECT c.lang, c.phrase, c.k, c.a, c.cut, x.f AS l, y.f AS r, 1000000 * c.a * c.a // (x.f * y.f) AS score
-  FROM cuts c JOIN f x ON x.lang = c.lang AND x.k = c.cut AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
-    JOIN f y ON y.lang = c.lang AND y.k = c.k - c.cut AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail),
 lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 inside AS (
   SELECT lang, phrase, max(a) AS longer FROM (
