@@ -27,7 +27,9 @@ unknown token, byte fallback, prefixes of continued words) raise ValueError.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import json
 from collections.abc import Iterable
 
@@ -43,12 +45,14 @@ from tokenizers import Tokenizer
 from .tokens import _BYTE_LETTERS, _PLAIN
 
 #: Bytes of white-space parts and their ids that a codec remembers; when they are used up, it starts anew.
-MEMORY = 48 << 20
+MEMORY = 96 << 20
 #: Longer parts are encoded and forgotten.
 LONG_PART = 64
 #: What an entry of the memory takes beside its letters and ids.
 ENTRY_BYTES = 140
 OUT_BYTES = 8 << 20
+#: Words of more letters are merged with a heap.
+SHORT = 48
 
 _NEVER = np.iinfo(np.int64).max
 
@@ -67,7 +71,7 @@ class Merges:
         order = np.argsort(key, kind="stable")
         order = order[np.concatenate([key[order][1:] != key[order][:-1], [True]])] if len(order) else order
         self.key, self.key_rank = key[order], order.astype(np.int64)
-        self.merge = {(a, b): (r, c) for r, (a, b, c) in enumerate(parts.tolist())}
+        self.pair_rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(parts.tolist())}
         self.rank, self.left, self.right = np.full(size, -1), np.full(size, -1), np.full(size, -1)
         made = np.arange(len(parts))
         self.rank[parts[:, 2]], self.left[parts[:, 2]], self.right[parts[:, 2]] = made, parts[:, 0], parts[:, 1]
@@ -102,7 +106,9 @@ class Merges:
         self.one_last = {t: i for t, i in last.items() if len(t) == 1}
         self.first = {t: i for t, i in first.items() if self.sound[i]}
         self.last = {t: i for t, i in last.items() if self.sound[i]}
-        self.longest = max(map(len, [*first, *last]), default=0)
+        self.longest = max(map(len, last), default=0)
+        #: Every beginning of a token inside a word, with the token that it is, or -1.
+        self.begin = {t[:k]: -1 for t in self.first for k in range(1, len(t))} | self.first
 
     def clashing(self, a: np.ndarray, b: np.ndarray, whole: bool = True) -> np.ndarray:
         """For each pair of neighbours, whether a merge across the boundary comes before the merges that use its sides up.
@@ -129,48 +135,68 @@ class Merges:
 
     def guess(self, word: str) -> list[int] | None:
         """The longest token that fits, again and again; None where none fits."""
-        n, i, out = len(word), 0, []
+        n, i, out, begin, last = len(word), 0, [], self.begin.get, self.last.get
         while i < n:
-            if n - i <= self.longest and (t := self.last.get(word[i:])) is not None:
+            if n - i <= self.longest and (t := last(word[i:])) is not None:
                 out.append(t)
                 return out
-            for j in range(min(n - 1, i + self.longest), i, -1):
-                if (t := self.first.get(word[i:j])) is not None:
-                    out.append(t)
-                    i = j
-                    break
-            else:
+            found, end, j = -1, i, i + 1
+            while j < n and (t := begin(word[i:j])) is not None:
+                if t >= 0:
+                    found, end = t, j
+                j += 1
+            if found < 0:
                 return None
+            out.append(found)
+            i = end
         return out
 
     def exact(self, word: str) -> list[int]:
         """The merges one by one: lowest rank first, of equal ones the leftmost."""
         ids = [self.one_first.get(c) for c in word[:-1]] + [self.one_last.get(word[-1])]
         ids = [i for i in ids if i is not None]
+        if len(ids) > SHORT:
+            return self._exact_long(ids)
+        rank, none = self.pair_rank.get, (_NEVER, -1)
+        pairs = [rank(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while pairs:
+            low = min(pairs)
+            if low is none:
+                break
+            i = pairs.index(low)
+            ids[i : i + 2] = [low[1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(pairs):
+                pairs[i] = rank((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _exact_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of merges over a linked list."""
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(*m, i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.merge.get(pair))]
+        heap = [(*m, i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.pair_rank.get(pair))]
         heapq.heapify(heap)
         while heap:
             _, made, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= len(ids) or self.merge.get((ids[i], ids[j]), (0, -1))[1] != made:
+            if ids[i] < 0 or j >= len(ids) or self.pair_rank.get((ids[i], ids[j]), (0, -1))[1] != made:
                 continue
             ids[i], ids[j] = made, -1
             after[i] = k = after[j]
             if k < len(ids):
                 before[k] = i
-                if m := self.merge.get((made, ids[k])):
+                if m := self.pair_rank.get((made, ids[k])):
                     heapq.heappush(heap, (*m, i))
-            if (k := before[i]) >= 0 and (m := self.merge.get((ids[k], made))):
+            if (k := before[i]) >= 0 and (m := self.pair_rank.get((ids[k], made))):
                 heapq.heappush(heap, (*m, k))
         return [i for i in ids if i >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word: all guessed, all neighbours checked at once, only words that fail merged."""
-        found = [self.guess(w) for w in words]
-        self.failed = 0
+        found = list(map(self.guess, words))
         sizes = np.array([len(f) if f else 0 for f in found], np.int64)
-        flat = np.fromiter((t for f in found if f for t in f), np.int64, int(sizes.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(f for f in found if f), np.int64, int(sizes.sum()))
         word = np.repeat(np.arange(len(words)), sizes)
         inner = word[1:] == word[:-1]
         pairs, which = np.unique(flat[:-1][inner] * self.size + flat[1:][inner], return_inverse=True)
@@ -238,38 +264,42 @@ class Codec:
                 if special:
                     plan.append(np.array([self.special[run]], "<u4").tobytes())
                 elif self.pattern is not None and _PLAIN.fullmatch(run):
-                    plan.append(parts := run.lower().split())
-                    for p in parts:
-                        if p not in self.known and p not in fresh:
-                            fresh[p] = self.pattern.findall(p)
-                            words.update((w, None) for w in fresh[p])
+                    parts = run.lower().split()
+                    ids = list(map(self.known.get, parts))
+                    if None in ids:
+                        fresh.update((p, None) for p, x in zip(parts, ids, strict=True) if x is None)
+                        plan.append((parts, ids))
+                    else:
+                        plan.append(b"".join(ids))
                 else:
-                    plan.append(tuple(letters := self._library_words(run)))
-                    words.update(("\0" + w, None) for w in letters)
+                    letters = ["\0" + w for w in self._library_words(run)]
+                    words.update(dict.fromkeys(letters))
+                    plan.append(letters)
             plans.append(plan)
+        inner = {p: self.pattern.findall(p) for p in fresh}
+        words.update(dict.fromkeys(itertools.chain.from_iterable(inner.values())))
         self._encode_new(words)
-        for p, inner in fresh.items():
-            fresh[p] = b"".join([words[w] for w in inner])
-        out = []
-        for plan in plans:
-            got = []
-            for step in plan:
-                if isinstance(step, bytes):
-                    got.append(step)
-                elif isinstance(step, tuple):
-                    got += [words["\0" + w] for w in step]
-                else:
-                    ids = list(map(self.known.get, step))
-                    got += [fresh[p] if x is None else x for p, x in zip(step, ids, strict=True)] if None in ids else ids
-            out.append(b"".join(got))
+        for p, found in inner.items():
+            fresh[p] = b"".join([words[w] for w in found])
+        out = [b"".join(map(functools.partial(self._spelled, words, fresh), plan)) for plan in plans]
         self._remember(fresh)
         return out
 
+    @staticmethod
+    def _spelled(words: dict[str, bytes], fresh: dict[str, bytes], step) -> bytes:
+        if isinstance(step, bytes):
+            return step
+        if isinstance(step, list):
+            return b"".join([words[w] for w in step])
+        return b"".join([fresh[p] if x is None else x for p, x in zip(*step, strict=True)])
+
     def _encode_new(self, words: dict[str, bytes | None]) -> None:
         """Fill in the ids of the words; those after a zero are letters of the library's pre-tokenizer already."""
-        letters = [w[1:] if w[0] == "\0" else w if w.isascii() else "".join(_BYTE_LETTERS[b] for b in w.encode()) for w in words]
-        for w, ids in zip(words, self.merges.encode_words(letters), strict=True):
-            words[w] = np.array(ids, "<u4").tobytes()
+        letters = [w if w.isascii() and w[0] != "\0" else w[1:] if w[0] == "\0" else "".join([_BYTE_LETTERS[b] for b in w.encode()]) for w in words]
+        found = self.merges.encode_words(letters)
+        flat, at = np.fromiter(itertools.chain.from_iterable(found), "<u4").tobytes(), 0
+        for w, ids in zip(words, found, strict=True):
+            words[w] = flat[at : (at := at + 4 * len(ids))]
 
     def _remember(self, fresh: dict[str, bytes]) -> None:
         for p, ids in fresh.items():
