@@ -12,7 +12,8 @@ shards. A slice holds all its phrases of every shard, so the slices together min
 shard completely at the local support ceil(support / SHARDS). A phrase below that in
 every shard has fewer than ``support`` occurrences, whatever the shards' sizes,
 so none is lost; two phrases with one hash can only make a candidate too many.
-The union of the shards' phrases goes back to the units as one bit per phrase.
+The union of the shards' phrases, without those whose counts in all units of the
+slice stay below the support, goes back to the units as one bit per phrase.
 Pass 3 meets units and bits, and counts these candidates exactly, as words and not as
 hashes: per unit with numpy, then by Spark's hash aggregate over (lang, phrase).
 A candidate's parts occur at least as often as it does, so the same table holds
@@ -47,6 +48,8 @@ SLICE_PHRASES = 1 << 20
 OPEN_BYTES = 24 << 20
 #: Hash bits beyond those that number all phrases: one phrase in 2^8 or fewer meets another.
 SPARE_BITS = 8
+#: Parts of a language that are ranked on their own before the last ranking.
+PARTS = 8
 
 U64 = np.uint64
 _BLANKS = tk.byte_class((0x20, 0x20), (0x09, 0x09))
@@ -229,8 +232,9 @@ def _to_slices(longest: int, unit_words: int, slice_bits: int, bits: int):
     return run
 
 
-def mined(values: list[np.ndarray], counts: list[np.ndarray], shards: np.ndarray, local: int) -> list[np.ndarray]:
-    """For each row of a slice, which of its values reach the local support in at least one shard."""
+def mined(values: list[np.ndarray], counts: list[np.ndarray], shards: np.ndarray, support: int) -> list[np.ndarray]:
+    """For each row of a slice, which of its values reach the local support in at least one shard, and the support in all."""
+    local = -(-support // SHARDS)
     sizes = [len(v) for v in values]
     flat, count = np.concatenate(values), np.concatenate(counts).astype(np.int64)
     shard = np.repeat(shards, sizes)
@@ -240,19 +244,20 @@ def mined(values: list[np.ndarray], counts: list[np.ndarray], shards: np.ndarray
     found = np.zeros(len(edges), bool)
     for s in range(SHARDS):
         found |= np.add.reduceat(np.where(shard[order] == s, count[order], 0), edges) >= local
+    found &= np.add.reduceat(count[order], edges) >= support
     chosen = np.empty(len(flat), bool)
     chosen[order] = np.repeat(found, np.diff(edges, append=len(flat)))
     return np.split(chosen, np.cumsum(sizes)[:-1])
 
 
-def _mine(local: int):
+def _mine(support: int):
     def run(batches):
         held: list[tuple] = []
 
         def done():
             got = [unpacked(r[5], r[4]) for r in held]
             shards = np.array([(r[1] * 7 + r[3]) % SHARDS for r in held])
-            bits = mined([v for v, _ in got], [c for _, c in got], shards, local)
+            bits = mined([v for v, _ in got], [c for _, c in got], shards, support)
             return _table([(*r[:5], np.packbits(b).tobytes()) for r, b in zip(held, bits, strict=True)], _SLICES)
 
         for batch in batches:
@@ -310,7 +315,7 @@ def frequent_phrases(docs: DataFrame, support: int, longest: int, text_col: str
     bits = min(max(total.bit_length() + SPARE_BITS, slice_bits + 1), slice_bits + 32, 64)
     slices = chunks.mapInArrow(_to_slices(longest, unit_words, slice_bits, bits), _SLICES)
     # a row is one unit's share of a slice, and a slice is a bounded part of all phrases
-    found = slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(_mine(-(-support // SHARDS)), _SLICES)
+    found = slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(_mine(support), _SLICES)
     bits_rows = found.select("part", "lang", "seq", "slice", "size", "body", F.lit(False).alias("text"))
     text_rows = chunks.select("part", "lang", "seq", F.lit(0).cast("long").alias("slice"), F.lit(0).cast("long").alias("size"), "body", F.lit(True).alias("text"))
     met = bits_rows.union(text_rows).repartition("part").sortWithinPartitions("part", "lang", "text", "seq", "slice")
@@ -344,8 +349,11 @@ def scored(phrases: DataFrame, share: int) -> DataFrame:
 def collocations(docs: DataFrame, support: int = 10, longest: int = 3, top: int = 2000, share: int = 50, **names) -> DataFrame:
     """Each language's first ``top`` candidates: lang, rank, phrase, a, l, r, n, score."""
     phrases, words = frequent_phrases(docs, support, longest, **names)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    first = scored(phrases, share).withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top)
+    first = scored(phrases, share)
+    # the best of every part first, so that the last task of a language sees PARTS x top rows at most
+    for key in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))], ["lang"]):
+        best = Window.partitionBy(*key).orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+        first = first.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top)
     return first.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
