@@ -30,7 +30,7 @@ def pollution_alerts(
     three-tier (web) form prints integral numbers without '.0', the
     two-tier (consumer) form prints every double with its decimals.
     """
-    from .quality import fence
+    from .quality import staged
 
     if js_numbers is None:
         js_numbers = tiers >= 3
@@ -49,7 +49,7 @@ def pollution_alerts(
     keep = [c for c in ("event_id",) if c in df.columns]
     # a row has an alert where it passes the lowest tier: a plain filter on measured columns, for the scan
     low25, low10 = (min(t[i] for t in C.POLLUTION_TIERS[:tiers]) for i in (3, 4))
-    out = fence(df.filter((F.col(pm25) > low25) | (F.col(pm10) > low10)), (aqi,)).select(
+    out = staged(df, (F.col(pm25) > low25) | (F.col(pm10) > low10), cols=(aqi,)).select(
         *keep,
         "sensor_id",
         "timestamp",

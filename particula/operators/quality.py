@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions._util import as_col
+from ..sources.readings import PARSED
 
 
 def fence(df: DataFrame, cols=("aqi",)) -> DataFrame:
@@ -23,7 +24,7 @@ def fence(df: DataFrame, cols=("aqi",)) -> DataFrame:
     definitions into the condition, so a rule that names `aqi` three times
     evaluates the AQI chain three times per row. A one-row `inline` generator is
     a boundary filters on its outputs are not pushed through. Rules on other
-    columns come before it (see `_staged`), so they reach the scan.
+    columns come before it (see `staged`), so they reach the scan.
     """
     inner = [c for c in cols if c in df.columns]
     if not inner:
@@ -33,9 +34,15 @@ def fence(df: DataFrame, cols=("aqi",)) -> DataFrame:
     return out.select(*df.columns)
 
 
-def _staged(df: DataFrame, before: Column, after: Column) -> DataFrame:
-    """Filter by the rules on measured columns, then by those on the derived AQI, evaluated once."""
-    return fence(df.filter(before)).filter(after)
+def staged(df: DataFrame, before: Column, after: Column | None = None, cols=("aqi",)) -> DataFrame:
+    """Filter by the rules on measured columns, then by those on the derived ones (`cols`), evaluated once.
+
+    On a stored table the first rules reach the scan. Where the measured columns are themselves computed from
+    parsed text (their metadata says so), they are evaluated once behind the fence, and so is the text.
+    """
+    parsed = [f.name for f in df.schema if f.metadata.get(PARSED)]
+    out = fence(df, (*parsed, *cols)).filter(before) if parsed else fence(df.filter(before), cols)
+    return out if after is None else out.filter(after)
 
 
 def _rules(pm25="pm2_5", pm10="pm10", aqi="aqi", temp="temperature", hum="humidity") -> dict[str, Column]:
@@ -101,14 +108,14 @@ def quality_filter(df: DataFrame, **cols) -> DataFrame:
     oc = {k: v for k, v in cols.items() if k != "aqi"}
     derived = {k: r for k, r in _rules(**cols).items() if k.startswith("aqi")}
     measured = {k: r for k, r in _rules(**cols).items() if k not in derived}
-    return _staged(df, _none_broken(measured) & outlier_ok(**oc), _none_broken(derived))
+    return staged(df, _none_broken(measured) & outlier_ok(**oc), _none_broken(derived))
 
 
 def flat_filter(df: DataFrame) -> DataFrame:
     """P6 as a frame operation."""
     p25, p10, a = F.col("pm2_5"), F.col("pm10"), F.col("aqi")
     before = p25.isNotNull() & p10.isNotNull() & (p25 >= C.PM_MIN) & (p10 >= C.PM_MIN)
-    return _staged(df, before, a.isNotNull() & (a >= C.AQI_MIN) & (a <= C.AQI_MAX))
+    return staged(df, before, a.isNotNull() & (a >= C.AQI_MIN) & (a <= C.AQI_MAX))
 
 
 def first_error_filter(df: DataFrame) -> DataFrame:
@@ -118,7 +125,7 @@ def first_error_filter(df: DataFrame) -> DataFrame:
     for f in C.FIRST_ERROR_REQUIRED:
         if f != "aqi":
             before = F.col(f).isNotNull() & before
-    return _staged(df, before, (a >= C.AQI_MIN) & (a <= C.AQI_MAX))
+    return staged(df, before, (a >= C.AQI_MIN) & (a <= C.AQI_MAX))
 
 
 def flat_valid(pm25="pm2_5", pm10="pm10", aqi="aqi") -> Column:

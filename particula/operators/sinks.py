@@ -45,6 +45,8 @@ SLOT = ("date", "hour")  # partition columns of the tables at rest
 
 
 def _with_slot(df: DataFrame, by: str) -> DataFrame:
+    """With the partition columns, and without marks on columns: at rest they are plain ones."""
+    df = df.select([F.col(c).alias(c, metadata={}) for c in df.columns])
     return df.withColumn("date", F.to_date(by)).withColumn("hour", F.hour(by))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aqi import aqi_score
@@ -33,26 +33,40 @@ def _case_sql(col: str, mapping: dict, other: str) -> str:
     return f"CASE {whens} ELSE '{other}' END"
 
 
+#: Metadata of a column that is computed from parsed text: a filter on it is no use to the scan and
+#: would parse the text again for every term (see `operators.quality.staged`).
+PARSED = "parsed"
+
+
+def _parsed(sql: str, name: str) -> Column:
+    return F.expr(sql).alias(name, metadata={PARSED: True})
+
+
 def project_events(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """events -> readings (without aqi); `extra` raw columns are carried along."""
     # k is parsed in its own projection; Catalyst keeps that projection apart
     # (it does not duplicate a non-cheap expression into a consumer that
     # refers to it several times), so the JSON text is parsed once per row.
     events = events.select("*", F.get_json_object("props", "$.k").try_cast("int").alias("_k"))
-    return events.selectExpr(
+    return events.select(
         "event_id",
         *extra,
-        f"concat('sensor-', {_case_sql('event_type', SENSOR_KIND, SENSOR_KIND_OTHER)}, '-', "
-        "CAST(user_id % 2 AS STRING)) AS sensor_id",
-        "CAST(ts AS TIMESTAMP) AS timestamp",
-        f"{_case_sql('event_type', AREA_TYPE, AREA_TYPE_OTHER)} AS area_type",
-        "CASE WHEN _k = 13 THEN CAST(NULL AS DOUBLE) ELSE value END AS pm2_5",
-        "CASE WHEN _k = 17 THEN CAST(NULL AS DOUBLE) WHEN _k = 19 THEN CAST(-1.0 AS DOUBLE) "
-        "ELSE value * CAST(1.5 AS DOUBLE) END AS pm10",
-        "_k * CAST(1.3 AS DOUBLE) - CAST(55.0 AS DOUBLE) AS temperature",
-        "_k * CAST(1.1 AS DOUBLE) - CAST(2.0 AS DOUBLE) AS humidity",
-        "CAST(_k AS DOUBLE) AS battery_level",
-        "CAST(99.0 AS DOUBLE) - _k AS signal_strength",
+        F.expr(
+            f"concat('sensor-', {_case_sql('event_type', SENSOR_KIND, SENSOR_KIND_OTHER)}, '-', "
+            "CAST(user_id % 2 AS STRING)) AS sensor_id"
+        ),
+        F.expr("CAST(ts AS TIMESTAMP) AS timestamp"),
+        F.expr(f"{_case_sql('event_type', AREA_TYPE, AREA_TYPE_OTHER)} AS area_type"),
+        _parsed("CASE WHEN _k = 13 THEN CAST(NULL AS DOUBLE) ELSE value END", "pm2_5"),
+        _parsed(
+            "CASE WHEN _k = 17 THEN CAST(NULL AS DOUBLE) WHEN _k = 19 THEN CAST(-1.0 AS DOUBLE) "
+            "ELSE value * CAST(1.5 AS DOUBLE) END",
+            "pm10",
+        ),
+        _parsed("_k * CAST(1.3 AS DOUBLE) - CAST(55.0 AS DOUBLE)", "temperature"),
+        _parsed("_k * CAST(1.1 AS DOUBLE) - CAST(2.0 AS DOUBLE)", "humidity"),
+        _parsed("CAST(_k AS DOUBLE)", "battery_level"),
+        _parsed("CAST(99.0 AS DOUBLE) - _k", "signal_strength"),
     )
 
 

@@ -132,3 +132,21 @@ def test_column_pruning_reaches_scan(spark):
     df = E.queries()["sensor_ids"](spark, SF_SMALL)
     scan = [line for line in _plan(df).splitlines() if "FileScan parquet" in line][0]
     assert "props" not in scan and "value" not in scan
+
+
+@pytest.mark.parametrize(
+    ("name", "parses", "scans"),
+    [("quality_filter", 1, 1), ("flat_validation", 1, 1), ("first_error", 1, 1), ("alerts2", 1, 1), ("alerts3", 1, 1), ("alert_summary", 1, 1), ("trailing_features", 1, 1), ("anomaly_2sigma", 2, 2), ("anomaly_ratio5", 1, 1), ("last10_features", 4, 4), ("sensor_ids", 0, 1)],
+)
+def test_text_is_parsed_once_a_scan(spark, name, parses, scans):
+    """Filters do not parse the JSON column again for every term, and no query scans its table more often than it needs."""
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") <= parses and plan.count("Relation [") <= scans
+
+
+def test_stored_tables_carry_no_marks(spark, scratch):
+    from particula.operators import sinks as SK
+    from particula.sources.readings import PARSED, readings
+
+    SK.write_table(readings(spark, SF_SMALL), f"{scratch}/t")
+    assert not any(f.metadata.get(PARSED) for f in spark.read.parquet(f"{scratch}/t").schema)
