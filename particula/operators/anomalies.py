@@ -40,7 +40,7 @@ def anomaly_2sigma(df: DataFrame, extra: list[Agg] | None = None, **kw) -> DataF
     withsd = partition_stats(df, [("_sd_pm25", F.stddev_samp("pm2_5")), ("_sd_aqi", F.stddev_samp("aqi"))])
     needed = [Agg("pm25_5min_avg", "avg", "pm2_5", 5), Agg("aqi_5min_avg", "avg", "aqi", 5)]
     more = [a for a in (extra or []) if a.out not in {n.out for n in needed}]
-    feats = trailing(withsd, needed + more, **kw)
+    feats = trailing(withsd, needed + more, measure=df, **kw)
     k = F.lit(C.SIGMA_FACTOR)
     pm25_anom = F.abs(F.col("pm2_5") - F.col("pm25_5min_avg")) > k * F.col("_sd_pm25")
     aqi_anom = F.abs(F.col("aqi") - F.col("aqi_5min_avg")) > k * F.col("_sd_aqi")

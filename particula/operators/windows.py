@@ -8,7 +8,9 @@ bucket needs from its predecessors:
 
 * trailing RANGE frames (W1-W3): rows within the frame length of a bucket's
   end are copied into the next bucket (bucket length >= frame length, so one
-  predecessor suffices);
+  predecessor suffices); where an hour of a sensor is too much for a task, a
+  frame is put together from the end of its first block, whole blocks and the
+  beginning of its last one (`_trailing_blocks`);
 * running frames (W4): per-bucket partial aggregates (a table of
   sensors x buckets rows) are prefix-summed and joined back on the same
   partitioning;
@@ -18,13 +20,13 @@ bucket needs from its predecessors:
 
 So the big input is shuffled once, on a key whose cardinality grows with
 the time span, and helper tables stay proportional to sensors x buckets.
-W4 and W5 buckets go down to one minute; a W1-W3 task holds at least the
-longest frame of one sensor (an hour), since every row's frame needs it.
+W4 and W5 buckets go down to one minute, W1-W3 blocks as far as the rate needs.
 Rows without a time share a bucket of their own; none is lost.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,17 +101,57 @@ def _resolve_bucket(df, key, ts, bucket_minutes, unit_us):
     return max(int(round(bucket_minutes * C.MICROS_PER_MINUTE)), unit_us)
 
 
+def _densest(df: DataFrame, key: str, ts: str, unit_us: int) -> int:
+    """Rows of the fullest (key, slot of ``unit_us``), fetched: one aggregate over two columns."""
+    t = F.expr(f"unix_micros(CAST(`{ts}` AS TIMESTAMP))")
+    slots = df.select(key, t.alias(_T)).filter(F.col(_T).isNotNull()).groupBy(key, F.expr(f"({_T} - pmod({_T}, {unit_us}L)) div {unit_us}L").alias("_slot"))
+    return slots.count().agg(F.max("count")).first()[0] or 0
+
+
+def _divisor(n: int, most: int) -> int:
+    """The largest divisor of n that is not above ``most`` (at least 1)."""
+    return max(d for a in range(1, math.isqrt(n) + 1) if n % a == 0 for d in (a, n // a) if d <= max(most, 1))
+
+
+def block_length(df: DataFrame, frames_us: list[int], key: str, ts: str, target_rows: int) -> int:
+    """Time that a task may hold of one key: a multiple of the longest frame where that fits ``target_rows`` rows.
+
+    Else a common divisor of the frames, so short that a block and what its frames need of other blocks have that
+    many rows at most. Rows of one moment cannot be parted: only they can fill more.
+    """
+    reach = max(frames_us)
+    load = max(_densest(df, key, ts, reach), 1)
+    if load <= target_rows:
+        return reach * min(target_rows // load, MAX_BUCKET_FACTOR * max(1, 60 * C.MICROS_PER_MINUTE // reach))
+    length, groups = math.gcd(*frames_us), 1 + len(set(frames_us))
+    while length > 1 and (load := groups * _densest(df, key, ts, length)) > target_rows:
+        length = _divisor(length, min(length - 1, length * target_rows // load))
+    return length
+
+
 def trailing(
     df: DataFrame,
     aggs: list[Agg],
     key: str = "sensor_id",
     ts: str = "timestamp",
     bucket_minutes: float | None = None,
+    measure: DataFrame | None = None,
+    target_rows: int | None = None,
 ) -> DataFrame:
-    """`func(col)` over the trailing `minutes` (inclusive RANGE frame, ties share)."""
+    """`func(col)` over the trailing `minutes` (inclusive RANGE frame, ties share).
+
+    The rate of the keys is measured on ``measure`` (default: the frame itself), which must hold the same keys and
+    times; a caller that has joined something to its rows passes what it joined to. Frames with a stddev
+    cannot be put together from blocks and always take whole buckets.
+    """
     frame_us = {a.out: int(round(a.minutes * C.MICROS_PER_MINUTE)) for a in aggs}
-    reach = max(frame_us.values())
-    bucket_us = _resolve_bucket(df, key, ts, bucket_minutes, reach)
+    reach, rows = max(frame_us.values()), measure if measure is not None else df
+    if bucket_minutes not in (None, "auto") or any(a.func == "stddev" for a in aggs):
+        bucket_us = _resolve_bucket(rows, key, ts, bucket_minutes, reach)
+    else:
+        bucket_us = block_length(rows, list(frame_us.values()), key, ts, target_rows or TARGET_ROWS)
+        if bucket_us < reach:
+            return _trailing_blocks(df, aggs, key, ts, bucket_us)
 
     b = _bucketed(df, ts, bucket_us)
     # home copy in its own bucket, plus a context copy in the next bucket for
@@ -126,6 +168,77 @@ def trailing(
     return out.filter(F.col(_HOME)).drop(_HOME)
 
 
+_KIND, _S = "_kind", "_s"
+_PARTS = {"n": "count", "s": "sum", "mx": "max", "mn": "min"}
+
+
+def block_copies(df: DataFrame, frames_us: list[int], needed: list[str], key: str, ts: str, block_us: int) -> DataFrame:
+    """Each row in its own block (kind 0) and, for each frame length f, f later (kind f).
+
+    A frame of a row at t begins in the block that lies f before its own. Moved by f, that block's rows stand in the
+    row's own block, those inside the frame from t on. Copies carry the ``needed`` columns only.
+    """
+    b = _bucketed(df, ts, block_us)
+    places = [F.struct(F.lit(f).cast("long").alias(_KIND), (F.col(_B) + f // block_us).alias(_B), (F.col(_T) + f).alias(_S)) for f in (0, *frames_us)]
+    b = b.select(*df.columns, F.explode(F.when(F.col(_T).isNotNull(), F.array(*places)).otherwise(F.array(places[0]))).alias("_c"))
+    own = [F.col(c) if c in (*needed, key) else F.when(F.col(f"_c.{_KIND}") == 0, F.col(c)).alias(c) for c in df.columns]
+    return b.select(*own, *[F.col(f"_c.{c}").alias(c) for c in (_KIND, _B, _S)])
+
+
+def _trailing_blocks(df: DataFrame, aggs: list[Agg], key: str, ts: str, block_us: int) -> DataFrame:
+    """`trailing` where the longest frame of a key does not fit a task: blocks of any divisor of the frames.
+
+    A frame is the end of its first block, whole blocks, and the beginning of the row's own block. The outer two
+    are running aggregates inside one task's block (upwards over its rows, downwards over the copies of the first
+    block); the whole ones are a window over one partial row per (key, block). The rows are shuffled once.
+    """
+    frame_us = {a.out: int(round(a.minutes * C.MICROS_PER_MINUTE)) for a in aggs}
+    frames, needed = sorted(set(frame_us.values())), sorted({a.col for a in aggs})
+    copies = block_copies(df, frames, needed, key, ts, block_us)
+
+    def parts(kind: int, order: str, name: str) -> list[Column]:
+        """Running count, sum, max and min of every column over the copies of one kind."""
+        over = f"OVER (PARTITION BY `{key}`, {_B} ORDER BY {_S} {order} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        cols = needed if kind == 0 else sorted({a.col for a in aggs if frame_us[a.out] == kind})
+        return [F.expr(f"{f}(CASE WHEN {_KIND} = {kind} THEN `{c}` END) {over} AS `_{name}_{p}_{c}`") for c in cols for p, f in _PARTS.items()]
+
+    ends = [x for f in frames for x in parts(f, "DESC", f"end{f}")]
+    rows = copies.select("*", *parts(0, "ASC", "own"), *ends).filter(F.col(_KIND) == 0)
+
+    whole = _bucketed(df, ts, block_us).groupBy(key, _B).agg(*[F.expr(f"{f}(`{c}`) AS `_{p}_{c}`") for c in needed for p, f in _PARTS.items()])
+    merge = {"n": "sum", "s": "sum", "mx": "max", "mn": "min"}
+    middle = []
+    for a in {(a.col, frame_us[a.out]): a for a in aggs}.values():
+        f = frame_us[a.out]
+        if f > block_us:
+            over = f"OVER (PARTITION BY `{key}` ORDER BY {_B} RANGE BETWEEN {f // block_us - 1} PRECEDING AND 1 PRECEDING)"
+            middle += [F.expr(f"{merge[p]}(`_{p}_{a.col}`) {over} AS `_mid{f}_{p}_{a.col}`") for p in _PARTS]
+    if middle:
+        rows = null_safe_join(rows, whole.select(key, _B, *middle), [key, _B], "left")
+
+    def put_together(a: Agg) -> Column:
+        f = frame_us[a.out]
+        names = [f"own_{{}}_{a.col}", f"end{f}_{{}}_{a.col}", *([f"mid{f}_{{}}_{a.col}"] if f > block_us else [])]
+
+        def total(p: str) -> str:
+            return " + ".join(f"coalesce(`_{x.format(p)}`, 0)" for x in names)
+
+        def best(p: str, pick: str) -> str:
+            return f"{pick}({', '.join(f'`_{x.format(p)}`' for x in names)})"
+
+        return F.expr(
+            {
+                "count": total("n"),
+                "sum": f"CASE WHEN {total('n')} > 0 THEN {total('s')} END",
+                "avg": f"CASE WHEN {total('n')} > 0 THEN CAST({total('s')} AS DOUBLE) / ({total('n')}) END",
+                "max": best("mx", "greatest"),
+                "min": best("mn", "least"),
+            }[a.func]
+        ).alias(a.out)
+
+    return rows.select(*df.columns, *map(put_together, aggs))
+
+
 def running(
     df: DataFrame,
     cols: list[str],

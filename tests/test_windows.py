@@ -258,3 +258,69 @@ def test_lookback_offset_is_kept_under_any_driver_zone(spark, monkeypatch):
     finally:
         monkeypatch.undo()
         time.tzset()
+
+
+def _dense_rows(n=400, seed=5):
+    """A sensor with bursts far beyond ten rows a minute, ties, rows before 1970, without a time and without values."""
+    import random
+
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        sec = r.choice([r.uniform(0, 240), r.uniform(3000, 3100), r.uniform(0, 9000), 600.0])
+        t = dt.datetime(1969, 12, 31, 23, 20) + dt.timedelta(seconds=round(sec, r.choice([0, 3])))
+        rows.append((i, r.choice(["a", "a", "a", "b", None]), None if i % 41 == 0 else t, None if i % 7 == 0 else r.uniform(-5, 50), None if i % 11 == 0 else r.randint(0, 300)))
+    return rows
+
+
+DENSE_AGGS = [
+    WN.Agg("a5", "avg", "x", 5),
+    WN.Agg("a15", "avg", "x", 15),
+    WN.Agg("a60", "avg", "x", 60),
+    WN.Agg("mx5", "max", "k", 5),
+    WN.Agg("mn60", "min", "x", 60),
+    WN.Agg("s15", "sum", "k", 15),
+    WN.Agg("c5", "count", "k", 5),
+    WN.Agg("m5", "min", "k", 5),
+]
+
+
+@pytest.mark.parametrize("target", [10, 40, 90])
+def test_trailing_in_a_dense_hour(spark, target):
+    """No (sensor, block) holds more than the target (but rows of one moment); equal to the plain window; the rows move once."""
+    df = spark.createDataFrame(_dense_rows(), "event_id long, sensor_id string, timestamp timestamp, x double, k int")
+    out = WN.trailing(df, DENSE_AGGS, target_rows=target)
+    over = {m: f"(PARTITION BY sensor_id ORDER BY unix_micros(timestamp) RANGE BETWEEN {m * 60_000_000} PRECEDING AND CURRENT ROW)" for m in (5, 15, 60)}
+    want = df.select("*", *[F.expr(f"{a.func}({a.col}) OVER {over[a.minutes]}").alias(a.out) for a in DENSE_AGGS])
+
+    def rounded(d):
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in d.collect()), key=str)
+
+    assert out.columns == want.columns and rounded(out) == rounded(want)
+    assert [t for _, t in out.dtypes] == [t for _, t in want.dtypes]
+    frames = [m * 60_000_000 for m in (5, 15, 60)]
+    length = WN.block_length(df, frames, "sensor_id", "timestamp", target)
+    assert length < 3_600_000_000 and all(f % length == 0 for f in frames)
+    groups = WN.block_copies(df.filter("timestamp is not null"), frames, ["x", "k"], "sensor_id", "timestamp", length).groupBy("sensor_id", "_bucket")
+    moment = df.filter("timestamp is not null").groupBy("sensor_id", "timestamp").count().agg(F.max("count")).first()[0]
+    assert groups.count().agg(F.max("count")).first()[0] <= max(target, 4 * moment)
+
+
+def test_dense_hour_moves_the_rows_once(spark):
+    import re
+
+    df = spark.range(5000).select(F.col("id").alias("event_id"), F.lit("s").alias("sensor_id"), F.timestamp_micros(F.col("id") * 1_000_000).alias("timestamp"), F.rand(1).alias("x"))
+    aggs = [WN.Agg("a5", "avg", "x", 5), WN.Agg("m60", "max", "x", 60)]
+    out = WN.trailing(df, aggs, target_rows=500)
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    moves = re.findall(r"Exchange hashpartitioning\(sensor_id#\d+, _bucket#\d+L?, \d+\)", plan)
+    # the copies, the partial rows of the blocks, and the result of their window for the join
+    assert len(moves) <= 3 and "Python" not in plan
+    assert WN.trailing(df, aggs, target_rows=10**6).select("a5").count() == 5000
+
+
+def test_blocks_divide_every_frame():
+    assert WN._divisor(300_000_000, 299_999_999) == 150_000_000
+    assert WN._divisor(300_000_000, 1) == 1
+    assert WN._divisor(7, 6) == 1
