@@ -122,7 +122,27 @@ def preview(df: DataFrame, columns: list[str] | None = None, n: int = 20) -> Non
 
 
 def ddl(table: str, schema=S.READINGS, location: str | None = None) -> str:
-    """CREATE TABLE text for a canonical table, partitioned by date."""
+    """CREATE TABLE text for a canonical table, partitioned as `write_table` and `upsert_table` store it.
+
+    Over a folder that holds data, `ALTER TABLE ... RECOVER PARTITIONS` (or `attach`) finds its hours.
+    """
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     loc = f" LOCATION '{location}'" if location else ""
-    return f"CREATE TABLE IF NOT EXISTS {table} ({cols}, `date` date) USING parquet PARTITIONED BY (`date`){loc}"
+    return f"CREATE TABLE IF NOT EXISTS {table} ({cols}, `date` date, `hour` int) USING parquet PARTITIONED BY (`date`, `hour`){loc}"
+
+
+def attach(spark: SparkSession, table: str, path: str, schema=S.READINGS) -> DataFrame:
+    """The stored folder as a catalog table with all its partitions."""
+    spark.sql(ddl(table, schema, path))
+    spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    return spark.table(table)
+
+
+def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = "sensor_id", mode: str = "overwrite") -> DataFrame:
+    """A catalog table whose rows lie in buckets of ``key``, sorted: joins and groups by key need no shuffle.
+
+    A bucket holds whole keys, so this suits tables of many keys; where few sensors hold most rows, take `write_table`.
+    """
+    df = df.select([F.col(c).alias(c, metadata={}) for c in df.columns])
+    df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -15,6 +17,8 @@ from ..operators import sinks as SK
 from ..operators import stats as ST
 from ..operators import windows as WN
 from ..operators.newest import extreme_row
+from ..operators.snapshots import Snapshots
+from ..session import scratch_path
 from ..sources import parse as PS
 from ..sources.readings import AREA_TYPE
 from .alerting import A3_CTE, alerts3
@@ -418,23 +422,36 @@ def _last_sql(c: str) -> str:
     return f"arg_max({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS {c}"
 
 
-@register(
-    "upsert_keep_last",
-    "S8 S9 S10",
-    with_readings(
+KEEP_LAST_SQL = with_readings(
         f"SELECT sensor_id, timestamp, {', '.join(_last_sql(c) for c in READING_COLS if c not in ('sensor_id', 'timestamp'))} "
         "FROM deliveries GROUP BY sensor_id, timestamp",
         UPSERT_SQL,
-    ),
-)
+    )
+
+
+@register("upsert_keep_last", "S8 S9 S10", KEEP_LAST_SQL)
 def upsert_keep_last(spark, sf):
+    return SK.keep_last(_deliveries(spark, sf), key=("sensor_id", "timestamp"), order="_ingest").select(*READING_COLS)
+
+
+def _deliveries(spark, sf):
+    """Every reading, every second one again with other values, every third one's battery alone."""
     r = R(spark, sf).select(*READING_COLS)
     id3 = F.col("event_id") * 3
     second = r.where("event_id % 2 = 0").withColumn("pm2_5", F.col("pm2_5") + 1.0).withColumn("battery_level", F.lit(None).cast("double"))
     third = r.where("event_id % 3 = 0").select("event_id", "sensor_id", "timestamp", F.lit(7.0).alias("battery_level"))
     deliveries = r.withColumn("_ingest", id3).unionByName(second.withColumn("_ingest", id3 + 1))
-    deliveries = deliveries.unionByName(third.withColumn("_ingest", id3 + 2), allowMissingColumns=True)
-    return SK.keep_last(deliveries, key=("sensor_id", "timestamp"), order="_ingest").select(*READING_COLS)
+    return deliveries.unionByName(third.withColumn("_ingest", id3 + 2), allowMissingColumns=True)
+
+
+@register("snapshot_upserts", "S8 S9 S10", KEEP_LAST_SQL)
+def snapshot_upserts(spark, sf):
+    """The same deliveries as three commits to a table of snapshots in the shared folder, read back merged."""
+    store = Snapshots(spark, scratch_path(spark, f"snapshots-{uuid.uuid4().hex}"))
+    rows = _deliveries(spark, sf)
+    for part in range(3):
+        store.upsert(rows.filter(F.col("_ingest") % 3 == part).drop("_ingest"))
+    return store.read().select(*READING_COLS)
 
 
 SHORT_TYPES = ("click", "view")  # rows delivered in the 15-column form; the rest in the 8-column form

@@ -119,10 +119,11 @@ def start_stream_job(
     trigger: dict | None = None,
     counters: BatchCounters | None = None,
     query_name: str | None = None,
+    upsert=SK.upsert_table,
 ):
     """ST1: start the micro-batch pipeline. Re-running an epoch rewrites the
     same keys (keep-last upsert), so recovery after a lost executor or a
-    restart from the checkpoint is idempotent."""
+    restart from the checkpoint is idempotent. `upsert=snapshots.upsert` writes each batch as one commit of a delta."""
     counters = counters or BatchCounters()
 
     def handle(batch: DataFrame, epoch_id: int):
@@ -141,8 +142,8 @@ def start_stream_job(
             validated.write.format("noop").mode("overwrite").save()
             counters.add(obs.get)
             scored = parts["scored"]
-            SK.upsert_table(spark, scored.drop("topic"), table_path)
-            SK.upsert_table(spark, parts["alerts"], alerts_path, key=("alert_id",))
+            upsert(spark, scored.drop("topic"), table_path)
+            upsert(spark, parts["alerts"], alerts_path, key=("alert_id",))
         finally:
             b.unpersist()
 

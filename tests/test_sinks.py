@@ -45,12 +45,32 @@ def test_export_csv_header_and_order(spark, scratch):
     assert spark.read.option("header", True).csv(path).count() == r.count()
 
 
-def test_ddl_creates_table(spark, scratch):
-    loc = os.path.join(scratch, "ddl")
-    spark.sql(SK.ddl("particula_readings_ddl", S.READINGS, loc))
-    cols = [f.name for f in spark.table("particula_readings_ddl").schema.fields]
-    assert cols[:3] == ["sensor_id", "timestamp", "location_name"] and cols[-1] == "date"
-    spark.sql("DROP TABLE particula_readings_ddl")
+def test_ddl_reads_what_was_written(spark, scratch):
+    rows = SK.align(readings(spark, SF_SMALL), default_now=False).drop("event_id")
+    for name, write in (("written", SK.write_table), ("upserted", lambda df, path: SK.upsert_table(spark, df, path))):
+        loc = os.path.join(scratch, name)
+        write(rows, loc)
+        table = SK.attach(spark, f"particula_{name}", loc)
+        assert table.columns[:3] == ["sensor_id", "timestamp", "location_name"] and table.columns[-2:] == ["date", "hour"]
+        assert table.count() == rows.count() and table.agg(F.sum("pm2_5")).first()[0] == pytest.approx(rows.agg(F.sum("pm2_5")).first()[0])
+        day = table.agg(F.min("date")).first()[0]
+        pruned = table.filter((F.col("date") == day) & (F.col("hour") == 0))
+        assert "PartitionFilters: [isnotnull(date" in pruned._jdf.queryExecution().executedPlan().toString()
+        spark.sql(f"DROP TABLE particula_{name}")
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, scratch):
+    import uuid
+
+    r = readings(spark, SF_SMALL).select("event_id", "sensor_id", "timestamp", "pm2_5")
+    names = [f"particula_b{uuid.uuid4().hex[:8]}" for _ in range(2)]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS particula_tests LOCATION '{scratch}/db'")
+    left = SK.save_bucketed(r, f"particula_tests.{names[0]}", 4)
+    right = SK.save_bucketed(r.groupBy("sensor_id").agg(F.max("pm2_5").alias("top")), f"particula_tests.{names[1]}", 4)
+    joined = left.hint("merge").join(right, "sensor_id").groupBy("sensor_id").agg(F.count("top").alias("n"))
+    assert joined.agg(F.sum("n")).first()[0] == r.join(r.select("sensor_id").distinct(), "sensor_id").filter("sensor_id IS NOT NULL").count()
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP DATABASE particula_tests CASCADE")
 
 
 def test_publish_json_files(spark, scratch):
