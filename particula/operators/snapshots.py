@@ -10,8 +10,9 @@ older version stays readable until `vacuum`.
 Reading merges per key and column the last non-NULL value (`sinks.keep_last`),
 only for hours that several folders hold; an hour in one folder is read as it
 stands. `compact` writes such hours anew as one folder. Folders are partitioned
-by date and hour and sorted by key, as `sinks.write_table` lays them out; the
-driver handles names of folders and hours, never rows.
+by date and hour and sorted by key, as `sinks.write_table` lays them out (by
+date alone, ``slots=("date",)``, where a day is small; what is said of hours then
+holds for days); the driver handles names of folders and hours, never rows.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ class Conflict(Exception):
 
 
 class Snapshots:
-    def __init__(self, spark: SparkSession, path: str, key=SK.READINGS_KEY, by: str = "timestamp"):
-        self.spark, self.path, self.key, self.by = spark, path.rstrip("/"), tuple(key), by
+    def __init__(self, spark: SparkSession, path: str, key=SK.READINGS_KEY, by: str = "timestamp", slots=SK.SLOT):
+        self.spark, self.path, self.key, self.by, self.slots = spark, path.rstrip("/"), tuple(key), by, tuple(slots)
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         conf = spark._jsparkSession.sessionState().newHadoopConf()
@@ -93,12 +94,13 @@ class Snapshots:
         """Rows as a new folder: (its name, the hours that it holds)."""
         name = uuid.uuid4().hex
         folder = f"{self.path}/data/commit={name}"
-        SK._clustered(df, self.key).write.partitionBy(*SK.SLOT).parquet(folder)
-        hours = self._files.globStatus(self._path(f"{folder}/date=*/hour=*")) or []
-        return name, sorted("/".join(h.getPath().toString().split("/")[-2:]) for h in hours)
+        SK._clustered(df, self.key).write.partitionBy(*self.slots).parquet(folder)
+        hours = self._files.globStatus(self._path("/".join([folder, *(f"{c}=*" for c in self.slots)]))) or []
+        return name, sorted("/".join(h.getPath().toString().split("/")[-len(self.slots) :]) for h in hours)
 
     def _load(self, places: list[tuple[str, str]], schema: T.StructType) -> DataFrame:
-        full = T.StructType([*schema.fields, T.StructField("commit", T.StringType()), T.StructField("date", T.DateType()), T.StructField("hour", T.IntegerType())])
+        types = {"date": T.DateType(), "hour": T.IntegerType()}
+        full = T.StructType([*schema.fields, T.StructField("commit", T.StringType()), *(T.StructField(c, types[c]) for c in self.slots)])
         if not places:
             return self.spark.createDataFrame([], full)
         paths = [f"{self.path}/data/commit={name}/{hour}" for name, hour in places]
@@ -108,7 +110,7 @@ class Snapshots:
 
     def read(self, version: int | None = None, hours: list[str] | None = None) -> DataFrame:
         """The table at a version, all of it or the given hours (`date=…/hour=…`) only."""
-        return self._merged(self.manifest(version), hours).drop(*SK.SLOT)
+        return self._merged(self.manifest(version), hours).drop(*self.slots)
 
     def _merged(self, manifest: dict, hours: list[str] | None) -> DataFrame:
         if manifest["schema"] is None:
@@ -125,26 +127,30 @@ class Snapshots:
         if several:
             sequence = F.create_map(*[F.lit(x) for e in manifest["entries"] for x in (e["data"], e["sequence"])])
             rows = self._load(several, schema).withColumn("_ingest", F.element_at(sequence, F.col("commit"))).drop("commit")
-            merged = SK.keep_last(rows, key=(*self.key, *(c for c in SK.SLOT if c not in self.key)))
+            merged = SK.keep_last(rows, key=(*self.key, *(c for c in self.slots if c not in self.key)))
             out = out.unionByName(merged.select(*out.columns)) if single else merged.select(*out.columns)
         return out
 
-    def upsert(self, batch: DataFrame, sequence: str | None = None) -> int:
+    def hours_since(self, version: int) -> list[str]:
+        """The hours that commits after ``version`` wrote to."""
+        return sorted({h for e in self.manifest()["entries"] if e["sequence"] > version for h in e["hours"]})
+
+    def upsert(self, batch: DataFrame, sequence: str | None = None, note=None) -> int:
         """Merge a batch by key as one commit; its rows alone are written. The new version.
 
-        Within a batch the row with the larger ``sequence`` (default: the order of arrival) comes later. Rows whose
+        A ``note`` (a JSON value, such as how far a source was read) becomes part of the same commit. Within a batch the row with the larger ``sequence`` (default: the order of arrival) comes later. Rows whose
         key or time is NULL are refused. Columns of another type than the stored ones fail the batch.
         """
         new = batch.dropna(subset=[*self.key, self.by])
         new = new.withColumn("_ingest", F.col(sequence) if sequence else F.monotonically_increasing_id())
-        new = SK._with_slot(new, self.by)
-        columns = T.StructType([T.StructField(f.name, f.dataType) for f in new.schema if f.name not in ("_ingest", *SK.SLOT)])
+        new = SK._with_slot(new, self.by).drop(*(c for c in SK.SLOT if c not in self.slots))
+        columns = T.StructType([T.StructField(f.name, f.dataType) for f in new.schema if f.name not in ("_ingest", *self.slots)])
         self._columns(self.manifest(), columns)
-        name, hours = self._write(SK.keep_last(new, key=(*self.key, *(c for c in SK.SLOT if c not in self.key))))
+        name, hours = self._write(SK.keep_last(new, key=(*self.key, *(c for c in self.slots if c not in self.key))))
 
         def change(now: dict) -> dict:
             entry = {"data": name, "sequence": now["version"] + 1, "hours": hours}
-            return {"schema": self._columns(now, columns).jsonValue(), "entries": [*now["entries"], entry]}
+            return now | {"schema": self._columns(now, columns).jsonValue(), "entries": [*now["entries"], entry]} | ({} if note is None else {"note": note})
 
         return self._commit(change)
 
@@ -179,7 +185,7 @@ class Snapshots:
                 raise RuntimeError("another compaction came first")
             entries = [e | {"hours": [h for h in e["hours"] if e["data"] not in merged or h not in hours]} for e in now["entries"]]
             entries.append({"data": name, "sequence": sequence, "hours": written})
-            return {"schema": now["schema"], "entries": sorted((e for e in entries if e["hours"]), key=lambda e: e["sequence"])}
+            return now | {"entries": sorted((e for e in entries if e["hours"]), key=lambda e: e["sequence"])}
 
         return self._commit(change)
 

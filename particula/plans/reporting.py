@@ -13,6 +13,7 @@ from ..functions.numeric import round_mean_sql
 from ..operators import alerts as AL
 from ..operators import lookup as LK
 from ..operators import quality as Q
+from ..operators import panes as SP
 from ..operators import sinks as SK
 from ..operators import stats as ST
 from ..operators import windows as WN
@@ -116,6 +117,37 @@ def sliding_aggregates(spark, sf):
     return ST.window_aggregates(R(spark, sf), "15 minutes", "5 minutes")
 
 
+def _stored_panes(spark, sf):
+    """Readings upserted in two commits, the second one with late rows of every hour, and the panes kept up after each."""
+    folder = scratch_path(spark, f"panes-{uuid.uuid4().hex}")
+    stored = Snapshots(spark, f"{folder}/readings", key=("sensor_id", "timestamp", "event_id"), slots=("date",))
+    panes = SP.store(spark, f"{folder}/panes", slots=("date",))
+    rows = R(spark, sf).select(*READING_COLS)
+    for part in ("event_id % 5 <> 0", "event_id % 5 = 0"):
+        stored.upsert(rows.filter(part))
+        SP.refresh(stored, panes)
+    return panes.read()
+
+
+@register("stored_window_aggregates", "A5 S8", with_readings(_window_sql(15)), means=["avg_pm2_5", "avg_pm10"])
+def stored_window_aggregates(spark, sf):
+    return SP.window_aggregates(_stored_panes(spark, sf), 15)
+
+
+@register(
+    "stored_system_stats",
+    "A2 A11 S8",
+    with_readings(
+        "SELECT count(DISTINCT sensor_id) AS sensor_count, count(*) AS total_records, "
+        "avg(aqi) AS average_aqi, (SELECT count(*) FROM a3 WHERE is_active) AS active_alerts FROM r",
+        A3_CTE,
+    ),
+    means=["average_aqi"],
+)
+def stored_system_stats(spark, sf):
+    return SP.system_stats(_stored_panes(spark, sf), alerts3(spark, sf))
+
+
 def _latest(spark, sf):
     return WN.latest(R(spark, sf).select(*READING_COLS))
 
@@ -447,7 +479,7 @@ def _deliveries(spark, sf):
 @register("snapshot_upserts", "S8 S9 S10", KEEP_LAST_SQL)
 def snapshot_upserts(spark, sf):
     """The same deliveries as three commits to a table of snapshots in the shared folder, read back merged."""
-    store = Snapshots(spark, scratch_path(spark, f"snapshots-{uuid.uuid4().hex}"))
+    store = Snapshots(spark, scratch_path(spark, f"snapshots-{uuid.uuid4().hex}"), slots=("date",))
     rows = _deliveries(spark, sf)
     for part in range(3):
         store.upsert(rows.filter(F.col("_ingest") % 3 == part).drop("_ingest"))

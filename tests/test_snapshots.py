@@ -135,3 +135,12 @@ def test_columns_and_types(spark, scratch):
     assert got == {"a": (1.0, None), "b": (None, 3)}
     t.upsert(_batch(spark, []))
     assert t.read().count() == 2
+
+
+def test_days_instead_of_hours(spark, scratch):
+    t = SN.Snapshots(spark, f"{scratch}/t", slots=("date",))
+    t.upsert(_batch(spark, [("a", h, 1.0, 2.0) for h in _hours(30)]))
+    t.upsert(_batch(spark, [("a", T0, 5.0, None)]))
+    assert t.hours_since(0) == ["date=2024-01-01", "date=2024-01-02"] and t.hours_since(1) == ["date=2024-01-01"]
+    assert t.read().count() == 30 and t.read(hours=["date=2024-01-02"]).count() == 11
+    assert t.compact() == 3 and ("a", T0, 5.0, 2.0) in _rows(t.read())
