@@ -304,7 +304,7 @@ def overlaps(
 
         return run
 
-    parts = [source.mapInArrow(search(spark.sparkContext.broadcast(block)), schema) for block in _blocks(benchmark, item_col, "text", block_bytes)]
+    parts = [source.mapInArrow(K.tidy(search(spark.sparkContext.broadcast(block))), schema) for block in _blocks(benchmark, item_col, "text", block_bytes)]
     out = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
     return out.withColumn(item_col, F.col(item_col).cast(benchmark.schema[item_col].dataType))
 
@@ -331,5 +331,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame
         return run
 
     for block in _blocks(benchmark, "item_id", "text", how.get("block_bytes", BLOCK_BYTES)):
-        docs = docs.mapInArrow(keep(spark.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(K.tidy(keep(spark.sparkContext.broadcast(block))), docs.schema)
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from .textkernel import short_batches
+from .textkernel import short_batches, tidy
 from .tokens import Encoder
 
 LENGTH = 2048
@@ -187,4 +187,4 @@ def pack(
             cols = np.array(rows, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d in cols[0]], key_type), *(pa.array(c) for c in cols[1:])], names=names)
 
-    return dealt(docs, id_col, text_col, partitions).mapInArrow(run, schema)
+    return dealt(docs, id_col, text_col, partitions).mapInArrow(tidy(run), schema)

@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return K.short_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return K.short_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(K.tidy(run), schema)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +227,7 @@ def near_links(classes: DataFrame, radius: int = 2, hot_rows: int = HOT_ROWS) ->
         "pc",
     )
     rows = cold.unionByName(hot).repartition(F.col("key")).sortWithinPartitions("key", "pc").select("key", "fp", "node", "side")
-    return rows.mapInArrow(_compare(radius), "u long, v long")
+    return rows.mapInArrow(K.tidy(_compare(radius)), "u long, v long")
 
 
 def _marked(rows: DataFrame, shingle: int, radius: int, hot_rows: int) -> DataFrame:

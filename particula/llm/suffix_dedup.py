@@ -578,22 +578,22 @@ def met(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) ->
     ranges = max(LEAST_RANGES, -(-total // RANGE_BYTES))
     ask, ask_schema = _ask(span, gram, ranges)
     answer, answer_schema = _answer(hot)
-    asked = known.select("key", "text").mapInArrow(ask, ask_schema)
+    asked = known.select("key", "text").mapInArrow(K.tidy(ask), ask_schema)
     # a table of its own: the frequent names must be known before documents meet their answers
     path = scratch_path(spark, f"answers-{uuid.uuid4().hex}")
-    asked.repartition(F.col("route")).sortWithinPartitions("route").mapInArrow(answer, answer_schema).write.parquet(path)
+    asked.repartition(F.col("route")).sortWithinPartitions("route").mapInArrow(K.tidy(answer), answer_schema).write.parquet(path)
     answered = spark.read.parquet(path)
     offer, offer_schema = _offer(span, gram, ranges, spark.sparkContext.broadcast(_hot_names(answered)))
     gather, gather_schema = _gather()
     send, send_schema = _send()
     sort, sort_schema = _sort(span, gram)
     wanted = answered.where("key IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("part", "names")).alias("wanted"))
-    offered = rows.join(wanted, "key", "left").mapInArrow(offer, offer_schema)
-    gathered = offered.repartition(F.col("route")).sortWithinPartitions("route").mapInArrow(gather, gather_schema)
+    offered = rows.join(wanted, "key", "left").mapInArrow(K.tidy(offer), offer_schema)
+    gathered = offered.repartition(F.col("route")).sortWithinPartitions("route").mapInArrow(K.tidy(gather), gather_schema)
     told = gathered.groupBy("key").agg(F.collect_list(F.struct("id", "starts", "sizes", "groups", "places", "lengths")).alias("told"))
     with_told = rows.join(told, "key", "left")
-    sent = with_told.mapInArrow(send, send_schema)
-    found = sent.repartition(F.col("group")).sortWithinPartitions("group", "id").mapInArrow(sort, sort_schema)
+    sent = with_told.mapInArrow(K.tidy(send), send_schema)
+    found = sent.repartition(F.col("group")).sortWithinPartitions("group", "id").mapInArrow(K.tidy(sort), sort_schema)
     found = found.groupBy("key").agg(F.collect_list(F.struct("id", "starts", "sizes")).alias("found"))
     return with_told.join(found, "key", "left")
 
@@ -601,7 +601,7 @@ def met(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) ->
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay)."""
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    done = met(rows, span, gram, hot).mapInArrow(_cut(False, ["id"]), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = met(rows, span, gram, hot).mapInArrow(K.tidy(_cut(False, ["id"])), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.withColumnRenamed("id", id_col)
 
 
@@ -616,7 +616,7 @@ def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("id"), "text", rest.alias("rest"))
     counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), *counts, T.StructField("kept", T.BinaryType())])
-    done = met(rows, span).mapInArrow(_cut(True, ["rest"]), schema)
+    done = met(rows, span).mapInArrow(K.tidy(_cut(True, ["rest"])), schema)
     text = F.when(F.col("rest.own text"), F.col("kept").cast("string"))
 
     def column(c):

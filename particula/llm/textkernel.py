@@ -8,6 +8,7 @@ object per word. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,28 @@ def short_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def release() -> None:
+    """Give what a task used back to the system: workers live on and wait beside others for their next task."""
+    global _powers
+    _powers = (np.ones(1, U64), np.ones(1, U64))
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """``run``, a function on Arrow batches, that releases its memory when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """True for the bytes in the (first, last) ranges."""
     out = np.zeros(256, bool)

@@ -59,3 +59,11 @@ def test_a_bounded_sample_is_learned_from(corpus):
     docs, labels = corpus
     small = toxicity.fit_held_out(docs, labels, max_rows=200)
     assert len(small["place"]) < len(toxicity.fit_held_out(docs, labels)["place"]) + 200
+
+
+def test_one_label_only(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(8)], "doc_id long, text string")
+    for toxic in (0, 1):
+        labels = spark.createDataFrame([(i, toxic) for i in range(8)], "doc_id long, toxic int")
+        got = toxicity.judge(docs, labels).collect()
+        assert len(got) == 8 and all(x.predicted == toxic for x in got)
