@@ -130,24 +130,20 @@ def evaluate(text: str) -> tuple[set[str], bool, bool]:
     exception to the licence on its left and keeps that licence's answer.
     """
     postfix, well = to_postfix(text)
-    labels: set[str] = set()
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[frozenset, bool]] = []  # labels of a part of the expression, and its answer
     for token in postfix:
-        if token in _PRECEDENCE:
-            if len(stack) < 2:
-                well = False
-                continue
+        if token not in _PRECEDENCE:
+            label = label_of(token)
+            stack.append((frozenset([label]), label in PERMISSIVE))
+        elif len(stack) < 2:
+            well = False
+        else:
             right, left = stack.pop(), stack.pop()
             if token == "with":
-                labels.discard(right[0])
                 stack.append(left)
             else:
-                stack.append(("", left[1] or right[1] if token == "or" else left[1] and right[1]))
-        else:
-            label = label_of(token)
-            labels.add(label)
-            stack.append((label, label in PERMISSIVE))
-    return labels, bool(stack) and stack[-1][1], well
+                stack.append((left[0] | right[0], left[1] or right[1] if token == "or" else left[1] and right[1]))
+    return set().union(*(labels for labels, _ in stack)), bool(stack) and stack[-1][1], well
 
 
 def _automaton(keys: dict[str, object]) -> ahocorasick.Automaton:
@@ -158,26 +154,39 @@ def _automaton(keys: dict[str, object]) -> ahocorasick.Automaton:
     return out
 
 
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(_TO_WORDS).split()
+
+
+def _spaced(words: list[bytes]) -> str:
+    """Words with single spaces around them, a character for each byte."""
+    return (b" " + b" ".join(words) + b" ").decode("latin-1")
+
+
 class Scanner:
-    """The two automata, built once in each task."""
+    """The two automata, built once in each task; phrases are read as texts are, whatever their case, spacing or letters."""
 
     def __init__(self, base: dict[str, str], notices: dict[str, str]):
-        both = {f" {p} ": (p, label, False) for p, label in notices.items()}
-        both |= {f" {p} ": (p, label, True) for p, label in base.items()}
+        both = {}
+        for phrases, is_base in ((notices, False), (base, True)):
+            for phrase, label in phrases.items():
+                key = _spaced(_words(phrase.encode()))
+                if key.strip():
+                    both[key] = (key, label, is_base)
         self.phrases = _automaton(both)
         self.tags = _automaton({t: len(t) for t in TAGS})
         self.tag_bytes = tuple(t.encode() for t in TAGS)
 
     def __call__(self, text: bytes) -> tuple:
-        plain = text.translate(_TO_WORDS).split()
-        spaced = (b" " + b" ".join(plain) + b" ").decode("latin-1")
+        plain = _words(text)
+        spaced = _spaced(plain)
         n_base, low_at, high_at, base, found, evidence = 0, None, None, set(), set(), {}
         for end, (phrase, label, is_base) in self.phrases.iter(spaced):
             found.add(label)
             evidence[phrase] = BASE_WEIGHT if is_base else NOTICE_WEIGHT
             if is_base:
                 base.add(label)
-                at = end - len(phrase) - 1  # the space before the first word
+                at = end - len(phrase) + 1  # the space before the first word
                 n_base += 1
                 low_at = at if low_at is None else min(low_at, at)
                 high_at = at if high_at is None else max(high_at, at)

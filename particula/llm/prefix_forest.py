@@ -20,10 +20,13 @@ query can return of them, so groups of copies cost one entry.
 Recall at k = 5 against brute force on the given tables is in the README.
 
 Defined cases: vectors that are null, zero, or hold a null, NaN or infinity take
-no part; so do null ids; vectors of another length than the most frequent one
-of the table are left out too; ids that repeat count as one candidate for each
-row; an empty table gives no rows; other columns are ignored. Ties go to the
-smaller id.
+no part; so do null ids; a vector meets those of its own length only, as no
+other has a cosine with it; every row is a query or candidate of its own, so an
+id that repeats can be found once for each row, and each of its query rows gets
+ranks of its own (equal rows the same ones, once for each row); an empty table
+gives no rows; other columns are ignored. Ties go to the smaller id. Components
+of any finite size count: vectors are brought to a largest component between
+1/2 and 1 by a power of two, which leaves their digits as they are.
 """
 
 from __future__ import annotations
@@ -61,6 +64,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows times powers of two that bring their largest components between 1/2 and 1, and those exponents."""
+    _, exponents = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))
+    return np.ldexp(vectors, -exponents[:, None]), exponents
+
+
 class Forest:
     def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = SEED):
         self.trees, self.bits = trees, bits
@@ -100,62 +109,76 @@ class Forest:
             level -= 1
 
 
-def _best(forest: Forest, vectors: np.ndarray, norms: np.ndarray, ids: list[list[int]], query: np.ndarray, strings: np.ndarray, own: int, k: int, enough: int):
-    """(score, id) of the k best candidates other than the query's own row."""
-    at = forest.candidates(strings, enough)
-    scores = (vectors[at] * query).sum(axis=1) / (norms[at] * np.sqrt((query * query).sum()))
-    if len(at) > k + 1:
-        # an entry may hold only the query's own row; ties at the border stay in
-        border = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-        pick = scores >= border
-        at, scores = at[pick], scores[pick]
-    found = [(-s, i) for s, e in zip(scores.tolist(), at.tolist(), strict=True) for i in ids[e] if i != own]
-    return sorted(found)[:k]
+def _others(ids: list[int], own: int, same: bool) -> list[int]:
+    """The ids of an entry without the query's own row, which is one of them if the vectors are the same."""
+    if same and own in ids:
+        at = ids.index(own)
+        return ids[:at] + ids[at + 1 :]
+    return ids
+
+
+class Shard:
+    """The entries of one shard: their vectors, scaled, with ids and a forest."""
+
+    def __init__(self, vectors: np.ndarray, ids: list[list[int]], trees: int, bits: int, seed: int):
+        self.vectors, self.exponents = _scaled(vectors)
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        self.ids = ids
+        self.forest = Forest(self.vectors, trees, bits, seed)
+
+    def best(self, query: np.ndarray, exponent: int, strings: np.ndarray, own: int, k: int, enough: int):
+        """(-score, id) of the k best candidates other than the query's own row."""
+        at = self.forest.candidates(strings, enough)
+        scores = (self.vectors[at] * query).sum(axis=1) / (self.norms[at] * np.sqrt((query * query).sum()))
+        if len(at) > k + 1:
+            # an entry may hold only the query's own row; ties at the border stay in
+            border = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            pick = scores >= border
+            at, scores = at[pick], scores[pick]
+        same = (self.exponents[at] == exponent) & (self.vectors[at] == query).all(axis=1)
+        return sorted((-s, i) for s, e, own_row in zip(scores.tolist(), at.tolist(), same.tolist(), strict=True) for i in _others(self.ids[e], own, own_row))[:k]
 
 
 def _search(k: int, share: float, trees: int, bits: int, seed: int):
-    """Rows of a shard sorted by (shard, is_query): its entries, then the queries in batches."""
+    """Rows (dims, shard, ask, ids, v, row) sorted by the first three: a shard's entries, then the queries in batches."""
+    names = ["query_id", "row", "vec_id", "score"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.float64()]
 
     def run(batches):
-        shard, entries, ids, forest, vectors, norms = None, [], [], None, None, None
+        of, entries, ids, shard = None, [], [], None
         for batch in batches:
-            shards = batch.column(0).to_numpy()
-            asks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            edges = np.flatnonzero(np.concatenate([[True], (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])]))
+            head = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+            edges = np.flatnonzero(np.concatenate([[True], (head[:, 1:] != head[:, :-1]).any(axis=0)])[: head.shape[1]])
             out = []
-            for a, b in zip(edges, np.append(edges[1:], len(shards)), strict=True):
-                if shards[a] != shard:
-                    shard, entries, ids, forest = shards[a], [], [], None
+            for a, b in zip(edges, np.append(edges[1:], head.shape[1]), strict=True):
+                if of != (here := tuple(head[:2, a].tolist())):
+                    of, entries, ids, shard = here, [], [], None
                 part = batch.slice(a, b - a)
-                if not asks[a]:
-                    entries.append(_matrix(part.column(3)))
-                    ids += part.column(2).to_pylist()
+                if not head[2, a]:
+                    entries.append(_matrix(part.column(4)))
+                    ids += part.column(3).to_pylist()
                     continue
                 if not entries:
                     continue  # a shard without vectors
-                if forest is None:
-                    vectors = np.concatenate(entries)
-                    norms = np.sqrt((vectors * vectors).sum(axis=1))
-                    forest = Forest(vectors, trees, bits, seed)
-                queries = _matrix(part.column(3))
-                strings = forest.strings(queries)
+                if shard is None:
+                    shard = Shard(np.concatenate(entries), ids, trees, bits, seed)
+                queries, exponents = _scaled(_matrix(part.column(4)))
+                strings = shard.forest.strings(queries)
                 enough = max(LEAST, int(share * len(ids)))
-                for j, own in enumerate(part.column(2).to_pylist()):
-                    for s, i in _best(forest, vectors, norms, ids, queries[j], strings[:, j], own[0], k, enough):
-                        out.append((own[0], i, -s))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                for j, (own, row) in enumerate(zip(part.column(3).to_pylist(), part.column(5).to_pylist(), strict=True)):
+                    for s, i in shard.best(queries[j], exponents[j], strings[:, j], own[0], k, enough):
+                        out.append((own[0], row, i, -s))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return run
+    return run, "query_id long, row string, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): rows whose vector has no null, NaN or infinity, is not zero, and has the table's usual length."""
+    """(id, v): rows with an id whose vector has no null, NaN or infinity and is not zero."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     limit = F.lit(float("inf"))
-    rows = rows.where(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    return rows.where(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists("v", lambda x: x != 0))
 
 
 def nearest(
@@ -172,17 +195,24 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``is_query`` (a condition on the column ``id``) holds."""
     rows = usable(vectors, id_col, vec_col)
-    queries = rows.where(is_query)
     # the k + 1 smallest ids of equal vectors: ranked in every task before they meet
     key = F.xxhash64("v")
     ranked = rows.withColumn("h", key).withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("r") <= k + 1)
     entries = ranked.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
-    index = entries.select(F.pmod(F.xxhash64("h", F.lit("shard")), F.lit(shards)).alias("shard"), F.lit(False).alias("ask"), "ids", "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("ask"), F.array("id").alias("ids"), "v")
-    met = index.unionByName(asked).repartition(F.col("shard")).sortWithinPartitions("shard", "ask")
-    found = met.mapInArrow(_search(k, share, trees, bits, seed), "query_id long, vec_id long, score double")
+    # a row for each length of vectors, so never more rows than the longest vector has components
+    shards = F.broadcast(rows.groupBy(F.size("v").alias("dims")).agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards")))
+    index = entries.withColumn("dims", F.size("v")).join(shards, "dims").select(
+        "dims", F.pmod(F.xxhash64("h", F.lit("shard")), F.col("shards")).alias("shard"), F.lit(False).alias("ask"), "ids", "v", F.lit("").alias("row")
+    )
+    # equal query rows ask once
+    queries = rows.where(is_query).groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    queries = queries.withColumn("row", F.concat_ws(":", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256), "copies"))
+    asked = queries.withColumn("dims", F.size("v")).join(shards, "dims").select(
+        "dims", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.lit(True).alias("ask"), F.array("id").alias("ids"), "v", "row"
+    )
+    met = index.unionByName(asked).repartition(F.col("dims"), F.col("shard")).sortWithinPartitions("dims", "shard", "ask")
+    found = met.mapInArrow(*_search(k, share, trees, bits, seed))
     # k rows at most from each shard
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    copies = F.substring_index("row", ":", -1).cast("long")
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("query_id", "rank", "vec_id", "score", "copy")

@@ -53,6 +53,8 @@ def test_scanner_against_brute_force(words, gap):
         ("(gpl-2.0 or mit) and apache-2.0", {"mit", "gpl", "apache-2"}, True, True),
         ("gpl-2.0 with classpath-exception-2.0 or bsd-3-clause", {"gpl", "bsd"}, True, True),
         ("apache-2.0 with llvm-exception", {"apache-2"}, True, True),
+        ("mit or gpl-2.0 with mit", {"mit", "gpl"}, True, True),
+        ("gpl-2.0 with mit", {"gpl"}, False, True),
         ("mit or", {"mit"}, True, False),
         ("(mit", {"mit"}, True, False),
         ("and mit", {"mit"}, True, False),
@@ -68,3 +70,10 @@ def test_expressions(text, labels, allows, well):
 def test_tags_add_labels():
     got = L.Scanner(L.BASE_PHRASES, L.NOTICE_PHRASES)(b"// SPDX-License-Identifier: (MIT OR GPL-2.0) AND Apache-2.0\nint x;\n# license-expression: MPL-2.0")
     assert got[5] == "apache-2,gpl,mit,mpl" and got[1] == 0 and got[4] == "" and got[7] is False
+
+
+def test_phrases_of_any_letters_and_spacing():
+    scan = L.Scanner({"sous licence libre à tous": "libre", "許可": "kyoka", "--": "none"}, {"Domaine  Public": "public-domain"})
+    got = scan("Texte sous licence libre à tous. 許可 domaine public; sous licence libre à tousse".encode())
+    assert got[:6] == (14, 2, 1, 6, "kyoka,libre", "kyoka,libre,public-domain")
+    assert scan(b"-- nothing")[1] == 0

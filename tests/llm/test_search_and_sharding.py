@@ -79,6 +79,34 @@ def test_few_or_no_vectors(spark):
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == [(0, 1, 1, 1.0), (1, 1, 0, 1.0)]
 
 
+def _all_pairs(rows, k):
+    """Ranked lists of each query row, every other row a candidate; vectors of one length meet."""
+    out = []
+    for a, (q, v) in enumerate(rows):
+        if q % 2 == 0:
+            found = []
+            for b, (i, w) in enumerate(rows):
+                if a != b and len(v) == len(w):
+                    x, y = (np.array(z) / max(map(abs, z)) for z in (v, w))
+                    found.append((-float((x * y).sum() / math.sqrt((x * x).sum() * (y * y).sum())), i))
+            out.append((q, [(i, round(-s, 12)) for s, i in sorted(found, key=lambda t: (round(t[0], 12), t[1]))[:k]]))
+    return sorted(out)
+
+
+def test_huge_components_repeated_ids_and_lengths(spark):
+    big, tiny = 1e200, 1e-300
+    rows = [(0, [big, big]), (1, [1.0, 0.0]), (2, [tiny, 0.0]), (3, [5e-324, 0.0]), (4, [1.7e308, -1.7e308])]
+    rows += [(6, [1.0, 2.0]), (6, [2.0, 1.0]), (6, [2.0, 1.0]), (6, [4.0, 2.0]), (7, [2.0, 1.0])]
+    rows += [(8, [1.0, 2.0, 3.0]), (9, [3.0, 2.0, 1.0]), (10, [1.0])]
+    df = spark.createDataFrame([(v, i, "x") for i, v in rows], "embedding array<double>, vec_id long, row string").repartition(3)
+    got = {}
+    for x in prefix_forest.nearest(df, F.col("id") % 2 == 0, k=3, shard_rows=2).collect():
+        got.setdefault((x.query_id, x.copy), []).append((x.rank, x.vec_id, round(x.score, 12)))
+    flat = sorted((q, r, i, s) for (q, _), found in got.items() for r, i, s in found)
+    want = sorted((q, r + 1, i, s) for q, found in _all_pairs(rows, 3) for r, (i, s) in enumerate(found))
+    assert flat == want
+
+
 # ------------------------------------------------------------ shard placement
 
 
