@@ -9,9 +9,6 @@ back (J2).
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -19,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .one_class import one_class_svm
 from .quality import lookback
 
 FEATURES = ["pm2_5", "pm10", "temperature", "humidity"]
@@ -27,10 +25,14 @@ SEED = 42
 KMEANS_STARTS = 10
 
 
-def _filled(df: DataFrame) -> DataFrame:
+def _require(df: DataFrame) -> None:
     missing = [c for c in FEATURES if c not in df.columns]
     if missing:
         raise ValueError(f"Missing required column: {missing[0]}")
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    _require(df)
     return df.select("*", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"_f_{c}") for c in FEATURES])
 
 
@@ -76,55 +78,6 @@ def kmeans_minority(df: DataFrame, k: int = 2) -> DataFrame:
     return out.drop("_x", *[f"_f_{c}" for c in FEATURES])
 
 
-def one_class_density(df: DataFrame, nu: float = 0.05, components: int = 64) -> DataFrame:
-    """M2 (approximation): a one-class score from random Fourier features.
-
-    The RBF kernel exp(-gamma |x - y|^2) (gamma = 1 / (n_features * var(X)),
-    the 'scale' rule) is approximated by z(x) = sqrt(2/D) cos(W x + b) with
-    W ~ N(0, 2 gamma), b ~ U(0, 2 pi) (Rahimi & Recht 2007). The score of a row
-    is z(x) . mean(z): its mean kernel similarity to all rows, computed with
-    native column maths and one global aggregate. The lowest `nu` share
-    (percentile_approx) is flagged. Fewer than 5 rows -> nothing flagged.
-    """
-    f = _filled(df)
-    xs = [F.col(f"_f_{c}") for c in FEATURES]
-    stats = f.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
-        *[F.avg(x * x).alias(f"q{i}") for i, x in enumerate(xs)],
-    ).first()
-    n = stats["n"]
-    if n < 5:  # too few rows: nothing flagged
-        return df.withColumn("density_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
-    d = len(FEATURES)
-    # variance of all feature values pooled (numpy's X.var())
-    mean_all = sum(stats[f"m{i}"] or 0.0 for i in range(d)) / d
-    sq_all = sum(stats[f"q{i}"] or 0.0 for i in range(d)) / d
-    var = max(sq_all - mean_all * mean_all, 1e-12)
-    gamma = 1.0 / (d * var)
-    rng = np.random.default_rng(SEED)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(components, d))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=components)
-    scale = math.sqrt(2.0 / components)
-    zs = []
-    for j in range(components):
-        lin = F.lit(float(b[j]))
-        for i, x in enumerate(xs):
-            lin = lin + F.lit(float(w[j, i])) * x
-        zs.append((F.lit(scale) * F.cos(lin)).alias(f"_z{j}"))
-    z = f.select("*", *zs)
-    means = z.agg(*[F.avg(f"_z{j}").alias(f"_m{j}") for j in range(components)]).first()
-    score = F.lit(0.0)
-    for j in range(components):
-        score = score + F.col(f"_z{j}") * F.lit(float(means[f"_m{j}"] or 0.0))
-    scored = z.withColumn("density_score", score)
-    cut = scored.select(F.percentile_approx("density_score", nu, 10000)).scalar()
-    out = scored.withColumn(
-        "is_anomaly", F.coalesce(F.col("density_score") <= cut, F.lit(False))
-    )
-    return out.drop(*[f"_z{j}" for j in range(components)], *[f"_f_{c}" for c in FEATURES])
-
-
 def detect(
     df: DataFrame,
     method: str = "random-forest",
@@ -144,7 +97,8 @@ def detect(
     if method == "random-forest":
         return random_forest_residual(frame)
     if method == "svm":
-        return one_class_density(frame)
+        _require(frame)
+        return one_class_svm(frame, FEATURES)
     return kmeans_minority(frame)
 
 

@@ -19,7 +19,7 @@ def ml_random_forest(spark, sf):
 
 @register("ml_one_class", "M2 M4")
 def ml_one_class(spark, sf):
-    return ML.detect(R(spark, sf), "svm", hours=None).select(*OUT, "density_score")
+    return ML.detect(R(spark, sf), "svm", hours=None).select(*OUT, "decision")
 
 
 @register("ml_kmeans", "M3 M4")
@@ -42,4 +42,4 @@ def ml_anomalies_only(spark, sf):
 def ml_lookback(spark, sf):
     """The service's own call: one sensor, its last month before the newest reading."""
     scored = ML.detect(R(spark, sf), "svm", sensor_id="sensor-urban-0", hours=24.0 * 30)
-    return scored.select(*OUT, "density_score")
+    return scored.select(*OUT, "decision")

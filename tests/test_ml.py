@@ -3,11 +3,13 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from particula.operators import ml as ML
+from particula.operators.one_class import one_class_svm
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -47,13 +49,51 @@ def test_kmeans_minority_is_planted_cluster(planted):
 
 
 def test_one_class_share_and_planted(planted):
-    out = ML.one_class_density(planted, nu=0.05)
+    out = one_class_svm(planted, ML.FEATURES, nu=0.05)
     flagged = _flagged(out)
     share = len(flagged) / planted.count()
     assert 0.03 <= share <= 0.08
     assert len(set(range(400, 406)) & flagged) >= 5
 
 
+def _exact_one_class(x, nu, gamma, sweeps=4000):
+    """Flags of the kernel machine itself: the dual solved by pairs of most violating rows."""
+    n = len(x)
+    k = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    top = 1.0 / (nu * n)
+    a = np.zeros(n)
+    a[: int(nu * n)] = top
+    a[int(nu * n)] = 1.0 - a.sum()
+    score = k @ a
+    for _ in range(sweeps):
+        up, down = np.where(a < top - 1e-12, score, np.inf).argmin(), np.where(a > 1e-12, score, -np.inf).argmax()
+        if score[down] - score[up] < 1e-7:
+            break
+        step = min((score[down] - score[up]) / (2 - 2 * k[up, down]), top - a[up], a[down])
+        a[up], a[down] = a[up] + step, a[down] - step
+        score += step * (k[:, up] - k[:, down])
+    return score <= np.quantile(score, nu)
+
+
+def test_one_class_against_the_exact_machine(spark):
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(0, 1, (280, 2)), r.normal(6, 0.5, (100, 2)), r.uniform(-12, 14, (20, 2))])
+    gamma = 1.0 / (2 * x.var())
+    exact = _exact_one_class(x, 0.05, gamma)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "event_id long, a double, b double")
+    flagged = _flagged(one_class_svm(df, ["a", "b"], nu=0.05, components=512, tolerance=0.002, steps=60))
+    same = sum(bool(e) == (i in flagged) for i, e in enumerate(exact)) / len(x)
+    both = len(flagged & set(np.flatnonzero(exact).tolist())) / exact.sum()
+    assert same >= 0.97 and both >= 0.75, (same, both)
+
+
+def test_one_class_missing_values_and_equal_rows(spark):
+    rows = [(i, 1.0, 2.0) for i in range(50)] + [(50, None, 2.0), (51, float("nan"), 2.0), (52, 0.0, 2.0)]
+    out = one_class_svm(spark.createDataFrame(rows, "event_id long, decision double, b double").select("event_id", F.col("decision").alias("a"), "b"), ["a", "b"]).collect()
+    by_id = {r.event_id: round(r.decision, 9) for r in out}
+    assert len({by_id[i] for i in range(50)}) == 1 and by_id[50] == by_id[51] == by_id[52]
+
+
 def test_detect_dispatch_and_errors(spark, planted):
     with pytest.raises(ValueError):
         ML.detect(planted, "nope")
