@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .one_class import one_class_svm
 from .quality import lookback
+from .windows import _B, _T, _bucketed, bucket_length
 
 FEATURES = ["pm2_5", "pm10", "temperature", "humidity"]
 METHODS = ("random-forest", "svm", "kmeans")
@@ -104,8 +105,7 @@ def detect(
 
 def response(scored: DataFrame, key: str = "sensor_id") -> DataFrame:
     """Per-sensor totals of the analysis (readings, anomalies). The
-    per-reading series stays a row set (timestamp, pm2_5, pm10, flag) rather
-    than one collected array per sensor, so no group is gathered in one task."""
+    aligned arrays are in pages of bounded size (`series.aligned_series`)."""
     return scored.groupBy(key).agg(
         F.count(F.lit(1)).alias("readings"),
         F.count_if(F.col("is_anomaly")).alias("anomalies"),
@@ -114,13 +114,35 @@ def response(scored: DataFrame, key: str = "sensor_id") -> DataFrame:
     )
 
 
-def per_group(df: DataFrame, fn, schema: str, key: str = "sensor_id", bucket_minutes: float = 60.0) -> DataFrame:
+GROUP_ROWS = 100_000  # rows of one call of a user's detector, where the bucket is measured
+
+
+def per_group(df: DataFrame, fn, schema: str, key: str = "sensor_id", bucket_minutes: float | None = 60.0, context_minutes: float = 0.0) -> DataFrame:
     """M5: run a user detector (pandas in, pandas out) per (key, time bucket).
 
     Groups are one sensor over `bucket_minutes` of event time, so a single
     call never receives more than one bucket of one sensor however much data
-    the sensor sends; pick a shorter bucket for denser sensors.
+    the sensor sends; None measures the rate and takes the longest bucket that
+    keeps a call at `GROUP_ROWS` rows, in whole multiples of the context or
+    minute. With `context_minutes` (at most a bucket) a group also gets the
+    key's readings of that time before its edge, with `is_context` true; `fn`
+    answers the others only, and so needs no more than a trailing look at the
+    series. Readings come in no stated order. Those without a time form a group
+    of their own, without context.
     """
-    us = int(bucket_minutes * C.MICROS_PER_MINUTE)
-    d = df.withColumn("_bucket", F.expr(f"unix_micros(CAST(timestamp AS TIMESTAMP)) div {us}L"))
+    reach = int(context_minutes * C.MICROS_PER_MINUTE)
+    if bucket_minutes is None:
+        unit = max(reach, C.MICROS_PER_MINUTE)
+        length = bucket_length(df, key, "timestamp", unit, target_rows=GROUP_ROWS)
+    else:
+        length = int(bucket_minutes * C.MICROS_PER_MINUTE)
+        if reach > length:
+            raise ValueError("context_minutes must not be longer than a bucket")
+    d = _bucketed(df, "timestamp", length)
+    if reach:
+        home, after = (F.struct(b.alias("b"), F.lit(c).alias("c")) for b, c in ((F.col(_B), False), (F.col(_B) + 1, True)))
+        near_edge = F.col(_T) >= (F.col(_B) + 1) * F.col("_blen") - F.lit(reach)
+        d = d.withColumn("_copy", F.explode(F.when(near_edge, F.array(home, after)).otherwise(F.array(home))))
+        d = d.withColumn(_B, F.col("_copy.b")).withColumn("is_context", F.col("_copy.c"))
+    d = d.select(*df.columns, *(["is_context"] if reach else []), F.col(_B).alias("_bucket"))
     return d.groupBy(key, "_bucket").applyInPandas(fn, schema)

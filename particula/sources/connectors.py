@@ -5,6 +5,8 @@ source when its package is on the classpath, the file source otherwise
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +86,20 @@ def read_batch(
         wanted = [topics] if isinstance(topics, str) else list(topics)
         df = df.filter(F.col("topic").isin(wanted))
     return df
+
+
+def poll(stream: DataFrame, handle: Callable[[DataFrame, int], None], bookmark: str) -> int:
+    """What arrived since the last poll, handed to ``handle(rows, batch_id)``; the number of rows.
+
+    ``bookmark`` is a folder of the shared storage that keeps the offsets of
+    every source partition (a stream's checkpoint). They move on only after
+    ``handle`` returned, so a poll that fails leaves its rows to the next one,
+    which gets them again with the same ``batch_id``: a handler that writes by
+    key, or skips a ``batch_id`` it has finished, stores each row once. The read
+    is bounded by what is there at its start, and cut into batches by the
+    ``max_per_trigger`` of ``read_stream``, whose ``starting`` should be
+    "earliest". Nothing new: no call of ``handle``, and 0.
+    """
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", bookmark).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(p["numInputRows"] for p in query.recentProgress)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from particula.operators import ml as ML
 from particula.operators.one_class import one_class_svm
+from particula.operators.series import aligned_series
+from particula.plans.learning import trailing_ratio
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -119,3 +121,35 @@ def test_small_inputs_flag_nothing(spark, planted):
     for m in ("random-forest", "svm", "kmeans"):
         out = ML.detect(one, m, hours=None)
         assert out.filter("is_anomaly").count() == 0
+
+
+def test_pages_put_together_are_the_series(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.choice([None, *[T0 + dt.timedelta(seconds=37 * k) for k in range(200)]]), rnd.choice([None, float(i)]), rnd.random() < 0.1) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, sensor_id string, timestamp timestamp, pm2_5 double, is_anomaly boolean").repartition(5)
+    for bucket in (1, None):
+        got = {}
+        for r in sorted(aligned_series(df, values=("pm2_5",), page_rows=17, bucket_minutes=bucket).collect(), key=lambda r: (str(r.sensor_id), r.page)):
+            assert r.readings == len(r.timestamps) == len(r.pm2_5) == len(r.scores) <= 17
+            have = got.setdefault(r.sensor_id, ([], [], [], [0]))
+            assert len(have[0]) == 17 * r.page
+            for part, new in zip(have, (r.timestamps, r.pm2_5, r.scores), strict=False):
+                part.extend(new)
+            have[3][0] += r.anomalies
+        for sensor in ("a", "b", None):
+            own = sorted((r for r in rows if r[1] == sensor), key=lambda r: (r[2] is not None, r[2] or T0, r[0]))
+            flagged = {r[2] for r in own if r[4]}
+            assert got[sensor] == ([r[2] for r in own], [r[3] for r in own], [int(r[2] in flagged) for r in own], [sum(r[4] for r in own)])
+    assert aligned_series(df.limit(0), values=("pm2_5",)).collect() == []
+
+
+def test_hook_with_context_equals_the_ungrouped_detector(spark, planted):
+    whole = trailing_ratio(planted.toPandas().assign(is_context=False))
+    rows = planted.select("event_id", "sensor_id", "timestamp", "pm2_5")
+    schema = "event_id long, sensor_id string, pm25_avg double, is_anomaly boolean"
+    want = {r.event_id: (round(r.pm25_avg, 9), r.is_anomaly) for r in whole.itertuples()}
+    for bucket in (5.0, 7.0, 60.0, None):
+        got = ML.per_group(rows, trailing_ratio, schema, bucket_minutes=bucket, context_minutes=5.0).collect()
+        assert len(got) == len(want) and {r.event_id: (round(r.pm25_avg, 9), r.is_anomaly) for r in got} == want
+    with pytest.raises(ValueError):
+        ML.per_group(rows, trailing_ratio, schema, bucket_minutes=4.0, context_minutes=5.0)

@@ -381,3 +381,33 @@ def test_device_job_is_idempotent_and_merges_state(spark, scratch):
     # the label and the late row leave the newest number in place
     assert (state["a"].air_quality_index, state["a"].battery_level, state["a"].pm2_5) == (30.0, 10.0, 20.0)
     assert (state["b"].battery_level, state["b"].signal_strength) == (None, 5.0)
+
+
+def test_polls_read_each_row_once_and_again_after_a_failure(spark, scratch):
+    from particula.sources.connectors import poll, read_stream
+
+    folder, bookmark = os.path.join(scratch, "log"), os.path.join(scratch, "bookmark")
+    got = []
+
+    def add(first, last):
+        rows = [(str(i), f"v{i}", "t", dt.datetime(2024, 1, 1)) for i in range(first, last)]
+        spark.createDataFrame(rows, "key string, value string, topic string, timestamp timestamp").write.mode("append").json(folder)
+
+    def keep(rows, batch_id):
+        got.extend(sorted(r.key for r in rows.collect()))
+
+    def fail(rows, batch_id):
+        raise RuntimeError("store is down")
+
+    def new():
+        return read_stream(spark, "json", path=folder)
+
+    add(0, 5)
+    assert poll(new(), keep, bookmark) == 5 and got == ["0", "1", "2", "3", "4"]
+    assert poll(new(), keep, bookmark) == 0
+    add(5, 8)
+    with pytest.raises(Exception, match="store is down"):
+        poll(new(), fail, bookmark)
+    add(8, 9)
+    got.clear()
+    assert poll(new(), keep, bookmark) == 4 and sorted(got) == ["5", "6", "7", "8"]
