@@ -216,8 +216,10 @@ def _answer(hot: int):
         n = np.bincount(place, np.concatenate([np.ones(len(names)), times]), len(found)).astype(np.int64)
         shared = (n > 1)[place[: len(names)]]
         keys, names = keys[shared], names[shared]
-        order = np.argsort(keys, kind="stable")
-        keys, packed = keys[order], _pack(names[order])
+        order = np.lexsort((names, keys))
+        keys, names = keys[order], names[order]
+        new = np.concatenate([np.ones(min(len(keys), 1), bool), (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])])
+        keys, packed = keys[new], _pack(names[new])  # equal rows ask alike
         cut = _runs(keys)
         out += [(int(keys[i]), part, None, packed[5 * i : 5 * j]) for i, j in zip(cut, cut[1:], strict=False)]
         found, n = found[n > hot], n[n > hot]
@@ -327,8 +329,11 @@ def _gather():
         e = {c: np.concatenate(x) for c, x in held.items()}
         if not len(e["key"]):
             return _batch(schema, out)
-        order = np.lexsort((e["id"], e["digest"], e["names"]))
+        order = np.lexsort((e["start"], e["key"], e["id"], e["digest"], e["names"]))
         e = {c: x[order] for c, x in e.items()}
+        # equal rows offer alike: one of them stands for all
+        other = np.concatenate([[True], np.any([e[c][1:] != e[c][:-1] for c in e], axis=0)])
+        e = {c: x[other] for c, x in e.items()}
         new_name = np.concatenate([[True], e["names"][1:] != e["names"][:-1]])
         new = new_name | np.concatenate([[True], e["digest"][1:] != e["digest"][:-1]])
         least = e["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -448,7 +453,7 @@ def _sort(span: int, gram: int):
     schema = [("key", pa.int64()), ("id", pa.int64()), ("starts", pa.binary()), ("sizes", pa.binary())]
 
     def run(batches):
-        group, classes = None, {}  # (text, left) to its rows, the smallest id first
+        group, classes = None, {}  # (text, left) to its rows of the smallest id, equal rows once
         pending: list[list[tuple]] = []  # groups of (text, left, id, rows)
         weight, out = 0, []
 
@@ -461,7 +466,7 @@ def _sort(span: int, gram: int):
             nonlocal weight
             by_anchor: dict[bytes, list] = {}
             for (text, left), rows in classes.items():
-                by_anchor.setdefault(text[left : left + gram], []).append((text, left, rows[0][1], rows))
+                by_anchor.setdefault(text[left : left + gram], []).append((text, left, next(iter(rows))[1], rows))
             for members in by_anchor.values():
                 if len(members) > 1:
                     pending.append(members)
@@ -485,11 +490,11 @@ def _sort(span: int, gram: int):
                     classes, group = {}, g
                     if weight >= SORT_BYTES:
                         settle()
-                rows = classes.setdefault((text, left), [])
-                if rows and i > rows[0][1]:
+                rows = classes.setdefault((text, left), {})
+                if rows and i > next(iter(rows))[1]:
                     tell((key, i, start), [0], len(text))
                 else:
-                    rows.append((key, i, start))
+                    rows[key, i, start] = None
             if len(out) >= 20_000:
                 yield _batch(schema, out)
                 out = []
@@ -568,7 +573,8 @@ def _hot_names(answered: DataFrame, most: int = HOT_BYTES) -> list[dict]:
 def met(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``rows`` (key, id, text, ...) with the stretches that go: told and found, arrays of (id, starts, sizes, ...), overlapping.
 
-    The three joins deal the same rows by the same key, so that their shuffle is written once.
+    The three joins deal the same rows by the same key, so that their shuffle is written once. Rows equal in id and
+    text share a key, and what is found for one of them is kept once and joined to all: work grows with their number.
     """
     spark = K.short_batches(rows).sparkSession
     if not gram < span <= 128:
@@ -587,14 +593,14 @@ def met(rows: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) ->
     gather, gather_schema = _gather()
     send, send_schema = _send()
     sort, sort_schema = _sort(span, gram)
-    wanted = answered.where("key IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("part", "names")).alias("wanted"))
+    wanted = answered.where("key IS NOT NULL").groupBy("key").agg(F.collect_set(F.struct("part", "names")).alias("wanted"))
     offered = rows.join(wanted, "key", "left").mapInArrow(K.tidy(offer), offer_schema)
     gathered = offered.repartition(F.col("route")).sortWithinPartitions("route").mapInArrow(K.tidy(gather), gather_schema)
-    told = gathered.groupBy("key").agg(F.collect_list(F.struct("id", "starts", "sizes", "groups", "places", "lengths")).alias("told"))
+    told = gathered.groupBy("key").agg(F.collect_set(F.struct("id", "starts", "sizes", "groups", "places", "lengths")).alias("told"))
     with_told = rows.join(told, "key", "left")
     sent = with_told.mapInArrow(K.tidy(send), send_schema)
     found = sent.repartition(F.col("group")).sortWithinPartitions("group", "id").mapInArrow(K.tidy(sort), sort_schema)
-    found = found.groupBy("key").agg(F.collect_list(F.struct("id", "starts", "sizes")).alias("found"))
+    found = found.groupBy("key").agg(F.collect_set(F.struct("id", "starts", "sizes")).alias("found"))
     return with_told.join(found, "key", "left")
 
 

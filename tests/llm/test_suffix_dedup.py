@@ -3,6 +3,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from particula.llm import suffix_dedup
 from particula.llm.suffix_sort import suffix_array
@@ -86,3 +87,20 @@ def test_small_span_small_pieces_and_hot_anchors(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_equal_rows_are_worked_out_once(spark):
+    r = random.Random(9)
+    text = " ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(60))
+    told = []
+    for n in (50, 400):
+        rows = [(7, text)] * n + [(3, text[100:300] + "#" + text[310:]), (9, text[:250]), (9, text[:250]), (2, "x" + text[350:])]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        want = brute(list(dict.fromkeys(rows)), suffix_dedup.SPAN)
+        got = _got(df)
+        assert sorted(set(got), key=str) == want and len(got) == len(rows)
+        keyed = df.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("id"), "text")
+        size = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + F.octet_length(x["starts"]))
+        told.append(suffix_dedup.met(keyed).agg(F.max(size("told")), F.max(F.coalesce(size("found"), F.lit(0)))).first())
+    # what a row is told does not grow with the number of its equals
+    assert all(b <= 2 * a + 64 for a, b in zip(*told, strict=True)), told
