@@ -39,7 +39,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import uuid
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -385,6 +384,32 @@ def _send():
     return run, "group long, id long, key long, start int, left int, text binary"
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of every entry, ``n`` numbers each."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _told_apart(data: np.ndarray, first: np.ndarray, step: int, size: np.ndarray, of: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes that all of a group have, bytes after them that tell a text from every other of its group), from ``first`` on."""
+    col = np.arange(side)
+    texts = np.zeros((len(first), -(-side // 8) * 8), np.uint8)
+    inside = col < size[:, None]
+    texts[:, :side][inside] = data[(first[:, None] + step * col)[inside]]
+    words = texts.view(">u8").astype(np.uint64)
+    order = np.lexsort((size, *words.T[::-1], of))
+    texts, n, group = texts[order], size[order], of[order]
+    differs = texts[1:] != texts[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), side)
+    common = np.minimum(common, np.minimum(n[1:], n[:-1]))
+    together = group[1:] == group[:-1]
+    most = np.maximum(np.append(0, common * together), np.append(common * together, 0))
+    least = np.minimum.reduceat(np.append(np.where(together, common, side), side), _runs(group)[:-1])
+    same, far = np.empty_like(size), np.empty_like(size)
+    same[order] = np.minimum(least[group], n)
+    far[order] = np.minimum(most + 1, n)
+    return same, far - same
+
+
 def repeats(groups: list[list[tuple[bytes, int, int]]], span: int, gram: int) -> list[list[int]]:
     """Which strings of stretches a stretch of the same group with a smaller id holds too.
 
@@ -393,28 +418,23 @@ def repeats(groups: list[list[tuple[bytes, int, int]]], span: int, gram: int) ->
     starts of the strings that go.
     """
     side = span - gram
-    parts, lefts, rights, core_left, core_right, ids, of = [], [], [], [], [], [], []
-    for g, members in enumerate(groups):
-        # what all have on either side of the anchor
-        same_left = len(commonprefix([t[:a][::-1] for t, a, _ in members]))
-        same_right = len(commonprefix([t[a + gram :] for t, a, _ in members]))
-        # of two stretches the bytes next to that differ already, so one on each side tells all
-        far = 1 if len(members) == 2 else side
-        for t, a, i in members:
-            parts += (t[max(0, a - same_left - far) : a - same_left], t[a + gram + same_right : a + gram + same_right + far])
-            lefts.append(a)
-            rights.append(len(t) - a - gram)
-            core_left.append(same_left)
-            core_right.append(same_right)
-            ids.append(i)
-            of.append(g)
-    lefts, rights, core_left, core_right, ids, of = (np.array(x, np.int64) for x in (lefts, rights, core_left, core_right, ids, of))
+    members = [m for g in groups for m in g]
+    of = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    data = np.frombuffer(b"".join(t for t, _, _ in members), np.uint8)
+    size = np.array([len(t) for t, _, _ in members], np.int64)
+    lefts, ids = (np.array(x, np.int64) for x in list(zip(*members, strict=True))[1:])
+    rights = size - lefts - gram
+    anchor = np.cumsum(size) - size + lefts
+    core_left, far_left = _told_apart(data, anchor - 1, -1, np.minimum(lefts, side), of, side)
+    core_right, far_right = _told_apart(data, anchor + gram, 1, np.minimum(rights, side), of, side)
     # symbols: 0 the end, 1 between texts, bytes from 2, the groups' own from 258
-    joined = np.frombuffer(b"\0".join(parts) + b"\0\0", np.uint8).astype(np.int64) + 2
-    ends = np.cumsum(np.array([len(x) for x in parts]) + 1) - 1
-    core = ends[::2]
-    start = np.concatenate([[0], ends[1::2][:-1] + 1])
-    joined[core], joined[ends[1::2]], joined[-1] = 258 + of, 1, 0
+    length = far_left + far_right + 2
+    start = np.cumsum(length) - length
+    core = start + far_left
+    joined = np.ones(int(length.sum()) + 1, np.int64)
+    joined[_spread(start, far_left)] = data[_spread(anchor - core_left - far_left, far_left)].astype(np.int64) + 2
+    joined[_spread(core + 1, far_right)] = data[_spread(anchor + gram + core_right, far_right)].astype(np.int64) + 2
+    joined[core], joined[-1] = 258 + of, 0
     order = suffix_array(joined)
     # only suffixes that begin before or at a group's symbol begin a string
     owner = np.searchsorted(start, order, "right") - 1

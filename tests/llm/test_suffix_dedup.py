@@ -104,3 +104,26 @@ def test_equal_rows_are_worked_out_once(spark):
         told.append(suffix_dedup.met(keyed).agg(F.max(size("told")), F.max(F.coalesce(size("found"), F.lit(0)))).first())
     # what a row is told does not grow with the number of its equals
     assert all(b <= 2 * a + 64 for a, b in zip(*told, strict=True)), told
+
+
+def test_what_tells_a_text_from_the_others_of_its_group():
+    rng = np.random.default_rng(5)
+    side = 11
+    sizes = rng.integers(0, side + 1, 300)
+    of = np.sort(np.concatenate([np.repeat(np.arange(60), 2), rng.integers(0, 60, 180)]))
+    # two values, zero among them, so that many texts are equal or begin alike
+    data = rng.integers(0, 2, 300 * side).astype(np.uint8)
+    first = np.arange(300) * side
+    texts = [data[a : a + n].tobytes() for a, n in zip(first, sizes, strict=True)]
+    same, far = suffix_dedup._told_apart(data, first, 1, sizes, of, side)
+    back, _ = suffix_dedup._told_apart(data, first + sizes - 1, -1, sizes, of, side)
+
+    def common(x, y):
+        return next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+    for k, t in enumerate(texts):
+        others = [texts[i] for i in np.flatnonzero(of == of[k]) if i != k]
+        group = [t, *others]
+        assert same[k] == min(common(x, y) for i, x in enumerate(group) for y in group[:i])
+        assert same[k] + far[k] == min(len(t), max(common(t, x) for x in others) + 1)
+        assert back[k] == min(common(x[::-1], y[::-1]) for i, x in enumerate(group) for y in group[:i])
