@@ -7,9 +7,11 @@
 * ST3  `run_available_now`: process what is there, then stop (poll loop).
 * ST4  `max_per_trigger` on the source.
 * ST5  `last_n_features`: keyed state of the last `keep` readings per sensor
-       (bounded), emits last-n features per reading, late readings marked.
+       (bounded), emits last-n features per reading, late readings marked;
+       `last_n_state.last_n_stored` writes new readings only.
 * ST6  `latest_state`: keyed newest non-missing value per field (update mode).
-* ST7  `alert_digest`: 30-minute cooldown digest, bounded state per key.
+* ST7  `alert_digest`: 30-minute cooldown digest, bounded state per key;
+       `digest_timers.timed_digest` takes alerts out of order.
 * ST8  `CounterListener` + observed metrics.
 * ST9  `dedup`: drop re-deliveries within the watermark.
 * W1-W3 on a stream: `trailing_features_stream`, keyed state of the last
@@ -382,7 +384,7 @@ def _keyed_fn(inputs: list[str], answer, retain, lateness_us: int, columns: list
     return fn
 
 
-def _minutes(text: str) -> int:
+def microseconds(text: str) -> int:
     """Microseconds of an interval like '10 minutes'."""
     return int(pd.Timedelta(text) // pd.Timedelta(microseconds=1))
 
@@ -391,10 +393,13 @@ LAST_N_OUT = (
     "sensor_id string, event_id long, timestamp timestamp, pm2_5 double, pm25_avg double, pm10_avg double, "
     "aqi_avg double, pm25_max double, pm25_min double, anomaly_score double, is_anomaly boolean"
 ) + LATE_OUT
-_LAST_N_COLS = [c.split()[0] for c in LAST_N_OUT.split(", ")]
 
 
-def _last_n_answer(n: int):
+def last_n_columns() -> list[str]:
+    return [c.split()[0] for c in LAST_N_OUT.split(", ")]
+
+
+def last_n_answer(n: int):
     def answer(ts, vals, rows):
         low, high = np.maximum(rows - n + 1, 0), rows + 1
         p25, p10, aqi = vals.T
@@ -431,7 +436,7 @@ def last_n_features(
     cols = stream.select("sensor_id", "event_id", "timestamp", "pm2_5", "pm10", F.col("aqi").cast("double").alias("aqi"))
     ttl_ms = int(ttl_minutes * 60_000) if ttl_minutes else None
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    fn = _keyed_fn(["pm2_5", "pm10", "aqi"], _last_n_answer(n), lambda ts, done, _: max(0, done - keep), _minutes(lateness), _LAST_N_COLS, ttl_ms)
+    fn = _keyed_fn(["pm2_5", "pm10", "aqi"], last_n_answer(n), lambda ts, done, _: max(0, done - keep), microseconds(lateness), last_n_columns(), ttl_ms)
     return cols.groupBy("sensor_id").applyInPandasWithState(fn, LAST_N_OUT, KEYED_STATE, "append", timeout)
 
 
@@ -459,7 +464,7 @@ def trailing_features_stream(stream: DataFrame, reach_minutes: float = 60.0, lat
     """
     reach = int(reach_minutes * C.MICROS_PER_MINUTE)
     cols = stream.select("sensor_id", "event_id", "timestamp", *[F.col(c).cast("double").alias(c) for c in _TRAIL_IN])
-    fn = _keyed_fn(_TRAIL_IN, _trailing_answer, lambda ts, done, frontier: int(np.searchsorted(ts, frontier - reach)), _minutes(lateness), _TRAIL_COLS)
+    fn = _keyed_fn(_TRAIL_IN, _trailing_answer, lambda ts, done, frontier: int(np.searchsorted(ts, frontier - reach)), microseconds(lateness), _TRAIL_COLS)
     return cols.groupBy("sensor_id").applyInPandasWithState(fn, TRAIL_OUT, KEYED_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
