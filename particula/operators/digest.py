@@ -12,26 +12,35 @@ here it is computed without gathering them:
    take the first alert of the next non-empty bucket (a small table).
 2. boundaries: the digests are the chain first -> successor -> successor ...
    Consecutive digests are >= cooldown apart, so there is at most one per
-   bucket and the chain is no longer than the number of buckets. It is
-   enumerated by pointer doubling: jump tables of 1, 2, 4, ... steps (self
-   joins of the successor table), and a chain prefix that doubles per level
-   (small, joined by size-checked broadcast).
-3. membership: an alert belongs to the first digest at or after it; with at
-   most one digest per bucket that is a join with a per-bucket table.
-
-Every task holds at most one bucket of one key (plus the thresholds of the
-previous bucket); helper tables scale with buckets, not alerts.
+   bucket. Buckets in a row make a block of at most `BLOCK_ROWS` alerts (their
+   density is measured). A task follows the successors inside its block by
+   pointer doubling on arrays, for all alerts at once, to the first alert
+   beyond the block. The chain over blocks is then short; it is enumerated by
+   jump tables of 1, 2, 4, ... steps on the few alerts that blocks lead to,
+   and each block lists its digests from the alert that enters it.
+3. membership: an alert belongs to the first digest at or after it, which is
+   in its block, or the successor of the block's last digest, or (for a block
+   that no digest falls in) the entry of a later block; the same task tells.
+
+A window's task holds one bucket of one key (plus the thresholds of the
+previous bucket), a block's task at most `BLOCK_ROWS` alerts or one bucket;
+helper tables scale with buckets, not alerts.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 
+#: Alerts of a block; one bucket is never cut.
+BLOCK_ROWS = 1_000_000
 OUT_COLS = [
     "digest_key", "sent_at", "total_alerts", "high_alerts", "medium_alerts", "low_alerts", "top_high", "more_high",
     "deliver",
@@ -49,78 +58,136 @@ def _prepared(alerts: DataFrame, key, cooldown_us: int) -> DataFrame:
     ).withColumn("b", F.expr(f"(t - pmod(t, {cooldown_us}L)) div {cooldown_us}L"))
 
 
-def _first_after(rows: DataFrame, marks: DataFrame, value: str) -> DataFrame:
-    """For each (k, b) in `marks`, the first `value` of `rows` in a bucket > b.
+def _first_from(rows: DataFrame, marks: DataFrame, value: str, after: bool = False) -> DataFrame:
+    """For each (k, b) in `marks`, the first `value` of `rows` in a bucket >= b, or > b.
 
     One window over the union of both small tables, per key, ordered by
-    bucket with the marks after the rows of their own bucket.
+    bucket with the marks before or after the rows of their own bucket.
     """
     u = rows.select("k", "b", F.lit(0).alias("kind"), F.col(value).alias("v")).unionByName(
-        marks.select("k", "b", F.lit(1).alias("kind"), F.lit(None).cast(rows.schema[value].dataType).alias("v"))
+        marks.select("k", "b", F.lit(1 if after else -1).alias("kind"), F.lit(None).cast(rows.schema[value].dataType).alias("v"))
     )
     ahead = Window.partitionBy("k").orderBy("b", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return (
         u.withColumn("n", F.first("v", ignorenulls=True).over(ahead))
-        .filter(F.col("kind") == 1)
+        .filter(F.col("kind") != 0)
         .select("k", "b", "n")
     )
 
 
 def successors(a: DataFrame, cooldown_us: int) -> DataFrame:
-    """(k, id, t, b) -> (k, id, nid, nt): the first alert at least `cooldown` later."""
+    """(k, b, t, id, severity, label) -> the same without b, and nid, nt: the first alert at least `cooldown` later."""
     probes = a.select(
         "k",
         (F.col("b") + 1).alias("b"),
         (F.col("t") + F.lit(cooldown_us)).alias("t"),
         F.lit(0).alias("kind"),
-        F.col("id").alias("src"),
+        F.struct("id", "severity", "label").alias("src"),
         F.lit(None).cast("string").alias("id"),
     )
-    data = a.select("k", "b", "t", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("src"), "id")
+    data = a.select("k", "b", "t", F.lit(1).alias("kind"), F.lit(None).cast(probes.schema["src"].dataType).alias("src"), "id")
     ahead = Window.partitionBy("k", "b").orderBy("t", "kind", "id").rowsBetween(
         Window.currentRow, Window.unboundedFollowing
     )
     nxt = F.first(F.when(F.col("kind") == 1, F.struct("t", "id")), ignorenulls=True).over(ahead)
-    found = probes.unionByName(data).select("k", "b", "kind", "src", nxt.alias("n")).filter(F.col("kind") == 0)
+    found = probes.unionByName(data).select("k", "b", "t", "kind", "src", nxt.alias("n")).filter(F.col("kind") == 0)
+    found = found.withColumn("t", F.col("t") - F.lit(cooldown_us))
 
     hit = found.filter(F.col("n").isNotNull()).select(
-        "k", F.col("src").alias("id"), F.col("n.id").alias("nid"), F.col("n.t").alias("nt")
+        "k", "src.*", "t", F.col("n.id").alias("nid"), F.col("n.t").alias("nt")
     )
-    miss = found.filter(F.col("n").isNull()).select("k", "b", F.col("src").alias("id"))
+    miss = found.filter(F.col("n").isNull()).select("k", "b", "t", "src")
     # no later alert in the threshold's bucket: continue at the first alert of
     # the next non-empty bucket, resolved once per distinct bucket
     first = a.groupBy("k", "b").agg(F.min(F.struct("t", "id")).alias("f"))
-    resolved = _first_after(first, miss.select("k", "b").distinct(), "f")
+    resolved = _first_from(first, miss.select("k", "b").distinct(), "f", after=True)
     miss = miss.join(resolved, ["k", "b"], "left").select(
-        "k", "id", F.col("n.id").alias("nid"), F.col("n.t").alias("nt")
+        "k", "src.*", "t", F.col("n.id").alias("nid"), F.col("n.t").alias("nt")
     )
     return hit.unionByName(miss)
 
 
-def boundaries(a: DataFrame, succ: DataFrame) -> DataFrame:
-    """Digest boundary alerts per key: the successor chain from the first alert."""
+def _bucket(t: str, length: int):
+    """Which stretch of `length` a whole number falls in, rounded down."""
+    return F.expr(f"({t} - pmod({t}, {length}L)) div {length}L")
+
+
+def _steps(block: pa.Table) -> np.ndarray:
+    """Position of each alert's successor in the block, -1 where it is beyond."""
+    return pc.fill_null(pc.index_in(block["nid"], value_set=block["id"], skip_nulls=True), -1).to_numpy().astype(np.int64)
+
+
+def _exits(block: pa.Table) -> pa.Table:
+    """For every alert of a block, the first alert beyond it that the successors lead to."""
+    step = _steps(block)
+    end = np.where(step < 0, np.arange(len(step)), step)
+    while not np.array_equal(end, end[end]):
+        end = end[end]
+    return pa.table({"k": block["k"], "id": block["id"], "nid": block["nid"].take(pa.array(end)), "nt": block["nt"].take(pa.array(end))})
+
+
+def _owners(block: pa.Table) -> pa.Table:
+    """The alerts of a block with their digest: the first one at or after them, from the block's entry on."""
+    block = block.sort_by([("t", "ascending"), ("id", "ascending")])
+    entry = block["entry"][0].as_py()
+    own = np.full(block.num_rows, -1, np.int64)
+    following = (entry["t"], entry["id"])
+    at = pc.index(block["id"], entry["id"]).as_py()
+    if at >= 0:
+        step, digests = _steps(block).tolist(), []
+        while at >= 0:
+            digests.append(at)
+            at = step[at]
+        place = np.searchsorted(digests, np.arange(len(own)))
+        own = np.append(digests, -1)[place]
+        following = (block["nt"][digests[-1]].as_py(), block["nid"][digests[-1]].as_py())
+    pick = pa.array(own, mask=own < 0)
+    d_t = pc.fill_null(block["t"].take(pick), pa.scalar(following[0], pa.int64()))
+    d_id = pc.fill_null(block["id"].take(pick), pa.scalar(following[1], block.schema.field("id").type))
+    return pa.table({**{c: block[c] for c in ("k", "t", "id", "severity", "label")}, "d_t": d_t, "d_id": d_id})
+
+
+def memberships(a: DataFrame, succ: DataFrame, cooldown_us: int) -> DataFrame:
+    """The alerts (k, t, id, severity, label) that a digest summarises, with that digest's alert (d_t, d_id)."""
     from ..session import cut_lineage
 
-    spans = a.groupBy("k").agg(F.count_distinct("b").alias("nb")).agg(F.max("nb")).first()[0] or 0
-    levels = max(1, math.ceil(math.log2(spans + 1)))
+    density = a.groupBy("k", "b").count().agg(F.max("count").alias("most"), F.min("b").alias("low"), F.max("b").alias("high")).first()
+    length = max(1, BLOCK_ROWS // (density["most"] or 1))
     start = a.groupBy("k").agg(F.min(F.struct("t", "id")).alias("s"))
     chain = start.select("k", F.col("s.id").alias("id"), F.col("s.t").alias("t"))
-    jump = cut_lineage(succ.select("k", "id", "nid", "nt"))
-    for level in range(levels):
-        # chain holds positions 0 .. 2^level - 1; one jump of 2^level steps doubles it
-        step = jump.join(chain.select("k", "id"), ["k", "id"], "left_semi")
-        chain = (
-            chain.unionByName(step.select("k", F.col("nid").alias("id"), F.col("nt").alias("t")))
-            .filter(F.col("id").isNotNull())
-            .distinct()
-        )
+    block = _bucket(f"(t - pmod(t, {cooldown_us}L)) div {cooldown_us}L", length)
+    links = cut_lineage(succ.withColumn("block", block))
+    blocks = 0 if density["low"] is None else density["high"] // length - density["low"] // length + 1
+    if blocks > 1:
         chain = cut_lineage(chain)
-        if level + 1 < levels:
-            j2 = jump.select("k", F.col("id").alias("nid"), F.col("nid").alias("nid2"), F.col("nt").alias("nt2"))
-            jump = cut_lineage(
-                jump.join(j2, ["k", "nid"], "left").select("k", "id", F.col("nid2").alias("nid"), F.col("nt2").alias("nt"))
+        exits = links.groupBy("k", "block").applyInArrow(_exits, "k string, id string, nid string, nt long")
+        exits = cut_lineage(exits)
+        # only alerts that blocks lead to, and the first ones, can enter a block
+        entries = exits.select("k", F.col("nid").alias("id")).unionByName(chain.select("k", "id")).distinct()
+        jump = cut_lineage(exits.join(entries, ["k", "id"], "left_semi"))
+        levels = math.ceil(math.log2(blocks + 1))
+        for level in range(levels):
+            # chain holds positions 0 .. 2^level - 1; one jump of 2^level steps doubles it
+            step = jump.join(chain.select("k", "id"), ["k", "id"], "left_semi")
+            chain = (
+                chain.unionByName(step.select("k", F.col("nid").alias("id"), F.col("nt").alias("t")))
+                .filter(F.col("id").isNotNull())
+                .distinct()
             )
-    return chain
+            chain = cut_lineage(chain)
+            if level + 1 < levels:
+                j2 = jump.select("k", F.col("id").alias("nid"), F.col("nid").alias("nid2"), F.col("nt").alias("nt2"))
+                jump = cut_lineage(
+                    jump.join(j2, ["k", "nid"], "left").select("k", "id", F.col("nid2").alias("nid"), F.col("nt2").alias("nt"))
+                )
+    entered = chain.select("k", block.alias("b"), F.struct("t", "id").alias("entry"))
+    # a block that no digest falls in belongs to the next entry
+    entered = _first_from(entered, links.select("k", F.col("block").alias("b")).distinct(), "entry")
+    entered = entered.filter(F.col("n").isNotNull()).select("k", F.col("b").alias("block"), F.col("n").alias("entry"))
+    owned = links.join(entered, ["k", "block"]).groupBy("k", "block").applyInArrow(
+        _owners, "k string, t long, id string, severity string, label string, d_t long, d_id string"
+    )
+    return owned.filter(F.col("d_id").isNotNull())
 
 
 def digest_chain(
@@ -133,17 +200,7 @@ def digest_chain(
     # read several times below; a checkpoint, unlike a cache, needs no release
     a = cut_lineage(_prepared(alerts, key, cooldown_us))
     succ = successors(a, cooldown_us)
-    bnd = boundaries(a, succ).withColumn("b", F.expr(f"(t - pmod(t, {cooldown_us}L)) div {cooldown_us}L"))
-    # per alert bucket: its own boundary (if any) and the first boundary of a later bucket
-    own = bnd.select("k", "b", F.struct("t", "id").alias("own"))
-    buckets = a.select("k", "b").distinct()
-    after = _first_after(own, buckets, "own").withColumnRenamed("n", "next")
-    owner = after.join(own, ["k", "b"], "left")
-    tagged = a.join(owner, ["k", "b"], "left")
-    # an alert belongs to the first digest at or after it
-    me = F.struct("t", "id")
-    target = F.when(F.col("own").isNotNull() & (me <= F.col("own")), F.col("own")).otherwise(F.col("next"))
-    tagged = tagged.withColumn("d", target).filter(F.col("d").isNotNull())
+    tagged = cut_lineage(memberships(a, succ, cooldown_us)).withColumn("d", F.struct(F.col("d_t").alias("t"), F.col("d_id").alias("id")))
 
     summary = tagged.groupBy("k", "d").agg(
         F.count(F.lit(1)).alias("total_alerts"),

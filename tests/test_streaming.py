@@ -256,9 +256,13 @@ def test_run_available_now_poll(spark, stream_dir, scratch):
     assert spark.read.parquet(out).count() == n
 
 
-def test_batch_digest_chain_matches_sequential_reference(spark):
+@pytest.mark.parametrize("rows", [None, 1, 40])
+def test_batch_digest_chain_matches_sequential_reference(spark, monkeypatch, rows):
+    from particula.operators import digest
     from particula.operators.digest import digest_chain
 
+    if rows:  # many blocks, some of which no digest falls in
+        monkeypatch.setattr(digest, "BLOCK_ROWS", rows)
     alerts = AL.pollution_alerts(readings(spark, SF_SMALL), tiers=3)
     got = sorted(
         (int(r.sent_at.timestamp() * 1_000_000), r.total_alerts, r.high_alerts, r.more_high)
