@@ -61,15 +61,16 @@ def _prepared(alerts: DataFrame, key, cooldown_us: int) -> DataFrame:
 def _first_from(rows: DataFrame, marks: DataFrame, value: str, after: bool = False) -> DataFrame:
     """For each (k, b) in `marks`, the first `value` of `rows` in a bucket >= b, or > b.
 
-    One window over the union of both small tables, per key, ordered by
-    bucket with the marks before or after the rows of their own bucket.
+    One window over the union of both small tables, per key, backwards by
+    bucket with the marks behind or ahead of the rows of their own bucket: a
+    running frame is one pass, one that looks ahead reads its rest at every row.
     """
     u = rows.select("k", "b", F.lit(0).alias("kind"), F.col(value).alias("v")).unionByName(
         marks.select("k", "b", F.lit(1 if after else -1).alias("kind"), F.lit(None).cast(rows.schema[value].dataType).alias("v"))
     )
-    ahead = Window.partitionBy("k").orderBy("b", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    backwards = Window.partitionBy("k").orderBy(F.desc("b"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        u.withColumn("n", F.first("v", ignorenulls=True).over(ahead))
+        u.withColumn("n", F.last("v", ignorenulls=True).over(backwards))
         .filter(F.col("kind") != 0)
         .select("k", "b", "n")
     )
@@ -86,10 +87,11 @@ def successors(a: DataFrame, cooldown_us: int) -> DataFrame:
         F.lit(None).cast("string").alias("id"),
     )
     data = a.select("k", "b", "t", F.lit(1).alias("kind"), F.lit(None).cast(probes.schema["src"].dataType).alias("src"), "id")
-    ahead = Window.partitionBy("k", "b").orderBy("t", "kind", "id").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing
+    # from the last row back, as a running frame (see _first_from)
+    backwards = Window.partitionBy("k", "b").orderBy(F.desc("t"), F.desc("kind"), F.desc("id")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    nxt = F.first(F.when(F.col("kind") == 1, F.struct("t", "id")), ignorenulls=True).over(ahead)
+    nxt = F.last(F.when(F.col("kind") == 1, F.struct("t", "id")), ignorenulls=True).over(backwards)
     found = probes.unionByName(data).select("k", "b", "t", "kind", "src", nxt.alias("n")).filter(F.col("kind") == 0)
     found = found.withColumn("t", F.col("t") - F.lit(cooldown_us))
 

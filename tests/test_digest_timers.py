@@ -81,3 +81,19 @@ def test_needs_the_state_store(spark):
     source = spark.readStream.format("rate").load().selectExpr("cast(value as string) alert_id", "'s' sensor_id", "timestamp", "'x' alert_type", "'LOW' severity")
     with pytest.raises(ValueError, match="RocksDB"):
         D.timed_digest(source)
+
+
+def test_successors_use_running_frames_only(spark):
+    """A frame from the row to the end of its bucket reads the rest of the bucket at every row."""
+    from particula.operators import digest
+
+    rows = [("a", i * 7, f"x{i % 90:03d}", "HIGH", "s: t") for i in range(300)] + [("a", 10_000, "y", "LOW", "s: t"), ("b", 5, "z", "LOW", "s: t")]
+    a = spark.createDataFrame(rows, "k string, t long, id string, severity string, label string").selectExpr("*", "t div 50 AS b")
+    succ = digest.successors(a, 50)
+    assert "unboundedfollowing" not in succ._jdf.queryExecution().optimizedPlan().toString()
+
+    def following(k, t):
+        return min(((r[1], r[2]) for r in rows if r[0] == k and r[1] >= t + 50), default=(None, None))
+
+    assert sorted((r.k, r.t, r.id, r.nt, r.nid) for r in succ.collect() if r.nid) == sorted((k, t, i, *following(k, t)) for k, t, i, *_ in rows if following(k, t)[0] is not None)
+    assert succ.count() == len(rows)
