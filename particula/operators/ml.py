@@ -1,4 +1,4 @@
-"""Anomaly detectors on `pyspark.ml`.
+"""Anomaly detectors.
 
 Inputs are pm2_5 ~ (pm10, temperature, humidity) with missing values as 0,
 as in the reproduced service. Every detector fits on the whole frame it is
@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .forest import forest_predictions
 from .one_class import one_class_svm
 from .quality import lookback
 from .windows import _B, _T, _bucketed, bucket_length
@@ -41,19 +41,18 @@ def random_forest_residual(df: DataFrame, num_trees: int = 100, max_depth: int =
     """M1: in-sample random-forest regression of pm2_5 on the other three
     features; anomalous where |pm2_5 - prediction| > 2 * sample sd(pm2_5)."""
     f = _filled(df)
-    if f.select(F.count(F.lit(1))).first()[0] < 2:  # nothing to fit: no anomalies
+    names = [f"_f_{c}" for c in FEATURES]
+    n, nans = f.select(F.count(F.lit(1)), F.count_if(F.greatest(*names) == F.lit(float("nan")))).first()  # NaN is the greatest
+    if n < 2:  # nothing to fit: no anomalies
         return df.withColumn("prediction", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
-    vec = VectorAssembler(inputCols=[f"_f_{c}" for c in FEATURES[1:]], outputCol="_x").transform(f)
-    model = RandomForestRegressor(
-        featuresCol="_x", labelCol="_f_pm2_5", predictionCol="prediction", numTrees=num_trees, maxDepth=max_depth,
-        seed=SEED,
-    ).fit(vec)
-    pred = model.transform(vec)
+    if nans:
+        raise ValueError(f"NaN among {', '.join(FEATURES)}")
+    pred = forest_predictions(f, n, names[0], names[1:], num_trees, max_depth, SEED, "prediction")
     sd = f.select(F.stddev_samp("pm2_5")).scalar()
     out = pred.withColumn(
         "is_anomaly", F.coalesce(F.abs(F.col("pm2_5") - F.col("prediction")) > F.lit(C.SIGMA_FACTOR) * sd, F.lit(False))
     )
-    return out.drop("_x", *[f"_f_{c}" for c in FEATURES])
+    return out.drop(*names)
 
 
 def kmeans_minority(df: DataFrame, k: int = 2) -> DataFrame:
