@@ -13,9 +13,11 @@ corrective form is used: w is the shortest average of all means found so far,
 which takes a tenth of the passes. The duality gap bounds the distance to the
 optimum; training stops when that gap is a small share of |w|^2.
 
-Work: z is computed once and persisted for the fit (8 D bytes a row, memory and
-disk). A step is one quantile and one mean over it; the driver holds w (D
-numbers a step). Scoring is one pass of column maths, no Python in a task.
+Work: the inputs (8 bytes a column and row) are persisted for the fit; z, D
+numbers a row, is computed anew from them by numpy wherever a step needs it, as
+it would not fit in memory. A step is one quantile and one mean; the driver
+holds w and a sum per task (D numbers each). The last scoring is one pass of
+column maths, no Python in a task.
 """
 
 from __future__ import annotations
@@ -23,47 +25,82 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 ACCURACY = 10_000  # of the quantile: its rank is right to 1 / ACCURACY of the rows
 
 
-def _array(values) -> str:
-    return "array(" + ", ".join(f"{float(x)!r}D" for x in values) + ")"
+def fourier(columns: int, gamma: float, components: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """W (components x columns) and b of z(x)."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0.0, math.sqrt(2.0 * gamma), size=(components, columns)), rng.uniform(0.0, 2.0 * math.pi, size=components)
 
 
-def fourier_terms(columns: list[str], gamma: float, components: int, seed: int) -> list[str]:
+def fourier_terms(columns: list[str], w: np.ndarray, b: np.ndarray) -> list[str]:
     """The components of z(x) as SQL texts over columns without missing values."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(components, len(columns))).tolist()
-    b = rng.uniform(0.0, 2.0 * math.pi, size=components).tolist()
-    scale = math.sqrt(2.0 / components)
-    inner = [" + ".join([f"{b[j]!r}D", *(f"{x!r}D * `{c}`" for x, c in zip(w[j], columns, strict=True))]) for j in range(components)]
+    scale = math.sqrt(2.0 / len(b))
+    inner = [" + ".join([f"{c!r}D", *(f"{x!r}D * `{n}`" for x, n in zip(row, columns, strict=True))]) for row, c in zip(w.tolist(), b.tolist(), strict=True)]
     return [f"{scale!r}D * cos({t})" for t in inner]
 
 
-def dot(z: str, w) -> Column:
-    """w.z of an array column."""
-    return F.expr(f"aggregate(zip_with(`{z}`, {_array(w)}, (a, b) -> a * b), 0D, (s, x) -> s + x)")
+def _features(batch: pa.RecordBatch, terms: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """z of a batch's rows; a row's numbers do not depend on the rows beside it."""
+    w, b = terms
+    inner = np.tile(b, (batch.num_rows, 1))
+    for j in range(w.shape[1]):
+        inner += batch.column(j).to_numpy()[:, None] * w[:, j]
+    return math.sqrt(2.0 / len(b)) * np.cos(inner)
+
+
+def _dot(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (z * w).sum(axis=1)
+
+
+def _quantile(x: DataFrame, terms, w: np.ndarray, nu: float) -> float:
+    """The nu-quantile of the scores w.z."""
+
+    def scores(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"s": _dot(_features(batch, terms), w)})
+
+    return float(x.mapInArrow(scores, "s double").select(F.percentile_approx("s", nu, ACCURACY)).first()[0])
+
+
+def _sums(x: DataFrame, terms, w: np.ndarray | None = None, rho: float = 0.0) -> dict[int, tuple[int, np.ndarray]]:
+    """Count and sum of z over the rows scored below rho (-1) and at it (0); over all rows (0) without w."""
+
+    def add(batches):
+        found = {}
+        for batch in batches:
+            z = _features(batch, terms)
+            side = np.zeros(len(z)) if w is None else np.sign(_dot(z, w) - rho)
+            for of in (-1, 0):
+                rows = z[side == of]
+                if len(rows):
+                    n, total = found.get(of, (0, 0.0))
+                    found[of] = n + len(rows), total + rows.sum(axis=0)
+        for of, (n, total) in found.items():
+            yield pa.RecordBatch.from_pydict({"side": [of], "n": [n], "total": [total.tolist()]})
+
+    out = {}
+    for r in x.mapInArrow(add, "side long, n long, total array<double>").collect():  # two rows a task
+        n, total = out.get(r["side"], (0, 0.0))
+        out[r["side"]] = n + r["n"], total + np.array(r["total"])
+    return out
 
 
-def _tail_mean(scored: DataFrame, rho: float, share: float) -> np.ndarray | None:
+def _tail_mean(x: DataFrame, terms, w: np.ndarray, rho: float, share: float) -> np.ndarray | None:
     """Mean feature vector of the ``share`` rows with the lowest scores; rows at the border count in part."""
-    below = F.col("_s") < rho
-    found = {
-        r["below"]: (r["m"]["count"], r["m"]["mean"].toArray())
-        for r in scored.where(F.col("_s") <= rho).groupBy(below.alias("below")).agg(Summarizer.metrics("count", "mean").summary(array_to_vector("_z")).alias("m")).collect()
-    }
-    n_below, mean_below = found.get(True, (0, 0.0))
-    n_at, mean_at = found.get(False, (0, 0.0))
+    found = _sums(x, terms, w, rho)
+    n_below, below = found.get(-1, (0, 0.0))
+    n_at, at = found.get(0, (0, 0.0))
     rest = min(max(share - n_below, 0.0), n_at)
     if n_below + rest == 0:
         return None
-    return (n_below * mean_below + rest * mean_at) / (n_below + rest)
+    return (below + (rest * (at / n_at) if rest else 0.0)) / (n_below + rest)
 
 
 def shortest_average(points: np.ndarray, most: int = 5000) -> np.ndarray:
@@ -81,19 +118,17 @@ def shortest_average(points: np.ndarray, most: int = 5000) -> np.ndarray:
     return weight @ points
 
 
-def fit(z: DataFrame, n: int, nu: float, steps: int, tolerance: float) -> tuple[np.ndarray, float]:
-    """(w, rho) for the persisted frame ``z`` with the array column ``_z``."""
-    w = z.select(Summarizer.mean(array_to_vector("_z")).alias("m")).first()["m"].toArray()
+def fit(x: DataFrame, terms, n: int, nu: float, steps: int, tolerance: float) -> tuple[np.ndarray, float]:
+    """(w, rho) for the persisted frame ``x`` of input columns, with ``terms`` (W, b) of z."""
+    w = _sums(x, terms)[0][1] / n
     means = [w]
     for _ in range(steps):
-        scored = z.select("_z", dot("_z", w).alias("_s"))
-        rho = scored.select(F.percentile_approx("_s", nu, ACCURACY)).first()[0]
-        s = _tail_mean(scored, rho, nu * n)
+        s = _tail_mean(x, terms, w, _quantile(x, terms, w, nu), nu * n)
         if s is None or float(w @ (w - s)) <= tolerance * float(w @ w):
             break
         means.append(s)
         w = shortest_average(np.array(means))
-    return w, float(z.select(F.percentile_approx(dot("_z", w), nu, ACCURACY)).first()[0])
+    return w, _quantile(x, terms, w, nu)
 
 
 def one_class_svm(
@@ -115,15 +150,15 @@ def one_class_svm(
         return df.withColumn("decision", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
     means = np.array([found[f"m{x}"] for x in names])
     variance = float(np.mean([found[f"v{x}"] for x in names]) + means.var())
-    terms = fourier_terms(names, 1.0 / (len(names) * max(variance, 1e-12)), components, seed)
+    terms = fourier(len(names), 1.0 / (len(names) * max(variance, 1e-12)), components, seed)
     # the narrow inputs are dealt evenly first, as every step runs over them
-    z = inputs.repartition(df.sparkSession.sparkContext.defaultParallelism).select(F.expr(f"array({', '.join(terms)})").alias("_z")).persist(StorageLevel.MEMORY_AND_DISK)
+    x = inputs.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        w, rho = fit(z, n, nu, steps, tolerance)
+        w, rho = fit(x, terms, n, nu, steps, tolerance)
     finally:
-        z.unpersist()
-    # as one sum, which is compiled; the steps of the fit take an array instead, as each has another w
-    score = F.expr(" + ".join(f"{float(x)!r}D * {t}" for x, t in zip(w, terms, strict=True)))
+        x.unpersist()
+    # as one sum, which is compiled
+    score = F.expr(" + ".join(f"{float(x)!r}D * {t}" for x, t in zip(w, fourier_terms(names, *terms), strict=True)))
     scored = df.select("*", *filled).select(*[F.col(f"`{c}`") for c in df.columns], (score - F.lit(rho)).alias("decision"))
     return scored.withColumn("is_anomaly", F.col("decision") <= 0)
 
