@@ -9,8 +9,13 @@ back (J2).
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +60,56 @@ def random_forest_residual(df: DataFrame, num_trees: int = 100, max_depth: int =
     return out.drop(*names)
 
 
+def _moved(starts: list[np.ndarray]):
+    """Vectors -> per start and center the count, sum and squared distances of a task's nearest rows."""
+
+    def add(batches):
+        found = [(np.zeros(len(c)), np.zeros(c.shape), np.zeros(len(c))) for c in starts]
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for centers, (count, total, cost) in zip(starts, found, strict=True):
+                far = np.stack([((x - c) ** 2).sum(axis=1) for c in centers])
+                nearest = far.argmin(axis=0)
+                count += np.bincount(nearest, minlength=len(centers))
+                cost += np.bincount(nearest, far.min(axis=0), len(centers))
+                for j in range(x.shape[1]):
+                    total[:, j] += np.bincount(nearest, x[:, j], len(centers))
+        for start, (count, total, cost) in enumerate(found):
+            yield pa.RecordBatch.from_pydict(
+                {"start": [start] * len(count), "center": np.arange(len(count)), "n": count, "total": total.tolist(), "cost": cost}
+            )
+
+    return add
+
+
+def best_centers(vec: DataFrame, starts: list[np.ndarray], most: int = 20, tolerance: float = 1e-4) -> np.ndarray:
+    """The centers of least cost that Lloyd's rounds lead to, as `pyspark.ml.KMeans` runs them (its limits too).
+
+    A round of all starts that still move is one pass over ``vec`` (column ``_x``, a vector). The first of
+    starts with equal cost is taken, equal but for rounding.
+    """
+    starts, costs, moving = list(starts), [math.inf] * len(starts), list(range(len(starts)))
+    rows = vec.select(vector_to_array("_x").alias("x"))
+    for _ in range(most):
+        if not moving:
+            break
+        now = [starts[i] for i in moving]
+        sums = [(np.zeros(len(c)), np.zeros(c.shape), np.zeros(len(c))) for c in now]
+        # a row a task, start and center
+        for r in rows.mapInArrow(_moved(now), "start long, center long, n double, total array<double>, cost double").collect():
+            for of, value in zip(sums[r["start"]], (r["n"], r["total"], r["cost"]), strict=True):
+                of[r["center"]] += value
+        still = []
+        for i, before, (count, total, cost) in zip(moving, now, sums, strict=True):
+            held = count > 0
+            starts[i] = np.where(held[:, None], total / np.maximum(count, 1)[:, None], before)
+            costs[i] = cost.sum()
+            if (((starts[i] - before) ** 2).sum(axis=1) > tolerance**2).any():
+                still.append(i)
+        moving = still
+    return starts[next(i for i, c in enumerate(costs) if c <= min(costs) * (1 + 1e-12))]
+
+
 def kmeans_minority(df: DataFrame, k: int = 2) -> DataFrame:
     """M3: 2-means on the four features; the smaller cluster is anomalous
     (ties go to the lower cluster id). Fewer than 2 rows -> nothing flagged."""
@@ -62,20 +117,22 @@ def kmeans_minority(df: DataFrame, k: int = 2) -> DataFrame:
     n = f.select(F.count(F.lit(1))).first()[0]
     if n < 2:  # fewer than 2 rows: nothing flagged
         return df.withColumn("cluster", F.lit(None).cast("int")).withColumn("is_anomaly", F.lit(False))
-    vec = VectorAssembler(inputCols=[f"_f_{c}" for c in FEATURES], outputCol="_x").transform(f)
-    # the best of several starts, as the reproduced service takes it
-    vec = vec.persist()
+    names = [f"_f_{c}" for c in FEATURES]
+    # the inputs alone are kept, as every pass runs over them
+    vec = VectorAssembler(inputCols=names, outputCol="_x").transform(f.select(*names)).select("_x").persist()
     try:
-        starts = [KMeans(k=k, seed=SEED + i, featuresCol="_x", predictionCol="cluster").fit(vec) for i in range(KMEANS_STARTS)]
+        # the best of several starts, as the reproduced service takes it; all move in the same passes
+        starts = [KMeans(k=k, seed=SEED + i, maxIter=0, featuresCol="_x").fit(vec).clusterCenters() for i in range(KMEANS_STARTS)]
+        centers = best_centers(vec, [np.array(c) for c in starts])
     finally:
         vec.unpersist()
-    model = min(starts, key=lambda m: m.summary.trainingCost)
-    pred = model.transform(vec)
+    far = ", ".join(" + ".join(f"power(`{x}` - CAST('{float(v)!r}' AS DOUBLE), 2)" for x, v in zip(names, c, strict=True)) for c in centers)
+    pred = f.withColumn("_far", F.expr(f"array({far})")).withColumn("cluster", F.expr("CAST(array_position(_far, array_min(_far)) - 1 AS INT)"))
     sizes = pred.groupBy("cluster").count()
     smallest = sizes.orderBy("count", "cluster").limit(1).select("cluster")
     flag = F.col("cluster") == smallest.select(F.first("cluster")).scalar()
     out = pred.withColumn("is_anomaly", F.coalesce(flag, F.lit(False)))
-    return out.drop("_x", *[f"_f_{c}" for c in FEATURES])
+    return out.drop("_far", *names)
 
 
 def detect(
