@@ -118,8 +118,8 @@ def shortest_average(points: np.ndarray, most: int = 5000) -> np.ndarray:
     return weight @ points
 
 
-def fit(x: DataFrame, terms, n: int, nu: float, steps: int, tolerance: float) -> tuple[np.ndarray, float]:
-    """(w, rho) for the persisted frame ``x`` of input columns, with ``terms`` (W, b) of z."""
+def fit(x: DataFrame, terms, n: int, nu: float, steps: int, tolerance: float) -> np.ndarray:
+    """w for the persisted frame ``x`` of input columns, with ``terms`` (W, b) of z."""
     w = _sums(x, terms)[0][1] / n
     means = [w]
     for _ in range(steps):
@@ -128,7 +128,7 @@ def fit(x: DataFrame, terms, n: int, nu: float, steps: int, tolerance: float) ->
             break
         means.append(s)
         w = shortest_average(np.array(means))
-    return w, _quantile(x, terms, w, nu)
+    return w
 
 
 def one_class_svm(
@@ -154,11 +154,12 @@ def one_class_svm(
     # the narrow inputs are dealt evenly first, as every step runs over them
     x = inputs.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        w, rho = fit(x, terms, n, nu, steps, tolerance)
+        w = fit(x, terms, n, nu, steps, tolerance)
+        # as one sum, which is compiled; rho by the same sum, so that the row at the border scores 0 exactly
+        score = F.expr(" + ".join(f"{float(v)!r}D * {t}" for v, t in zip(w, fourier_terms(names, *terms), strict=True)))
+        rho = float(x.select(F.percentile_approx(score, nu, ACCURACY)).first()[0])
     finally:
         x.unpersist()
-    # as one sum, which is compiled
-    score = F.expr(" + ".join(f"{float(x)!r}D * {t}" for x, t in zip(w, fourier_terms(names, *terms), strict=True)))
     scored = df.select("*", *filled).select(*[F.col(f"`{c}`") for c in df.columns], (score - F.lit(rho)).alias("decision"))
     return scored.withColumn("is_anomaly", F.col("decision") <= 0)
 
