@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..session import cut_lineage
 from ..sources.parse import to_envelope
-from .newest import newest_values
 
 READINGS_KEY = ("sensor_id", "timestamp")
 
@@ -19,10 +19,21 @@ def keep_last(df: DataFrame, key=READINGS_KEY, order: str = "_ingest") -> DataFr
 
     Per key and column the last delivered non-NULL value, by `order`, an ingest
     sequence that is unique within a key: a partial row leaves older values alone.
+    One grouping carries every column, since most keys have few rows: the rows
+    are read and shuffled once. Its buffers make it sort by the key, so keys of
+    text, whose first bytes tell little apart, come last. Rows without `order`
+    never win; between rows of one key and `order` the largest value does.
     """
     others = [c for c in df.columns if c not in key and c != order]
-    merged = newest_values(df.withColumn("_tie", F.lit(0)), list(key), others, order, "_tie")
-    return merged.select(*key, *others)
+    text_last = sorted(key, key=lambda c: isinstance(df.schema[c].dataType, T.StringType))
+
+    def last(c):
+        given = F.col(c).isNotNull() & F.col(order).isNotNull()
+        return F.max(F.when(given, F.struct(F.col(order).alias("at"), F.col(c).alias("value"))))["value"].alias(c)
+
+    if not others:
+        return df.select(*key).distinct()
+    return df.groupBy(*text_last).agg(*[last(c) for c in others]).select(*key, *others)
 
 
 def align(df: DataFrame, schema=S.READINGS, default_now: bool = True) -> DataFrame:

@@ -144,3 +144,18 @@ def test_days_instead_of_hours(spark, scratch):
     assert t.hours_since(0) == ["date=2024-01-01", "date=2024-01-02"] and t.hours_since(1) == ["date=2024-01-01"]
     assert t.read().count() == 30 and t.read(hours=["date=2024-01-02"]).count() == 11
     assert t.compact() == 3 and ("a", T0, 5.0, 2.0) in _rows(t.read())
+
+
+def test_keep_last_shuffles_its_rows_once(spark):
+    """One grouping and no join, with ties, NULLs and rows without order as defined."""
+    rows = [
+        ("a", T0, 1.0, None, 1), ("a", T0, None, 5.0, 2), ("a", T0, 2.0, None, 2), ("a", T0, 3.0, None, 2), ("a", T0, 9.0, 9.0, None),
+        (None, T0, 4.0, None, 1), (None, T0, None, 6.0, 0), ("b", None, None, None, 1), ("c", T0, 1.0, 1.0, None),
+    ]
+    out = keep_last(spark.createDataFrame(rows, SCHEMA + ", _ingest int"))
+    assert out.columns == ["sensor_id", "timestamp", "pm2_5", "pm10"]
+    assert _rows(out) == sorted([("a", T0, 3.0, 5.0), (None, T0, 4.0, 6.0), ("b", None, None, None), ("c", T0, None, None)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    keys = keep_last(spark.createDataFrame([("a", T0, 1), ("a", T0, 2)], "sensor_id string, timestamp timestamp, _ingest int"))
+    assert [tuple(r) for r in keys.collect()] == [("a", T0)]
