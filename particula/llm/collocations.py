@@ -15,7 +15,8 @@ so none is lost; two phrases with one hash can only make a candidate too many.
 The union of the shards' phrases, without those whose counts in all units of the
 slice stay below the support, goes back to the units as one bit per phrase.
 Pass 3 meets units and bits, and counts these candidates exactly, as words and not as
-hashes: per unit with numpy, then by Spark's hash aggregate over (lang, phrase).
+hashes: per unit with numpy; the units' words and counts go, compressed, to the hash
+slices, where equal phrases are added up.
 A candidate's parts occur at least as often as it does, so the same table holds
 every count that the scores need.
 
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,11 +61,12 @@ _WORD = ~(_BLANKS | _CUTS)
 
 
 def _schema(names: str) -> T.StructType:
-    kinds = {"lang": T.StringType(), "phrase": T.StringType(), "body": T.BinaryType()}
+    kinds = {"lang": T.StringType(), "phrase": T.StringType(), "body": T.BinaryType(), "counts": T.BinaryType()}
     return T.StructType([T.StructField(c, kinds.get(c, T.LongType())) for c in names.split()])
 
 
-_CHUNKS, _SLICES, _COUNTS = _schema("lang part seq words body"), _schema("slice part lang seq size body"), _schema("lang phrase n")
+_CHUNKS, _SLICES = _schema("lang part seq words body"), _schema("slice part lang seq size body")
+_SHARES, _COUNTS = _schema("slice lang size width body counts"), _schema("lang phrase f")
 
 
 # Pass 1: texts to chunks
@@ -173,13 +176,14 @@ class Unit:
         order = np.argsort(hashes, kind="stable")
         self.hash, self.length, self.count, self.place = hashes[order], self.length[order], self.count[order], self.place[order]
 
-    def phrases(self, chosen: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """The chosen ones of the phrases as texts, and their counts in this unit."""
+    def lines(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen ones of the phrases as lines, and where the lines start and the last one ends."""
         a = self.starts[self.place[chosen]]
-        size = self.ends[self.place[chosen] + self.length[chosen] - 1] - a
+        size = self.ends[self.place[chosen] + self.length[chosen] - 1] - a + 1
         off = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(off[-1]) + np.repeat(a - off[:-1], size)
-        return pa.StringArray.from_buffers(len(a), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(self.data[at])), self.count[chosen]
+        data = self.data[np.arange(off[-1]) + np.repeat(a - off[:-1], size)]
+        data[off[1:] - 1] = 10
+        return data, off
 
 
 # Pass 2: hash slices of units, and the shards' mining in each slice
@@ -275,14 +279,23 @@ def _mine(support: int):
 # Pass 3: exact counts of the candidates
 
 
-def _count(longest: int):
+def planes(counts: np.ndarray) -> bytes:
+    """Counts below 2^32 as planes of bytes, compressed."""
+    return pa.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _count(longest: int, slice_bits: int):
     def run(batches):
         key, starts, flags, body, last = None, [], {}, [], None
 
         def done():
             unit = Unit(key[1], b"".join(body), longest)
-            texts, counts = unit.phrases(np.flatnonzero(np.concatenate(flags[last])))
-            return pa.RecordBatch.from_arrays([pa.array([key[1]] * len(texts), pa.string()), texts, pa.array(counts)], names=_COUNTS.names)
+            chosen = np.flatnonzero(np.concatenate(flags[last]))
+            lines, off = unit.lines(chosen)
+            where, counts = (unit.hash[chosen] >> U64(64 - slice_bits)).astype(np.int64), unit.count[chosen]
+            edges = np.flatnonzero(np.diff(where, prepend=-1, append=-1 if len(where) else -2))
+            shares = ((int(where[a]), a, b, lines[off[a] : off[b]].tobytes()) for a, b in zip(edges, edges[1:], strict=False))
+            return _table([(s, key[1], int(b - a), len(x), pa.compress(x, codec="zstd", asbytes=True), planes(counts[a:b])) for s, a, b, x in shares], _SHARES)
 
         for batch in batches:
             for part, lang, seq, _, size, data, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -303,6 +316,36 @@ def _count(longest: int):
     return run
 
 
+def _add(support: int):
+    """Shares of slices, each slice's in a row and by language, to the phrases that reach the support."""
+
+    def run(batches):
+        key, held = None, []
+
+        def done():
+            lines = np.frombuffer(b"".join(pa.decompress(body, width, codec="zstd", asbytes=True) for _, width, body, _ in held), np.uint8)
+            counts = [np.frombuffer(pa.decompress(c, 4 * size, codec="zstd", asbytes=True), np.uint8).reshape(4, size).T for size, _, _, c in held]
+            n = np.ascontiguousarray(np.concatenate(counts)).view("<u4")[:, 0].astype(np.int64)
+            off = np.concatenate([[0], np.flatnonzero(lines == 10) + 1 - np.arange(1, len(n) + 1)]).astype(np.int64)
+            texts = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(off), pa.py_buffer(lines[lines != 10]))
+            sums = pa.table({"phrase": texts, "n": n}).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+            sums = sums.filter(pc.greater_equal(sums["n_sum"], support))
+            columns = [pa.array([key[1]] * len(sums), pa.string()), sums["phrase"].cast(pa.string()), sums["n_sum"]]
+            return pa.table(columns, names=_COUNTS.names).to_batches(max_chunksize=1 << 16)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and key != row[:2]:
+                    yield from done()
+                    held = []
+                key = row[:2]
+                held.append(row[2:])
+        if held:
+            yield from done()
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, support: int, longest: int, text_col: str = "text", lang_col: str = "lang", unit_words: int = UNIT_WORDS, chunk_bytes: int = CHUNK_BYTES, slice_phrases: int = SLICE_PHRASES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f) of all phrases of 1 to ``longest`` words that occur ``support`` times or more, (lang, n) word counts), both written."""
     spark, path = docs.sparkSession, scratch.new_path(docs.sparkSession, "phrases")
@@ -319,20 +362,28 @@ def frequent_phrases(docs: DataFrame, support: int, longest: int, text_col: str
     bits_rows = found.select("part", "lang", "seq", "slice", "size", "body", F.lit(False).alias("text"))
     text_rows = chunks.select("part", "lang", "seq", F.lit(0).cast("long").alias("slice"), F.lit(0).cast("long").alias("size"), "body", F.lit(True).alias("text"))
     met = bits_rows.union(text_rows).repartition("part").sortWithinPartitions("part", "lang", "text", "seq", "slice")
-    counts = met.mapInArrow(_count(longest), _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= support)
+    shares = met.mapInArrow(_count(longest, slice_bits), _SHARES)
+    # a phrase has one hash and so one slice, which has a bounded part of all phrases here as well
+    counts = shares.repartition("slice").sortWithinPartitions("slice", "lang").mapInArrow(_add(support), _COUNTS)
     counts = scratch.written(counts, f"{path}/counts")
     scratch.remove(spark, f"{path}/chunks")
     return counts, words
 
 
-def scored(phrases: DataFrame, share: int) -> DataFrame:
-    """(lang, phrase, a, l, r, score) of the candidates that no longer candidate holds ``share`` percent of the time."""
+def scored(phrases: DataFrame, share: int, longest: int | None = None) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of the candidates that no longer candidate holds ``share`` percent of the time.
+
+    Phrases of ``longest`` words, if it is given, are part of no other and stay out of the lookups.
+    """
     cand = phrases.withColumn("w", F.split("phrase", " ")).filter(F.size("w") > 1)
-    cuts = cand.select("lang", "phrase", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("first"), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("rest"))
-    left = phrases.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
-    right = phrases.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
+    cuts = cand.select("lang", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
+    # the parts alone travel: together they are the phrase
+    cuts = cuts.select("lang", "a", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("first"), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("rest"))
+    parts = phrases if longest is None else phrases.filter(F.size(F.split("phrase", " ")) < longest)
+    left = parts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
+    right = parts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
     cuts = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"])
+    cuts = cuts.withColumn("phrase", F.concat_ws(" ", "first", "rest")).withColumn("k", F.size(F.split("first", " ")))
     score = F.expr("cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * cast(1000000 as decimal(7,0)) div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))")
     lowest = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("x"))
     inner = (
@@ -349,7 +400,7 @@ def scored(phrases: DataFrame, share: int) -> DataFrame:
 def collocations(docs: DataFrame, support: int = 10, longest: int = 3, top: int = 2000, share: int = 50, **names) -> DataFrame:
     """Each language's first ``top`` candidates: lang, rank, phrase, a, l, r, n, score."""
     phrases, words = frequent_phrases(docs, support, longest, **names)
-    first = scored(phrases, share)
+    first = scored(phrases, share, longest)
     # the best of every part first, so that the last task of a language sees PARTS x top rows at most
     for key in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))], ["lang"]):
         best = Window.partitionBy(*key).orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))

@@ -97,3 +97,27 @@ def test_mining_loses_nothing(entries, support):
         total[v] += c
     chosen = {e[0] for r, b in zip(rows, bits, strict=True) for e, x in zip(r, b, strict=True) if x}
     assert chosen == {v for v, c in total.items() if c >= support}
+
+
+def test_counts_travel_compressed_and_lookups_are_short(spark, rows):
+    """Pass 3 sends each unit's phrases as compressed lines, not a row a phrase; the longest phrases are in no lookup, which changes nothing."""
+    unit = C.Unit("en", b"the word is\nthe word\n" * 4000, 3)
+    lines, off = unit.lines(np.flatnonzero(unit.count >= 8000))
+    assert sorted(lines.tobytes().split(b"\n")[:-1]) == [b"the", b"the word", b"word"] and off[-1] == len(lines)
+    df = spark.createDataFrame([(t, g) for t, g in rows], "text string, lang string")
+    phrases, _ = C.frequent_phrases(df, 10, 3, unit_words=40, chunk_bytes=64, slice_phrases=50)
+    assert sorted(map(tuple, C.scored(phrases, 50, 3).collect())) == sorted(map(tuple, C.scored(phrases, 50).collect()))
+
+
+def test_adding_up_of_shares(spark):
+    """Shares of one slice: languages apart, equal phrases added beyond 32 bits, those below the support dropped."""
+    import pyarrow as pa
+
+    def share(lang, texts, counts):
+        body = "".join(f"{t}\n" for t in texts).encode()
+        return (0, lang, len(texts), len(body), pa.compress(body, codec="zstd", asbytes=True), C.planes(np.array(counts)))
+
+    big = 2**32 - 1
+    given = [share("de", ["a b"], [9]), share("en", ["é x", "a b"], [4, big]), share("en", ["a b", "é x", "w"], [big, 6, 9])]
+    out = [tuple(r.values()) for b in C._add(10)([C._table(given[:2], C._SHARES), C._table(given[2:], C._SHARES)]) for r in b.to_pylist()]
+    assert sorted(out) == [("en", "a b", 2 * big), ("en", "é x", 10)]
